@@ -1 +1,8 @@
 """lodeline: graph, text and corpus analytics expressed as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get this package's functions by value, so that executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
