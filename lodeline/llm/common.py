@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,3 +62,13 @@ def sliced(items: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         size += len(x)
     if start < len(items):
         yield start, len(items)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared checkpoint folder and read back; smaller than checkpoint() for wide rows."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeline-"))
+    path = f"{sc.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, simhash, substring, suffix, toxicity
+from . import langid, lm, packing, simhash, substring, suffix, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.likelihoods(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +36,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op5_substring, op6_langid, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op5_substring, op6_langid, op8_hmm, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}

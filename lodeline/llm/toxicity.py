@@ -21,7 +21,7 @@ from xxhash import xxh3_64_intdigest
 from .common import blobs, crc_fold
 
 BITS = 18
-GRAM = 5
+GRAM = 4
 #: Labelled rows of each label that a model is fitted on at most, by hash of doc_id; longer texts aren't fitted on.
 SAMPLE = 3000
 SAMPLE_BYTES = 1 << 18
@@ -33,11 +33,11 @@ SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def features(token: str) -> list[int]:
-    """Buckets of a token: its letters as a whole, and each GRAM letters of them."""
+    """Buckets of a token: its letters as a whole, which count twice, and each GRAM of them, ends marked."""
     word = "".join(c for c in token.lower() if c.isalpha())
     if not word:
         return []
-    grams = {f"={word}"} | {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
+    grams = {f"={word}", f"=={word}"} | {f"<{word}>"[i : i + GRAM] for i in range(len(word) + 3 - GRAM)}
     return [xxh3_64_intdigest(g.encode()) >> (64 - BITS) for g in sorted(grams)]
 
 
@@ -78,7 +78,10 @@ def _sigmoid(z: float) -> float:
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = 0.3) -> Model:
-    """Adagrad on the noisy-or's log loss, the labels weighed evenly."""
+    """Projected Adagrad on the noisy-or's log loss, the labels weighed evenly.
+
+    Weights stay at 0 or above: what is said around an offence doesn't take it back.
+    """
     memo: dict[str, list[int]] = {}
     bags: list[tuple[np.ndarray, np.ndarray]] = []
     for text in texts:
@@ -115,7 +118,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
             touched, inverse = np.unique(idx, return_inverse=True)
             grad = np.bincount(inverse, weights=np.repeat(dz, sizes)) + 1e-6 * w[touched]
             g2[touched] += grad**2
-            w[touched] -= rate * grad / np.sqrt(g2[touched])
+            w[touched] = np.maximum(w[touched] - rate * grad / np.sqrt(g2[touched]), 0)
             db = dz.sum()
             bias2 += db**2
             bias -= rate * db / math.sqrt(bias2)
