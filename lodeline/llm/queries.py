@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm, packing, simhash, substring, suffix, toxicity
+from . import chat, decontam, langid, lm, packing, quality, simhash, substring, suffix, toxicity
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(spark, table(spark, sf_dir, "conversations"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
@@ -36,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op5_substring, op6_langid, op8_hmm, op9_toxicity, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_quality, op4_chat, op5_substring, op6_langid, op7_decontamination, op8_hmm, op9_toxicity, op10_packing)}
+ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op4_chat": chat.ORACLE}

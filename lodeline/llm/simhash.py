@@ -200,3 +200,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     found = components(links(reps.where("rep IS NOT NULL"), radius))
     groups = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: the one of the smallest doc_id, the smallest text among its rows.
+
+    Rows without a doc_id go if their group has one with; a group of such rows alone keeps each of them.
+    """
+    groups = near_duplicates(docs, radius, shingle).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    firsts = groups.where("component_id = doc_id").select(F.col("doc_id").alias("__first"))
+    kept = docs.join(firsts, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
+    return kept.dropDuplicates(["doc_id"])

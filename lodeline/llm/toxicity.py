@@ -171,14 +171,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, model).select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all their columns, whose score is below the threshold."""
-    model = train(docs, labels.where(crc_fold("doc_id", 3) != 1))
-    schema = docs.schema
+def accepted(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all their columns, whose score is below the threshold.
+
+    The model learns from `learn_from` (doc_id, text), docs themselves if none is given.
+    """
+    model = train(docs if learn_from is None else learn_from, labels.where(crc_fold("doc_id", 3) != 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.scorer()
         for b in batches:
             yield b.filter(pa.array([model.score(x.decode("utf-8", "replace"), scores) < threshold for x in blobs(b, "text")], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
