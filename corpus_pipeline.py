@@ -1,9 +1,60 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: toxicity, near-dedup, substring dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns a DataFrame;
+all but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeline.llm import common, decontam, packing, simhash, substring, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at the threshold or above go."""
+    return toxicity.accepted(docs.select(*COLUMNS), common.table(spark, sf_dir, "labels"), common.table(spark, sf_dir, "documents"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the row of the smallest doc_id stays."""
+    return simhash.first_of_each(docs).select(*COLUMNS)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that a document with a smaller doc_id has too go; other texts stay as they are."""
+    r = substring.without_repeats(docs, keep=COLUMNS)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return r.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("simhash near-dedup", without_near_copies),
+    ("substring dedup", without_repeated_passages),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
+
+#: The toxicity model can't be expressed in SQL; the tests run the stages against brute-force versions.
+ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written as Parquet to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
