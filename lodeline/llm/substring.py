@@ -71,7 +71,7 @@ def _solve(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(hit[e - n : e]) for e, n in zip(stops.tolist(), count.tolist(), strict=True)]
 
 
-WORDS = Kind(_split, GRAM, _solve)
+WORDS = Kind(_split, GRAM, lambda x: x.count(b" ") + 1, _solve)
 
 
 def _apply(texts: list[bytes], spans: list[np.ndarray]) -> list[pa.Array]:

@@ -30,7 +30,7 @@ WINDOW = 50
 #: Bytes of text worked on at once; the arrays over them take some 60 times as much.
 STEP = 1 << 20
 #: Bytes of packed strings that a bucket's solver gets at once, unless one minimiser has more.
-SHARD = 1 << 21
+SHARD = 1 << 19
 #: Bytes of packed strings that a task holds back before it writes them.
 HOLD = 24 << 20
 
@@ -69,6 +69,8 @@ class Kind:
 
     split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]]
     gram: int
+    #: How many units a string has.
+    units: Callable[[bytes], int]
     #: (strings, document of each) -> for each string the offsets of its windows that a smaller document has.
     solve: Callable[[list[bytes], np.ndarray], list[np.ndarray]]
 
@@ -139,6 +141,31 @@ def _span_rows(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndar
         yield int(ids[d, 0]), int(ids[d, 1]), pairs[rows].tobytes()
 
 
+def _routed(rows: list[tuple[int, int, bytes]], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Rows of (did, tid, data), packed for the bucket of each document: as many rows as buckets, not as documents."""
+    if not rows:
+        return
+    ids = np.array([x[:2] for x in rows], np.int64)
+    for p, r in _grouped((mix(ids[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)):
+        data = [rows[i][2] for i in r.tolist()]
+        yield p, _packed(ids=ids[r], size=np.array([len(x) for x in data], np.int64), data=b"".join(data))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (did, tid, data) for each document of a task's buckets, the data of its rows put together."""
+    held: dict[tuple[int, int], list[bytes]] = {}
+    for b in batches:
+        for pack in b.column("pack").to_pylist():
+            ids, size, data = _unpacked(pack, np.int64, np.int64, None)
+            stop = np.cumsum(size).tolist()
+            for (did, tid), n, e in zip(ids.reshape(-1, 2).tolist(), size.tolist(), stop, strict=True):
+                held.setdefault((did, tid), []).append(data[e - n : e])
+    keys = list(held)
+    for i in range(0, len(keys), 5000):
+        part = keys[i : i + 5000]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part]), pa.array([b"".join(held.pop(k)) for k in part], pa.binary())], ["did", "tid", "data"])
+
+
 def _anchors(kind: Kind, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,38 +185,40 @@ def _anchors(kind: Kind, parts: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's buckets, the keys that two documents or more have, by document."""
-    keys, docs = [], []
-    for b in batches:
-        for part, k, d in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("docs").to_pylist(), strict=True):
-            n, ids = _unpacked(d, np.uint32, np.int64)
-            keys.append((np.uint64(part) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64))
-            docs.append(np.repeat(ids, n))
-    if not keys:
-        return
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    del keys, docs
-    order = np.argsort(key)
-    key, doc = key[order], doc[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    more = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    keep = np.repeat(more, np.diff(np.r_[first, len(key)]))
-    key, doc = key[keep], doc[keep]
-    order = np.argsort(doc, kind="stable")
-    key, doc = key[order], doc[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    for i in range(0, len(first), 10_000):
-        rows = first[i : i + 10_000]
-        stops = np.r_[first[i + 1 : i + 10_001], len(key)][: len(rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array([key[s:e].tobytes() for s, e in zip(rows, stops, strict=True)], pa.binary())], ["did", "keys"])
-
-
-_PACKS = "part int, did long, tid long, spans binary, pack binary"
+def _shared(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task's buckets, the keys that two documents or more have, by document."""
+        keys, docs = [], []
+        for b in batches:
+            for part, k, d in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("docs").to_pylist(), strict=True):
+                n, ids = _unpacked(d, np.uint32, np.int64)
+                keys.append((np.uint64(part) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64))
+                docs.append(np.repeat(ids, n))
+        if not keys:
+            return
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        del keys, docs
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        more = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        keep = np.repeat(more, np.diff(np.r_[first, len(key)]))
+        key, doc = key[keep], doc[keep]
+        order = np.argsort(doc, kind="stable")
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        rows = [(int(doc[s]), 0, key[s:e].tobytes()) for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False)]
+        yield _pack_rows([(0, p, x) for p, x in _routed(rows, parts)])
+
+    return run
+
+
+#: kind 0: packed strings for a bucket of minimisers; 1: spans for a bucket of documents.
+_PACKS = "kind int, part int, pack binary"
 
 
 def _pack_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "did", "tid", "spans", "pack"])
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "part", "pack"])
 
 
 def _cut_out(kind: Kind, parts: int):
@@ -209,13 +238,13 @@ def _cut_out(kind: Kind, parts: int):
             rows: list[tuple] = []
             if gone:
                 g = np.array(gone, np.int64)
-                rows += [(int(did % parts), did, tid, s, None) for did, tid, s in _span_rows(table, g[:, 0], g[:, 1], g[:, 2])]
+                rows += [(1, p, x) for p, x in _routed(list(_span_rows(table, g[:, 0], g[:, 1], g[:, 2])), parts)]
             if about:
                 a = np.array(about, np.int64)
                 for p, r in _grouped(a[:, 3]):
                     own, doc = np.unique(a[r, 0], return_inverse=True)
                     content = [strings[i] for i in r]
-                    rows.append((p, None, None, None, _packed(ids=table[own], doc=doc.astype(np.uint32), start=a[r, 1].astype(np.int32), windows=a[r, 2].astype(np.int32), shard=a[r, 4].astype(np.uint8), size=np.array([len(x) for x in content], np.int32), content=b"".join(content))))
+                    rows.append((0, p, _packed(ids=table[own], doc=doc.astype(np.uint32), start=a[r, 1].astype(np.int32), windows=a[r, 2].astype(np.int32), shard=a[r, 4].astype(np.uint8), size=np.array([len(x) for x in content], np.int32), content=b"".join(content))))
             for x in (ids, strings, about, gone):
                 x.clear()
             seen.clear()
@@ -235,7 +264,7 @@ def _cut_out(kind: Kind, parts: int):
                     if here[t] == stop[t]:
                         continue
                     rows = np.arange(here[t], stop[t])
-                    rows = rows[np.isin(key[rows], np.frombuffer(b"".join(shared[lo + t]), np.uint64))]
+                    rows = rows[np.isin(key[rows], np.frombuffer(shared[lo + t], np.uint64))]
                     if not len(rows):
                         continue
                     did, doc = dids[lo + t], len(ids)
@@ -264,29 +293,32 @@ def _cut_out(kind: Kind, parts: int):
     return run
 
 
-def _decide(kind: Kind):
-    """The spans of a task's buckets."""
+def _decide(kind: Kind, parts: int):
+    """The spans of a task's buckets, packed for the buckets of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[tuple[int, bytes]] = []
         for b in batches:
-            told = b.filter(pa.array([x is None for x in b.column("pack").to_pylist()], pa.bool_())) if b.num_rows else b
-            if told.num_rows:
-                yield told.select(["did", "tid", "spans"])
-            packs += [(p, x) for p, x in zip(b.column("part").to_pylist(), b.column("pack").to_pylist(), strict=True) if x is not None]
+            told = []
+            for k, p, x in zip(b.column("kind").to_pylist(), b.column("part").to_pylist(), b.column("pack").to_pylist(), strict=True):
+                (told if k else packs).append((p, x))
+            if told:
+                yield _pack_rows([(1, p, x) for p, x in told])
         packs.sort(key=lambda x: x[0])
         i = 0
         while i < len(packs):  # one bucket at a time
             j = i
             while j < len(packs) and packs[j][0] == packs[i][0]:
                 j += 1
-            yield from _bucket(kind, [x for _, x in packs[i:j]])
+            rows = _bucket(kind, [x for _, x in packs[i:j]])
+            yield _pack_rows([(1, p, x) for p, x in _routed(rows, parts)])
             i = j
 
     return run
 
 
-def _bucket(kind: Kind, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _bucket(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """(did, tid, spans) of one bucket. Equal strings are decided once: only the smallest document's is looked into."""
     ids, docs, starts, shards, strings, base = [], [], [], [], [], 0
     for p in packs:
         own, doc, start, _, shard, size, content = _unpacked(p, np.int64, np.uint32, np.int32, np.int32, np.uint8, np.int32, None)
@@ -300,11 +332,21 @@ def _bucket(kind: Kind, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
             strings.append(content[at : at + n])
             at += n
     table, doc, start, shard = np.concatenate(ids), np.concatenate(docs), np.concatenate(starts), np.concatenate(shards)
-    order = np.argsort(shard, kind="stable")
-    sizes = np.array([len(x) for x in strings], np.int64)
-    full = np.bincount(shard, weights=sizes, minlength=256).astype(np.int64)
-    rows_of = np.split(order, np.cumsum(np.bincount(shard, minlength=256))[:-1])
-    out_doc, out_start, out_end, lo = [], [], [], 0
+    did = table[doc, 0]
+    first: dict[bytes, int] = {}
+    same = np.fromiter((first.setdefault(x, i) for i, x in enumerate(strings)), np.int64, len(strings))
+    least = did.copy()
+    np.minimum.at(least, same, did)
+    later = np.flatnonzero(did > least[same])
+    windows = np.array([kind.units(strings[i]) for i in later.tolist()], np.int64)
+    out_doc, out_start, out_end = [doc[later]], [start[later]], [start[later] + windows]
+    kept = np.array(sorted(first.values()), np.int64)
+    lead: dict[int, list[int]] = {}
+    for i in np.flatnonzero(did == least[same]).tolist():
+        lead.setdefault(int(same[i]), []).append(i)
+    full = np.bincount(shard[kept], weights=[len(strings[i]) for i in kept.tolist()], minlength=256).astype(np.int64)
+    rows_of = np.split(kept[np.argsort(shard[kept], kind="stable")], np.cumsum(np.bincount(shard[kept], minlength=256))[:-1])
+    lo = 0
     while lo < 256:
         hi = lo + 1
         while hi < 256 and full[lo:hi].sum() + full[hi] <= SHARD:
@@ -313,16 +355,13 @@ def _bucket(kind: Kind, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
         lo = hi
         if not len(rows):
             continue
-        for i, hits in zip(rows.tolist(), kind.solve([strings[i] for i in rows.tolist()], table[doc[rows], 0]), strict=True):
+        for i, hits in zip(rows.tolist(), kind.solve([strings[i] for i in rows.tolist()], least[rows]), strict=True):
             if len(hits):
-                out_doc.append(np.full(len(hits), doc[i]))
-                out_start.append(hits + start[i])
-                out_end.append(hits + (start[i] + WINDOW))
-    if out_doc:
-        rows = list(_span_rows(table, np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end)))
-        for i in range(0, len(rows), 10_000):
-            part = rows[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["did", "tid", "spans"])
+                for k in lead[i]:
+                    out_doc.append(np.full(len(hits), doc[k]))
+                    out_start.append(hits + start[k])
+                    out_end.append(hits + (start[k] + WINDOW))
+    return list(_span_rows(table, np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end)))
 
 
 def repeated(docs: DataFrame, kind: Kind, apply: Callable, keep: list[str], schema: str) -> DataFrame:
@@ -331,13 +370,16 @@ def repeated(docs: DataFrame, kind: Kind, apply: Callable, keep: list[str], sche
     The text is shuffled once, by document, for both joins.
     """
     n = shuffle_partitions(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
-    found = base.select("did", "text").mapInArrow(_anchors(kind, n), "part int, keys binary, docs binary").repartition(n, "part").mapInArrow(_shared, "did long, keys binary")
-    by_doc = found.groupBy("did").agg(F.collect_list("keys").alias("keys"))
+    own = [(F.when(F.col("did") != NULL_ID, F.col("did")) if c == "doc_id" and docs.schema[c].dataType == T.LongType() else F.col(f"own{i}")).alias(f"keep{i}") for i, c in enumerate(keep)]
+    # Without columns of its own the second join takes the same exchange of the text as the first.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"own{i}") for i, c in enumerate(keep) if c != "doc_id" or docs.schema[c].dataType != T.LongType()))
+    found = base.select("did", "text").mapInArrow(_anchors(kind, n), "part int, keys binary, docs binary").repartition(n, "part").mapInArrow(_shared(n), _PACKS)
+    gathered = "did long, tid long, data binary"
+    by_doc = found.repartition(n, "part").mapInArrow(_gathered, gathered).select("did", F.col("data").alias("keys"))
     near = base.join(by_doc, "did").select("did", F.xxhash64("text").alias("tid"), "text", "keys")
-    spans = near.mapInArrow(_cut_out(kind, n), _PACKS).repartition(n, "part").mapInArrow(_decide(kind), "did long, tid long, spans binary")
-    by_doc = spans.groupBy("did").agg(F.collect_list(F.struct("tid", "spans")).alias("spans"))
-    whole = base.join(by_doc, "did", "left").select("text", F.transform(F.filter("spans", lambda s: s.tid == F.xxhash64("text")), lambda s: s.spans).alias("spans"), *(f"keep{i}" for i in range(len(keep))))
+    spans = near.mapInArrow(_cut_out(kind, n), _PACKS).repartition(n, "part").mapInArrow(_decide(kind, n), _PACKS)
+    by_doc = spans.repartition(n, "part").mapInArrow(_gathered, gathered).groupBy("did").agg(F.collect_list(F.struct("tid", F.col("data").alias("spans"))).alias("spans"))
+    whole = base.join(by_doc, "did", "left").select("text", F.transform(F.filter("spans", lambda s: s.tid == F.xxhash64("text")), lambda s: s.spans).alias("spans"), *own)
     kept = [f for f in docs.select(*keep).schema]
     out = T.StructType([T.StructField(f"keep{i}", f.dataType) for i, f in enumerate(kept)] + list(T._parse_datatype_string(schema)))
     names = out.names[len(keep) :]
