@@ -36,7 +36,7 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
     value = packed >> bits
     start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     size = np.diff(np.r_[start, n])
-    rank = np.zeros(n + depth, np.int64)  # past the end: 0; others from 1
+    rank = np.zeros(n + depth, np.int32)  # past the end: 0; others from 1
     rank[sa] = np.repeat(start, size) + 1
     tied = np.flatnonzero(np.repeat(size > 1, size))
     known = 4
@@ -140,15 +140,21 @@ def solve(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
             keys, best = np.insert(keys, at[~met], own[~met]), np.insert(best, at[~met], least[~met])
         for _, _, (text, _, order, _, heads, least, _) in arrays:
             least[:] = best[np.searchsorted(keys, _bytes_at(text, order[heads]))]
-    out: list[list[np.ndarray]] = [[] for _ in strings]
+    none = np.zeros(0, np.int64)
+    out: list[np.ndarray] = [none] * len(strings)
     for lo, hi, (text, start, order, group, _, least, owner) in arrays:
+        own = np.array([p[0] for p in pieces[lo:hi]])
         hit = np.zeros(len(text), bool)
-        hit[order] = least[group] < docs[[p[0] for p in pieces[lo:hi]]][owner[order]]
-        base = 0
-        for i, x, a in pieces[lo:hi]:
-            out[i].append(np.flatnonzero(hit[base : base + len(x) - WINDOW + 1]) + a)
-            base += len(x)
-    return [np.concatenate(x) for x in out]
+        hit[order] = least[group] < docs[own][owner[order]]
+        at = np.flatnonzero(hit)
+        string = owner[at]
+        base = np.cumsum([0, *(len(p[1]) for p in pieces[lo : hi - 1])])
+        cuts = np.flatnonzero(np.diff(string, prepend=-1))
+        at += np.array([p[2] for p in pieces[lo:hi]])[string] - base[string]
+        for k, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=False):
+            i = own[string[k]]
+            out[i] = np.concatenate([out[i], at[k:e]]) if len(out[i]) else at[k:e]
+    return out
 
 
 def _split(texts: list[bytes]):
@@ -157,7 +163,7 @@ def _split(texts: list[bytes]):
     return np.frombuffer(flat, np.uint8).astype(np.uint64), np.array([len(x) for x in texts], np.int64), flat, at[:-1], at[1:]
 
 
-BYTES = Kind(_split, GRAM, solve)
+BYTES = Kind(_split, GRAM, len, solve)
 
 
 def _apply(texts: list[bytes], spans: list[np.ndarray]) -> list[pa.Array]:
