@@ -202,12 +202,124 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of near-duplicates, all columns: the one of the smallest doc_id, the smallest text among its rows.
-
-    Rows without a doc_id go if their group has one with; a group of such rows alone keeps each of them.
+#: Near copies: shingles of five words, similarity of their sets, and the radius within which the fingerprints of such texts lie
+#: (at similarity 0.8 they differ in 10 bits on average, with a deviation of 3).
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+COPY_RADIUS = 22
+#: Bands of two minima each; texts of similarity 0.8 share one with a probability of 0.9997.
+BANDS, ROWS_PER_BAND = 8, 2
+COPY_CHUNK = 1024
+_MULTIPLY = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS_PER_BAND, dtype=np.uint64) | np.uint64(1)
+
+
+def grams(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(len(words) - shingle + 1)), np.uint64, len(words) - shingle + 1))
+
+
+def _sketch(text: bytes, shingle: int) -> tuple[int, int, list[int]]:
+    """Of a text: a hash of its shingle set, the set's SimHash, and its band keys."""
+    h = grams(text, shingle)
+    if not len(h):
+        return 0, 0, [0] * BANDS
+    ones, least = np.zeros(BITS, np.int64), np.full(len(_MULTIPLY), np.uint64(2**64 - 1))
+    for i in range(0, len(h), 4096):
+        part = h[i : i + 4096]
+        ones += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
+        x = part[None] * _MULTIPLY[:, None]
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    fp = np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]
+    keys = [xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS_PER_BAND))]
+    return int(np.uint64(xxh64_intdigest(h.tobytes(), 1)).view(np.int64)), int(fp), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that span the groups of a block: pairs within the radius whose sets are similar enough. Pairs joined already aren't looked at again."""
+    n = len(fps)
+    i, j = compare(fps, np.zeros(n, np.int64), np.full(n, n), radius)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    label, out = np.arange(n), []
+    for a in np.unique(i).tolist():
+        b = j[np.searchsorted(i, a) : np.searchsorted(i, a, "right")]
+        for k in b[label[b] != label[a]].tolist():
+            if label[k] == label[a]:
+                continue
+            short, long = sorted((sets[a], sets[k]), key=len)
+            if len(short) < similarity * len(long):
+                continue
+            both = len(np.intersect1d(short, long, assume_unique=True))
+            if both >= similarity * (len(short) + len(long) - both):
+                label[label == label[k]] = label[a]
+                out.append((a, k))
+    return out
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
+    """(doc_id, component_id) for every row of docs (doc_id, text): groups linked by a Jaccard similarity of word shingles.
+
+    Texts of one shingle set are one member. Members meet in a block for each band of minima they share; there fingerprints are compared
+    bit-sliced, and pairs within the radius are decided by their sets (32 bits of each hash). A block over COPY_CHUNK members is
+    compared chunk against chunk. Rows of one doc_id count as one document; null and empty texts are copies of one another.
     """
-    groups = near_duplicates(docs, radius, shingle).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    firsts = groups.where("component_id = doc_id").select(F.col("doc_id").alias("__first"))
-    kept = docs.join(firsts, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_sketch(x, shingle) for x in blobs(b, "text")]
+            cols = [b.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sid", "fp", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [grams(x, shingle) for x in blobs(b, "text")]
+            sid = [int(np.uint64(xxh64_intdigest(h.tobytes(), 1)).view(np.int64)) if len(h) else 0 for h in hs]
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hs], pa.binary())], ["sid", "grams"])
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut(base.mapInArrow(sketch, "doc_id long, sid long, fp long, bands array<long>"))
+    reps = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    banded = reps.select("sid", "rep", "fp", F.posexplode("bands").alias("band", "key"))
+    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    m = F.ceil(F.col("n") / COPY_CHUNK).cast("int")
+    met = cut(banded.join(sizes, ["band", "key"]).select("sid", "rep", "fp", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
+    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
+    known = base.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
+    pairs = met.join(known, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    pairs = pairs.select("band", "key", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"), "fp", "rep", "grams")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def block() -> pa.RecordBatch:
+            out = _verified(np.array([h[0] for h in held], np.int64).view(np.uint64), [np.frombuffer(h[2], np.uint32) for h in held], radius, similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[p[k]][1] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("band", "key", "x", "y", "fp", "rep", "grams")]
+            for *where, fp, rep, g in zip(*cols, strict=True):
+                if where != at:
+                    if held:
+                        yield block()
+                    at, held = where, []
+                held.append((fp, rep, g))
+        if held:
+            yield block()
+
+    edges = pairs.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(solve, "a long, b long")
+    found = components(edges)
+    groups = reps.select("sid", "rep").join(found, F.col("rep") == found.node, "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
+    return rows.select("doc_id", "sid").join(groups, "sid", "left").select("doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies, all columns: one of the smallest doc_id. Rows without a doc_id stay."""
+    groups = near_copies(docs, similarity).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    firsts = groups.where("c = doc_id").select(F.col("doc_id").alias("__first"))
+    kept = docs.join(firsts, F.col("doc_id").cast("long") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
