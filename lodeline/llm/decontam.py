@@ -106,7 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     both = total(lambda x: x.weight * F.least(x.cw, x.c))
     either = total(lambda x: x.weight * F.greatest(x.cw, x.c)) + alone * (F.col("n") - F.aggregate("shares", F.lit(0), lambda a, x: a + x.cw))
-    found = met.select("doc_id", "tid", "item_id", "s", "n", (both / either).alias("similarity")).where(F.col("similarity") >= similarity)
+    found = met.select("doc_id", "tid", "item_id", "s", "n", F.round(both / either, 12).alias("similarity")).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "tid", "item_id").agg(F.max(F.struct("similarity", -F.col("s"), "n")).alias("b"))
     return best.select("doc_id", "tid", "item_id", "b.similarity", (-F.col("b.col2")).cast("int").alias("start_word"), (F.col("b.n") + SHINGLE - 1).alias("n_words"))
 
