@@ -16,12 +16,12 @@ def entity_markdown(e: Column) -> Column:
     """A compact Markdown block of an entity struct (name, kind, purpose, fields, methods, inputs, outputs)."""
 
     def params(xs: Column) -> Column:
-        return F.array_join(F.transform(xs, lambda p: F.concat(p.name, F.lit(": "), F.coalesce(p.type, F.lit("any")))), ", ")
+        return F.array_join(F.transform(xs, lambda p: F.concat(p["name"], F.lit(": "), F.coalesce(p["type"], F.lit("any")))), ", ")
 
-    head = F.concat(F.lit("### "), F.lower(e.kind), F.lit(" "), e.name)
+    head = F.concat(F.lit("### "), F.lower(e["kind"]), F.lit(" "), e["name"])
     purpose = F.when(F.coalesce(e.purpose, F.lit("")) != "", F.trim(F.regexp_replace(e.purpose, r"\s+", " ")))
     fields = F.when(F.size(e.fields) > 0, F.concat(F.lit("- fields: "), params(e.fields)))
-    methods = F.when(F.size(e.methods) > 0, F.array_join(F.transform(e.methods, lambda m: F.concat(F.lit("- "), m.name, F.lit("("), params(m.inputs), F.lit(") -> "), F.coalesce(m.returns, F.lit("any")))), "\n"))
+    methods = F.when(F.size(e.methods) > 0, F.array_join(F.transform(e.methods, lambda m: F.concat(F.lit("- "), m["name"], F.lit("("), params(m["inputs"]), F.lit(") -> "), F.coalesce(m["returns"], F.lit("any")))), "\n"))
     sign = F.when(e.kind == "FUNCTION", F.concat(F.lit("- ("), params(e.inputs), F.lit(") -> "), F.coalesce(e.outputs, F.lit("any"))))
     return F.concat_ws("\n", head, purpose, fields, methods, sign)
 
