@@ -239,26 +239,52 @@ def _sketch(text: bytes, shingle: int) -> tuple[int, int, list[int]]:
     return int(np.uint64(xxh64_intdigest(h.tobytes(), 1)).view(np.int64)), int(fp), np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links that span the groups of a block: pairs within the radius whose sets are similar enough. Pairs joined already aren't looked at again."""
+#: Pairs and shared hashes whose sets are intersected at once.
+PAIRS, COLUMNS = 1 << 13, 1 << 13
+
+
+def _shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many members the sets of each pair share: hashes that stand in several sets become bits, slice by slice."""
+    if len(i) <= 64:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number = np.cumsum(several) - 1
+    keep = several[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros(len(i), np.int64)
+    for lo in range(0, int(several.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        bits = np.zeros((len(sets), COLUMNS // 8), np.uint8)
+        at = column[part] - lo
+        np.bitwise_or.at(bits, (owner[part], at >> 3), (1 << (at & 7)).astype(np.uint8))
+        words = bits.view(np.uint64)
+        for k in range(0, len(i), PAIRS):
+            both[k : k + PAIRS] += np.bitwise_count(words[i[k : k + PAIRS]] & words[j[k : k + PAIRS]]).sum(axis=1, dtype=np.int64)
+    return both
+
+
+def _verified(fps: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, band: int, chunk: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Stars that span the groups of a block: pairs within the radius whose sets are similar enough.
+
+    A pair is decided once: in the first band that it shares, and where two chunks meet only across them.
+    """
     n = len(fps)
     i, j = compare(fps, np.zeros(n, np.int64), np.full(n, n), radius)
-    order = np.argsort(i, kind="stable")
-    i, j = i[order], j[order]
-    label, out = np.arange(n), []
-    for a in np.unique(i).tolist():
-        b = j[np.searchsorted(i, a) : np.searchsorted(i, a, "right")]
-        for k in b[label[b] != label[a]].tolist():
-            if label[k] == label[a]:
-                continue
-            short, long = sorted((sets[a], sets[k]), key=len)
-            if len(short) < similarity * len(long):
-                continue
-            both = len(np.intersect1d(short, long, assume_unique=True))
-            if both >= similarity * (len(short) + len(long) - both):
-                label[label == label[k]] = label[a]
-                out.append((a, k))
-    return out
+    sizes = np.array([len(x) for x in sets], np.int64)
+    keep = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+    if chunk.min() != chunk.max():
+        keep &= chunk[i] != chunk[j]
+    for b in range(band):
+        keep &= bands[i, b] != bands[j, b]
+    i, j = i[keep], j[keep]
+    both = _shared_counts(sets, i, j)
+    linked = both >= similarity * (sizes[i] + sizes[j] - both)
+    label = _stars(i[linked], j[linked], n)
+    return [(k, int(label[k])) for k in np.flatnonzero(label != np.arange(n)).tolist()]
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
@@ -284,30 +310,33 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(base.mapInArrow(sketch, "doc_id long, sid long, fp long, bands array<long>"))
     reps = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    banded = reps.select("sid", "rep", "fp", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("sid", "rep", "fp", "bands", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     m = F.ceil(F.col("n") / COPY_CHUNK).cast("int")
-    met = cut(banded.join(sizes, ["band", "key"]).select("sid", "rep", "fp", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
+    met = cut(banded.join(sizes, ["band", "key"]).select("sid", "rep", "fp", "bands", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
     wanted = met.select(F.col("rep").alias("doc_id")).distinct()
     known = base.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
     pairs = met.join(known, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pairs = pairs.select("band", "key", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"), "fp", "rep", "grams")
+    pairs = pairs.select("band", "key", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"), "c", "bands", "fp", "rep", "grams")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def block() -> pa.RecordBatch:
-            out = _verified(np.array([h[0] for h in held], np.int64).view(np.uint64), [np.frombuffer(h[2], np.uint32) for h in held], radius, similarity) if len(held) > 1 else []
+            if len(held) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+            chunk, bands, fps = (np.array([h[k] for h in held], np.int64) for k in (3, 4, 0))
+            out = _verified(fps.view(np.uint64), [np.frombuffer(h[2], np.uint32) for h in held], bands, at[0], chunk, radius, similarity)
             return pa.RecordBatch.from_arrays([pa.array([held[p[k]][1] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("band", "key", "x", "y", "fp", "rep", "grams")]
-            for *where, fp, rep, g in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("band", "key", "x", "y", "fp", "rep", "grams", "c", "bands")]
+            for *where, fp, rep, g, c, own in zip(*cols, strict=True):
                 if where != at:
                     if held:
                         yield block()
                     at, held = where, []
-                held.append((fp, rep, g))
+                held.append((fp, rep, g, c, own))
         if held:
             yield block()
 
