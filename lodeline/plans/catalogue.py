@@ -117,10 +117,16 @@ def domain_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English documents, over which the SQL of term_idf, lexical_scores and lexical_top50 is given."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
 
 
+def _all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+
+
 TERMS = "docs AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(translate(lower(text), '_-', '  '), '[\\p{L}\\p{N}]+'), lambda x: regexp_full_match(x, '[a-z]{3,}'))) AS t FROM documents WHERE lang = 'en')"
+ALL_TERMS = TERMS.replace(" WHERE lang = 'en'", "")
 IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
 
 
@@ -142,9 +148,25 @@ def lexical_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_seeds(lexical_scores(spark, sf_dir))
 
 
+@query("term_idf_all", ORACLES["term_idf"].replace(TERMS, ALL_TERMS))
+def term_idf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.term_idf(_all_docs(spark, sf_dir))
+
+
+@query("lexical_scores_all", ORACLES["lexical_scores"].replace(TERMS, ALL_TERMS))
+def lexical_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_scores(_all_docs(spark, sf_dir), QUERY)
+
+
+@query("lexical_top50_all", ORACLES["lexical_top50"].replace(TERMS, ALL_TERMS))
+def lexical_top50_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_seeds(lexical_scores_all(spark, sf_dir))
+
+
 @query("bm25")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(_docs(spark, sf_dir), QUERY)
+    """Over all documents."""
+    return lexical.bm25(_all_docs(spark, sf_dir), QUERY)
 
 
 def _table(name: str) -> Query:
