@@ -31,7 +31,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _graph(name: str, oracle: str, f: Callable[[graph.Graph], DataFrame], injected: bool = False) -> None:
+    """A query over G1 and, if it reads edges, `name`_all over the graph with the calls of all of lineitem."""
     query(name, oracle)(lambda spark, sf_dir: f(fx.graph(spark, sf_dir, injected)))
+    if "edges" in oracle.replace(G1, ""):
+        query(f"{name}_all", oracle.replace(fx.EDGES, fx.ALL_EDGES))(lambda spark, sf_dir: f(fx.graph(spark, sf_dir, injected, whole=True)))
 
 
 FAN = f"""le AS (SELECT DISTINCT src, dst FROM edges WHERE type IN {LOGICAL}),
@@ -298,7 +301,8 @@ def exported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metrics_report")
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.report(fx.graph(spark, sf_dir))
+    """Over the graph with the calls of all of lineitem."""
+    return graph.report(fx.graph(spark, sf_dir, whole=True))
 
 
 @query("parse_python")

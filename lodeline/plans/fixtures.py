@@ -25,6 +25,8 @@ UNION ALL SELECT concat('o', l_orderkey), concat('p', l_partkey), 'CALLS',
     CAST(CASE WHEN l_partkey % 3 = 0 THEN 0.5 WHEN l_partkey % 3 = 1 THEN 0.8 ELSE 1.0 END AS DOUBLE), CASE WHEN l_partkey % 3 = 0 THEN 'ambiguous_name' WHEN l_partkey % 3 = 1 THEN 'global_name' ELSE 'file_local_match' END
     FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R') AS calls
 """
+#: Calls from every order line, not only returned ones of large quantity.
+ALL_EDGES = EDGES.replace(" WHERE l_quantity >= 45 AND l_returnflag = 'R'", "")
 #: With three dead edges.
 INJECTED = EDGES + """
 UNION ALL SELECT 'missing1', 'n1', 'IMPORTS', CAST(1.0 AS DOUBLE), 'path' UNION ALL SELECT 'n1', 'missing2', 'IMPORTS', CAST(1.0 AS DOUBLE), 'path' UNION ALL SELECT 'missing3', 'missing4', 'CALLS', CAST(1.0 AS DOUBLE), 'path'
@@ -59,6 +61,8 @@ def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     return spark.sql(text)
 
 
-def graph(spark: SparkSession, sf_dir: str, injected: bool = False) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, injected: bool = False, whole: bool = False) -> Graph:
+    """G1; with whole, calls come from all of lineitem."""
     views(spark, sf_dir, "region", "nation", "supplier", "customer", "orders", "part", "lineitem")
-    return Graph(spark.sql(NODES), spark.sql(INJECTED if injected else EDGES))
+    edges = INJECTED if injected else EDGES
+    return Graph(spark.sql(NODES), spark.sql(edges.replace(EDGES, ALL_EDGES) if whole else edges))

@@ -42,3 +42,18 @@ def test_bm25_takes_every_language(spark, words):
         tf = Counter(x)
         want[d] = sum(_idf(len(words), df[w]) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(x) / avg)) for w in set(_terms(catalogue.QUERY)))
     assert {r.id: r.score for r in catalogue.QUERIES["bm25"](spark, SF).collect()} == pytest.approx(want)
+
+
+def test_graph_takes_every_order_line(spark):
+    lines = duckdb.sql(f"SELECT DISTINCT l_orderkey, l_partkey FROM '{SF}/lineitem.parquet'").fetchall()
+    want = Counter(f"p{p}" for _, p in lines)
+    assert len(lines) > 5000
+    got = {r.id: (r.n_in, r.n_out) for r in catalogue.QUERIES["degrees_all"](spark, SF).where("type = 'INTERFACE'").collect()}
+    assert {k: v for k, v in got.items() if v != (0, 0)} == {k: (n, 0) for k, n in want.items()}
+    assert {r.type: r.n for r in catalogue.QUERIES["edge_mix_all"](spark, SF).collect()}["CALLS"] == len(lines)
+
+
+def test_report_takes_every_order_line(spark):
+    lines = duckdb.sql(f"SELECT DISTINCT l_orderkey, l_partkey FROM '{SF}/lineitem.parquet'").fetchall()
+    found = {r.provider: r.value_json for r in catalogue.QUERIES["metrics_report"](spark, SF).collect()}
+    assert f'"edges_calls":{len(lines)},' in found["topology"]
