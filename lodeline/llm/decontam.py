@@ -56,6 +56,8 @@ def _block(fp: Column, b: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, tid, item_id, similarity, start_word, n_words): the best window of each document and item that reaches `similarity`.
 
+    An item is an item_id with the words of a text: other texts of the item_id are items of their own and give rows of their own, and so does each text without an item_id.
+
     Words are runs of letters and digits in lower case. A window has as many words as the item (a shorter
     document is one window). The similarity is the weighted Jaccard of five-word shingles with their counts; a shingle weighs
     ln(1 + items / items that have it), one of no item as one of a single item. Null texts and items of fewer
@@ -64,50 +66,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     width = 64 // BLOCKS
     most = radius // BLOCKS
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text").cast("string")).alias("w")).distinct()
-    items = items.select("item_id", _shingles(F.col("w")).alias("ish")).where(F.size("ish") > 0)
-    items = cut(items.groupBy("item_id").agg(F.min("ish").alias("ish")))
+    items = cut(items.select(F.xxhash64("item_id", "w").alias("iid"), "item_id", _shingles(F.col("w")).alias("ish")).where(F.size("ish") > 0))
     n_items = F.lit(float(items.count()))
-    by_shingle = items.select("item_id", F.explode("ish").alias("h")).groupBy("item_id", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    by_shingle = items.select("iid", F.explode("ish").alias("h")).groupBy("iid", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
     weighed = by_shingle.join(by_shingle.groupBy("h").agg(F.log1p(n_items / F.count(F.lit(1))).alias("weight")), "h")
-    about = weighed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("h", "c", "weight"))).alias("parts"))
-    marks = cut(items.join(about, "item_id").select("item_id", F.size("ish").alias("m"), _simhash("ish").alias("ifp"), "parts"))
+    about = weighed.groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("h", "c", "weight"))).alias("parts"))
+    marks = cut(items.join(about, "iid").select("iid", "item_id", F.size("ish").alias("m"), _simhash("ish").alias("ifp"), "parts"))
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     words = base.select(F.xxhash64("doc_id", "text").alias("tid"), _words(F.col("text")).alias("w"))
     grams = words.select("tid", F.posexplode(_shingles(F.col("w"))).alias("p", "h"))
-    hits = grams.join(_bounded(by_shingle.select("item_id", "h")), "h").groupBy("tid", "item_id").agg(F.collect_set("p").alias("at"))
-    hits = hits.groupBy("tid").agg(F.collect_list(F.struct("item_id", "at")).alias("hits"))
+    hits = grams.join(_bounded(by_shingle.select("iid", "h")), "h").groupBy("tid", "iid").agg(F.collect_set("p").alias("at"))
+    hits = hits.groupBy("tid").agg(F.collect_list(F.struct("iid", "at")).alias("hits"))
 
     near = base.withColumn("tid", F.xxhash64("doc_id", "text")).join(hits, "tid").select("doc_id", "tid", _words(F.col("text")).alias("w"), "hits").dropDuplicates(["doc_id", "tid"])
     near = near.select("doc_id", "tid", _shingles(F.col("w")).alias("sh"), "hits").select("doc_id", "tid", "sh", F.explode("hits").alias("x"))
-    near = near.select("doc_id", "tid", "sh", "x.item_id", "x.at").join(_bounded(marks), "item_id")
+    near = near.select("doc_id", "tid", "sh", "x.iid", "x.at").join(_bounded(marks), "iid")
     last = F.greatest(F.size("sh") - F.col("m"), F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.least(F.greatest(p - F.col("m") + 1, F.lit(0)), last), F.least(p, last)))))
-    windows = near.select("doc_id", "tid", "item_id", "m", "ifp", "parts", "sh", F.explode(starts).alias("s"))
-    windows = windows.select("doc_id", "tid", "item_id", "s", "ifp", "parts", F.slice("sh", F.col("s") + 1, F.col("m")).alias("wsh"))
+    windows = near.select("doc_id", "tid", "iid", "m", "ifp", "parts", "sh", F.explode(starts).alias("s"))
+    windows = windows.select("doc_id", "tid", "iid", "s", "ifp", "parts", F.slice("sh", F.col("s") + 1, F.col("m")).alias("wsh"))
 
-    printed = windows.select("doc_id", "tid", "item_id", "s", "ifp", "parts", "wsh", _simhash("wsh").alias("fp"))
+    printed = windows.select("doc_id", "tid", "iid", "s", "ifp", "parts", "wsh", _simhash("wsh").alias("fp"))
 
     # The index: every block of a window's fingerprint meets the item's blocks within `most` bits.
     flips = [0, *(sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(width), k))]
-    probes = marks.select("item_id", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("ifp"), b).alias("own")) for b in range(BLOCKS)))).alias("x"))
-    probes = probes.select("item_id", "x.block", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: f.bitwiseXOR(F.col("x.own")))).alias("key"))
+    probes = marks.select("iid", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("ifp"), b).alias("own")) for b in range(BLOCKS)))).alias("x"))
+    probes = probes.select("iid", "x.block", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: f.bitwiseXOR(F.col("x.own")))).alias("key"))
     keyed = printed.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)))).alias("x")).select("*", "x.block", "x.key").drop("x")
-    met = keyed.join(_bounded(probes), ["item_id", "block", "key"])
+    met = keyed.join(_bounded(probes), ["iid", "block", "key"])
     first = F.coalesce(*(F.when(F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("ifp"), b))) <= most, F.lit(b)) for b in range(BLOCKS)))
     met = met.where((F.col("block") == first) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius))  # once, not once a block
 
     alone = F.log1p(n_items)
     shares = F.transform("parts", lambda x: F.struct((F.size("wsh") - F.size(F.array_remove("wsh", x.h))).alias("cw"), x.c.alias("c"), x.weight.alias("weight")))
-    met = met.select("doc_id", "tid", "item_id", "s", F.size("wsh").alias("n"), shares.alias("shares"))
+    met = met.select("doc_id", "tid", "iid", "s", F.size("wsh").alias("n"), shares.alias("shares"))
 
     def total(f) -> Column:
         return F.aggregate("shares", F.lit(0.0), lambda a, x: a + f(x))
 
     both = total(lambda x: x.weight * F.least(x.cw, x.c))
     either = total(lambda x: x.weight * F.greatest(x.cw, x.c)) + alone * (F.col("n") - F.aggregate("shares", F.lit(0), lambda a, x: a + x.cw))
-    found = met.select("doc_id", "tid", "item_id", "s", "n", F.round(both / either, 12).alias("similarity")).where(F.col("similarity") >= similarity)
-    best = found.groupBy("doc_id", "tid", "item_id").agg(F.max(F.struct("similarity", -F.col("s"), "n")).alias("b"))
+    found = met.select("doc_id", "tid", "iid", "s", "n", F.round(both / either, 12).alias("similarity")).where(F.col("similarity") >= similarity)
+    best = found.groupBy("doc_id", "tid", "iid").agg(F.max(F.struct("similarity", -F.col("s"), "n")).alias("b"))
+    best = best.join(_bounded(marks.select("iid", "item_id")), "iid")
     return best.select("doc_id", "tid", "item_id", "b.similarity", (-F.col("b.col2")).cast("int").alias("start_word"), (F.col("b.n") + SHINGLE - 1).alias("n_words"))
 
 
