@@ -32,10 +32,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shingles(words: Column) -> Column:
-    """Hashes of each SHINGLE consecutive words; fewer words have none."""
+def _shingles(words: Column, size: int = SHINGLE) -> Column:
+    """Hashes of each `size` consecutive words; fewer words have none."""
     n = F.size(words)
-    return F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _simhash(shingles: str) -> Column:
@@ -53,6 +53,18 @@ def _block(fp: Column, b: int) -> Column:
     return F.shiftrightunsigned(fp, 64 // BLOCKS * b).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1)).cast("int")
 
 
+def _short(base: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The leaks of items (iid, item_id, w) shorter than a shingle: an item is one shingle, so that its windows have a similarity of 1 or 0. None without items."""
+    own = items.select("iid", "item_id", F.size("w").alias("n_words"), F.xxhash64("w").alias("h"))
+    out = None
+    for n in sorted(r.n_words for r in own.select("n_words").distinct().collect()):
+        grams = base.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.posexplode(_shingles(_words(F.col("text")), n)).alias("p", "h"))
+        met = grams.join(_bounded(own.where(F.col("n_words") == n)), "h").groupBy("doc_id", "tid", "iid").agg(F.first("item_id").alias("item_id"), F.min("p").alias("start_word"))
+        met = met.select("doc_id", "tid", "item_id", F.lit(1.0).alias("similarity"), "start_word", F.lit(n).alias("n_words"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, tid, item_id, similarity, start_word, n_words): the best window of each document and item that reaches `similarity`.
 
@@ -60,13 +72,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     Words are runs of letters and digits in lower case. A window has as many words as the item (a shorter
     document is one window). The similarity is the weighted Jaccard of five-word shingles with their counts; a shingle weighs
-    ln(1 + items / items that have it), one of no item as one of a single item. Null texts and items of fewer
-    than five words match nothing; a null doc_id is kept; rows with one doc_id and text give one row. tid tells texts of one doc_id apart.
+    ln(1 + items / items that have it), one of no item as one of a single item. Null texts and items without
+    a word match nothing; an item of fewer than five words is one shingle, met by the same words in a document; a null doc_id is kept; rows with one doc_id and text give one row. tid tells texts of one doc_id apart.
     """
     width = 64 // BLOCKS
     most = radius // BLOCKS
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text").cast("string")).alias("w")).distinct()
-    items = cut(items.select(F.xxhash64("item_id", "w").alias("iid"), "item_id", _shingles(F.col("w")).alias("ish")).where(F.size("ish") > 0))
+    items = cut(items.select(F.xxhash64("item_id", "w").alias("iid"), "item_id", "w", _shingles(F.col("w")).alias("ish")).where(F.size("w") > 0))
+    short = items.where(F.size("ish") == 0)
+    items = items.where(F.size("ish") > 0).drop("w")
     n_items = F.lit(float(items.count()))
     by_shingle = items.select("iid", F.explode("ish").alias("h")).groupBy("iid", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
     weighed = by_shingle.join(by_shingle.groupBy("h").agg(F.log1p(n_items / F.count(F.lit(1))).alias("weight")), "h")
@@ -110,7 +124,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     found = met.select("doc_id", "tid", "iid", "s", "n", F.round(both / either, 12).alias("similarity")).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "tid", "iid").agg(F.max(F.struct("similarity", -F.col("s"), "n")).alias("b"))
     best = best.join(_bounded(marks.select("iid", "item_id")), "iid")
-    return best.select("doc_id", "tid", "item_id", "b.similarity", (-F.col("b.col2")).cast("int").alias("start_word"), (F.col("b.n") + SHINGLE - 1).alias("n_words"))
+    best = best.select("doc_id", "tid", "item_id", "b.similarity", (-F.col("b.col2")).cast("int").alias("start_word"), (F.col("b.n") + SHINGLE - 1).alias("n_words"))
+    brief = _short(base, short)
+    return best if brief is None else best.unionByName(brief)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
