@@ -1,15 +1,42 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and tables written between steps, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; where none is named (tests), in one of this machine."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(sc: SparkContext) -> str:
+    """The session's checkpoint folder. Where spark.checkpoint.dir names none, a local session (tests) gets one of this machine; a cluster gets an error."""
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeline-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeline-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back; smaller than checkpoint() for wide rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark.sparkContext)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what stored() has written for df; nothing that reads it may run afterwards."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
