@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, forget, stored  # noqa: F401
+
 #: A null doc_id sorts after every other id.
 NULL_ID = 2**63 - 1
 #: White space of all word rules: \x20 and \x09-\x0D, which is also what bytes.split() cuts at.
@@ -21,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
-
-    Where the session names none (tests), a folder of this machine is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeline-"))
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -62,13 +51,3 @@ def sliced(items: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         size += len(x)
     if start < len(items):
         yield start, len(items)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared checkpoint folder and read back; smaller than checkpoint() for wide rows."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeline-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -272,41 +272,73 @@ def test_toxicity_query(spark, docs):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 
 
-def test_baum_welch_and_forward():
-    m = lm.Model({b"a": 0, b"b": 1}, np.array([1, 1]), np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.5, 0.2], [0.3, 0.3], [0.2, 0.5]]))
-    seqs = [np.array(s) for s in ([0, 1, 2, 0], [1], [2, 2, 1, 0, 1], [0, 0])]
-    start, move, emit, like = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), []
-    for s in seqs:
-        total, a, b, c = 0, np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
-        for path in itertools.product(range(2), repeat=len(s)):
-            p = m.start[path[0]] * math.prod(m.emit[x, k] for x, k in zip(s, path, strict=True)) * math.prod(m.move[i, j] for i, j in itertools.pairwise(path))
-            total += p
-            a[path[0]] += p
-            for x, k in zip(s, path, strict=True):
-                c[x, k] += p
-            for i, j in itertools.pairwise(path):
-                b[i, j] += p
-        start, move, emit = start + a / total, move + b / total, emit + c / total
-        like.append(math.log(total))
-    assert all(np.allclose(x, y) for x, y in zip(lm.expected(m, seqs), (start, move, emit), strict=True))
+def plain_paths(m, s):
+    """Likelihood and Baum-Welch counts of one sequence over all paths of its states."""
+    k, n = len(m.start), m.emit.shape[1]
+    total, a, b, c = 0, np.zeros(k), np.zeros((k, k)), np.zeros((k, n))
+    for path in itertools.product(range(k), repeat=len(s)):
+        p = m.start[path[0]] * math.prod(m.emit[j, x] for x, j in zip(s, path, strict=True)) * math.prod(m.move[i, j] for i, j in itertools.pairwise(path))
+        total += p
+        a[path[0]] += p
+        for x, j in zip(s, path, strict=True):
+            c[j, x] += p
+        for i, j in itertools.pairwise(path):
+            b[i, j] += p
+    return math.log(total), a / total, b / total, c / total
+
+
+@pytest.mark.parametrize("block", [1 << 18, 4, 1])
+def test_baum_welch_and_forward(monkeypatch, block):
+    """Also with texts over BLOCK tokens, whose states are kept stretch by stretch."""
+    monkeypatch.setattr(lm, "BLOCK", block)
+    m = lm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]]))
+    seqs = [np.array(s) for s in ([0, 1, 2, 0], [1], [2, 2, 1, 0, 1, 1, 2, 0, 0], [0, 0])]
+    like, *want = (sum(x) for x in zip(*(plain_paths(m, s) for s in seqs), strict=True))
+    start, move, emit, found = lm.expected(m, seqs)
+    assert all(np.allclose(x, y) for x, y in zip((start, move, emit), want, strict=True)) and found == pytest.approx(like)
     for part, x, sizes in lm.blocks(seqs):
-        assert np.allclose(lm.forward(m, x, sizes)[0], [like[i] for i in part])
+        assert np.allclose(lm.forward(m, x, sizes), [plain_paths(m, seqs[i])[0] for i in part])
 
 
 def test_lm_query(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm, "CLASSES", 200)  # so that most words are rare
+    monkeypatch.setattr(lm, "SHARE", 1 / 400)  # so that most words are rare
+    models = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
     words = {d: [*(t or "").encode().lower().split(), b" "] for d, t in docs}
     count = Counter(w for d, ws in words.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
     n, v = sum(count.values()), len(count)
+    own = sorted((w for w in count if w != b" " and count[w] >= max(2, n / 400)), key=lambda w: (-count[w], w))
+    place = {w: i for i, w in enumerate([*own, b" "])}
+    tail = Counter(lm.ending(w) for w in count if w not in place)
+    mass = Counter()
+    for w in count:
+        if w not in place:
+            mass[lm.ending(w)] += count[w]
     rows = queries.op8_hmm(spark, SF).collect()
-    assert len(rows) == len(docs)
+    (m, likes), = models
+    assert len(rows) == len(docs) and likes == sorted(likes) and len(likes) > 1
+    assert np.allclose([m.start.sum(), *m.move.sum(axis=1), *m.emit.sum(axis=1)], 1)
     for r in rows:
         w = words[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
-        assert r.score < 0
+    for r in rows[:40]:  # the whole score by a plain forward recursion
+        a, score = m.start, 0.0
+        for i, w in enumerate(words[r.doc_id]):
+            e = lm.ending(w)
+            a = (a if not i else a @ m.move) * m.emit[:, place.get(w, len(place) + e)]
+            score += math.log10(a.sum()) + (0 if w in place else math.log10((count[w] + 1) / (mass[e] + tail[e] + 1)))
+            a = a / a.sum()
+        assert r.score == pytest.approx(score)
     held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > 1.02 * sum(r.base_score for r in held)
+    assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)
+
+
+def test_endings_agree(spark):
+    w = ["a", "ab", "abc", "abcd", "zü", "é", "漢字"]
+    got = [r.e for r in spark.createDataFrame([(x,) for x in w], "w string").select(lm._ending(lm.F.col("w")).alias("e")).collect()]
+    assert got == [lm.ending(x.encode()) for x in w]
 
 
 # --- packing
