@@ -264,6 +264,31 @@ def test_toxicity_finds_the_sentence():
     assert all((m.score(t, scores) >= 0.7) == bool(y) for t, y in zip(texts[300:], labels[300:], strict=True))
     top = max(m.sentences(texts[301]), key=lambda x: x[1])
     assert "you" in top[0] and m.score("", scores) == 0
+    for t, y in zip(texts[300:], labels[300:], strict=True):
+        if y:
+            assert [t[a : a + n] for a, n in m.offending(t, scores)] == [x for x in re.split(r"[.!?\n]+", t) if "you" in x]
+
+
+def test_noisy_or_by_hand():
+    w = np.zeros(1 << toxicity.BITS, np.float32)
+    for f in toxicity.features("bad"):
+        w[f] += 0.5
+    m = toxicity.Model(w, -2.0, 0.3)
+    n = sum(w[f] for f in toxicity.features("bad"))
+    p = [1 / (1 + math.exp(-(-2 + n * k))) for k in (0, 1, 2)]
+    joint = 1 - math.prod(1 - x for x in p)
+    assert m.score("good. a bad day!\n bad bad", m.scorer()) == pytest.approx(1 / (1 + math.exp(-(math.log(joint / (1 - joint)) + 0.3))))
+
+
+def test_toxicity_held_out(spark):
+    """Labels are noisy: some texts with none of the words that the others have are labelled toxic."""
+    sf = "/root/testdata/sf0.1"
+    label = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    rows = [r for r in queries.op9_toxicity(spark, sf).collect() if r.held_out and r.doc_id in label]
+    found = Counter((label[r.doc_id], r.predicted) for r in rows)
+    assert found[1, 1] >= 0.9 * (found[1, 1] + found[1, 0]) and found[0, 1] <= 0.03 * (found[0, 0] + found[0, 1])
+    text = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    assert all(bool(r.offending) == bool(r.predicted) and all(text[r.doc_id][x.start : x.start + x.length].strip() for x in r.offending) for r in rows)
 
 
 def test_toxicity_query(spark, docs):
