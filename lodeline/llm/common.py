@@ -25,10 +25,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def arrow_schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+#: Bytes and rows up to which a table is broadcast, once both have been counted.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1_000_000
 
-    return to_arrow_schema(df.schema)
+
+def bounded(df: DataFrame, width: int = 64) -> DataFrame:
+    """df, to be broadcast if its rows, `width` bytes each or so, are few enough by count; else as it is, so that joins shuffle."""
+    most = min(BROADCAST_ROWS, BROADCAST_BYTES // width)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def blobs(batch: pa.RecordBatch, name: str) -> list[bytes]:

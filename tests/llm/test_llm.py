@@ -386,6 +386,65 @@ def test_packing(spark, docs):
     assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in itertools.pairwise(spans))
 
 
+def plain_best_fit(lengths, sizes, overhead):
+    """Bins as lists of places, by looking at every open bin."""
+    rest, bins = sum(lengths), []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = lengths[i]
+        rest -= n
+        fitting = [b for b in bins if b["room"] >= n]
+        if fitting:
+            b = min(fitting, key=lambda b: (b["room"], b["no"]))
+        else:
+            room = min((c for c in sizes if c >= n), key=lambda c: ((c + overhead) / min(c, n + rest), -c))
+            b = {"room": room, "no": len(bins), "own": []}
+            bins.append(b)
+        b["own"].append(i)
+        b["room"] -= n
+    return [(b["own"], min(c for c in sizes if c >= sum(lengths[i] for i in b["own"]))) for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_against_looking_at_every_bin(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 64) for _ in range(200)]
+    bins, offset, sizes = packing.best_fit(np.array(lengths), (16, 32, 64), 4)
+    want = plain_best_fit(lengths, (16, 32, 64), 4)
+    assert sizes.tolist() == [c for _, c in want]
+    for k, (own, _) in enumerate(want):
+        assert sorted(own) == np.flatnonzero(bins == k).tolist() and [int(offset[i]) for i in own] == [sum(lengths[j] for j in own[:x]) for x in range(len(own))]
+
+
+def test_packed_texts(spark, docs):
+    """Whole texts come back, sequences hold what their size says, and neither the order nor the files of the rows matter."""
+    d = table(spark, "documents")
+    small = {"capacities": (64, 256), "overhead": 8, "group_tokens": 5000}
+    rows = packing.packed_documents(d, **small).collect()
+    back: dict = {}
+    for r in sorted(rows, key=lambda r: r.piece):
+        back[r.doc_id] = back.get(r.doc_id, "") + r.text
+        assert len(r.text.split()) + r.ends == r.length
+    assert back == {i: t or "" for i, t in docs}
+    key = lambda rows: sorted((r.doc_id, r.piece, r.bin_id, r.bin_offset, r.bin_capacity) for r in rows)
+    assert key(packing.packed_documents(d.repartition(7, "source").orderBy("n_chars"), **small).collect()) == key(rows)
+    for r in packing.sequences(packing.packed_documents(d, **small)).collect():
+        assert len(r.sequence.split()) == r.n_tokens <= r.bin_capacity
+
+
+def test_packing_spreads_repeated_rows(spark):
+    rows = packing.packed_documents(frame(spark, [(1, "a b c", "en")] * 300), capacities=(8, 16), group_tokens=100).collect()
+    assert len(rows) == 300 and len({r.bin_id >> 32 for r in rows}) > 6
+    assert Counter(r.bin_id for r in rows).most_common(1)[0][1] <= 4
+
+
+def test_pieces():
+    text = b"  a b\tc \n d e f "
+    for most in (1, 2, 3, 4, 7, 8):
+        p = packing.pieces(text, most)
+        assert b"".join(x for *_, x in p) == text and sum(n for _, n, _ in p) == 7 and all(n <= most for _, n, _ in p) and [a for a, *_ in p] == list(range(0, 7, most))
+    assert packing.pieces(b"", 1) == [(0, 1, b"")] and packing.pieces(b" ", 5) == [(0, 1, b" ")]
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offset, sizes = packing.best_fit(np.array([70, 60, 35, 28]), (100,), 0)
     assert bins.tolist() == [0, 1, 1, 0] and offset.tolist() == [0, 0, 60, 70] and sizes.tolist() == [100, 100]
