@@ -1,14 +1,16 @@
 """Suffix-array dedup on UTF-8 bytes.
 
-Byte strings that recur across documents are brought together by minimiser (windows.py), and each shard of
-them is decided by a suffix array: Larsson-Sadakane refinement sorts positions by 4, 8, 16, 32
-and at last 50 bytes and touches only groups that are still tied; Kasai's common prefixes, taken
-over all strings in step, tell which neighbours share 50 bytes. A shard whose one minimiser exceeds an array's size is
-cut into several arrays, merged by binary search over their sorted distinct strings.
+Stretches of text that may recur across documents are found by minimiser (windows.py). Each task sorts those of its own texts by a suffix array
+and settles what they have in common; what is left goes to shards, which hold all strings around the same minimisers. There each 2 MB
+get a suffix array, and the arrays are merged by binary search over their sorted distinct strings. Larsson-Sadakane refinement sorts
+positions by ever longer prefixes, up to 50 bytes, and touches only groups that are still tied; Kasai's common prefixes, taken
+over all strings in step, tell which neighbours share 50 bytes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,20 +19,29 @@ from pyspark.sql import functions as F
 from .windows import WINDOW, Kind, repeated
 
 #: Bytes in a gram of the minimiser.
-GRAM = 16
+GRAM = 24
 #: Bits of a position in one suffix array: rank, next rank and position share a 64-bit sort key.
 POSITION = 21
 MOST = (1 << POSITION) - 2
+#: Positions that follow one another in a lane of the common prefixes.
+LANE = 256
 
 
-def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of text (uint8, at most MOST) sorted by their first `depth` bytes, and the group rank of each."""
+def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of text (uint8, at most MOST) sorted by their first `depth` bytes, the group rank of each, and whether it was tied before the last refinement."""
     n = len(text)
     assert n <= MOST
-    t = np.zeros(n + 4, np.uint64)
-    t[:n] = text
     bits, low = np.uint64(POSITION), np.uint64((1 << POSITION) - 1)
-    key = (t[:n] << np.uint64(24)) | (t[1 : n + 1] << np.uint64(16)) | (t[2 : n + 2] << np.uint64(8)) | t[3 : n + 3]
+    # As many characters as fit beside a position, in the bits that this text's alphabet takes; 0 is past the end.
+    there = np.bincount(text, minlength=256) > 0
+    code = (np.cumsum(there) * there).astype(np.uint64)
+    width = max(1, int(there.sum()).bit_length())
+    known = min((64 - POSITION) // width, depth)
+    t = np.zeros(n + known, np.uint64)
+    t[:n] = code[text]
+    key = np.zeros(n, np.uint64)
+    for j in range(known):
+        key = (key << np.uint64(width)) | t[j : n + j]
     packed = np.sort((key << bits) | np.arange(n, dtype=np.uint64))
     sa = (packed & low).astype(np.int64)
     value = packed >> bits
@@ -39,10 +50,10 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
     rank = np.zeros(n + depth, np.int32)  # past the end: 0; others from 1
     rank[sa] = np.repeat(start, size) + 1
     tied = np.flatnonzero(np.repeat(size > 1, size))
-    known = 4
+    last = sa[tied]
     while known < depth and len(tied):
         step = min(known, depth - known)
-        s = sa[tied]
+        s = last = sa[tied]
         packed = np.sort(((rank[s] - 1).astype(np.uint64) << np.uint64(2 * POSITION)) | (rank[s + step].astype(np.uint64) << bits) | s.astype(np.uint64))
         s = (packed & low).astype(np.int64)
         value = packed >> bits
@@ -52,26 +63,33 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
         rank[s] = np.repeat(tied[first], size) + 1
         tied = tied[np.repeat(size > 1, size)]
         known += step
-    return sa, rank[:n]
+    close = np.zeros(n, bool)
+    close[last if known >= depth else sa[tied]] = True
+    return sa, rank[:n], close
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, count: np.ndarray, most: int = WINDOW) -> np.ndarray:
-    """Kasai: the common prefix, up to `most`, of each position in order with the one before it.
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = WINDOW) -> np.ndarray:
+    """Kasai: the common prefix, up to `most`, of each position in order (sorted suffixes, not all of them) with the one before it.
 
-    order: the window starts, sorted. first, count: of each string, its first window start and how many follow one another.
-    All strings take their t-th start in step; each begins with its last prefix less one where the suffix after
-    its last neighbour is a window start that still precedes it.
+    Positions that follow one another in the text make a lane, and all lanes advance in step; each position begins with the last one's prefix less
+    one where the suffix after that one's neighbour is in order too and still precedes it.
     """
     n = len(text)
     place = np.full(n + 1, -1, np.int64)
     place[order] = np.arange(len(order))
     lcp = np.zeros(len(order), np.int64)
-    lanes = np.argsort(-count, kind="stable")
-    at, left = first[lanes], count[lanes]
+    at = np.sort(order)
+    new = np.r_[True, at[1:] != at[:-1] + 1] if len(at) else np.zeros(0, bool)
+    run = np.flatnonzero(new)
+    since = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+    begin = np.flatnonzero(since % LANE == 0)
+    size = np.diff(np.r_[begin, len(at)])
+    lanes = np.argsort(-size, kind="stable")
+    first, left = at[begin][lanes], size[lanes]
     h, before = np.zeros(len(lanes), np.int64), np.full(len(lanes), -1, np.int64)
     for t in range(int(left[0]) if len(left) else 0):
         live = int(np.searchsorted(-left, -t, "left"))
-        i = at[:live] + t
+        i = first[:live] + t
         p = place[i]
         j = np.where(p > 0, order[p - 1], -1)
         follow = place[before[:live] + 1]
@@ -79,7 +97,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, coun
         g = np.where(ok & (j >= 0), np.maximum(h[:live] - 1, 0), 0)
         open_ = np.flatnonzero((j >= 0) & (g < most))
         while len(open_):
-            same = text[i[open_] + g[open_]] == text[j[open_] + g[open_]]
+            a, b = i[open_] + g[open_], j[open_] + g[open_]
+            same = (a < n) & (b < n)
+            same[same] = text[a[same]] == text[b[same]]
             open_ = open_[same]
             g[open_] += 1
             open_ = open_[g[open_] < most]
@@ -88,73 +108,121 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, coun
     return lcp
 
 
-def _shard(strings: list[bytes], docs: np.ndarray):
-    """Of one suffix array: sorted window starts, group of each, group leaders' bytes, least document of each group."""
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    size = np.array([len(x) for x in strings], np.int64)
-    first, count = np.cumsum(size) - size, size - WINDOW + 1
+@dataclass
+class Shard:
+    """One suffix array: the sorted window starts, the group of each, where groups begin, the least document of each group, and each position's piece."""
+
+    order: np.ndarray
+    group: np.ndarray
+    heads: np.ndarray
+    least: np.ndarray
+    owner: np.ndarray
+
+
+def shard(text: np.ndarray, size: np.ndarray, docs: np.ndarray) -> Shard:
+    """Of text, which is pieces of the given sizes and documents one after the other."""
+    first, count = np.cumsum(size) - size, np.maximum(size - WINDOW + 1, 0)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    owner = np.zeros(len(text), np.int64)
-    owner[start] = np.repeat(np.arange(len(strings)), count)
+    owner = np.zeros(len(text), np.int32)
+    owner[start] = np.repeat(np.arange(len(size)), count)
     window = np.zeros(len(text), bool)
     window[start] = True
-    sa, _ = suffix_array(text)
+    sa, _, close = suffix_array(text)
     order = sa[window[sa]]
-    new = common_prefixes(text, order, first, count) < WINDOW
-    new[0] = True
+    new = np.ones(len(order), bool)
+    among = np.flatnonzero(close[order])
+    new[among] = common_prefixes(text, order[among]) < WINDOW
     heads = np.flatnonzero(new)
-    least = np.minimum.reduceat(docs[owner[order]], heads)
-    return text, start, order, np.cumsum(new) - 1, heads, least, owner
+    least = np.minimum.reduceat(docs[owner[order]], heads) if len(heads) else docs[:0]
+    return Shard(order, np.cumsum(new) - 1, heads, least, owner)
 
 
-def _bytes_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, WINDOW)[at]).view(f"S{WINDOW}").ravel()
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, so that comparing numbers compares them; zeros past the end."""
+    t = np.zeros(len(text) + WINDOW + 14, np.uint64)
+    t[: len(text)] = text
+    out = t[: len(text) + WINDOW + 7].copy()
+    for k in range(1, 8):
+        out = (out << np.uint64(8)) | t[k : len(out) + k]
+    return out
 
 
-def _pieces(strings: list[bytes], docs: np.ndarray) -> list[tuple[int, bytes, int]]:
-    """(string, part of it, first window): a string longer than an array is cut, the parts overlapping."""
-    out = []
-    for i, x in enumerate(strings):
-        for a in range(0, max(1, len(x) - WINDOW + 1), MOST // 2):
-            out.append((i, x[a : a + MOST // 2 + WINDOW - 1], a))
-    return out
+def search(words: np.ndarray, sorted_at: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of the windows at `at` among those at sorted_at: where each belongs, and whether it stands there. Eight bytes at a time."""
+    whole, rest = divmod(WINDOW, 8)
+    head, own = words[sorted_at], words[at]
+    lo, hi = np.searchsorted(head, own, "left"), np.searchsorted(head, own, "right")
+    live = np.flatnonzero(lo < hi)
+    for c in range(1, whole + (rest > 0)):
+        if not len(live):
+            break
+        mask = np.uint64(2**64 - 1) if c < whole else np.uint64((2**64 - 1) << (64 - 8 * rest) & (2**64 - 1))
+        own = words[at[live] + 8 * c] & mask
+        bounds = []
+        for right in (False, True):
+            a, b = lo[live].copy(), hi[live].copy()
+            open_ = np.flatnonzero(a < b)
+            while len(open_):
+                mid = (a[open_] + b[open_]) >> 1
+                v = words[sorted_at[mid] + 8 * c] & mask
+                up = v <= own[open_] if right else v < own[open_]
+                a[open_[up]] = mid[up] + 1
+                b[open_[~up]] = mid[~up]
+                open_ = open_[a[open_] < b[open_]]
+            bounds.append(a)
+        lo[live], hi[live] = bounds
+        live = live[bounds[0] < bounds[1]]
+    met = np.zeros(len(at), bool)
+    met[live] = True
+    return lo, met
+
+
+def merge(words: np.ndarray, shards: list[tuple[int, Shard]]) -> None:
+    """Gives each group of the shards (offset in the text, shard) the least document that any of them has for its window."""
+    places, entry, best, own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for base, x in shards:
+        at = base + x.order[x.heads]
+        where, met = search(words, places, at) if len(places) else (np.zeros(len(at), np.int64), np.zeros(len(at), bool))
+        mine = np.empty(len(at), np.int64)
+        mine[met] = entry[where[met]]
+        best[mine[met]] = np.minimum(best[mine[met]], x.least[met])
+        mine[~met] = len(best) + np.arange((~met).sum())
+        best = np.r_[best, x.least[~met]]
+        places, entry = np.insert(places, where[~met], at[~met]), np.insert(entry, where[~met], mine[~met])
+        own.append(mine)
+    for (_, x), mine in zip(shards, own, strict=True):
+        x.least = best[mine]
 
 
 def solve(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    pieces = _pieces(strings, docs)
-    arrays, lo = [], 0
+    """For each string the offsets of its windows that a string of a smaller document has."""
+    step = MOST // 2  # a string longer than this is cut, the pieces overlapping
+    pieces = [(i, a, x[a : a + step + WINDOW - 1]) for i, x in enumerate(strings) for a in range(0, max(1, len(x) - WINDOW + 1), step)]
+    if not pieces:
+        return []
+    size = np.array([len(p[2]) for p in pieces], np.int64)
+    string, offset = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
+    text = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    begin = np.r_[0, np.cumsum(size)]
+    shards, lo = [], 0
     while lo < len(pieces):
-        hi, size = lo, 0
-        while hi < len(pieces) and (hi == lo or size + len(pieces[hi][1]) <= MOST):
-            size += len(pieces[hi][1])
-            hi += 1
-        arrays.append((lo, hi, _shard([p[1] for p in pieces[lo:hi]], docs[[p[0] for p in pieces[lo:hi]]])))
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + MOST, "right")) - 1)
+        shards.append((lo, hi, shard(text[begin[lo] : begin[hi]], size[lo:hi], docs[string[lo:hi]])))
         lo = hi
-    if len(arrays) > 1:  # merged by binary search
-        keys, best = np.zeros(0, f"S{WINDOW}"), np.zeros(0, np.int64)
-        for _, _, (text, _, order, _, heads, least, _) in arrays:
-            own = _bytes_at(text, order[heads])
-            at = np.searchsorted(keys, own)
-            met = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own) if len(keys) else np.zeros(len(own), bool)
-            np.minimum.at(best, at[met], least[met])
-            keys, best = np.insert(keys, at[~met], own[~met]), np.insert(best, at[~met], least[~met])
-        for _, _, (text, _, order, _, heads, least, _) in arrays:
-            least[:] = best[np.searchsorted(keys, _bytes_at(text, order[heads]))]
-    none = np.zeros(0, np.int64)
-    out: list[np.ndarray] = [none] * len(strings)
-    for lo, hi, (text, start, order, group, _, least, owner) in arrays:
-        own = np.array([p[0] for p in pieces[lo:hi]])
-        hit = np.zeros(len(text), bool)
-        hit[order] = least[group] < docs[own][owner[order]]
-        at = np.flatnonzero(hit)
-        string = owner[at]
-        base = np.cumsum([0, *(len(p[1]) for p in pieces[lo : hi - 1])])
-        cuts = np.flatnonzero(np.diff(string, prepend=-1))
-        at += np.array([p[2] for p in pieces[lo:hi]])[string] - base[string]
-        for k, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=False):
-            i = own[string[k]]
-            out[i] = np.concatenate([out[i], at[k:e]]) if len(out[i]) else at[k:e]
-    return out
+    if len(shards) > 1:
+        merge(words_at(text), [(int(begin[lo]), x) for lo, _, x in shards])
+    found, place = [], []
+    for lo, hi, x in shards:
+        owner = x.owner[x.order] + lo
+        hit = x.least[x.group] < docs[string[owner]]
+        owner = owner[hit]
+        found.append(string[owner])
+        place.append(x.order[hit] + begin[lo] - begin[owner] + offset[owner])
+    found, place = np.concatenate(found), np.concatenate(place)
+    order = np.lexsort((place, found))
+    found, place = found[order], place[order]
+    cuts = np.searchsorted(found, np.arange(len(strings) + 1))
+    return [place[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
 def _split(texts: list[bytes]):
@@ -163,7 +231,7 @@ def _split(texts: list[bytes]):
     return np.frombuffer(flat, np.uint8).astype(np.uint64), np.array([len(x) for x in texts], np.int64), flat, at[:-1], at[1:]
 
 
-BYTES = Kind(_split, GRAM, len, solve)
+BYTES = Kind(_split, GRAM, len, solve, whole=False)
 
 
 def _apply(texts: list[bytes], spans: list[np.ndarray]) -> list[pa.Array]:

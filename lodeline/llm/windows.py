@@ -4,12 +4,15 @@ A window is WINDOW consecutive units of one document; its minimiser is the small
 Equal windows have equal minimisers, so they meet wherever windows are dealt by minimiser, and
 consecutive windows with one minimiser travel as one packed string.
 
-1. Every document gives its minimisers. Those of one document only can't belong to a shared window; they end here.
-2. Documents are joined with their shared minimisers and give the packed strings around them. Equal
-   strings of a task meet before the shuffle: all but the smallest document's are decided at once, so that a
-   passage in a third of all rows travels once a batch.
-3. A bucket decides its windows exactly (the caller's solver) and gives back spans.
+1. Every document gives its minimisers. One that two documents of a task hold is known to be shared at once; others
+   meet in buckets. Those of one document only can't belong to a shared window; they end here.
+2. Documents are joined with their shared minimisers and give the packed strings around them. Windows that a task holds
+   twice are decided before the shuffle, so that a passage in a third of all rows travels once a task.
+3. A bucket decides its windows exactly (the caller's solver) and gives back spans. A minimiser of very many documents would
+   make one bucket large, as the strings around it differ where the passage ends: its windows are dealt by their own hashes of 128 bits.
 4. Spans are joined with the documents and taken out.
+
+Buckets are counted from the bytes of text, one a task.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, blobs, shuffle_partitions, sliced
+from .common import NULL_ID, blobs, shuffle_partitions, sliced, stored
 
 WINDOW = 50
 #: Bytes of text worked on at once; the arrays over them take some 60 times as much.
 STEP = 1 << 20
-#: Bytes of packed strings that a bucket's solver gets at once, unless one minimiser has more.
-SHARD = 1 << 19
+#: Bytes of text for each bucket.
+BUCKET = 16 << 20
+#: Documents from which on a minimiser's windows are dealt by themselves, at least; and the bytes of text for each such document,
+#: so that at most 2**20 minimisers are told to all tasks (there are 8 bytes or more for each that a document has).
+HOT, HOT_SHARE = 4096, 1 << 23
 #: Bytes of packed strings that a task holds back before it writes them.
 HOLD = 24 << 20
 
@@ -73,6 +79,8 @@ class Kind:
     units: Callable[[bytes], int]
     #: (strings, document of each) -> for each string the offsets of its windows that a smaller document has.
     solve: Callable[[list[bytes], np.ndarray], list[np.ndarray]]
+    #: Whether equal strings as a whole are met first, before they are solved; else the solver sees all.
+    whole: bool = True
 
 
 def super_kmers(units: np.ndarray, sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +141,11 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], (reach - rank)[stop]
 
 
+def window_hashes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the window that starts at each unit."""
+    return gram_hashes(units, WINDOW), gram_hashes(units * _B ^ _C, WINDOW)
+
+
 def _span_rows(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """(did, tid, spans) of documents given as rows of ids (did, tid)."""
     doc, start, end = merged(doc, start, end)
@@ -146,7 +159,7 @@ def _routed(rows: list[tuple[int, int, bytes]], parts: int) -> Iterator[tuple[in
     if not rows:
         return
     ids = np.array([x[:2] for x in rows], np.int64)
-    for p, r in _grouped((mix(ids[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)):
+    for p, r in _grouped((mix((ids[:, 0] ^ (ids[:, 1] & SLOTS)).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)):
         data = [rows[i][2] for i in r.tolist()]
         yield p, _packed(ids=ids[r], size=np.array([len(x) for x in data], np.int64), data=b"".join(data))
 
@@ -166,86 +179,166 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part]), pa.array([b"".join(held.pop(k)) for k in part], pa.binary())], ["did", "tid", "data"])
 
 
+def _by_document(key: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(did, slot, keys) for each row of ids that doc names."""
+    order = np.argsort(doc, kind="stable")
+    key, doc = key[order], doc[order]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    return [(int(ids[doc[s], 0]), int(ids[doc[s], 1]) & SLOTS, key[s:e].tobytes()) for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False)]
+
+
 def _anchors(kind: Kind, parts: int):
+    """Kind 0: for a bucket, the minimisers that one document of the task has, with it, and those that several have. Kind 1: the latter told to these documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        ids: list[tuple[int, int]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            key, doc, table = np.concatenate(keys), np.concatenate(docs), np.array(ids, np.int64).reshape(-1, 2)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
+            key, doc = key[new], doc[new]
+            rows: list[tuple] = []
+            if len(key):
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                size = np.diff(np.r_[first, len(key)])
+                did = table[doc, 0]
+                several = np.minimum.reduceat(did, first) != np.maximum.reduceat(did, first)
+                many = np.repeat(several, size)
+                rows += [(1, p, x) for p, x in _routed(_by_document(key[many], doc[many], table), parts)]
+                key_s, size_s = key[first[several]], size[several].astype(np.uint32)
+                key_1, doc_1 = key[~many], doc[~many]
+                order = np.argsort(doc_1, kind="stable")
+                key_1, doc_1 = key_1[order], doc_1[order]
+                alone = dict(_grouped((key_1 >> np.uint64(32)).astype(np.int64)))
+                shared = dict(_grouped((key_s >> np.uint64(32)).astype(np.int64)))
+                none = np.zeros(0, np.int64)
+                for p in sorted({*alone, *shared}):
+                    r, q = alone.get(p, none), shared.get(p, none)
+                    own, n = np.unique(doc_1[r], return_counts=True)
+                    rows.append((0, p, _packed(keys=key_1[r].astype(np.uint32), n=n.astype(np.uint32), dids=table[own, 0], slots=(table[own, 1] & SLOTS).astype(np.uint16), several=key_s[q].astype(np.uint32), size=size_s[q])))
+            for x in (keys, docs, ids):
+                x.clear()
+            held = 0
+            return _pack_rows(rows)
+
         for b in batches:
-            texts, dids = blobs(b, "text"), b.column("did").to_numpy()
-            keys, docs = [], []
+            texts, dids, tids = blobs(b, "text"), b.column("did").to_pylist(), b.column("tid").to_pylist()
             for lo, hi in sliced(texts, STEP):
                 units, sizes, *_ = kind.split(texts[lo:hi])
                 text, _, _, value = super_kmers(units, sizes, kind.gram)
                 keys.append(_place(value, parts)[1])
-                docs.append(text + lo)
-            if not keys:
-                continue
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            rows = [(p, key[r].astype(np.uint32).tobytes(), _packed(n=np.unique(doc[r], return_counts=True)[1].astype(np.uint32), d=dids[np.unique(doc[r])])) for p, r in _grouped((key >> np.uint64(32)).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "docs"])
+                docs.append(text + len(ids))
+                ids += zip(dids[lo:hi], tids[lo:hi], strict=True)
+                held += 16 * len(text)
+                if held > HOLD:
+                    yield flush()
+        if ids:
+            yield flush()
 
     return run
 
 
-def _shared(parts: int):
+def _shared(parts: int, hot: int):
+    """Kind 1: the keys that two documents or more have, by document. Kind 3: keys of `hot` documents or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a task's buckets, the keys that two documents or more have, by document."""
-        keys, docs = [], []
+        keys, docs, ids, several, sizes, base = [], [], [], [], [], 0
         for b in batches:
-            for part, k, d in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("docs").to_pylist(), strict=True):
-                n, ids = _unpacked(d, np.uint32, np.int64)
-                keys.append((np.uint64(part) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64))
-                docs.append(np.repeat(ids, n))
+            told = []
+            for kind, part, pack in zip(b.column("kind").to_pylist(), b.column("part").to_pylist(), b.column("pack").to_pylist(), strict=True):
+                if kind:
+                    told.append((1, part, pack))
+                    continue
+                k, n, d, s, more, size = _unpacked(pack, np.uint32, np.uint32, np.int64, np.uint16, np.uint32, np.uint32)
+                over = np.uint64(part) << np.uint64(32)
+                keys.append(over | k.astype(np.uint64))
+                docs.append(np.repeat(np.arange(len(d)) + base, n))
+                base += len(d)
+                ids.append(np.stack([d, s.astype(np.int64)], axis=1))
+                several.append(over | more.astype(np.uint64))
+                sizes.append(size.astype(np.int64))
+            if told:
+                yield _pack_rows(told)
         if not keys:
             return
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        del keys, docs
-        order = np.argsort(key)
-        key, doc = key[order], doc[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        more = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        keep = np.repeat(more, np.diff(np.r_[first, len(key)]))
-        key, doc = key[keep], doc[keep]
-        order = np.argsort(doc, kind="stable")
-        key, doc = key[order], doc[order]
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        rows = [(int(doc[s]), 0, key[s:e].tobytes()) for s, e in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False)]
-        yield _pack_rows([(0, p, x) for p, x in _routed(rows, parts)])
+        key, doc, table = np.concatenate(keys), np.concatenate(docs), np.concatenate(ids)
+        more, size = np.concatenate(several), np.concatenate(sizes)
+        del keys, docs, ids, several, sizes
+        every, at = np.unique(np.r_[key, more], return_inverse=True)
+        did = table[doc, 0]
+        least, most = np.full(len(every), NULL_ID), np.full(len(every), np.iinfo(np.int64).min)
+        np.minimum.at(least, at[: len(key)], did)
+        np.maximum.at(most, at[: len(key)], did)
+        shared = least < most
+        shared[at[len(key) :]] = True
+        times = np.bincount(at, weights=np.r_[np.ones(len(key)), size], minlength=len(every))
+        keep = shared[at[: len(key)]]
+        yield _pack_rows([(1, p, x) for p, x in _routed(_by_document(key[keep], doc[keep], table), parts)])
+        if (often := every[times >= hot]).size:
+            yield _pack_rows([(3, 0, often.tobytes())])
 
     return run
 
 
-#: kind 0: packed strings for a bucket of minimisers; 1: spans for a bucket of documents.
+#: kind 0: for a bucket of minimisers; 1: for a bucket of documents; 2: windows for a bucket of their hashes; 3: keys for the driver.
 _PACKS = "kind int, part int, pack binary"
+#: A document's slot, the last bits of its text's hash: texts of one id lie apart.
+SLOTS = 0xFFFF
 
 
 def _pack_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "part", "pack"])
 
 
-def _cut_out(kind: Kind, parts: int):
-    """The packed strings around shared minimisers, equal ones met; and spans that are decided already."""
+def _hits(one: np.ndarray, two: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows given by two hashes and their document: which a smaller document has too, and which to keep for others (the smallest document's)."""
+    order = np.lexsort((did, two, one))
+    o, t, d = one[order], two[order], did[order]
+    first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (t[1:] != t[:-1])])
+    later = d > np.repeat(d[first], np.diff(np.r_[first, len(d)]))
+    return order[later], order[~later]
+
+
+def _cut_out(kind: Kind, parts: int, hot: np.ndarray):
+    """The packed strings around shared minimisers, and the windows of hot ones, but for what the task itself decides: those are spans already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[tuple[int, int]] = []
         seen: dict[bytes, int] = {}
         strings: list[bytes] = []
-        about: list[tuple[int, int, int, int, int]] = []  # document, first unit, windows, bucket, shard
-        gone: list[tuple[int, int, int]] = []
+        about: list[tuple[int, int, int, int]] = []  # row of ids, first unit, windows, bucket
+        gone: list[np.ndarray] = []  # (row of ids, first unit, end)
+        alone: list[tuple[np.ndarray, ...]] = []  # of windows: two hashes, row of ids, first unit
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             table = np.array(ids, np.int64).reshape(-1, 2)
             rows: list[tuple] = []
+            if alone:
+                one, two, row, at = (np.concatenate([x[i] for x in alone]) for i in range(4))
+                later, kept = _hits(one, two, table[row, 0])
+                gone.append(np.stack([row[later], at[later], at[later] + WINDOW], axis=1))
+                for p, r in _grouped((one[kept] % np.uint64(parts)).astype(np.int64)):
+                    r = kept[r]
+                    own, doc = np.unique(row[r], return_inverse=True)
+                    rows.append((2, p, _packed(ids=table[own], doc=doc.astype(np.uint32), one=one[r], two=two[r], at=at[r].astype(np.int64))))
             if gone:
-                g = np.array(gone, np.int64)
+                g = np.concatenate(gone)
                 rows += [(1, p, x) for p, x in _routed(list(_span_rows(table, g[:, 0], g[:, 1], g[:, 2])), parts)]
             if about:
                 a = np.array(about, np.int64)
                 for p, r in _grouped(a[:, 3]):
                     own, doc = np.unique(a[r, 0], return_inverse=True)
                     content = [strings[i] for i in r]
-                    rows.append((0, p, _packed(ids=table[own], doc=doc.astype(np.uint32), start=a[r, 1].astype(np.int32), windows=a[r, 2].astype(np.int32), shard=a[r, 4].astype(np.uint8), size=np.array([len(x) for x in content], np.int32), content=b"".join(content))))
-            for x in (ids, strings, about, gone):
+                    rows.append((0, p, _packed(ids=table[own], doc=doc.astype(np.uint32), start=a[r, 1], size=np.array([len(x) for x in content], np.int32), content=b"".join(content))))
+            for x in (ids, strings, about, gone, alone):
                 x.clear()
             seen.clear()
             held = 0
@@ -258,34 +351,52 @@ def _cut_out(kind: Kind, parts: int):
                 units, sizes, content, begin, end = kind.split(texts[lo:hi])
                 text, first, count, value = super_kmers(units, sizes, kind.gram)
                 part, key = _place(value, parts)
-                offset = np.cumsum(sizes) - sizes
+                offset, base = np.cumsum(sizes) - sizes, len(ids)
+                ids += zip(dids[lo:hi], tids[lo:hi], strict=True)
+                held += 100 * (hi - lo)
                 here, stop = np.searchsorted(text, np.arange(hi - lo)), np.searchsorted(text, np.arange(hi - lo), "right")
-                for t in range(hi - lo):
-                    if here[t] == stop[t]:
-                        continue
-                    rows = np.arange(here[t], stop[t])
-                    rows = rows[np.isin(key[rows], np.frombuffer(shared[lo + t], np.uint64))]
-                    if not len(rows):
-                        continue
-                    did, doc = dids[lo + t], len(ids)
-                    ids.append((did, tids[lo + t]))
+                wanted = np.zeros(len(text), bool)
+                for t in np.flatnonzero(stop > here).tolist():
+                    wanted[here[t] : stop[t]] = np.isin(key[here[t] : stop[t]], np.frombuffer(shared[lo + t], np.uint64))
+                if len(hot) and (often := wanted & np.isin(key, hot)).any():
+                    wanted &= ~often
+                    at = np.repeat(first[often] - (np.cumsum(count[often]) - count[often]), count[often]) + np.arange(count[often].sum())
+                    doc = np.repeat(text[often], count[often])
+                    one, two = window_hashes(units)
+                    alone.append((one[at], two[at], base + doc, at - offset[doc]))
+                    held += 64 * len(at)
+                rows = np.flatnonzero(wanted)
+                if not kind.whole and len(rows):
+                    first, count, hit, doc = _met(kind, content, begin, end, len(units), text[rows], first[rows], count[rows], np.array(dids[lo:hi], np.int64), offset)
+                    gone.append(np.stack([base + doc, hit, hit + WINDOW], axis=1))
+                    left = count > 0
+                    rows, first, count = rows[left], first[left], count[left]
+                    last = first + count + WINDOW - 2
+                    own = [content[s:e] for s, e in zip(begin[first].tolist(), end[last].tolist(), strict=True)]
+                    strings += own
+                    about += zip((base + text[rows]).tolist(), (first - offset[text[rows]]).tolist(), count.tolist(), part[rows].tolist(), strict=True)
+                    held += sum(map(len, own)) + 100 * len(own)
+                elif len(rows):
                     last = first[rows] + count[rows] + WINDOW - 2
-                    for s, e, u, n, p, sub in zip(begin[first[rows]].tolist(), end[last].tolist(), (first[rows] - offset[t]).tolist(), count[rows].tolist(), part[rows].tolist(), ((value[rows] >> np.uint64(32)) & np.uint64(255)).tolist(), strict=True):
-                        x = content[s:e]
+                    took = []
+                    for s, e, t, u, n, p in zip(begin[first[rows]].tolist(), end[last].tolist(), text[rows].tolist(), (first[rows] - offset[text[rows]]).tolist(), count[rows].tolist(), part[rows].tolist(), strict=True):
+                        x, doc = content[s:e], base + t
                         i = seen.get(x)
-                        if i is not None and (other := ids[about[i][0]][0]) != did:
-                            if did > other:
-                                gone.append((doc, u, u + n + WINDOW - 1))
+                        if i is not None and ids[about[i][0]][0] != dids[lo + t]:
+                            if dids[lo + t] > ids[about[i][0]][0]:
+                                took.append((doc, u, u + n + WINDOW - 1))
                                 continue
-                            d, v, m, *_ = about[i]
-                            gone.append((d, v, v + m + WINDOW - 1))
-                            about[i] = (doc, u, n, p, sub)
+                            d, v, m, _ = about[i]
+                            took.append((d, v, v + m + WINDOW - 1))
+                            about[i] = (doc, u, n, p)
                             continue
                         if i is None:
                             seen[x] = len(strings)
                         strings.append(x)
-                        about.append((doc, u, n, p, sub))
+                        about.append((doc, u, n, p))
                         held += len(x) + 100
+                    if took:
+                        gone.append(np.array(took, np.int64))
                 if held > HOLD:
                     yield from flush()
         yield from flush()
@@ -293,46 +404,80 @@ def _cut_out(kind: Kind, parts: int):
     return run
 
 
+def _met(kind: Kind, content: bytes, begin: np.ndarray, end: np.ndarray, n: int, text: np.ndarray, first: np.ndarray, count: np.ndarray, did: np.ndarray, offset: np.ndarray):
+    """What the solver says of the stretches of text that runs of windows make up: the runs cut to the windows that no smaller document of these texts has
+    (count 0: none), the others' starts in their texts, and their texts."""
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (first[1:] != first[:-1] + count[:-1])])
+    stop = np.r_[new[1:], len(first)] - 1
+    strings = [content[s:e] for s, e in zip(begin[first[new]].tolist(), end[first[stop] + count[stop] + WINDOW - 2].tolist(), strict=True)]
+    free = np.ones(n + 1, bool)
+    for at, hits in zip(first[new].tolist(), kind.solve(strings, did[text[new]]), strict=True):
+        free[at + hits] = False
+    hit = np.flatnonzero(~free)
+    doc = np.searchsorted(offset, hit, "right") - 1  # the last text that begins at or before; empty ones have no windows
+    places = np.flatnonzero(free)
+    lo, hi = np.searchsorted(places, first), np.searchsorted(places, first + count) - 1
+    left = hi >= lo
+    begins = places[np.minimum(lo, len(places) - 1)]
+    return begins, np.where(left, places[hi] - begins + 1, 0), hit - offset[doc], doc
+
+
 def _decide(kind: Kind, parts: int):
     """The spans of a task's buckets, packed for the buckets of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: list[tuple[int, bytes]] = []
+        packs: list[bytes] = []
+        alone: list[bytes] = []
         for b in batches:
             told = []
             for k, p, x in zip(b.column("kind").to_pylist(), b.column("part").to_pylist(), b.column("pack").to_pylist(), strict=True):
-                (told if k else packs).append((p, x))
+                if k == 1:
+                    told.append((1, p, x))
+                else:
+                    (alone if k else packs).append(x)
             if told:
-                yield _pack_rows([(1, p, x) for p, x in told])
-        packs.sort(key=lambda x: x[0])
-        i = 0
-        while i < len(packs):  # one bucket at a time
-            j = i
-            while j < len(packs) and packs[j][0] == packs[i][0]:
-                j += 1
-            rows = _bucket(kind, [x for _, x in packs[i:j]])
-            yield _pack_rows([(1, p, x) for p, x in _routed(rows, parts)])
-            i = j
+                yield _pack_rows(told)
+        for solve, own in ((_bucket, packs), (_windows, alone)):
+            if own:
+                yield _pack_rows([(1, p, x) for p, x in _routed(solve(kind, own), parts)])
 
     return run
 
 
+def _windows(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """(did, tid, spans) of windows given by their hashes."""
+    ids, parts, base = [], [], 0
+    for p in packs:
+        own, doc, one, two, at = _unpacked(p, np.int64, np.uint32, np.uint64, np.uint64, np.int64)
+        ids.append(own.reshape(-1, 2))
+        parts.append((doc.astype(np.int64) + base, one, two, at))
+        base += len(ids[-1])
+    table = np.concatenate(ids)
+    doc, one, two, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    later, _ = _hits(one, two, table[doc, 0])
+    return list(_span_rows(table, doc[later], at[later], at[later] + WINDOW))
+
+
 def _bucket(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
-    """(did, tid, spans) of one bucket. Equal strings are decided once: only the smallest document's is looked into."""
-    ids, docs, starts, shards, strings, base = [], [], [], [], [], 0
+    """(did, tid, spans) of one bucket. With kind.whole equal strings are decided once: only the smallest document's is looked into."""
+    ids, docs, starts, strings, base = [], [], [], [], 0
     for p in packs:
-        own, doc, start, _, shard, size, content = _unpacked(p, np.int64, np.uint32, np.int32, np.int32, np.uint8, np.int32, None)
+        own, doc, start, size, content = _unpacked(p, np.int64, np.uint32, np.int64, np.int32, None)
         ids.append(own.reshape(-1, 2))
         docs.append(doc.astype(np.int64) + base)
         base += len(ids[-1])
-        starts.append(start.astype(np.int64))
-        shards.append(shard)
+        starts.append(start)
         at = 0
         for n in size.tolist():
             strings.append(content[at : at + n])
             at += n
-    table, doc, start, shard = np.concatenate(ids), np.concatenate(docs), np.concatenate(starts), np.concatenate(shards)
+    table, doc, start = np.concatenate(ids), np.concatenate(docs), np.concatenate(starts)
     did = table[doc, 0]
+    if not kind.whole:
+        hits = kind.solve(strings, did)
+        size = np.array([len(h) for h in hits])
+        at = np.concatenate(hits) + np.repeat(start, size)
+        return list(_span_rows(table, np.repeat(doc, size), at, at + WINDOW))
     first: dict[bytes, int] = {}
     same = np.fromiter((first.setdefault(x, i) for i, x in enumerate(strings)), np.int64, len(strings))
     least = did.copy()
@@ -344,23 +489,12 @@ def _bucket(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
     lead: dict[int, list[int]] = {}
     for i in np.flatnonzero(did == least[same]).tolist():
         lead.setdefault(int(same[i]), []).append(i)
-    full = np.bincount(shard[kept], weights=[len(strings[i]) for i in kept.tolist()], minlength=256).astype(np.int64)
-    rows_of = np.split(kept[np.argsort(shard[kept], kind="stable")], np.cumsum(np.bincount(shard[kept], minlength=256))[:-1])
-    lo = 0
-    while lo < 256:
-        hi = lo + 1
-        while hi < 256 and full[lo:hi].sum() + full[hi] <= SHARD:
-            hi += 1
-        rows = np.concatenate(rows_of[lo:hi])
-        lo = hi
-        if not len(rows):
-            continue
-        for i, hits in zip(rows.tolist(), kind.solve([strings[i] for i in rows.tolist()], least[rows]), strict=True):
-            if len(hits):
-                for k in lead[i]:
-                    out_doc.append(np.full(len(hits), doc[k]))
-                    out_start.append(hits + start[k])
-                    out_end.append(hits + (start[k] + WINDOW))
+    for i, hits in zip(kept.tolist(), kind.solve([strings[i] for i in kept.tolist()], least[kept]), strict=True):
+        if len(hits):
+            for k in lead[i]:
+                out_doc.append(np.full(len(hits), doc[k]))
+                out_start.append(hits + start[k])
+                out_end.append(hits + (start[k] + WINDOW))
     return list(_span_rows(table, np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end)))
 
 
@@ -369,17 +503,23 @@ def repeated(docs: DataFrame, kind: Kind, apply: Callable, keep: list[str], sche
 
     The text is shuffled once, by document, for both joins.
     """
-    n = shuffle_partitions(docs.sparkSession)
-    own = [(F.when(F.col("did") != NULL_ID, F.col("did")) if c == "doc_id" and docs.schema[c].dataType == T.LongType() else F.col(f"own{i}")).alias(f"keep{i}") for i, c in enumerate(keep)]
-    # Without columns of its own the second join takes the same exchange of the text as the first.
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"own{i}") for i, c in enumerate(keep) if c != "doc_id" or docs.schema[c].dataType != T.LongType()))
-    found = base.select("did", "text").mapInArrow(_anchors(kind, n), "part int, keys binary, docs binary").repartition(n, "part").mapInArrow(_shared(n), _PACKS)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET))
+    own = [F.col(f"own{i}") if c != "doc_id" or docs.schema[c].dataType != T.LongType() else F.when(F.col("slot") % 2 == 0, F.col("did")) for i, c in enumerate(keep)]
+    own = [c.alias(f"keep{i}") for i, c in enumerate(own)]
+    # Without columns of its own the second join takes the same exchange of the text as the first; an id that was null is told by the hash's last bit.
+    tid = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), tid.alias("tid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"own{i}") for i, c in enumerate(keep) if c != "doc_id" or docs.schema[c].dataType != T.LongType()))
+    base = base.withColumn("slot", F.col("tid").bitwiseAND(F.lit(SLOTS)))
+    found = base.select("did", "tid", "text").mapInArrow(_anchors(kind, n), _PACKS).repartitionById(n, "part")
+    found = stored(found.mapInArrow(_shared(n, max(HOT, size // HOT_SHARE)), _PACKS))
+    hot = np.sort(np.frombuffer(b"".join(r.pack for r in found.where("kind = 3").select("pack").collect()), np.uint64))
     gathered = "did long, tid long, data binary"
-    by_doc = found.repartition(n, "part").mapInArrow(_gathered, gathered).select("did", F.col("data").alias("keys"))
-    near = base.join(by_doc, "did").select("did", F.xxhash64("text").alias("tid"), "text", "keys")
-    spans = near.mapInArrow(_cut_out(kind, n), _PACKS).repartition(n, "part").mapInArrow(_decide(kind, n), _PACKS)
-    by_doc = spans.repartition(n, "part").mapInArrow(_gathered, gathered).groupBy("did").agg(F.collect_list(F.struct("tid", F.col("data").alias("spans"))).alias("spans"))
-    whole = base.join(by_doc, "did", "left").select("text", F.transform(F.filter("spans", lambda s: s.tid == F.xxhash64("text")), lambda s: s.spans).alias("spans"), *own)
+    by_doc = found.where("kind = 1").repartitionById(n, "part").mapInArrow(_gathered, gathered).select("did", F.col("tid").alias("slot"), F.col("data").alias("keys"))
+    near = base.join(by_doc, ["did", "slot"]).select("did", "tid", "text", "keys")
+    spans = near.mapInArrow(_cut_out(kind, n, hot), _PACKS).repartitionById(n, "part").mapInArrow(_decide(kind, n), _PACKS)
+    by_doc = spans.repartitionById(n, "part").mapInArrow(_gathered, gathered).groupBy("did", F.col("tid").bitwiseAND(F.lit(SLOTS)).alias("slot")).agg(F.collect_list(F.struct("tid", F.col("data").alias("spans"))).alias("spans"))
+    whole = base.join(by_doc, ["did", "slot"], "left").select("text", F.transform(F.filter("spans", lambda s: s.tid == F.col("tid")), lambda s: s.spans).alias("spans"), *own)
     kept = [f for f in docs.select(*keep).schema]
     out = T.StructType([T.StructField(f"keep{i}", f.dataType) for i, f in enumerate(kept)] + list(T._parse_datatype_string(schema)))
     names = out.names[len(keep) :]

@@ -153,20 +153,63 @@ def test_suffix_solver(monkeypatch, most):
         assert [x.tolist() for x in suffix.solve(strings, ids)] == want
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("letters", [b"ab", bytes(range(256))])
+def test_suffix_array_and_prefixes(letters):
     rng = random.Random(9)
-    text = bytes(rng.choice(b"ab") for _ in range(700))
-    sa, rank = suffix.suffix_array(np.frombuffer(text, np.uint8))
-    pad = text + b"\0" * 60
-    keys = [pad[i : i + 50] for i in sa]
-    assert keys[: len(keys)] == sorted(keys) or all(a <= b or max(i, j) > 640 for a, b, i, j in zip(keys, keys[1:], sa, sa[1:], strict=False))
-    order = sa[sa <= 650]
-    lcp = suffix.common_prefixes(np.frombuffer(text, np.uint8), order, np.array([0]), np.array([651]))
+    text = bytes(rng.choice(letters) for _ in range(700))
+    text = text + text[100:400] + text[:60]
+    raw = np.frombuffer(text, np.uint8)
+    sa, rank, close = suffix.suffix_array(raw)
+    keys = [text[i : i + 50] for i in sa]
+    assert keys == sorted(keys) and sorted(sa.tolist()) == list(range(len(text)))
+    assert all((rank[a] == rank[b]) == (text[a : a + 50] == text[b : b + 50]) for a, b in itertools.pairwise(sa))
+    assert all(close[a] and close[b] for a, b in itertools.pairwise(sa) if text[a : a + 50] == text[b : b + 50])
+    order = sa[sa <= len(text) - 50]
+    lcp = suffix.common_prefixes(raw, order)
     for k in range(1, len(order)):
         a, b = text[order[k - 1] : order[k - 1] + 50], text[order[k] : order[k] + 50]
         assert lcp[k] == next((i for i in range(50) if a[i] != b[i]), 50)
 
 
+def test_binary_search_of_windows():
+    rng = random.Random(4)
+    text = bytes(rng.choice(b"ab") for _ in range(900)) + b"\xff" * 70 + b"\0" * 70
+    raw, n = np.frombuffer(text, np.uint8), 990
+    first = {}
+    for i in rng.sample(range(n), 500):
+        first.setdefault(text[i : i + 50], i)
+    have = sorted(first)
+    at = np.array(sorted(rng.sample(range(n), 300), key=lambda i: text[i : i + 50]))
+    where, met = suffix.search(suffix.words_at(raw), np.array([first[x] for x in have]), at)
+    import bisect
+
+    assert [bisect.bisect_left(have, text[i : i + 50]) for i in at] == where.tolist() and [text[i : i + 50] in first for i in at] == met.tolist()
+
+
+@pytest.mark.parametrize("name", ["op2", "op5"])
+def test_windows_of_hot_minimisers_and_many_shards(spark, docs, monkeypatch, name):
+    """The same result if minimisers are hot from two documents on, buckets are small, tasks hold little and arrays are short."""
+    from lodeline.llm import windows
+
+    monkeypatch.setattr(windows, "BUCKET", 1 << 15)
+    run = queries.op2_suffix_array if name == "op2" else queries.op5_substring
+    want = sorted(map(repr, run(spark, SF).collect()))
+    monkeypatch.setattr(windows, "HOT", 3)
+    monkeypatch.setattr(windows, "HOT_SHARE", 1 << 60)
+    monkeypatch.setattr(windows, "HOLD", 1 << 14)
+    monkeypatch.setattr(windows, "STEP", 1 << 14)
+    monkeypatch.setattr(suffix, "MOST", 4000)
+    assert sorted(map(repr, run(spark, SF).collect())) == want
+
+
+def test_windows_of_the_greatest_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**63 - 1, text, "en"), (None, text, "en"), (5, text, "en"), (None, text + " x", "en")]
+    got = sorted(((r.doc_id or 0), r.n_removed) for r in substring.digest(frame(spark, rows)).collect())
+    assert got == [(0, 60), (0, 60), (5, 0), (2**63 - 1, 60)]
+    assert {r.doc_id for r in suffix.digest(frame(spark, rows)).collect()} == {2**63 - 1, None, 5}
+
+
 # --- quality, chat
 
 
