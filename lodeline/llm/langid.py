@@ -19,14 +19,15 @@ from .common import blobs, crc_fold
 
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Rows of each language that the weights are fitted on at most, by hash of doc_id; longer texts aren't fitted on.
+#: Different rows of each language that the weights are fitted on, about, by a hash of doc_id and text; longer texts aren't fitted on.
 SAMPLE = 1000
+#: Languages that a model can tell apart; its weights take 256 KB for each.
+MOST_LANGUAGES = 512
 SAMPLE_BYTES = 1 << 17
 EPOCHS = 3
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -76,7 +77,7 @@ class Model:
         return x @ self.weights[idx] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):  # Unicode's letters; \w has numerals too
             return UNKNOWN, 0.0
         p = _softmax(self.logits(text) / self.temperature)
         k = int(p.argmax())
@@ -146,21 +147,26 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of docs (doc_id, text, lang); rows without text or lang aren't learnt from."""
+    """A model of docs (doc_id, text, lang); rows without text or lang aren't learnt from.
+
+    Rows that come several times count in the document frequencies as often, and once in the fit. Rows are drawn by a hash, so that
+    neither their order nor their files matter. More than MOST_LANGUAGES values of lang are an error.
+    """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = {lang: c for lang, c in docs.groupBy("lang").count().collect()}
-    # A row is drawn by its hash; a fifth more than wanted on average, so that the limit, not chance, bounds the sample.
-    share = F.lit(0.0)
-    for lang, c in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * sample / c))).otherwise(share)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).where(F.octet_length("text") <= SAMPLE_BYTES).limit(2 * sample * max(1, len(sizes)))
+    sizes = {lang: c for lang, c in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
+    share = F.create_map(*(F.lit(x) for lang, c in sorted(sizes.items()) for x in (lang, min(1.0, sample / c))))[F.col("lang")]
+    drawn = docs.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    drawn = drawn.groupBy("h", "lang").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({x for b in batches for x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True) if x[0] is not None})
-        rows.sort(key=lambda x: (x[0] * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        m = fit([x[1] for x in rows], [x[2] for x in rows], idf)
+        rows = sorted(x for b in batches for x in zip(b.column("h").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True))
+        m = fit([x[2] for x in rows], [x[1] for x in rows], idf)
         yield pa.RecordBatch.from_arrays([pa.array([m.langs], pa.list_(pa.string())), pa.array([m.weights.tobytes()]), pa.array([m.bias.tobytes()]), pa.array([m.temperature])], ["langs", "weights", "bias", "temperature"])
 
     got = drawn.coalesce(1).mapInArrow(run, "langs array<string>, weights binary, bias binary, temperature double").first()
@@ -170,7 +176,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs (doc_id, text)."""
+    """doc_id, lang_pred, score of every row of docs (doc_id, text). A text is held whole, with some 100 bytes a character of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +189,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of documents; learnt from rows outside fold 0 of 5.
 
-    Null texts and texts without a letter are `und` with score 0; so are all rows if nothing can be learnt.
+    Null texts and texts without a letter (numerals like the Roman ones are none) are `und` with score 0; so are all rows if nothing can
+    be learnt. Repeated rows and rows of one doc_id are judged each by its text; a null doc_id is kept.
     """
     model = train(docs.where(crc_fold("doc_id", 5) != 0))
     return predicted(docs, model).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

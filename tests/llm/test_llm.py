@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeline.llm import chat, decontam, langid, lm, packing, quality, queries, simhash, substring, suffix, toxicity
 
@@ -224,6 +225,23 @@ def test_against_sql(spark, name):
     assert key(map(tuple, df.select(*cols).collect())) == key(con.sql(queries.ORACLES[name]).select(*cols).fetchall())
 
 
+def test_quality_of_rare_languages_against_sql(spark, tmp_path):
+    """A language with hardly a document isn't its own reference."""
+    rng = random.Random(3)
+    prose = lambda k: " ".join(rng.choices("the of and river stone light water field house over under, at. last".split(), k=k)) + "."
+    junk = " ".join(f"%{i}$7#" for i in range(90))
+    rows = [(i, prose(60 + i), "en") for i in range(30)] + [(50, junk, "xx"), (51, prose(70), "yy"), (52, junk, None), (53, prose(60), None), (54, "", "zz"), (55, None, "zz")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.op3_quality(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cols = sorted(df.columns)
+    got = df.select(*cols).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(queries.ORACLES["op3_quality"]).select(*cols).fetchall()))
+    kept = {r.doc_id: r.kept for r in got}
+    assert not kept[50] and not kept[52] and kept[51] and kept[53] and all(kept[i] for i in range(30))
+
+
 def test_quality_tells_junk(spark):
     clean = "the house of the man and the road to the sea that is in the bay, and a boat. " * 1
     rows = [(i, f"{clean} " + " ".join(random.Random(i).choices("the of and to in is that river stone light water field house over under".split(), k=80)) + ".", "en") for i in range(40)]
@@ -291,6 +309,65 @@ def test_language_held_out(spark):
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) >= 0.9 * len(held) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_letters(spark):
+    model = langid.Model(["a", "b"], np.ones(1 << langid.BITS), np.zeros((1 << langid.BITS, 2), np.float32), np.array([1.0, 0.0]), 1.0)
+    got = {t: model.predict(t)[0] for t in ("½²³", "Ⅷ", "①②", "12 -_", "", "é", "1 a", "漢", None)}
+    assert got == {"½²³": "und", "Ⅷ": "und", "①②": "und", "12 -_": "und", "": "und", "é": "a", "1 a": "a", "漢": "a", None: "und"}
+
+
+def test_language_fit_against_a_plain_loop(monkeypatch):
+    """FTRL, weight by weight in dictionaries."""
+    monkeypatch.setattr(langid, "BITS", 13)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(3, 20))) for a in ("abc ", "cde ", "xyz ") * 8]
+    langs = ["p", "q", "r"] * 8
+    idf = np.array([1 + rng.random() for _ in range(1 << 13)])
+    alpha, beta, l1, l2, epochs = 0.7, 1.0, 0.05, 0.02, 2
+    m = langid.fit(texts, langs, idf, epochs, alpha, beta, l1, l2)
+    rows = []
+    for t in texts:
+        c = Counter(langid.buckets(t).tolist())
+        x = {i: math.log1p(n) * idf[i] for i, n in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        rows.append({i: v / norm for i, v in x.items()})
+    z, n, bias = Counter(), Counter(), [0.0] * 3
+
+    def weight(i, k):
+        return 0.0 if abs(z[i, k]) <= l1 else -(z[i, k] - math.copysign(l1, z[i, k])) / ((beta + math.sqrt(n[i, k])) / alpha + l2)
+
+    def chances(x, heat=1.0, w=weight):
+        s = [(sum(v * w(i, k) for i, v in x.items()) + bias[k]) / heat for k in range(3)]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation([i for i in range(len(rows)) if i % 5]):
+            p = chances(rows[i])
+            g = [p[k] - (langs[i] == "pqr"[k]) for k in range(3)]
+            for f, v in rows[i].items():
+                for k in range(3):
+                    d, w = v * g[k], weight(f, k)
+                    z[f, k] += d - (math.sqrt(n[f, k] + d * d) - math.sqrt(n[f, k])) / alpha * w
+                    n[f, k] += d * d
+            bias = [b - 0.02 * x for b, x in zip(bias, g, strict=True)]
+    assert np.allclose([[weight(i, k) for k in range(3)] for i in range(1 << 13)], m.weights, atol=1e-6) and np.allclose(bias, m.bias)
+    apart = [i for i in range(len(rows)) if not i % 5]
+    loss = lambda heat: -sum(math.log(chances(rows[i], heat)["pqr".index(langs[i])]) for i in apart)
+    assert all(loss(m.temperature) <= loss(h) + 1e-6 for h in (0.05, 0.1, 0.3, 1, 2, 5))
+    for t, x in zip(texts, rows, strict=True):
+        p = chances(x, m.temperature)
+        assert m.predict(t) == ("pqr"[p.index(max(p))], pytest.approx(max(p), abs=1e-5))
+
+
+def test_language_sample_is_of_the_rows(spark):
+    """Neither order nor files nor copies of the rows change the model."""
+    d = table(spark, "documents")
+    a = langid.train(d)
+    b = langid.train(d.repartition(5, "source").orderBy(F.desc("n_chars")))
+    assert (a.weights == b.weights).all() and a.temperature == b.temperature
+
+
 def test_toxicity_finds_the_sentence():
     rng = random.Random(5)
     plain = "river stone light water field house over under tree cloud".split()
@@ -376,7 +453,7 @@ def test_lm_query(spark, docs, monkeypatch):
     words = {d: [*(t or "").encode().lower().split(), b" "] for d, t in docs}
     count = Counter(w for d, ws in words.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
     n, v = sum(count.values()), len(count)
-    own = sorted((w for w in count if w != b" " and count[w] >= max(2, n / 400)), key=lambda w: (-count[w], w))
+    own = sorted((w for w in count if w != b" " and count[w] >= max(lm.LEAST, n / 400)), key=lambda w: (-count[w], w))
     place = {w: i for i, w in enumerate([*own, b" "])}
     tail = Counter(lm.ending(w) for w in count if w not in place)
     mass = Counter()
