@@ -20,6 +20,8 @@ LEAST_WORDS = 50
 MOST_CHAR_DISTANCE = 0.28
 MOST_WORD_DISTANCE = 0.34
 NEAR = 5
+#: Words that a language's reference must have; without them a text is compared with all languages', and by character classes only.
+LEAST_REFERENCE = 1000
 
 
 def _count(text: str, pattern: str) -> Column:
@@ -75,14 +77,16 @@ def judged(docs: DataFrame, least_words: int = LEAST_WORDS, most_char: float = M
 
     base_failed: under 10 words, or over a fifth of the words in five-word windows that come twice. Others are kept unless
     they have `least_words` or more and lie further than allowed from their language. Null text has no words; a null
-    language is a language of its own; one without a document that passed has no reference and distance 0. Repeated rows are judged alike.
+    language is a language of its own. One with fewer than LEAST_REFERENCE words in documents that passed is judged by the character classes of
+    all languages together, so that no document is its own reference. Repeated rows are judged alike; no rows give none.
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     f = stored(features(docs).withColumn("base_failed", failed))
     bins = {"chars": len(CLASSES) + 1, "common": len(COMMON) + 1}
-    sums = f.where(~F.col("base_failed") & (F.col("n_words") >= least_words)).groupBy("lang").agg(*(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, k in bins.items() for i in range(k)))
-    refs = sums.select("lang", *(F.array(*(F.col(f"{c}{i}") for i in range(k))).alias(f"ref_{c}") for c, k in bins.items()))
-    j = f.join(refs, "lang", "left")
+    sums = f.where(~F.col("base_failed") & (F.col("n_words") >= least_words)).groupBy("lang").agg(F.sum("n_words").alias("words"), *(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, k in bins.items() for i in range(k)))
+    refs = sums.where(F.col("words") >= LEAST_REFERENCE).select("lang", *(F.array(*(F.col(f"{c}{i}") for i in range(k))).alias(f"ref_{c}") for c, k in bins.items()))
+    every = sums.agg(F.array(*(F.sum(f"chars{i}") for i in range(bins["chars"]))).alias("all_chars"))
+    j = f.join(refs, "lang", "left").crossJoin(F.broadcast(every)).withColumn("ref_chars", F.coalesce("ref_chars", "all_chars"))  # every is one row
     j = j.withColumns({"char_distance": F.coalesce(distance(F.col("chars"), F.col("ref_chars")), F.lit(0.0)), "word_distance": F.coalesce(distance(F.col("common"), F.col("ref_common")), F.lit(0.0))})
     near = (F.col("n_words") < least_words) | ((F.col("char_distance") <= most_char) & (F.col("word_distance") <= most_word))
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
@@ -114,8 +118,11 @@ bins AS (SELECT doc_id, lang, kind, i, v, sum(v) OVER (PARTITION BY doc_id, kind
     SELECT doc_id, lang, 'w', unnest(range(1, len(common) + 1)), unnest(common) FROM g)),
 refs AS (SELECT lang, kind, i, v, sum(v) OVER (PARTITION BY lang, kind) AS tv FROM (
     SELECT b.lang, kind, i, sum(v) AS v FROM bins b JOIN g USING (doc_id) WHERE NOT base_failed AND n_words >= {LEAST_WORDS} GROUP BY ALL)),
+words AS (SELECT lang, coalesce(sum(n_words) FILTER (NOT base_failed AND n_words >= {LEAST_WORDS}), 0) AS n FROM g GROUP BY lang),
+own AS (SELECT r.* FROM refs r JOIN words w USING (lang) WHERE n >= {LEAST_REFERENCE} UNION ALL
+    SELECT w.lang, kind, i, sum(v), sum(sum(v)) OVER (PARTITION BY w.lang) FROM refs r, words w WHERE kind = 'c' AND w.n < {LEAST_REFERENCE} GROUP BY w.lang, kind, i),
 js AS (SELECT doc_id, kind, CASE WHEN min(a.tv) > 0 THEN sqrt(greatest(sum({part.format('(a.v / a.tv)', '(r.v / r.tv)')} + {part.format('(r.v / r.tv)', '(a.v / a.tv)')}) / 2, 0)) ELSE 0 END AS dist
-    FROM bins a JOIN refs r USING (lang, kind, i) WHERE r.tv > 0 GROUP BY ALL),
+    FROM bins a JOIN own r USING (lang, kind, i) WHERE r.tv > 0 GROUP BY ALL),
 x AS (SELECT g.*, coalesce(c.dist, 0) AS cd, coalesce(w.dist, 0) AS wd FROM g LEFT JOIN js c ON c.doc_id = g.doc_id AND c.kind = 'c' LEFT JOIN js w ON w.doc_id = g.doc_id AND w.kind = 'w')
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
     CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
