@@ -23,7 +23,7 @@ from .common import blobs, bounded, cut
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its tokens, in tokens.
 OVERHEAD = 64
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 20
 #: Rows of one doc_id and text that may go to one group; more are spread.
 SAME = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")

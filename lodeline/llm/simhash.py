@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -202,20 +202,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies: shingles of five words, similarity of their sets, and the radius within which the fingerprints of such texts lie
-#: (at similarity 0.8 they differ in 10 bits on average, with a deviation of 3).
+#: Near copies: shingles of five words, similarity of their sets.
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
-COPY_RADIUS = 22
-#: Bands of two minima each; texts of similarity 0.8 share one with a probability of 0.9997.
-BANDS, ROWS_PER_BAND = 8, 2
-COPY_CHUNK = 1024
-_MULTIPLY = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS_PER_BAND, dtype=np.uint64) | np.uint64(1)
-
-
-def grams(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    words = text.lower().split()
+#: Of sets a and b: what they share against both together (Jaccard), or twice that against their sizes (Dice).
+MEASURES = ("jaccard", "dice")
+#: The radius within which the fingerprints of such texts lie: at a Jaccard similarity of 0.8 they differ in 10 bits on average with a deviation of 3, at a Dice similarity
+#: of 0.8 in 13 with a deviation of 3.3. Texts of up to SHORT shingles, whose fingerprints scatter more, are decided by their sets whatever these are.
+COPY_RADIUS = {"jaccard": 22, "dice": 27}
+SHORT = 40
+#: Bands of two minima each: texts of a Jaccard similarity of 0.8 share one of 8 with a probability of 0.9997, texts of a Dice similarity of 0.8 one of 14.
+BANDS, ROWS_PER_BAND = {"jaccard": 8, "dice": 14}, 2
+#: Bands that are compared first; of the others only blocks whose members these have not brought together.
+FIRST_BANDS = 4
+#: Members, and shingles of all members, of a block that is compared as one.
+COPY_CHUNK, COPY_SHINGLES = 512, 1 << 21
+_MULTIPLY = np.random.default_rng(5).integers(1, 2**63, max(BANDS.values()) * ROWS_PER_BAND, dtype=np.uint64) | np.uint64(1)
+#: A-Z in lower case and other ASCII signs but digits as blanks; letters beyond ASCII stay as they are.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def grams(text: bytes, shingle: int = COPY_SHINGLE, plain: bool = False) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted. plain: of its words without ASCII punctuation, unless it has nothing else."""
+    words = (plain and text.translate(_PLAIN).split()) or text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) <= shingle:
@@ -223,20 +232,24 @@ def grams(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(len(words) - shingle + 1)), np.uint64, len(words) - shingle + 1))
 
 
-def _sketch(text: bytes, shingle: int) -> tuple[int, int, list[int]]:
-    """Of a text: a hash of its shingle set, the set's SimHash, and its band keys."""
-    h = grams(text, shingle)
+def _set_id(h: np.ndarray) -> int:
+    return int(np.uint64(xxh64_intdigest(h.tobytes(), 1)).view(np.int64)) if len(h) else 0
+
+
+def _sketch(h: np.ndarray, bands: int) -> tuple[int, list[int]]:
+    """Of a set of shingles: its SimHash and its band keys."""
     if not len(h):
-        return 0, 0, [0] * BANDS
-    ones, least = np.zeros(BITS, np.int64), np.full(len(_MULTIPLY), np.uint64(2**64 - 1))
+        return 0, [0] * bands
+    multiply = _MULTIPLY[: bands * ROWS_PER_BAND]
+    ones, least = np.zeros(BITS, np.int64), np.full(len(multiply), np.uint64(2**64 - 1))
     for i in range(0, len(h), 4096):
         part = h[i : i + 4096]
         ones += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
-        x = part[None] * _MULTIPLY[:, None]
+        x = part[None] * multiply[:, None]
         np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
     fp = np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]
-    keys = [xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS_PER_BAND))]
-    return int(np.uint64(xxh64_intdigest(h.tobytes(), 1)).view(np.int64)), int(fp), np.array(keys, np.uint64).view(np.int64).tolist()
+    keys = [xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(bands, ROWS_PER_BAND))]
+    return int(fp), np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 #: Pairs and shared hashes whose sets are intersected at once.
@@ -267,57 +280,35 @@ def _shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return both
 
 
-def _verified(fps: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, band: int, chunk: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+def _verified(fps: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, band: int, chunk: np.ndarray, group: np.ndarray, radius: int, similarity: float, dice: bool) -> list[tuple[int, int]]:
     """Stars that span the groups of a block: pairs within the radius whose sets are similar enough.
 
-    A pair is decided once: in the first band that it shares, and where two chunks meet only across them.
+    A pair is decided once: in the first band that it shares, where two chunks meet only across them, and if it isn't of one group yet.
     """
     n = len(fps)
-    i, j = compare(fps, np.zeros(n, np.int64), np.full(n, n), radius)
     sizes = np.array([len(x) for x in sets], np.int64)
-    keep = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+    i, j = compare(fps, np.zeros(n, np.int64), np.full(n, n), radius)
+    if len(short := np.flatnonzero(sizes <= SHORT)) > 1:
+        a, b = compare(np.zeros(len(short), np.uint64), np.zeros(len(short), np.int64), np.full(len(short), len(short)), 1)
+        both = np.unique(np.r_[i * n + j, short[a] * n + short[b]])
+        i, j = both // n, both % n
+    least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    keep = (2 * least >= similarity * (least + most) if dice else least >= similarity * most) & (group[i] != group[j])
     if chunk.min() != chunk.max():
         keep &= chunk[i] != chunk[j]
     for b in range(band):
         keep &= bands[i, b] != bands[j, b]
     i, j = i[keep], j[keep]
     both = _shared_counts(sets, i, j)
-    linked = both >= similarity * (sizes[i] + sizes[j] - both)
+    linked = 2 * both >= similarity * (sizes[i] + sizes[j]) if dice else both >= similarity * (sizes[i] + sizes[j] - both)
     label = _stars(i[linked], j[linked], n)
     return [(k, int(label[k])) for k in np.flatnonzero(label != np.arange(n)).tolist()]
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS) -> DataFrame:
-    """(doc_id, component_id) for every row of docs (doc_id, text): groups linked by a Jaccard similarity of word shingles.
-
-    Texts of one shingle set are one member. Members meet in a block for each band of minima they share; there fingerprints are compared
-    bit-sliced, and pairs within the radius are decided by their sets (32 bits of each hash). A block over COPY_CHUNK members is
-    compared chunk against chunk. Rows of one doc_id count as one document; null and empty texts are copies of one another.
-    """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_sketch(x, shingle) for x in blobs(b, "text")]
-            cols = [b.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sid", "fp", "bands"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hs = [grams(x, shingle) for x in blobs(b, "text")]
-            sid = [int(np.uint64(xxh64_intdigest(h.tobytes(), 1)).view(np.int64)) if len(h) else 0 for h in hs]
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hs], pa.binary())], ["sid", "grams"])
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(base.mapInArrow(sketch, "doc_id long, sid long, fp long, bands array<long>"))
-    reps = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    banded = reps.select("sid", "rep", "fp", "bands", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    m = F.ceil(F.col("n") / COPY_CHUNK).cast("int")
-    met = cut(banded.join(sizes, ["band", "key"]).select("sid", "rep", "fp", "bands", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
-    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
-    known = base.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
+def _linked(met: DataFrame, known: DataFrame, radius: int, similarity: float, dice: bool) -> DataFrame:
+    """Edges (a, b) from members (sid, rep, fp, bands, grp, band, key, m, c) of blocks and their sets (sid, grams)."""
     pairs = met.join(known, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pairs = pairs.select("band", "key", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"), "c", "bands", "fp", "rep", "grams")
+    pairs = pairs.select("band", "key", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"), "c", "bands", "fp", "rep", "grp", "grams")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -325,30 +316,74 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         def block() -> pa.RecordBatch:
             if len(held) < 2:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-            chunk, bands, fps = (np.array([h[k] for h in held], np.int64) for k in (3, 4, 0))
-            out = _verified(fps.view(np.uint64), [np.frombuffer(h[2], np.uint32) for h in held], bands, at[0], chunk, radius, similarity)
+            chunk, bands, fps, group = (np.array([h[k] for h in held], np.int64) for k in (3, 4, 0, 5))
+            out = _verified(fps.view(np.uint64), [np.frombuffer(h[2], np.uint32) for h in held], bands, at[0], chunk, group, radius, similarity, dice)
             return pa.RecordBatch.from_arrays([pa.array([held[p[k]][1] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("band", "key", "x", "y", "fp", "rep", "grams", "c", "bands")]
-            for *where, fp, rep, g, c, own in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("band", "key", "x", "y", "fp", "rep", "grams", "c", "bands", "grp")]
+            for *where, fp, rep, g, c, own, group in zip(*cols, strict=True):
                 if where != at:
                     if held:
                         yield block()
                     at, held = where, []
-                held.append((fp, rep, g, c, own))
+                held.append((fp, rep, g, c, own, group))
         if held:
             yield block()
 
-    edges = pairs.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(solve, "a long, b long")
-    found = components(edges)
-    groups = reps.select("sid", "rep").join(found, F.col("rep") == found.node, "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
+    return pairs.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(solve, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE, radius: int | None = None, measure: str = "jaccard", plain: bool = False) -> DataFrame:
+    """(doc_id, component_id) for every row of docs (doc_id, text): groups linked by the similarity of their sets of word shingles.
+
+    measure: see MEASURES. plain: words without ASCII punctuation, A-Z in lower case. Texts of one shingle set are one member. Members meet in a block for each band of minima
+    they share; there fingerprints are compared bit-sliced, and pairs within the radius are decided by their sets (32 bits of each hash: two
+    sets of 1,000 share one by chance once in 4,000 pairs). The first bands settle most groups; in the others only blocks that still hold several
+    groups are looked at, and sets travel for these alone. A block over COPY_CHUNK members or COPY_SHINGLES shingles is compared chunk
+    against chunk. Rows of one doc_id count as one document here; null and empty texts are copies of one another.
+    """
+    dice, bands = MEASURES.index(measure) == 1, BANDS[measure]
+    radius = COPY_RADIUS[measure] if radius is None else radius
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [grams(x, shingle, plain) for x in blobs(b, "text")]
+            rows = [_sketch(h, bands) for h in hs]
+            cols = [b.column("doc_id"), pa.array([_set_id(h) for h in hs], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(h) for h in hs], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sid", "fp", "n", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [grams(x, shingle, plain) for x in blobs(b, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in hs], pa.int64()), pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hs], pa.binary())], ["sid", "grams"])
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut(base.mapInArrow(sketch, "doc_id long, sid long, fp long, n long, bands array<long>"))
+    reps = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+
+    def edges(which: Column, grouped: DataFrame) -> DataFrame:
+        """Of the bands that `which` chooses, from grouped: reps with their group so far."""
+        banded = grouped.select("sid", "rep", "fp", "n", "bands", "grp", F.posexplode("bands").alias("band", "key")).where(which)
+        sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
+        m = F.ceil(F.greatest(F.col("members") / COPY_CHUNK, F.col("shingles") / COPY_SHINGLES)).cast("int")
+        met = cut(banded.join(sizes, ["band", "key"]).select("sid", "rep", "fp", "bands", "grp", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
+        wanted = met.select(F.col("rep").alias("doc_id")).distinct()
+        known = base.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
+        return _linked(met, known, radius, similarity, dice)
+
+    found = components(edges(F.col("band") < FIRST_BANDS, reps.withColumn("grp", F.col("rep"))))
+    sofar = reps.join(found, F.col("rep") == found.node, "left").select(*reps.columns, F.coalesce("component", "rep").alias("grp"))
+    more = components(edges(F.col("band") >= FIRST_BANDS, sofar).select(F.col("a"), F.col("b")).union(found.select("node", "component")))
+    groups = reps.select("sid", "rep").join(more, F.col("rep") == more.node, "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "sid").join(groups, "sid", "left").select("doc_id", "component_id")
 
 
-def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of near copies, all columns: one of the smallest doc_id. Rows without a doc_id stay."""
-    groups = near_copies(docs, similarity).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+def first_of_each(docs: DataFrame, similarity: float = SIMILARITY, measure: str = "jaccard", plain: bool = False) -> DataFrame:
+    """One row of each group of near copies, all columns: one of the smallest doc_id, of several texts of that doc_id the least. Rows without a doc_id stay."""
+    groups = near_copies(docs, similarity, measure=measure, plain=plain).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"))
     firsts = groups.where("c = doc_id").select(F.col("doc_id").alias("__first"))
-    kept = docs.join(firsts, F.col("doc_id").cast("long") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.join(firsts, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in ["text", *(c for c in docs.columns if c not in ("text", "doc_id"))]))
+    one = kept.groupBy("doc_id").agg(F.min(whole).alias("__row")).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    return one.unionByName(docs.where("doc_id IS NULL"))
