@@ -1,8 +1,8 @@
 """Benchmark decontamination in DataFrame functions only.
 
 A document's windows as long as a benchmark item get a SimHash; multi-index Hamming blocks find all
-whose fingerprint lies within the radius of the item's, and an exact weighted-shingle similarity decides. Only windows
-that share a shingle with the item come so far: without one the similarity is 0, so nothing is lost.
+whose fingerprint lies within the radius of the item's, and an exact weighted-shingle similarity decides. Only windows whose
+shingles, as far as the item has them, weigh as much as the similarity asks of the item come so far: others can't reach it, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_BYTES, bounded, cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -20,33 +20,44 @@ SIMILARITY = 0.8
 RADIUS = 22
 #: Blocks of a fingerprint; within the radius one block at least differs in RADIUS // BLOCKS bits or fewer.
 BLOCKS = 8
-#: Rows up to which a table made of the benchmark is broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shingles(words: Column, size: int = SHINGLE) -> Column:
+def _grams(words: Column, size: int) -> Column:
     """Hashes of each `size` consecutive words; fewer words have none."""
     n = F.size(words)
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _simhash(shingles: str) -> Column:
-    """A bit is 1 if set in over half of the shingles, repeats included."""
+def _hashed(text: Column) -> Column:
+    """The words' hashes."""
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def _shingles(hashes: str) -> Column:
+    """Hashes of each SHINGLE consecutive words, from the words' hashes (a column's name)."""
+    n = F.size(hashes)
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(SHINGLE))))
+    return F.when(n >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _simhash(shingles: str, lane: int) -> Column:
+    """A bit is 1 if set in over half of the shingles, repeats included. Counts are added up in lanes of `lane` bits: 64 / lane of them at once."""
     n = F.size(shingles)
+    mask = sum(1 << (lane * j) for j in range(64 // lane))
 
-    def bit(fp: Column, j: Column) -> Column:
-        ones = F.size(F.filter(shingles, lambda h: F.getbit(h, j) == 1))
-        return fp.bitwiseOR(F.when(ones * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
+    def sums(k: int) -> Column:
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+    counts = [sums(k) for k in range(lane)]
+    fp = F.lit(0).cast("long")
+    for bit in range(64):
+        ones = F.shiftrightunsigned(counts[bit % lane], lane * (bit // lane)).bitwiseAND(F.lit((1 << lane) - 1))
+        fp = fp.bitwiseOR(F.when(ones * 2 > n, F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
+    return fp
 
 
 def _block(fp: Column, b: int) -> Column:
@@ -58,8 +69,8 @@ def _short(base: DataFrame, items: DataFrame) -> DataFrame | None:
     own = items.select("iid", "item_id", F.size("w").alias("n_words"), F.xxhash64("w").alias("h"))
     out = None
     for n in sorted(r.n_words for r in own.select("n_words").distinct().collect()):
-        grams = base.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.posexplode(_shingles(_words(F.col("text")), n)).alias("p", "h"))
-        met = grams.join(_bounded(own.where(F.col("n_words") == n)), "h").groupBy("doc_id", "tid", "iid").agg(F.first("item_id").alias("item_id"), F.min("p").alias("start_word"))
+        grams = base.select("doc_id", F.xxhash64("doc_id", "text").alias("tid"), F.posexplode(_grams(_words(F.col("text")), n)).alias("p", "h"))
+        met = grams.join(bounded(own.where(F.col("n_words") == n)), "h").groupBy("doc_id", "tid", "iid").agg(F.first("item_id").alias("item_id"), F.min("p").alias("start_word"))
         met = met.select("doc_id", "tid", "item_id", F.lit(1.0).alias("similarity"), "start_word", F.lit(n).alias("n_words"))
         out = met if out is None else out.unionByName(met)
     return out
@@ -78,39 +89,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     width = 64 // BLOCKS
     most = radius // BLOCKS
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text").cast("string")).alias("w")).distinct()
-    items = cut(items.select(F.xxhash64("item_id", "w").alias("iid"), "item_id", "w", _shingles(F.col("w")).alias("ish")).where(F.size("w") > 0))
+    items = items.where(F.size("w") > 0).withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
+    items = cut(items.select(F.xxhash64("item_id", "w").alias("iid"), "item_id", "w", _shingles("wh").alias("ish")))
     short = items.where(F.size("ish") == 0)
     items = items.where(F.size("ish") > 0).drop("w")
-    n_items = F.lit(float(items.count()))
+    count, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("ish")), F.lit(0))).first()
+    lane = next(x for x in (8, 16, 32) if longest < 1 << x)  # a lane holds the greatest count
+    n_items = F.lit(float(count))
     by_shingle = items.select("iid", F.explode("ish").alias("h")).groupBy("iid", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
-    weighed = by_shingle.join(by_shingle.groupBy("h").agg(F.log1p(n_items / F.count(F.lit(1))).alias("weight")), "h")
-    about = weighed.groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("h", "c", "weight"))).alias("parts"))
-    marks = cut(items.join(about, "iid").select("iid", "item_id", F.size("ish").alias("m"), _simhash("ish").alias("ifp"), "parts"))
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    words = base.select(F.xxhash64("doc_id", "text").alias("tid"), _words(F.col("text")).alias("w"))
-    grams = words.select("tid", F.posexplode(_shingles(F.col("w"))).alias("p", "h"))
-    hits = grams.join(_bounded(by_shingle.select("iid", "h")), "h").groupBy("tid", "iid").agg(F.collect_set("p").alias("at"))
-    hits = hits.groupBy("tid").agg(F.collect_list(F.struct("iid", "at")).alias("hits"))
-
-    near = base.withColumn("tid", F.xxhash64("doc_id", "text")).join(hits, "tid").select("doc_id", "tid", _words(F.col("text")).alias("w"), "hits").dropDuplicates(["doc_id", "tid"])
-    near = near.select("doc_id", "tid", _shingles(F.col("w")).alias("sh"), "hits").select("doc_id", "tid", "sh", F.explode("hits").alias("x"))
-    near = near.select("doc_id", "tid", "sh", "x.iid", "x.at").join(_bounded(marks), "iid")
-    last = F.greatest(F.size("sh") - F.col("m"), F.lit(0))
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.least(F.greatest(p - F.col("m") + 1, F.lit(0)), last), F.least(p, last)))))
-    windows = near.select("doc_id", "tid", "iid", "m", "ifp", "parts", "sh", F.explode(starts).alias("s"))
-    windows = windows.select("doc_id", "tid", "iid", "s", "ifp", "parts", F.slice("sh", F.col("s") + 1, F.col("m")).alias("wsh"))
-
-    printed = windows.select("doc_id", "tid", "iid", "s", "ifp", "parts", "wsh", _simhash("wsh").alias("fp"))
+    weighed = cut(by_shingle.join(by_shingle.groupBy("h").agg(F.log1p(n_items / F.count(F.lit(1))).alias("weight")), "h"))
+    about = weighed.groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("h", "c", "weight"))).alias("parts"), (F.sum(F.col("c") * F.col("weight")) * (similarity - 1e-9)).alias("wanted"))
+    marks = cut(items.join(about, "iid").select("iid", "item_id", F.size("ish").alias("m"), _simhash("ish", lane).alias("ifp"), "parts", "wanted"))
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("tid", F.xxhash64("doc_id", "text"))
+    grams = base.select("tid", _hashed(F.col("text")).alias("wh")).select("tid", _shingles("wh").alias("sh")).select("tid", F.size("sh").alias("k"), F.posexplode("sh").alias("p", "h"))
+    hits = grams.join(bounded(weighed.select("iid", "h", "weight"), 24), "h").groupBy("tid", "iid").agg(F.first("k").alias("k"), F.sum("weight").alias("got"), F.collect_list(F.struct("p", "weight")).alias("at"))
+    hits = hits.join(bounded(marks.select("iid", "m", "wanted"), 24), "iid").where("got >= wanted")
+    # What an item's shingles in the window from s on weigh is the most that both can share.
+    last = F.greatest(F.col("k") - F.col("m"), F.lit(0))
+    each = hits.select("tid", "iid", "m", "wanted", last.alias("last"), F.explode("at").alias("x"))
+    each = each.select("tid", "iid", "wanted", "x.weight", F.explode(F.sequence(F.least(F.greatest(F.col("x.p") - F.col("m") + 1, F.lit(0)), F.col("last")), F.least(F.col("x.p"), F.col("last")))).alias("s"))
+    starts = each.groupBy("tid", "iid", "s").agg(F.sum("weight").alias("got"), F.first("wanted").alias("wanted")).where("got >= wanted")
+    found = cut(starts.groupBy("tid").agg(F.collect_set(F.struct("iid", "s")).alias("starts")))
+    size = found.agg(F.coalesce(F.sum(32 + 16 * F.size("starts")), F.lit(0))).first()[0]
+    near = base.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "tid").groupBy("doc_id", "tid").agg(F.first("text").alias("text"), F.first("starts").alias("starts"))
+    near = near.select("doc_id", "tid", "starts", _hashed(F.col("text")).alias("wh")).select("doc_id", "tid", _shingles("wh").alias("sh"), "starts")
+    near = near.select("doc_id", "tid", "sh", F.explode("starts").alias("x")).select("doc_id", "tid", "sh", "x.iid", "x.s").join(bounded(marks.select("iid", "m"), 16), "iid")
+    windows = near.select("doc_id", "tid", "iid", "s", F.slice("sh", F.col("s") + 1, F.col("m")).alias("wsh"))
+    printed = windows.select("doc_id", "tid", "iid", "s", "wsh", _simhash("wsh", lane).alias("fp"))
 
     # The index: every block of a window's fingerprint meets the item's blocks within `most` bits.
     flips = [0, *(sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(width), k))]
-    probes = marks.select("iid", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("ifp"), b).alias("own")) for b in range(BLOCKS)))).alias("x"))
-    probes = probes.select("iid", "x.block", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: f.bitwiseXOR(F.col("x.own")))).alias("key"))
+    probes = marks.select("iid", "ifp", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("ifp"), b).alias("own")) for b in range(BLOCKS)))).alias("x"))
+    probes = probes.select("iid", "ifp", "x.block", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: f.bitwiseXOR(F.col("x.own")))).alias("key"))
     keyed = printed.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)))).alias("x")).select("*", "x.block", "x.key").drop("x")
-    met = keyed.join(_bounded(probes), ["iid", "block", "key"])
+    met = keyed.join(bounded(probes, 32), ["iid", "block", "key"])
     first = F.coalesce(*(F.when(F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("ifp"), b))) <= most, F.lit(b)) for b in range(BLOCKS)))
     met = met.where((F.col("block") == first) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius))  # once, not once a block
+    met = met.join(bounded(marks.select("iid", "parts"), 32 + 24 * longest), "iid")
 
     alone = F.log1p(n_items)
     shares = F.transform("parts", lambda x: F.struct((F.size("wsh") - F.size(F.array_remove("wsh", x.h))).alias("cw"), x.c.alias("c"), x.weight.alias("weight")))
@@ -123,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     either = total(lambda x: x.weight * F.greatest(x.cw, x.c)) + alone * (F.col("n") - F.aggregate("shares", F.lit(0), lambda a, x: a + x.cw))
     found = met.select("doc_id", "tid", "iid", "s", "n", F.round(both / either, 12).alias("similarity")).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "tid", "iid").agg(F.max(F.struct("similarity", -F.col("s"), "n")).alias("b"))
-    best = best.join(_bounded(marks.select("iid", "item_id")), "iid")
+    best = best.join(bounded(marks.select("iid", "item_id"), 16), "iid")
     best = best.select("doc_id", "tid", "item_id", "b.similarity", (-F.col("b.col2")).cast("int").alias("start_word"), (F.col("b.n") + SHINGLE - 1).alias("n_words"))
     brief = _short(base, short)
     return best if brief is None else best.unionByName(brief)
