@@ -36,7 +36,7 @@ def _split(texts: list[bytes]):
     return units, sizes, b" ".join(flat), end - length, end
 
 
-def _solve(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
+def _solve(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = [x.split(b" ") for x in strings]
     sizes = np.array([len(ws) for ws in words], np.int64)
     flat = [w for ws in words for w in ws]
@@ -67,8 +67,9 @@ def _solve(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     np.minimum.at(least, group, doc[order]) if not same.all() else least.__setitem__(slice(None), np.minimum.reduceat(doc[order], new))
     hit = np.empty(len(order), bool)
     hit[order] = least[group] < doc[order]
-    stops = np.cumsum(count)
-    return [np.flatnonzero(hit[e - n : e]) for e, n in zip(stops.tolist(), count.tolist(), strict=True)]
+    at = np.flatnonzero(hit)
+    string = np.repeat(np.arange(len(strings)), count)[at]
+    return string, at - (np.cumsum(count) - count)[string]
 
 
 WORDS = Kind(_split, GRAM, lambda x: x.count(b" ") + 1, _solve)

@@ -1,8 +1,8 @@
 """Suffix-array dedup on UTF-8 bytes.
 
-Stretches of text that may recur across documents are found by minimiser (windows.py). Each task sorts those of its own texts by a suffix array
-and settles what they have in common; what is left goes to shards, which hold all strings around the same minimisers. There each 2 MB
-get a suffix array, and the arrays are merged by binary search over their sorted distinct strings. Larsson-Sadakane refinement sorts
+Stretches of text that may recur across documents are found by minimiser (windows.py). Each task sorts those of its own texts by a suffix array,
+settles what they have in common, and sends the rest as sorted strings to shards, which hold all strings around the same minimisers. A shard merges
+the tasks' sorted strings, gives each 2 MB of distinct ones a suffix array, and merges the arrays by binary search over their sorted distinct windows. Larsson-Sadakane refinement sorts
 positions by ever longer prefixes, up to 50 bytes, and touches only groups that are still tied; Kasai's common prefixes, taken
 over all strings in step, tell which neighbours share 50 bytes.
 """
@@ -44,30 +44,33 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
         key = (key << np.uint64(width)) | t[j : n + j]
     packed = np.sort((key << bits) | np.arange(n, dtype=np.uint64))
     sa = (packed & low).astype(np.int64)
-    value = packed >> bits
-    start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    size = np.diff(np.r_[start, n])
+    new = _changes(packed >> bits)
     rank = np.zeros(n + depth, np.int32)  # past the end: 0; others from 1
-    rank[sa] = np.repeat(start, size) + 1
-    tied = np.flatnonzero(np.repeat(size > 1, size))
+    rank[sa] = np.maximum.accumulate(np.where(new[:-1], np.arange(1, n + 1, dtype=np.int32), 0))
+    tied = np.flatnonzero(~(new[:-1] & new[1:]))
     last = sa[tied]
     while known < depth and len(tied):
         step = min(known, depth - known)
         s = last = sa[tied]
         packed = np.sort(((rank[s] - 1).astype(np.uint64) << np.uint64(2 * POSITION)) | (rank[s + step].astype(np.uint64) << bits) | s.astype(np.uint64))
         s = (packed & low).astype(np.int64)
-        value = packed >> bits
-        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        size = np.diff(np.r_[first, len(s)])
+        new = _changes(packed >> bits)
         sa[tied] = s
-        rank[s] = np.repeat(tied[first], size) + 1
-        tied = tied[np.repeat(size > 1, size)]
+        rank[s] = np.maximum.accumulate(np.where(new[:-1], tied + 1, 0))
+        tied = tied[~(new[:-1] & new[1:])]
         known += step
     close = np.zeros(n, bool)
     close[last if known >= depth else sa[tied]] = True
     return sa, rank[:n], close
 
 
+def _changes(value: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins, and True at the end."""
+    out = np.ones(len(value) + 1, bool)
+    np.not_equal(value[1:], value[:-1], out=out[1:-1])
+    return out
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = WINDOW) -> np.ndarray:
     """Kasai: the common prefix, up to `most`, of each position in order (sorted suffixes, not all of them) with the one before it.
 
@@ -110,40 +113,41 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
 
 @dataclass
 class Shard:
-    """One suffix array: the sorted window starts, the group of each, where groups begin, the least document of each group, and each position's piece."""
+    """One suffix array: the sorted window starts, the group of each, where groups begin, the least document of each group, and each position's document."""
 
     order: np.ndarray
     group: np.ndarray
     heads: np.ndarray
     least: np.ndarray
-    owner: np.ndarray
+    doc: np.ndarray
 
 
 def shard(text: np.ndarray, size: np.ndarray, docs: np.ndarray) -> Shard:
     """Of text, which is pieces of the given sizes and documents one after the other."""
-    first, count = np.cumsum(size) - size, np.maximum(size - WINDOW + 1, 0)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    owner = np.zeros(len(text), np.int32)
-    owner[start] = np.repeat(np.arange(len(size)), count)
-    window = np.zeros(len(text), bool)
-    window[start] = True
+    window = np.ones(len(text), bool)  # all but the last of a piece
+    ends = np.cumsum(size)
+    for k in range(1, WINDOW):
+        window[np.maximum(ends - k, ends - size)] = False
+    window[ends[size < WINDOW] - 1] = False
+    doc = np.repeat(docs, size)
     sa, _, close = suffix_array(text)
     order = sa[window[sa]]
     new = np.ones(len(order), bool)
     among = np.flatnonzero(close[order])
     new[among] = common_prefixes(text, order[among]) < WINDOW
     heads = np.flatnonzero(new)
-    least = np.minimum.reduceat(docs[owner[order]], heads) if len(heads) else docs[:0]
-    return Shard(order, np.cumsum(new) - 1, heads, least, owner)
+    least = np.minimum.reduceat(doc[order], heads) if len(heads) else docs[:0]
+    return Shard(order, np.cumsum(new) - 1, heads, least, doc)
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, so that comparing numbers compares them; zeros past the end."""
-    t = np.zeros(len(text) + WINDOW + 14, np.uint64)
-    t[: len(text)] = text
-    out = t[: len(text) + WINDOW + 7].copy()
+    padded = np.zeros(len(text) + WINDOW + 14, np.uint8)
+    padded[: len(text)] = text
+    out = padded[: len(text) + WINDOW + 7].astype(np.uint64)
     for k in range(1, 8):
-        out = (out << np.uint64(8)) | t[k : len(out) + k]
+        out <<= np.uint64(8)
+        out |= padded[k : len(out) + k]
     return out
 
 
@@ -194,35 +198,29 @@ def merge(words: np.ndarray, shards: list[tuple[int, Shard]]) -> None:
         x.least = best[mine]
 
 
-def solve(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each string the offsets of its windows that a string of a smaller document has."""
-    step = MOST // 2  # a string longer than this is cut, the pieces overlapping
-    pieces = [(i, a, x[a : a + step + WINDOW - 1]) for i, x in enumerate(strings) for a in range(0, max(1, len(x) - WINDOW + 1), step)]
-    if not pieces:
-        return []
-    size = np.array([len(p[2]) for p in pieces], np.int64)
-    string, offset = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-    text = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+def solve(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of the windows that a string of a smaller document has too, in order."""
+    step = MOST // 2  # a string longer than this is cut, the pieces overlapping by what makes every window whole in one of them
+    string, offset, pieces = np.arange(len(strings)), np.zeros(len(strings), np.int64), strings
+    if max(map(len, strings), default=0) > step:
+        cut = [(i, a, x[a : a + step + WINDOW - 1]) for i, x in enumerate(strings) for a in range(0, max(1, len(x) - WINDOW + 1), step)]
+        string, offset, pieces = np.array([p[0] for p in cut]), np.array([p[1] for p in cut]), [p[2] for p in cut]
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begin = np.r_[0, np.cumsum(size)]
+    text = np.frombuffer(b"".join(pieces), np.uint8)
     shards, lo = [], 0
     while lo < len(pieces):
         hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + MOST, "right")) - 1)
-        shards.append((lo, hi, shard(text[begin[lo] : begin[hi]], size[lo:hi], docs[string[lo:hi]])))
+        shards.append((int(begin[lo]), shard(text[begin[lo] : begin[hi]], size[lo:hi], docs[string[lo:hi]])))
         lo = hi
     if len(shards) > 1:
-        merge(words_at(text), [(int(begin[lo]), x) for lo, _, x in shards])
-    found, place = [], []
-    for lo, hi, x in shards:
-        owner = x.owner[x.order] + lo
-        hit = x.least[x.group] < docs[string[owner]]
-        owner = owner[hit]
-        found.append(string[owner])
-        place.append(x.order[hit] + begin[lo] - begin[owner] + offset[owner])
-    found, place = np.concatenate(found), np.concatenate(place)
-    order = np.lexsort((place, found))
-    found, place = found[order], place[order]
-    cuts = np.searchsorted(found, np.arange(len(strings) + 1))
-    return [place[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        merge(words_at(text), shards)
+    hit = np.zeros(len(text), bool)
+    for base, x in shards:
+        hit[base + x.order[x.least[x.group] < x.doc[x.order]]] = True
+    at = np.flatnonzero(hit)
+    piece = np.repeat(np.arange(len(pieces)), np.diff(np.searchsorted(at, begin)))
+    return string[piece], at - begin[piece] + offset[piece]
 
 
 def _split(texts: list[bytes]):
@@ -231,7 +229,7 @@ def _split(texts: list[bytes]):
     return np.frombuffer(flat, np.uint8).astype(np.uint64), np.array([len(x) for x in texts], np.int64), flat, at[:-1], at[1:]
 
 
-BYTES = Kind(_split, GRAM, len, solve, whole=False)
+BYTES = Kind(_split, GRAM, len, solve, ordered=True)
 
 
 def _apply(texts: list[bytes], spans: list[np.ndarray]) -> list[pa.Array]:

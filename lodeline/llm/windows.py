@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +32,14 @@ from .common import NULL_ID, blobs, shuffle_partitions, sliced, stored
 
 WINDOW = 50
 #: Bytes of text worked on at once; the arrays over them take some 60 times as much.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Bytes of text for each bucket.
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 #: Documents from which on a minimiser's windows are dealt by themselves, at least; and the bytes of text for each such document,
 #: so that at most 2**20 minimisers are told to all tasks (there are 8 bytes or more for each that a document has).
 HOT, HOT_SHARE = 4096, 1 << 23
 #: Bytes of packed strings that a task holds back before it writes them.
-HOLD = 24 << 20
+HOLD = 12 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -77,10 +78,10 @@ class Kind:
     gram: int
     #: How many units a string has.
     units: Callable[[bytes], int]
-    #: (strings, document of each) -> for each string the offsets of its windows that a smaller document has.
-    solve: Callable[[list[bytes], np.ndarray], list[np.ndarray]]
-    #: Whether equal strings as a whole are met first, before they are solved; else the solver sees all.
-    whole: bool = True
+    #: (strings, document of each) -> (string, offset) of the windows that a smaller document has, in order.
+    solve: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
+    #: Whether strings are kept in order: tasks then settle what their texts share by the solver, and merge sorted runs of strings; else equal strings meet in a table.
+    ordered: bool = False
 
 
 def super_kmers(units: np.ndarray, sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +98,11 @@ def super_kmers(units: np.ndarray, sizes: np.ndarray, gram: int) -> tuple[np.nda
     return text[at[first]], at[first], np.diff(np.r_[first, len(at)]), mix(value[first])
 
 
+def _ranges(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Rows of a batch that have about STEP bytes of text together."""
+    return sliced([range(n or 0) for n in pa.compute.binary_length(b.column("text")).to_pylist()], STEP)
+
+
 def _place(value: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket, and a key of 64 bits that names the minimiser: bucket, then 32 of its own bits."""
     part = ((value >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
@@ -228,9 +234,9 @@ def _anchors(kind: Kind, parts: int):
             return _pack_rows(rows)
 
         for b in batches:
-            texts, dids, tids = blobs(b, "text"), b.column("did").to_pylist(), b.column("tid").to_pylist()
-            for lo, hi in sliced(texts, STEP):
-                units, sizes, *_ = kind.split(texts[lo:hi])
+            dids, tids = b.column("did").to_pylist(), b.column("tid").to_pylist()
+            for lo, hi in _ranges(b):
+                units, sizes, *_ = kind.split(blobs(b.slice(lo, hi - lo), "text"))
                 text, _, _, value = super_kmers(units, sizes, kind.gram)
                 keys.append(_place(value, parts)[1])
                 docs.append(text + len(ids))
@@ -329,15 +335,21 @@ def _cut_out(kind: Kind, parts: int, hot: np.ndarray):
                     r = kept[r]
                     own, doc = np.unique(row[r], return_inverse=True)
                     rows.append((2, p, _packed(ids=table[own], doc=doc.astype(np.uint32), one=one[r], two=two[r], at=at[r].astype(np.int64))))
-            if gone:
-                g = np.concatenate(gone)
-                rows += [(1, p, x) for p, x in _routed(list(_span_rows(table, g[:, 0], g[:, 1], g[:, 2])), parts)]
             if about:
                 a = np.array(about, np.int64)
                 for p, r in _grouped(a[:, 3]):
+                    if kind.ordered:
+                        r, same = _sorted([strings[i] for i in r.tolist()], r)
+                        least = np.minimum.reduceat(table[a[r, 0], 0], np.flatnonzero(np.diff(same, prepend=-1)))[same]
+                        later = r[table[a[r, 0], 0] > least]
+                        gone.append(np.stack([a[later, 0], a[later, 1], a[later, 1] + a[later, 2] + WINDOW - 1], axis=1))
+                        r = r[table[a[r, 0], 0] == least]
                     own, doc = np.unique(a[r, 0], return_inverse=True)
                     content = [strings[i] for i in r]
                     rows.append((0, p, _packed(ids=table[own], doc=doc.astype(np.uint32), start=a[r, 1], size=np.array([len(x) for x in content], np.int32), content=b"".join(content))))
+            if gone:
+                g = np.concatenate(gone)
+                rows += [(1, p, x) for p, x in _routed(list(_span_rows(table, g[:, 0], g[:, 1], g[:, 2])), parts)]
             for x in (ids, strings, about, gone, alone):
                 x.clear()
             seen.clear()
@@ -346,9 +358,10 @@ def _cut_out(kind: Kind, parts: int, hot: np.ndarray):
                 yield _pack_rows(rows[i : i + 2000])
 
         for b in batches:
-            texts, dids, tids, shared = blobs(b, "text"), b.column("did").to_pylist(), b.column("tid").to_pylist(), b.column("keys").to_pylist()
-            for lo, hi in sliced(texts, STEP):
-                units, sizes, content, begin, end = kind.split(texts[lo:hi])
+            dids, tids = b.column("did").to_pylist(), b.column("tid").to_pylist()
+            for lo, hi in _ranges(b):
+                shared = b.column("keys").slice(lo, hi - lo).to_pylist()
+                units, sizes, content, begin, end = kind.split(blobs(b.slice(lo, hi - lo), "text"))
                 text, first, count, value = super_kmers(units, sizes, kind.gram)
                 part, key = _place(value, parts)
                 offset, base = np.cumsum(sizes) - sizes, len(ids)
@@ -357,7 +370,7 @@ def _cut_out(kind: Kind, parts: int, hot: np.ndarray):
                 here, stop = np.searchsorted(text, np.arange(hi - lo)), np.searchsorted(text, np.arange(hi - lo), "right")
                 wanted = np.zeros(len(text), bool)
                 for t in np.flatnonzero(stop > here).tolist():
-                    wanted[here[t] : stop[t]] = np.isin(key[here[t] : stop[t]], np.frombuffer(shared[lo + t], np.uint64))
+                    wanted[here[t] : stop[t]] = np.isin(key[here[t] : stop[t]], np.frombuffer(shared[t], np.uint64))
                 if len(hot) and (often := wanted & np.isin(key, hot)).any():
                     wanted &= ~often
                     at = np.repeat(first[often] - (np.cumsum(count[often]) - count[often]), count[often]) + np.arange(count[often].sum())
@@ -366,15 +379,17 @@ def _cut_out(kind: Kind, parts: int, hot: np.ndarray):
                     alone.append((one[at], two[at], base + doc, at - offset[doc]))
                     held += 64 * len(at)
                 rows = np.flatnonzero(wanted)
-                if not kind.whole and len(rows):
-                    first, count, hit, doc = _met(kind, content, begin, end, len(units), text[rows], first[rows], count[rows], np.array(dids[lo:hi], np.int64), offset)
-                    gone.append(np.stack([base + doc, hit, hit + WINDOW], axis=1))
-                    left = count > 0
-                    rows, first, count = rows[left], first[left], count[left]
-                    last = first + count + WINDOW - 2
-                    own = [content[s:e] for s, e in zip(begin[first].tolist(), end[last].tolist(), strict=True)]
+                if kind.ordered and len(rows):
+                    _, at, times = np.unique(key[rows], return_inverse=True, return_counts=True)
+                    first, count, some = first.copy(), count.copy(), rows[times[at] > 1]
+                    if len(some):  # only what has a minimiser in common can be equal
+                        first[some], count[some], hit, doc = _met(kind, content, begin, end, len(units), text[some], first[some], count[some], np.array(dids[lo:hi], np.int64), offset)
+                        gone.append(np.stack([base + doc, hit, hit + WINDOW], axis=1))
+                    rows = rows[count[rows] > 0]
+                    last = first[rows] + count[rows] + WINDOW - 2
+                    own = [content[s:e] for s, e in zip(begin[first[rows]].tolist(), end[last].tolist(), strict=True)]
                     strings += own
-                    about += zip((base + text[rows]).tolist(), (first - offset[text[rows]]).tolist(), count.tolist(), part[rows].tolist(), strict=True)
+                    about += zip((base + text[rows]).tolist(), (first[rows] - offset[text[rows]]).tolist(), count[rows].tolist(), part[rows].tolist(), strict=True)
                     held += sum(map(len, own)) + 100 * len(own)
                 elif len(rows):
                     last = first[rows] + count[rows] + WINDOW - 2
@@ -404,6 +419,13 @@ def _cut_out(kind: Kind, parts: int, hot: np.ndarray):
     return run
 
 
+def _sorted(strings: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows in the order of their strings, and a number for each that equal strings share. Strings that come as sorted runs are merged: the sort gallops through them by binary search."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    new = np.fromiter((strings[a] != strings[b] for a, b in zip(order, order[1:], strict=False)), bool, max(len(order) - 1, 0))
+    return rows[order], np.cumsum(np.r_[False, new])
+
+
 def _met(kind: Kind, content: bytes, begin: np.ndarray, end: np.ndarray, n: int, text: np.ndarray, first: np.ndarray, count: np.ndarray, did: np.ndarray, offset: np.ndarray):
     """What the solver says of the stretches of text that runs of windows make up: the runs cut to the windows that no smaller document of these texts has
     (count 0: none), the others' starts in their texts, and their texts."""
@@ -411,8 +433,8 @@ def _met(kind: Kind, content: bytes, begin: np.ndarray, end: np.ndarray, n: int,
     stop = np.r_[new[1:], len(first)] - 1
     strings = [content[s:e] for s, e in zip(begin[first[new]].tolist(), end[first[stop] + count[stop] + WINDOW - 2].tolist(), strict=True)]
     free = np.ones(n + 1, bool)
-    for at, hits in zip(first[new].tolist(), kind.solve(strings, did[text[new]]), strict=True):
-        free[at + hits] = False
+    string, hits = kind.solve(strings, did[text[new]])
+    free[first[new][string] + hits] = False
     hit = np.flatnonzero(~free)
     doc = np.searchsorted(offset, hit, "right") - 1  # the last text that begins at or before; empty ones have no windows
     places = np.flatnonzero(free)
@@ -459,7 +481,7 @@ def _windows(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
 
 
 def _bucket(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
-    """(did, tid, spans) of one bucket. With kind.whole equal strings are decided once: only the smallest document's is looked into."""
+    """(did, tid, spans) of one bucket. Equal strings are decided once: only the smallest document's is looked into."""
     ids, docs, starts, strings, base = [], [], [], [], 0
     for p in packs:
         own, doc, start, size, content = _unpacked(p, np.int64, np.uint32, np.int64, np.int32, None)
@@ -467,35 +489,30 @@ def _bucket(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
         docs.append(doc.astype(np.int64) + base)
         base += len(ids[-1])
         starts.append(start)
-        at = 0
-        for n in size.tolist():
-            strings.append(content[at : at + n])
-            at += n
+        stop = np.cumsum(size).tolist()
+        strings += [content[e - n : e] for n, e in zip(size.tolist(), stop, strict=True)]
     table, doc, start = np.concatenate(ids), np.concatenate(docs), np.concatenate(starts)
     did = table[doc, 0]
-    if not kind.whole:
-        hits = kind.solve(strings, did)
-        size = np.array([len(h) for h in hits])
-        at = np.concatenate(hits) + np.repeat(start, size)
-        return list(_span_rows(table, np.repeat(doc, size), at, at + WINDOW))
-    first: dict[bytes, int] = {}
-    same = np.fromiter((first.setdefault(x, i) for i, x in enumerate(strings)), np.int64, len(strings))
-    least = did.copy()
+    if kind.ordered:
+        order, number = _sorted(strings, np.arange(len(strings)))
+        same = np.empty(len(strings), np.int64)
+        same[order] = number
+    else:
+        seen: dict[bytes, int] = {}
+        same = np.fromiter((seen.setdefault(x, len(seen)) for x in strings), np.int64, len(strings))
+    least = np.full(int(same.max()) + 1, NULL_ID)
     np.minimum.at(least, same, did)
     later = np.flatnonzero(did > least[same])
     windows = np.array([kind.units(strings[i]) for i in later.tolist()], np.int64)
-    out_doc, out_start, out_end = [doc[later]], [start[later]], [start[later] + windows]
-    kept = np.array(sorted(first.values()), np.int64)
-    lead: dict[int, list[int]] = {}
-    for i in np.flatnonzero(did == least[same]).tolist():
-        lead.setdefault(int(same[i]), []).append(i)
-    for i, hits in zip(kept.tolist(), kind.solve([strings[i] for i in kept.tolist()], least[kept]), strict=True):
-        if len(hits):
-            for k in lead[i]:
-                out_doc.append(np.full(len(hits), doc[k]))
-                out_start.append(hits + start[k])
-                out_end.append(hits + (start[k] + WINDOW))
-    return list(_span_rows(table, np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end)))
+    lead = np.flatnonzero(did == least[same])  # several rows or places of the smallest document may have a string
+    lead = lead[np.argsort(same[lead], kind="stable")]
+    first = np.flatnonzero(np.diff(same[lead], prepend=-1))
+    string, offset = kind.solve([strings[i] for i in lead[first].tolist()], did[lead[first]])
+    # Every row of a string has its hits.
+    size = np.diff(np.r_[first, len(lead)])[string]
+    row = lead[np.repeat(first[string], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+    at = start[row] + np.repeat(offset, size)
+    return list(_span_rows(table, np.r_[doc[later], doc[row]], np.r_[start[later], at], np.r_[start[later] + windows, at + WINDOW]))
 
 
 def repeated(docs: DataFrame, kind: Kind, apply: Callable, keep: list[str], schema: str) -> DataFrame:

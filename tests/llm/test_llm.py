@@ -105,6 +105,38 @@ def test_near_copies(spark, docs, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == table(spark, "documents").columns
 
 
+def test_near_copies_by_dice(spark, docs, monkeypatch):
+    """Plain words, blocks in chunks, all pairs by brute force; the bands may miss a pair once in thousands."""
+    monkeypatch.setattr(simhash, "COPY_CHUNK", 3)
+    plain = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) or t.lower().split()
+    sets = {}
+    for d, t in docs:
+        w = plain(t or "")
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    want = groups(sets, lambda a, b: 2 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b])))
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, "documents"), measure="dice", plain=True).collect()} == want
+    assert len(set(want.values())) < len(set(groups(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])).values()))
+
+
+def test_near_copies_of_a_group_that_changes_word_by_word(spark, monkeypatch):
+    """A chain of texts, each near the next only, in small chunks, and short texts whose fingerprints lie far apart."""
+    monkeypatch.setattr(simhash, "COPY_CHUNK", 4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 8 : i * 8 + 120]), "en") for i in range(30)]
+    rows += [(100 + i, " ".join(f"v{i}x{k}" for k in range(12)) + (" more" if i % 2 else ""), "en") for i in range(20) for i in (i // 2 * 2 + i % 2,)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), measure="dice").collect()}
+    assert all(got[i] == 0 for i in range(30)) and all(got[100 + i] == 100 + i for i in range(20))
+    rows = [(i, "a b c d e f g h" + (" i" if i else ""), "en") for i in range(2)]
+    assert {r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()} == {0}
+
+
+def test_first_of_each_is_the_least_row(spark):
+    rows = [(1, "b text", "en"), (1, "a text", "en"), (2, "c c c", "de"), (3, "C c, c", "fr"), (None, "c c c", "en")]
+    for r in (rows, rows[::-1]):
+        kept = simhash.first_of_each(frame(spark, r), measure="dice", plain=True)
+        assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == [(0, "c c c"), (1, "a text"), (2, "c c c")] and kept.columns == frame(spark, r).columns
+
+
 # --- repeated passages
 
 
@@ -151,7 +183,8 @@ def test_suffix_solver(monkeypatch, most):
             for i in range(len(s) - 49):
                 seen[s[i : i + 50]] = min(d, seen.get(s[i : i + 50], 99))
         want = [[i for i in range(len(s) - 49) if seen[s[i : i + 50]] < d] for s, d in zip(strings, ids, strict=True)]
-        assert [x.tolist() for x in suffix.solve(strings, ids)] == want
+        string, at = suffix.solve(strings, ids)
+        assert [at[string == k].tolist() for k in range(len(strings))] == want and (np.diff(string) >= 0).all()
 
 
 @pytest.mark.parametrize("letters", [b"ab", bytes(range(256))])
@@ -261,6 +294,16 @@ def test_chat_folds_events(spark):
     assert f.formatted[m.start : m.start + m.length] == "&lt;|im_end|>\n&amp;amp;"
 
 
+def test_chat_logs_of_rows(spark):
+    """Logs have drafts, deltas, edits and regenerations; folded they are the rows."""
+    rows = [(1, 0, "user", "x" * 50), (1, 1, "assistant", "ab" * 700), (1, 2, "assistant", ""), (1, 3, "assistant", "y" * chat.DELTA), (2, 0, None, None)]
+    log = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    assert {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"message": 5, "edit": 2, "regenerate": 3, "delta": 3 + 6 + 1 + 2}
+    assert all(len(r.text) <= chat.DELTA for r in log.where("kind = 'delta'").collect())
+    got = sorted((r.conv_id, r.seq, r.role, r.text) for r in chat.folded(log).collect())
+    assert got == [(c, t, r or "", x or "") for c, t, r, x in rows]
+
+
 def test_chat_round_trip_of_odd_texts(spark):
     pieces = ["&", "<|", "&lt;|", "<", "|", "im_end|>", "\n", "&nl;", "&amp;", "ü"]
     rng = random.Random(2)
