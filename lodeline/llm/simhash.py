@@ -8,7 +8,7 @@ plane after the other, and a word is abandoned once all its lanes exceed the rad
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -213,10 +213,10 @@ COPY_RADIUS = {"jaccard": 22, "dice": 27}
 SHORT = 40
 #: Bands of two minima each: texts of a Jaccard similarity of 0.8 share one of 8 with a probability of 0.9997, texts of a Dice similarity of 0.8 one of 14.
 BANDS, ROWS_PER_BAND = {"jaccard": 8, "dice": 14}, 2
-#: Bands that are compared first; of the others only blocks whose members these have not brought together.
-FIRST_BANDS = 4
+#: Bands up to which each phase compares; from the second on only blocks whose members the phases before have not brought together.
+PHASES = (2, 6)
 #: Members, and shingles of all members, of a block that is compared as one.
-COPY_CHUNK, COPY_SHINGLES = 512, 1 << 21
+COPY_CHUNK, COPY_SHINGLES = 1024, 1 << 21
 _MULTIPLY = np.random.default_rng(5).integers(1, 2**63, max(BANDS.values()) * ROWS_PER_BAND, dtype=np.uint64) | np.uint64(1)
 #: A-Z in lower case and other ASCII signs but digits as blanks; letters beyond ASCII stay as they are.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -339,7 +339,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     measure: see MEASURES. plain: words without ASCII punctuation, A-Z in lower case. Texts of one shingle set are one member. Members meet in a block for each band of minima
     they share; there fingerprints are compared bit-sliced, and pairs within the radius are decided by their sets (32 bits of each hash: two
-    sets of 1,000 share one by chance once in 4,000 pairs). The first bands settle most groups; in the others only blocks that still hold several
+    sets of 1,000 share one by chance once in 4,000 pairs). The first bands settle most groups; in later phases only blocks that still hold several
     groups are looked at, and sets travel for these alone. A block over COPY_CHUNK members or COPY_SHINGLES shingles is compared chunk
     against chunk. Rows of one doc_id count as one document here; null and empty texts are copies of one another.
     """
@@ -372,10 +372,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         known = base.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
         return _linked(met, known, radius, similarity, dice)
 
-    found = components(edges(F.col("band") < FIRST_BANDS, reps.withColumn("grp", F.col("rep"))))
-    sofar = reps.join(found, F.col("rep") == found.node, "left").select(*reps.columns, F.coalesce("component", "rep").alias("grp"))
-    more = components(edges(F.col("band") >= FIRST_BANDS, sofar).select(F.col("a"), F.col("b")).union(found.select("node", "component")))
-    groups = reps.select("sid", "rep").join(more, F.col("rep") == more.node, "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
+    found = None
+    for lo, hi in pairwise([0, *(p for p in PHASES if p < bands), bands]):
+        grouped = reps.withColumn("grp", F.col("rep")) if found is None else reps.join(found, F.col("rep") == found.node, "left").select(*reps.columns, F.coalesce("component", "rep").alias("grp"))
+        new = edges((F.col("band") >= lo) & (F.col("band") < hi), grouped)
+        found = cut(components(new if found is None else new.union(found.select("node", "component"))))
+    groups = reps.select("sid", "rep").join(found, F.col("rep") == found.node, "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "sid").join(groups, "sid", "left").select("doc_id", "component_id")
 
 
