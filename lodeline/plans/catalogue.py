@@ -31,10 +31,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _graph(name: str, oracle: str, f: Callable[[graph.Graph], DataFrame], injected: bool = False) -> None:
-    """A query over G1 and, if it reads edges, `name`_all over the graph with the calls of all of lineitem."""
+    """A query over G1."""
     query(name, oracle)(lambda spark, sf_dir: f(fx.graph(spark, sf_dir, injected)))
-    if "edges" in oracle.replace(G1, ""):
-        query(f"{name}_all", oracle.replace(fx.EDGES, fx.ALL_EDGES))(lambda spark, sf_dir: f(fx.graph(spark, sf_dir, injected, whole=True)))
 
 
 FAN = f"""le AS (SELECT DISTINCT src, dst FROM edges WHERE type IN {LOGICAL}),
@@ -59,7 +57,7 @@ _graph("dead_edges", f"WITH nodes AS ({fx.NODES}), edges AS ({fx.INJECTED}) SELE
 _graph("valid_edges", f"WITH nodes AS ({fx.NODES}), edges AS ({fx.INJECTED}) SELECT src, dst, type, confidence, method FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)", lambda g: graph.valid(g).edges, True)
 DEGREES = "deg AS (SELECT n.id, n.type, n.path, (SELECT count(*) FROM edges e WHERE e.dst = n.id) AS n_in, (SELECT count(*) FROM edges e WHERE e.src = n.id) AS n_out FROM nodes n) "
 _graph("degrees", G1 + f", {DEGREES} SELECT * FROM deg", graph.degrees)
-HINTED = " OR ".join(f"contains(path, '{h}')" for h in graph.ENTRY_HINTS)
+HINTED = " OR ".join(f"contains(lower(path), '{h}')" for h in graph.ENTRY_HINTS)
 _graph("entry_points", G1 + f", {DEGREES} SELECT id, path, n_in, n_out FROM deg WHERE type = 'FILE' AND ((n_in = 0 AND n_out > 0) OR {HINTED}) AND n_in < 3", graph.entry_points)
 _graph("file_hubs", G1 + f", {DEGREES} SELECT id, path, n_in FROM deg WHERE type = 'FILE' AND n_in > 0 ORDER BY n_in DESC, id LIMIT 10", graph.file_hubs)
 _graph(
@@ -100,18 +98,23 @@ _graph(
     lambda g: iterate.diffusion(g.edges, graph.hub_scores(g).select("id", F.col("score").cast("double").alias("score"))).select("id", F.round("score", 6).alias("score")),
 )
 
-RING = f"WITH RECURSIVE edges AS ({fx.RING.replace('floor((3 * n_nationkey + 1) / 2)', '((3 * n_nationkey + 1) // 2)')}), seeds AS ({fx.SEEDS}), "
+RING = f"WITH RECURSIVE edges AS ({fx.RING}), seeds AS ({fx.SEEDS}), "
 
 
-@query("domains", RING + "reach AS (SELECT id AS seed, label, id FROM seeds UNION SELECT r.seed, r.label, e.dst FROM reach r JOIN edges e ON e.src = r.id WHERE e.dst NOT IN (SELECT id FROM seeds)), l AS (SELECT id, count(DISTINCT label) AS k, min(label) AS label FROM reach GROUP BY id) SELECT concat('n', n_nationkey) AS id, CASE WHEN k = 1 THEN label WHEN k > 1 THEN 'shared' ELSE 'global' END AS domain FROM nation LEFT JOIN l ON l.id = concat('n', n_nationkey)")
+@query("domains", RING + "reach AS (SELECT id AS seed, label, id FROM seeds UNION SELECT r.seed, r.label, e.dst FROM reach r JOIN edges e ON e.src = r.id WHERE e.dst NOT IN (SELECT id FROM seeds)), l AS (SELECT id, count(DISTINCT label) AS k, min(label) AS label FROM reach GROUP BY id) SELECT concat('p', p_partkey) AS id, CASE WHEN k = 1 THEN label WHEN k > 1 THEN 'shared' ELSE 'global' END AS domain FROM part LEFT JOIN l ON l.id = concat('p', p_partkey)")
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx.views(spark, sf_dir, "nation")
-    return iterate.domains(spark.sql(fx.NATIONS), spark.sql(fx.RING), spark.sql(fx.SEEDS))
+    fx.views(spark, sf_dir, "part")
+    return iterate.domains(spark.sql(fx.RING_NODES), spark.sql(fx.RING), spark.sql(fx.SEEDS))
 
 
 @query("cyclic_nodes", RING + "reach AS (SELECT src AS o, dst AS id FROM edges UNION SELECT r.o, e.dst FROM reach r JOIN edges e ON e.src = r.id) SELECT DISTINCT o AS id FROM reach WHERE o = id")
 def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iterate.cyclic_nodes(fx.sql(spark, sf_dir, fx.RING, "nation"))
+    return iterate.cyclic_nodes(fx.sql(spark, sf_dir, fx.RING, "part"))
+
+
+@query("include_closure", f"WITH RECURSIVE links AS ({fx.INCLUDES}), seen AS (SELECT 'f1' AS id UNION SELECT l.dst FROM seen s JOIN links l ON l.src = s.id) SELECT id FROM seen")
+def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterate.closure(fx.sql(spark, sf_dir, fx.INCLUDES, "part"), spark.sql("SELECT 'f1' AS id"))
 
 
 @query("domain_groups", "SELECT concat('domain_', substr(sha256(concat(name, ':', members)), 1, 12)) AS id, name, 'DOMAIN' AS type, n, members FROM (SELECT concat('r', n_regionkey) AS name, count(*) AS n, string_agg(concat('n', n_nationkey), ',' ORDER BY concat('n', n_nationkey)) AS members FROM nation GROUP BY n_regionkey) AS x")
@@ -120,16 +123,11 @@ def domain_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The English documents, over which the SQL of term_idf, lexical_scores and lexical_top50 is given."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
-
-
-def _all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
 
 
-TERMS = "docs AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_extract_all(translate(lower(text), '_-', '  '), '[\\p{L}\\p{N}]+'), lambda x: regexp_full_match(x, '[a-z]{3,}'))) AS t FROM documents WHERE lang = 'en')"
-ALL_TERMS = TERMS.replace(" WHERE lang = 'en'", "")
+WORDS = "list_filter(regexp_extract_all(translate(lower(text), '_-', '  '), '[\\p{L}\\p{N}]+'), lambda x: regexp_full_match(x, '[a-z]{3,}'))"
+TERMS = f"docs AS (SELECT doc_id AS id, list_distinct({WORDS}) AS t FROM documents)"
 IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
 
 
@@ -151,25 +149,15 @@ def lexical_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_seeds(lexical_scores(spark, sf_dir))
 
 
-@query("term_idf_all", ORACLES["term_idf"].replace(TERMS, ALL_TERMS))
-def term_idf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_idf(_all_docs(spark, sf_dir))
-
-
-@query("lexical_scores_all", ORACLES["lexical_scores"].replace(TERMS, ALL_TERMS))
-def lexical_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.lexical_scores(_all_docs(spark, sf_dir), QUERY)
-
-
-@query("lexical_top50_all", ORACLES["lexical_top50"].replace(TERMS, ALL_TERMS))
-def lexical_top50_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_seeds(lexical_scores_all(spark, sf_dir))
-
-
-@query("bm25")
+@query(
+    "bm25",
+    f"""WITH docs AS (SELECT doc_id AS id, coalesce({WORDS}, []) AS w FROM documents), q AS (SELECT DISTINCT unnest(string_split('{QUERY}', ' ')) AS term),
+t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM docs) AS x JOIN q USING (term) GROUP BY id, term), d AS (SELECT term, count(*) AS df, (SELECT count(*) FROM docs) AS n FROM t GROUP BY term),
+a AS (SELECT avg(len(w)) AS avg FROM docs), s AS (SELECT id, sum({IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / greatest(avg, 1.0)))) AS score FROM t JOIN d USING (term) JOIN docs USING (id), a GROUP BY id)
+SELECT docs.id, round(coalesce(score, 0), 6) AS score FROM docs LEFT JOIN s USING (id)""",
+)
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all documents."""
-    return lexical.bm25(_all_docs(spark, sf_dir), QUERY)
+    return lexical.bm25(_docs(spark, sf_dir), QUERY).select("id", F.round("score", 6).alias("score"))
 
 
 def _table(name: str) -> Query:
@@ -228,7 +216,7 @@ def rule_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ranked_paths", PATHS + f"""SELECT path, score, row_number() OVER (ORDER BY score DESC, len(string_split(path, '/')), {NAME}, path) AS rank FROM (SELECT path,
 CASE WHEN lower({NAME}) IN ({', '.join(f"'{x}'" for x in ranking.WELL_KNOWN)}) THEN 100 ELSE 0 END + CASE WHEN len(string_split(path, '/')) = 1 THEN 40 ELSE 0 END
-+ CASE WHEN string_split(lower(path), '/')[1] IN ('src', 'app', 'lib', 'core') AND len(string_split(path, '/')) > 1 THEN 40 ELSE 0 END - CASE WHEN contains(lower(path), 'test') THEN 10 ELSE 0 END - CASE WHEN contains(lower(path), 'util') THEN 20 ELSE 0 END AS score FROM paths) AS x""")
++ CASE WHEN list_has_any(string_split(lower(path), '/'), {list(ranking.SOURCES)}) THEN 40 ELSE 0 END - CASE WHEN list_has_any(string_split(lower(path), '/'), {list(ranking.TESTS)}) THEN 10 ELSE 0 END - CASE WHEN list_has_any(string_split(lower(path), '/'), {list(ranking.UTILITIES)}) THEN 20 ELSE 0 END AS score FROM paths) AS x""")
 def ranked_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(_paths(spark, sf_dir).select("path", ranking.heuristic(F.col("path")).alias("score")))
 
@@ -283,10 +271,21 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.fingerprint(docs, groups=1)
 
 
-@query("fingerprint_tree")
+def _told(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(length(CAST({x} AS VARCHAR)), ':', CAST({x} AS VARCHAR)) END"
+
+
+_LEVEL = "l{d} AS (SELECT substr(leaf, 1, {d}) AS leaf, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {of} GROUP BY 1)"
+
+
+@query(
+    "fingerprint_tree",
+    f"WITH x AS (SELECT substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS leaf, sha256(concat({', '.join(map(_told, ('doc_id', 'n_chars', 'source')))})) AS h FROM documents), "
+    + ", ".join(_LEVEL.format(d=d, of="x" if d == 3 else f"l{d + 1}") for d in (3, 2, 1, 0)) + " SELECT h AS fingerprint FROM l0",
+)
 def fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table("documents")(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.col("source").alias("mtime"))
-    return discovery.fingerprint(docs)
+    return discovery.fingerprint(docs, depth=3)
 
 
 @query("excerpts", "SELECT page_id, CASE WHEN length(html) > 1000 THEN concat(substr(html, 1, 1000), chr(10), '... (cut)') ELSE html END AS excerpt, length(html) - length(replace(html, chr(10), '')) + 1 AS lines FROM pages")
@@ -301,8 +300,176 @@ def exported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metrics_report")
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the graph with the calls of all of lineitem."""
-    return graph.report(fx.graph(spark, sf_dir, whole=True))
+    """All providers' rows as JSON; each provider but the health is a query of its own with SQL."""
+    return graph.report(fx.graph(spark, sf_dir))
+
+
+@query("safe_names", "SELECT p_partkey, substr(rtrim(regexp_replace(concat(p_name, ' / ', p_type, '?'), '[^A-Za-z0-9._-]+', '_', 'g'), '_'), 1, 20) AS name FROM part")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table("part")(spark, sf_dir).select("p_partkey", scalar.safe_name(F.concat("p_name", F.lit(" / "), "p_type", F.lit("?")), 20).alias("name"))
+
+
+_BARE = "trim(regexp_replace(line, '(^|\\s)#.*$', ''))"
+
+
+@query("requirement_names", f"SELECT id, CASE WHEN {_BARE} = '' OR starts_with({_BARE}, '-') OR regexp_matches({_BARE}, '^[A-Za-z][A-Za-z0-9+.-]*://') OR NOT regexp_matches({_BARE}, '^[A-Za-z0-9]') THEN NULL ELSE lower(regexp_extract({_BARE}, '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1)) END AS name FROM ({fx.REQUIREMENTS}) AS x")
+def requirement_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sql(spark, sf_dir, fx.REQUIREMENTS, "part").select("id", scalar.requirement_name(F.col("line")).alias("name"))
+
+
+@query("confidence_labels", "SELECT label, count(*) AS n FROM (SELECT CASE WHEN l_quantity / 50 >= 0.9 THEN 'High' WHEN l_quantity / 50 >= 0.7 THEN 'Medium' ELSE 'Low' END AS label FROM lineitem) AS x GROUP BY label")
+def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table("lineitem")(spark, sf_dir).groupBy(scalar.confidence_label(F.col("l_quantity") / 50).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_TOPS = "('" + "', '".join(scalar.IMPACT_TOP) + "')"
+
+
+@query("impact_domains", PATHS + f"SELECT domain, count(*) AS n FROM (SELECT CASE WHEN p[1] IN {_TOPS} AND len(p) > 1 THEN p[2] ELSE p[1] END AS domain FROM (SELECT string_split(path, '/') AS p FROM paths) AS x) AS y GROUP BY domain")
+def impact_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).groupBy(scalar.impact_domain(F.col("path")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("unresolved_externals", f"SELECT id, name FROM ({fx.EXTERNALS}) AS x WHERE type = 'UNRESOLVED_EXTERNAL' AND name NOT IN ('" + "', '".join(graph.BUILTINS) + "')")
+def unresolved_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = fx.sql(spark, sf_dir, fx.EXTERNALS, "part")
+    return graph.unresolved(graph.Graph(nodes, spark.createDataFrame([], "src string, dst string, type string, confidence double, method string")))
+
+
+_SHOWN = "SELECT path, CAST(length(path) AS DOUBLE) AS score FROM paths WHERE length(path) % 3 = 0"
+
+
+@query("path_scores", PATHS + "SELECT regexp_replace(path, '/[^/]*$', '') AS path, CAST(max(length(path)) AS DOUBLE) AS score FROM paths GROUP BY 1")
+def path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.path_scores(_paths(spark, sf_dir).select(F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.length("path").cast("double").alias("score")))
+
+
+@query(
+    "file_relevance",
+    PATHS + f""", s AS (SELECT CASE WHEN length(path) % 2 = 0 THEN concat('/repo/', path) ELSE regexp_replace(path, '^[^/]*/', '') END AS path, score FROM ({_SHOWN}) AS x), b AS (SELECT path, max(score) AS score FROM s GROUP BY path)
+SELECT f.path, coalesce(max(CASE WHEN b.path = f.path THEN b.score END), max(b.score), 0) AS score FROM paths f LEFT JOIN b ON b.path = f.path OR ends_with(b.path, concat('/', f.path)) OR ends_with(f.path, concat('/', b.path)) GROUP BY f.path""",
+)
+def file_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _paths(spark, sf_dir)
+    shown = paths.where(F.length("path") % 3 == 0).select(F.when(F.length("path") % 2 == 0, F.concat(F.lit("/repo/"), "path")).otherwise(F.regexp_replace("path", "^[^/]*/", "")).alias("path"), F.length("path").cast("double").alias("score"))
+    return lexical.file_scores(paths, shown)
+
+
+FRAMEWORK_RULES = [("brand#11", "frontend", "Eleven"), ("brand#12", "backend", "Twelve"), ("brand#13", "backend", "Twelve"), ("nothing", "backend", "None")]
+CONVENTION_RULES = [("brand#21", "state", "B", 2), ("brand#22", "state", "A", 1), ("brand#23", "testing", "C", None), ("brand#24", "testing", "D", None)]
+LAYER_RULES = [(f"brand#{i}", "odd" if i % 2 else "even") for i in range(11, 30)]
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, (int, float)) else f"'{x}'" for x in r) + ")" for r in rows) + ")"
+
+
+def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table("part")(spark, sf_dir).select(F.col("p_brand").alias("name"))
+
+
+@query("framework_rules", f"SELECT DISTINCT side, framework FROM part JOIN {_values(FRAMEWORK_RULES)} AS r(name, side, framework) ON lower(p_brand) = name")
+def framework_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.frameworks(_brands(spark, sf_dir), FRAMEWORK_RULES)
+
+
+@query("convention_rules", f"WITH h AS (SELECT DISTINCT category, pattern, priority FROM part JOIN {_values(CONVENTION_RULES)} AS r(name, category, pattern, priority) ON lower(p_brand) = name) SELECT category, pattern FROM h WHERE priority IS NULL OR priority = (SELECT min(priority) FROM h AS o WHERE o.category = h.category)")
+def convention_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.conventions(_brands(spark, sf_dir), CONVENTION_RULES)
+
+
+@query("layer_hints", G1 + f", f AS (SELECT DISTINCT unnest(string_split(lower(path), '/')[:-2]) AS folder FROM nodes) SELECT layer, folder FROM f JOIN {_values(LAYER_RULES)} AS r(folder, layer) USING (folder)")
+def layer_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.layers(fx.graph(spark, sf_dir).nodes.select("path"), LAYER_RULES)
+
+
+@query("architecture", "WITH d AS (SELECT lower(r_name) AS name, count(*) AS size FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'api', 1 UNION ALL SELECT 'core', 9), c AS (SELECT p_brand AS target, 0.5::DOUBLE AS confidence FROM part GROUP BY p_brand) SELECT CAST(0 AS INT) AS rank, 'Clean Architecture' AS name, 0.85::DOUBLE AS confidence WHERE (SELECT count(*) FROM d WHERE name IN ('api', 'core')) = 2 UNION ALL SELECT 1, 'Modular', 0.9::DOUBLE WHERE (SELECT count(*) FROM d WHERE size > 3 AND name <> 'root') > 2 UNION ALL SELECT 2, target, confidence FROM c")
+def architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.views(spark, sf_dir, "nation", "region", "part")
+    sizes = spark.sql("SELECT lower(r_name) AS name, count(*) AS size FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name UNION ALL SELECT 'api', 1 UNION ALL SELECT 'core', 9")
+    return discovery.architecture(sizes, spark.sql("SELECT p_brand AS target, CAST(0.5 AS DOUBLE) AS confidence FROM part GROUP BY p_brand"))
+
+
+PACK_TOKENS = 40_000
+_BLOCKS = "SELECT source AS domain, doc_id AS rank, n_chars AS chars FROM documents"
+
+
+@query(
+    "pack_budget",
+    f"""WITH RECURSIVE b AS ({_BLOCKS}), best AS (SELECT domain, min(rank) AS best, length(domain) + 3 AS head FROM b GROUP BY domain), r AS (SELECT domain, rank, chars, row_number() OVER (ORDER BY best, rank) AS k FROM b JOIN best USING (domain)),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS domain, CAST(-1 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS chars, (SELECT CAST(sum(head) AS BIGINT) FROM best) AS total, false AS kept
+    UNION ALL SELECT r.k, r.domain, r.rank, r.chars, CASE WHEN f.total + r.chars <= {PACK_TOKENS * 7 // 2} THEN f.total + r.chars ELSE f.total END, f.total + r.chars <= {PACK_TOKENS * 7 // 2} FROM f JOIN r ON r.k = f.k + 1)
+SELECT domain, rank, chars FROM f WHERE kept""",
+)
+def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.views(spark, sf_dir, "documents")
+    return ranking.packed_by_domain(spark.sql(_BLOCKS), PACK_TOKENS).select("domain", "rank", "chars")
+
+
+_BARE_PATH = "regexp_replace(path, '\\.[^./]*$', '')"
+
+
+@query(
+    "page_imports",
+    PATHS + f""", files AS (SELECT path, coalesce(nullif(list_position(['.ts', '.tsx', '.py', '.js', '.jsx'], {EXT}), 0), 99) AS prio, {_BARE_PATH} AS bare FROM (SELECT concat(path, CASE length(path) % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.js' WHEN 2 THEN '/__init__.py' ELSE '.py' END) AS path FROM paths UNION SELECT concat(path, '.py') FROM paths) AS p),
+keys AS (SELECT path, prio, 0 AS tier, path AS key FROM files UNION ALL SELECT path, prio, 1, bare FROM files UNION ALL SELECT path, prio, 2, regexp_replace(bare, '/index$', '') FROM files WHERE ends_with(bare, '/index') UNION ALL SELECT path, prio, 3, regexp_replace(bare, '/__init__$', '') FROM files WHERE ends_with(bare, '/__init__')),
+best AS (SELECT key, path FROM keys QUALIFY row_number() OVER (PARTITION BY key ORDER BY tier, prio, path) = 1)
+SELECT 'm.py' AS src, p.path AS module, best.path AS dst FROM paths p JOIN best ON best.key = p.path""",
+)
+def page_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _paths(spark, sf_dir)
+    n = F.length("path") % 4
+    files = paths.select(F.concat("path", F.when(n == 0, ".ts").when(n == 1, "/index.js").when(n == 2, "/__init__.py").otherwise(".py")).alias("path")).union(paths.select(F.concat("path", F.lit(".py")))).distinct()
+    return resolve.resolved_imports(files, paths.select(F.lit("m.py").alias("src"), F.col("path").alias("module")))
+
+
+@query(
+    "part_references",
+    f"""WITH e AS ({fx.PART_ENTITIES}), r AS ({fx.PART_REFS}), n AS (SELECT string_split(fqn, '.')[-1] AS symbol, min(fqn) AS named, count(*) AS k FROM e GROUP BY 1),
+s AS (SELECT array_to_string(p[i:], '.') AS symbol, min(fqn) AS dotted FROM (SELECT fqn, string_split(fqn, '.') AS p, unnest(range(2, len(string_split(fqn, '.')))) AS i FROM e) AS x GROUP BY 1)
+SELECT r.module, r.symbol, coalesce(l.fqn, named, dotted, concat('ext_', substr(sha256(r.symbol), 1, 12))) AS target, CASE WHEN l.fqn IS NOT NULL THEN 1.0 WHEN named IS NOT NULL THEN CASE WHEN k = 1 THEN 0.8 ELSE 0.5 END WHEN dotted IS NOT NULL THEN 0.6 ELSE 1.0 END::DOUBLE AS confidence,
+    CASE WHEN l.fqn IS NOT NULL THEN 'file_local_match' WHEN named IS NOT NULL THEN CASE WHEN k = 1 THEN 'global_name' ELSE 'ambiguous_name' END WHEN dotted IS NOT NULL THEN 'suffix' ELSE 'unresolved' END AS method
+FROM r LEFT JOIN e l ON l.fqn = concat(r.module, '.', r.symbol) LEFT JOIN n USING (symbol) LEFT JOIN s ON s.symbol = r.symbol""",
+)
+def part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.views(spark, sf_dir, "part")
+    return resolve.resolved_symbols(spark.sql(fx.PART_ENTITIES), spark.sql(fx.PART_REFS))
+
+
+@query(
+    "part_memory",
+    f"""WITH v AS ({fx.PART_VAULT}), u AS ({fx.PART_RULES}), named AS (SELECT v.id, v.name, v.category, CASE WHEN u.rule <> v.rule THEN u.rule ELSE v.rule END AS rule, CASE WHEN u.rule <> v.rule THEN u.confidence ELSE v.confidence END AS confidence, CASE WHEN u.rule <> v.rule THEN u.source ELSE v.source END AS source, v.created_at FROM v LEFT JOIN u USING (category, name)),
+rest AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.category = u.category AND v.name = u.name)),
+merged AS (SELECT n.id, coalesce(n.name, r.name) AS name, n.category, n.rule, greatest(n.confidence, coalesce(r.confidence, n.confidence)) AS confidence, n.source, n.created_at FROM named n LEFT JOIN rest r ON r.category = n.category AND r.rule = n.rule),
+added AS (SELECT concat('rule_', substr(sha256(concat(category, '|', name, '|', rule)), 1, 12)) AS id, name, category, rule, confidence, source, created_at FROM rest r WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.category = r.category AND v.rule = r.rule))
+SELECT * FROM merged UNION ALL SELECT * FROM added""",
+)
+def part_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.views(spark, sf_dir, "part")
+    return memory.upserted(spark.sql(fx.PART_VAULT), spark.sql(fx.PART_RULES))
+
+
+@query("part_unknown", f"WITH v AS ({fx.PART_VAULT}), u AS ({fx.PART_RULES}) SELECT name, category, rule AS description FROM u WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.category = u.category AND v.name = u.name) AND NOT EXISTS (SELECT 1 FROM v WHERE v.name IS NULL AND v.rule = u.rule)")
+def part_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.views(spark, sf_dir, "part")
+    return memory.unknown_patterns(spark.sql(fx.PART_RULES).select("name", "category", F.col("rule").alias("description")), spark.sql(fx.PART_VAULT)).select("name", "category", "description")
+
+
+_PARSED = """SELECT concat('lib/', replace(p_brand, '#', ''), '.py') AS file_path, replace(p_name, ' ', '_') AS name, CASE WHEN p_size % 2 = 0 THEN 'CLASS' ELSE 'FUNCTION' END AS kind, p_type AS purpose, concat(p_type, p_size % 7) AS called, p_partkey FROM part"""
+
+
+@query(
+    "assembled_nodes",
+    f"""WITH p AS ({_PARSED}), f AS (SELECT DISTINCT file_path AS path FROM p), e AS (SELECT path, fqn, name, kind FROM (SELECT file_path AS path, concat(replace(regexp_replace(file_path, '\\.[^./]*$', ''), '/', '.'), '.', name) AS fqn, name, kind, p_partkey FROM p) AS x QUALIFY row_number() OVER (PARTITION BY fqn ORDER BY path, p_partkey) = 1)
+SELECT concat('file_', substr(sha256(path), 1, 12)) AS id, 'FILE' AS type, string_split(path, '/')[-1] AS name, path, replace(regexp_replace(path, '\\.[^./]*$', ''), '/', '.') AS fqn FROM f
+UNION ALL SELECT concat('entity_', substr(sha256(fqn), 1, 12)), kind, name, path, fqn FROM e UNION ALL SELECT DISTINCT concat('ext_', substr(sha256(called), 1, 12)), 'UNRESOLVED_EXTERNAL', called, '', called FROM p""",
+)
+def assembled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.sql(spark, sf_dir, _PARSED, "part")
+    none = F.array().cast("array<string>")
+    entity = F.struct("p_partkey", "name", "kind", "purpose", none.alias("parent_classes"), F.array("called").alias("called_entities"), F.lit(None).cast("string").alias("outputs"))
+    parsed = rows.groupBy("file_path").agg(F.sort_array(F.collect_list(entity)).alias("entities")).withColumn("imports", none)
+    return resolve.assembled(parsed).nodes.select("id", "type", "name", "path", "fqn")
 
 
 @query("parse_python")

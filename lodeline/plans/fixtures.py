@@ -23,24 +23,40 @@ UNION ALL SELECT concat('o', o_orderkey), concat('c', o_custkey), 'EXTENDS', CAS
 UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), 'IMPORTS', CAST(1.0 AS DOUBLE), 'path' FROM supplier
 UNION ALL SELECT concat('o', l_orderkey), concat('p', l_partkey), 'CALLS',
     CAST(CASE WHEN l_partkey % 3 = 0 THEN 0.5 WHEN l_partkey % 3 = 1 THEN 0.8 ELSE 1.0 END AS DOUBLE), CASE WHEN l_partkey % 3 = 0 THEN 'ambiguous_name' WHEN l_partkey % 3 = 1 THEN 'global_name' ELSE 'file_local_match' END
-    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R') AS calls
+    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) AS calls
 """
-#: Calls from every order line, not only returned ones of large quantity.
-ALL_EDGES = EDGES.replace(" WHERE l_quantity >= 45 AND l_returnflag = 'R'", "")
 #: With three dead edges.
 INJECTED = EDGES + """
 UNION ALL SELECT 'missing1', 'n1', 'IMPORTS', CAST(1.0 AS DOUBLE), 'path' UNION ALL SELECT 'n1', 'missing2', 'IMPORTS', CAST(1.0 AS DOUBLE), 'path' UNION ALL SELECT 'missing3', 'missing4', 'CALLS', CAST(1.0 AS DOUBLE), 'path'
 """
-#: A digraph with cycles over the nations, and labels of some.
-RING = """
-SELECT concat('n', n_nationkey) AS src, concat('n', CAST(floor((3 * n_nationkey + 1) / 2) AS INT) % 25) AS dst FROM nation WHERE n_nationkey % 5 <> 0
-UNION SELECT concat('n', n_nationkey), concat('n', n_nationkey + 1) FROM nation WHERE n_nationkey % 4 = 1 AND n_nationkey < 24
+#: A digraph with cycles over the parts, in blocks of 50, eight of which lead one into the next; and labels of some parts. It grows with the table.
+_RING = "SELECT p_partkey AS k, p_partkey % 50 AS i, CAST(floor(p_partkey / 50) AS BIGINT) AS b FROM part"
+RING = f"""
+SELECT concat('p', k) AS src, concat('p', b * 50 + CAST(floor((3 * i + 1 + b % 7) / 2) AS BIGINT) % 50) AS dst FROM ({_RING}) AS x WHERE i % 5 <> 0
+UNION SELECT concat('p', k), concat('p', k + 1) FROM ({_RING}) AS x WHERE (i % 4 = 1 AND i < 49) OR (i = 49 AND b % 8 <> 7)
 """
-SEEDS = "SELECT concat('n', n_nationkey) AS id, concat('R', n_nationkey % 5) AS label FROM nation WHERE n_nationkey % 6 = 0"
-NATIONS = "SELECT concat('n', n_nationkey) AS id FROM nation"
+SEEDS = "SELECT concat('p', p_partkey) AS id, concat('R', CAST(floor(p_partkey / 60) AS BIGINT) % 5) AS label FROM part WHERE p_partkey % 60 = 0"
+RING_NODES = "SELECT concat('p', p_partkey) AS id FROM part"
 #: Paths of page URLs, without host and query.
 PATHS = "SELECT DISTINCT path FROM (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS path FROM pages) AS p WHERE path <> ''"
 
+#: Names as dependencies, requirement lines, references, rules of a vault and new ones, a row or more for each part; external symbols; includes.
+REQUIREMENTS = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat(replace(p_name, ' ', '-'), '==1.', p_partkey) WHEN 1 THEN concat('  ', replace(p_name, ' ', '_'), '[extra]>=2 # why')
+    WHEN 2 THEN '# a comment' WHEN 3 THEN concat('-r other', p_partkey, '.txt') WHEN 4 THEN concat('https://x.org/', p_partkey, '.whl') WHEN 5 THEN '   ' WHEN 6 THEN concat(upper(replace(p_name, ' ', '.')), ' ; python_version < "4"')
+    ELSE concat(replace(p_name, ' ', ''), ' @ https://x.org/y.whl') END AS line FROM part"""
+PART_ENTITIES = "SELECT DISTINCT concat('lib.', replace(p_brand, '#', ''), '.', replace(p_name, ' ', '_')) AS fqn FROM part"
+PART_REFS = """SELECT DISTINCT module, symbol FROM (
+    SELECT concat('lib.', replace(p_brand, '#', '')) AS module, replace(p_name, ' ', '_') AS symbol FROM part
+    UNION ALL SELECT 'main', replace(p_name, ' ', '_') FROM part UNION ALL SELECT 'main', concat(replace(p_brand, '#', ''), '.', replace(p_name, ' ', '_')) FROM part
+    UNION ALL SELECT 'main', concat('missing', p_partkey % 100) FROM part) AS r"""
+EXTERNALS = """SELECT concat('x', p_partkey) AS id, CASE WHEN p_partkey % 9 = 0 THEN 'FUNCTION' ELSE 'UNRESOLVED_EXTERNAL' END AS type,
+    CASE WHEN p_partkey % 5 = 0 THEN 'len' WHEN p_partkey % 5 = 1 THEN 'Promise' ELSE p_name END AS name, '' AS path, p_name AS fqn FROM part"""
+PART_VAULT = """SELECT concat('v', p_partkey) AS id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('n', p_partkey) END AS name, p_brand AS category, concat('use ', p_name, ' ', p_partkey) AS rule,
+    CAST(0.5 + p_partkey % 5 / 10.0 AS DOUBLE) AS confidence, 'user' AS source, '2024-01-01' AS created_at FROM part WHERE p_partkey % 3 <> 0"""
+PART_RULES = """SELECT concat('n', p_partkey) AS name, p_brand AS category, CASE WHEN p_partkey % 2 = 0 THEN concat('use ', p_name, ' ', p_partkey) ELSE concat('avoid ', p_name, ' ', p_partkey) END AS rule,
+    CAST(0.7 AS DOUBLE) AS confidence, 'auto' AS source, '2024-02-01' AS created_at FROM part"""
+INCLUDES = "SELECT concat('f', p_partkey) AS src, concat('f', p_partkey * 2) AS dst FROM part UNION ALL SELECT concat('f', p_partkey), concat('f', p_partkey * 2 + 1) FROM part WHERE p_partkey % 3 <> 0"
+
 FILES = "SELECT * FROM (VALUES ('src/x.ts'), ('src/x.py'), ('src/u.py'), ('src/u/index.ts'), ('src/v/__init__.py')) AS t(path)"
 IMPORTS = "SELECT * FROM (VALUES ('m.py', 'src/x'), ('m.py', 'src/u'), ('m.py', 'src/v'), ('m.py', 'nope'), ('m.py', 'src/x.py')) AS t(src, module)"
 ENTITIES = "SELECT * FROM (VALUES ('m.a.Foo'), ('m.b.Foo'), ('m.b.Bar')) AS t(fqn)"
@@ -61,8 +77,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     return spark.sql(text)
 
 
-def graph(spark: SparkSession, sf_dir: str, injected: bool = False, whole: bool = False) -> Graph:
-    """G1; with whole, calls come from all of lineitem."""
+def graph(spark: SparkSession, sf_dir: str, injected: bool = False) -> Graph:
+    """G1; injected: with dead edges."""
     views(spark, sf_dir, "region", "nation", "supplier", "customer", "orders", "part", "lineitem")
-    edges = INJECTED if injected else EDGES
-    return Graph(spark.sql(NODES), spark.sql(edges.replace(EDGES, ALL_EDGES) if whole else edges))
+    return Graph(spark.sql(NODES), spark.sql(INJECTED if injected else EDGES))
