@@ -9,15 +9,20 @@ from ..functions.scalar import extension, file_name, spaced
 
 #: Suffix to language.
 LANGUAGES = {".py": "Python", ".pyw": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".go": "Go", ".rs": "Rust", ".java": "Java", ".rb": "Ruby", ".html": "HTML", ".css": "CSS"}
-#: Rules of our own: (target, rule, pattern, weight) over paths in lower case with blanks.
+#: A small taxonomy of our own, made for data repositories: (target, rule, pattern, weight) over paths in lower case with blanks.
 RULES = [
-    ("Authentication", "folder", r"\b(auth|login|session)\b", 0.6), ("Authentication", "token", r"\b(jwt|oauth|token)\b", 0.4),
-    ("Payments", "folder", r"\b(payment|billing|invoice)s?\b", 0.7), ("Search", "folder", r"\b(search|index)\b", 0.5), ("API", "folder", r"\b(api|graphql|rest)\b", 0.8),
+    ("Ingestion", "reader", r"\b(loaders?|readers?|importers?|crawlers?)\b", 0.6), ("Ingestion", "format", r"\b(parquet|avro|csv|jsonl)\b", 0.4),
+    ("Transformation", "step", r"\b(transforms?|pipelines?|etl)\b", 0.7), ("Modelling", "training", r"\b(train|training|trainer|finetune)\b", 0.6),
+    ("Serving", "endpoint", r"\b(endpoints?|routes?|handlers?)\b", 0.6), ("Observability", "signal", r"\b(metrics|tracing|telemetry|dashboards?)\b", 0.7),
 ]
 #: Rules of our own: (dependency, side, framework).
 FRAMEWORKS = [("react", "frontend", "React"), ("next", "frontend", "Next.js"), ("vue", "frontend", "Vue"), ("svelte", "frontend", "Svelte"), ("@angular/core", "frontend", "Angular"), ("fastapi", "backend", "FastAPI"), ("django", "backend", "Django"), ("flask", "backend", "Flask"), ("express", "backend", "Express"), ("@nestjs/core", "backend", "NestJS"), ("typer", "backend", "Typer")]
-#: Rules of our own: (dependency, category, pattern, priority); categories with priorities take the first match only.
-CONVENTIONS = [("redux", "state", "Redux", 1), ("zustand", "state", "Zustand", 2), ("mobx", "state", "MobX", 3), ("tailwindcss", "styling", "Tailwind", 1), ("styled-components", "styling", "Styled Components", 2), ("pytest", "testing", "pytest", None), ("jest", "testing", "Jest", None), ("sqlalchemy", "data", "SQLAlchemy", None), ("pydantic", "data", "Pydantic", None)]
+# Fixed values: (dependency, category, pattern, priority); of a category with priorities the first match counts.
+CONVENTIONS = [
+    ("zustand", "state", "Zustand", 1), ("redux", "state", "Redux", 2), ("@reduxjs/toolkit", "state", "Redux", 2), ("jotai", "state", "Jotai", 3),
+    ("tailwindcss", "styling", "Tailwind", 1), ("styled-components", "styling", "Styled Components", 2),
+    ("pytest", "testing", "pytest", None), ("jest", "testing", "Jest", None), ("sqlalchemy", "data", "SQLAlchemy", None), ("pydantic", "data", "Pydantic", None),
+]
 #: Rules of our own: folder to layer.
 LAYERS = [("controllers", "presentation"), ("views", "presentation"), ("components", "presentation"), ("services", "application"), ("usecases", "application"), ("domain", "domain"), ("models", "domain"), ("entities", "domain"), ("repositories", "infrastructure"), ("adapters", "infrastructure"), ("infrastructure", "infrastructure")]
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "Pipfile")
@@ -98,13 +103,29 @@ def by_category(rows: DataFrame, category: str = "category", confidence: str = "
     return rows.orderBy(category, F.desc(confidence))
 
 
-def fingerprint(files: DataFrame, groups: int = 1024) -> DataFrame:
-    """One SHA-256 over (path, size, mtime) in path order. Exact for one group; for large trees the hashes of `groups` groups by path hash are hashed in turn."""
+def _told(c: str) -> Column:
+    """A value with its length before it, so that no two rows read alike; a null has none."""
+    x = F.col(c).cast("string")
+    return F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+
 
-    def digest(key: str | None) -> Column:
-        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "size", "mtime"))), lambda x: F.concat_ws("|", x.path, x.size.cast("string"), x.mtime.cast("string"))), ""), 256)
+def fingerprint(files: DataFrame, groups: int = 1024, depth: int | None = None) -> DataFrame:
+    """One SHA-256 over (path, size, mtime), whatever their order.
 
+    A tree of hashes: each row's hash, leaves of the rows whose path's hash has the same first `depth` hex digits, and above them nodes of the sixteen below each,
+    up to one root. Without a depth leaves get about 256 rows, so that no task gathers more than a few. groups <= 1: the plain hash over the rows in the order of
+    path, for small trees only (all rows in one task).
+    """
     if groups <= 1:
-        return files.agg(digest(None).alias("fingerprint"))
-    part = files.withColumn("g", F.pmod(F.xxhash64("path"), F.lit(groups))).groupBy("g").agg(digest("g").alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x.h), ""), 256).alias("fingerprint"))
+        row = F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mtime").cast("string"))
+        lines = F.array_sort(F.collect_list(F.struct("path", "size", "mtime", row.alias("row"))))
+        return files.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x.row), ""), 256).alias("fingerprint"))
+    if depth is None:
+        n, depth = files.count(), 0
+        while 16**depth * 256 < n:
+            depth += 1
+    row = F.sha2(F.concat(*map(_told, ("path", "size", "mtime"))), 256)
+    level = files.select(F.substring(F.sha2(F.coalesce("path", F.lit("")), 256), 1, depth).alias("at"), row.alias("h"))
+    for d in range(depth, -1, -1):
+        level = level.groupBy(F.substring("at", 1, d).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return files.sparkSession.range(1).join(level.select("h"), how="left").select(F.coalesce("h", F.sha2(F.lit(""), 256)).alias("fingerprint"))  # one row each

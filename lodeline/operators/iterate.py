@@ -16,11 +16,18 @@ def target_match(path: Column, target: str) -> Column:
     return (p == t) | p.endswith(f"/{t}")
 
 
-def impact(g: Graph, target: str, hops: int = 5) -> DataFrame:
-    """Nodes that reach the target's over edges of any type: id, depth, risk (1 HIGH, 2 MEDIUM, further LOW). Start nodes and external symbols don't come back."""
+class NoMatch(ValueError):
+    """No node has the target's path."""
+
+
+def impact(g: Graph, target: str, hops: int = 5, strict: bool = False) -> DataFrame:
+    """Nodes that reach the target's over edges of any type: id, depth, risk (1 HIGH, 2 MEDIUM, further LOW). Start nodes and external symbols don't come back.
+    strict: a target that no node has is an error."""
     back = g.edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct()
     seen = cut(g.nodes.where(target_match(F.col("path"), target)).select("id", F.lit(0).alias("depth")).distinct())
     frontier = seen
+    if strict and seen.isEmpty():
+        raise NoMatch(target)
     for d in range(1, hops + 1):
         new = frontier.join(back, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = cut(new.select("id", F.lit(d).alias("depth")))
@@ -40,15 +47,14 @@ def impact_summary(found: DataFrame, domain: Column) -> DataFrame:
 def diffusion(edges: DataFrame, seeds: DataFrame, top: int = 50, hops: int = 3, decay: float = 0.5, floor: float = 5.0) -> DataFrame:
     """Relevance from the `top` seeds (id, score), the best scaled to 100, over undirected edges: each hop keeps `decay` of the best neighbour that a node
     is first reached from; below `floor` nothing is passed on."""
-    best = seeds.where("score > 0").orderBy(F.desc("score"), "id").limit(top)
-    start = cut(best.crossJoin(best.agg(F.max("score").alias("most"))).select("id", (100.0 * F.col("score") / F.col("most")).alias("score")))
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("id", "next").distinct()
+    best = seeds.where("score > 0").orderBy(F.desc("score"), "id").limit(top).collect()  # at most `top` rows
+    most = max((r.score for r in best), default=1.0)
+    start = edges.sparkSession.createDataFrame([(r.id, 100.0 * r.score / most) for r in best], "id string, score double")
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("id", "next").distinct())
     seen, frontier = start, start
     for _ in range(hops):
         passed = frontier.where(F.col("score") * decay >= floor).join(both, "id").groupBy(F.col("next").alias("id")).agg((F.max("score") * decay).alias("score"))
         frontier = cut(passed.join(seen, "id", "left_anti").select("id", "score"))
-        if frontier.isEmpty():
-            break
         seen = seen.union(frontier)
     return seen
 
@@ -85,13 +91,16 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    found = None
+    found, n = None, e.count()
     while True:
-        while True:  # trim
+        while n:  # trim, twice a round: what only leads out of or into cycles goes
+            before = n
+            for _ in range(2):
+                inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
+                e = e.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+            e = cut(e)
             n = e.count()
-            inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
-            e = cut(e.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-            if e.count() == n:
+            if n == before:
                 break
         if n == 0:
             break
@@ -114,6 +123,7 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
         strong = part.join(part.groupBy("colour").count().where("count > 1"), "colour", "left_semi").select("id")
         found = strong if found is None else found.union(strong)
         e = cut(e.join(seen.withColumnRenamed("id", "src"), "src", "left_anti").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        n = e.count()
     return (loops if found is None else loops.union(found)).distinct()
 
 

@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import CHARS_PER_TOKEN, depth, file_name
 
-WELL_KNOWN = ("readme.md", "package.json", "pyproject.toml", "requirements.txt", "cargo.toml", "go.mod")
-SOURCES = ("src", "app", "lib", "core")
+# Names that raise or lower a path's score.
+WELL_KNOWN = ("readme.md", "package.json", "pyproject.toml", "cargo.toml", "go.mod")
+SOURCES = ("src", "app", "lib", "core", "main")
+TESTS = ("tests", "test", "spec", "specs", "__tests__")
+UTILITIES = ("utils", "helpers", "misc", "vendor")
 
 
 def heuristic(path: Column) -> Column:
-    """A score without a task: 100 for well-known files, 40 at the top, 40 below source folders, -10 for tests, -20 for utilities."""
-    low = F.lower(path)
-    parts = F.split(low, "/")
-    return (
-        F.when(F.lower(file_name(path)).isin(*WELL_KNOWN), 100).otherwise(0) + F.when(depth(path) == 1, 40).otherwise(0) + F.when(parts[0].isin(*SOURCES) & (F.size(parts) > 1), 40).otherwise(0)
-        - F.when(low.contains("test"), 10).otherwise(0) - F.when(low.contains("util"), 20).otherwise(0)
-    )
+    """A score without a task: 100 for well-known files, 40 at the top; 40 for a source folder anywhere in the path, -10 for tests, -20 for utilities."""
+    parts = F.split(F.lower(path), "/")
+
+    def points(n: int, when: Column) -> Column:
+        return F.when(when, n).otherwise(0)
+
+    def among(names: tuple[str, ...]) -> Column:
+        return F.arrays_overlap(parts, F.array(*map(F.lit, names)))
+
+    return points(100, F.lower(file_name(path)).isin(*WELL_KNOWN)) + points(40, depth(path) == 1) + points(40, among(SOURCES)) + points(-10, among(TESTS)) + points(-20, among(UTILITIES))
 
 
 def order() -> list[Column]:
@@ -52,29 +58,51 @@ def guidance(ranks: DataFrame) -> DataFrame:
 def within_budget(items: DataFrame, cap: float, *by: Column, size: str = "size", spent: float = 0.0) -> DataFrame:
     """The items (all columns) kept greedily in the order of `by`: one that would exceed the cap is skipped, later smaller ones still fit.
 
-    Items over the cap go before the sort. The choice itself is sequential: one task folds the sorted stream in constant memory.
+    Items over the cap go before the sort, whose ranges are kept. Of each range the sum and the least size come to the driver: a range that fits
+    whole is taken, one whose least item no longer fits is passed over, and only ranges in between are folded one after the other to learn
+    what is spent when the next begins. Then all ranges are folded at once. Items without a size are left out.
     """
-    schema = items.schema
-    rows = items.where(F.col(size) <= cap - spent).orderBy(*by).coalesce(1)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = spent
-        for b in batches:
-            keep = []
-            for s in b.column(size).to_pylist():
-                fits = s is not None and total + s <= cap
-                total += s if fits else 0
-                keep.append(fits)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(fold, schema)
-
+    from ..plans.lineage import cut
 
-def packed_by_domain(blocks: DataFrame, max_tokens: float, header: str = "# {}\n") -> DataFrame:
-    """Second pass over rendered blocks (domain, rank, chars): domains in the order of their best rank, each charged its header; blocks that don't fit are skipped."""
+    schema = items.schema
+    rows = cut(items.where(F.col(size) <= cap - spent).orderBy(*by).withColumn("__range", F.spark_partition_id()))
+
+    def fold(starts: dict[int, float], ends: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                total = starts[b.column("__range")[0].as_py()] if total is None else total
+                keep = []
+                for s in b.column(size).to_pylist():
+                    fits = total + s <= cap
+                    total += s if fits else 0
+                    keep.append(fits)
+                if not ends:
+                    yield b.filter(pa.array(keep, pa.bool_())).select(schema.names)
+            if ends and total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([float(total)])], ["total"])
+
+        return run
+
+    total, starts = spent, {}
+    for r in rows.groupBy("__range").agg(F.sum(size).alias("all"), F.min(size).alias("least")).orderBy("__range").collect():  # a row for each range
+        if total + r["least"] > cap:
+            continue
+        starts[r["__range"]] = total
+        if total + r["all"] <= cap - 1e-6 * abs(cap):
+            total += r["all"]
+        else:
+            total = rows.where(F.col("__range") == r["__range"]).mapInArrow(fold(starts, True), "total double").first().total
+    return rows.where(F.col("__range").isin(*starts) if starts else F.lit(False)).mapInArrow(fold(starts, False), schema)
+
+
+def packed_by_domain(blocks: DataFrame, max_tokens: float, header: str = "# {}\n", footer: str = "") -> DataFrame:
+    """Second pass over rendered blocks (domain, rank, chars): domains in the order of their best rank, each charged its header and footer; blocks that don't fit are skipped."""
     best = blocks.groupBy("domain").agg(F.min("rank").alias("best"))
     d = blocks.join(best, "domain")
-    heads = best.agg(F.sum(F.length(F.format_string(header.replace("{}", "%s"), F.col("domain")))).alias("h")).first().h or 0
+    heads = best.agg(F.sum(F.length(F.format_string(header.replace("{}", "%s"), F.col("domain"))) + len(footer)).alias("h")).first().h or 0
     d = d.withColumn("tokens", F.col("chars") / CHARS_PER_TOKEN)
     return within_budget(d, max_tokens, F.col("best"), F.col("rank"), size="tokens", spent=heads / CHARS_PER_TOKEN).drop("best")
 

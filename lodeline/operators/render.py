@@ -63,10 +63,19 @@ def tree_text(paths: DataFrame, depth: int = 4, breadth: int = 50, most: int = 2
     return "\n".join(out + ["... (cut)"] * (len(rows) > most))
 
 
+#: What a pack begins with, and what stands around each domain; all are charged to a budget.
+PACK_HEADER, DOMAIN_HEADER, DOMAIN_FOOTER = "Context of {}\n\n", "# {title}: {}\n", "\n"
+
+
+def pack_header(name: str) -> str:
+    return PACK_HEADER.replace("{}", name)
+
+
 def packed_text(blocks: DataFrame, title: str) -> DataFrame:
-    """(domain, text): one string a domain of blocks (domain, rank, block), in rank order; the caller writes them as files."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x.block), "\n")
-    return blocks.groupBy("domain").agg(F.min("rank").alias("best"), body.alias("body")).select("domain", "best", F.concat(F.lit(f"# {title}: "), "domain", F.lit("\n"), "body").alias("text"))
+    """(domain, best, text): one string a domain of blocks (domain, rank, block), in rank order; the caller writes them as files."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x.block), "")
+    head = F.format_string(DOMAIN_HEADER.replace("{title}", title.replace("%", "%%")).replace("{}", "%s"), F.col("domain"))
+    return blocks.groupBy("domain").agg(F.min("rank").alias("best"), body.alias("body")).select("domain", "best", F.concat(head, "body", F.lit(DOMAIN_FOOTER)).alias("text"))
 
 
 def domain_payload(g: Graph, members: DataFrame, name: str) -> DataFrame:

@@ -37,7 +37,9 @@ def aliased(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     folder = F.regexp_replace("src", "/?[^/]*$", "")
     rel = F.col("module").startswith(".")
     i = imports.withColumn("__m", F.when(rel, normal_path(F.concat_ws("/", folder, "module"))).otherwise(F.col("module")))
-    hit = i.where(~rel).join(F.broadcast(aliases), F.col("module").startswith(F.col("prefix"))).groupBy("src", "module").agg(F.min_by(F.struct("prefix", "target"), "ordinal").alias("a"))
+    # Prefixes are enumerated and joined by equality; the first alias in their order wins.
+    prefixes = i.where(~rel).select("src", "module").distinct().select("src", "module", F.explode(F.transform(F.sequence(F.lit(0), F.length("module")), lambda k: F.substring("module", 1, k))).alias("prefix"))
+    hit = prefixes.join(aliases, "prefix").groupBy("src", "module").agg(F.min_by(F.struct("prefix", "target"), "ordinal").alias("a"))
     return i.join(hit, ["src", "module"], "left").select("src", F.when(F.col("a").isNotNull() & ~rel, F.concat("a.target", F.substr("module", F.length("a.prefix") + 1))).otherwise(F.col("__m")).alias("module"))
 
 
@@ -65,15 +67,21 @@ def resolved_symbols(entities: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def assembled(parsed: DataFrame) -> Graph:
-    """The graph of parsed files (file_path, imports, entities[name, kind, purpose, parent_classes, called_entities, outputs], error)."""
+def assembled(parsed: DataFrame, aliases: DataFrame | None = None) -> Graph:
+    """The graph of parsed files (file_path, imports, entities[name, kind, purpose, parent_classes, called_entities, outputs], error); aliases: see aliased()."""
     files = parsed.select(F.col("file_path").alias("path")).distinct()
     nodes = files.select(node_id("file", F.col("path")).alias("id"), F.lit("FILE").alias("type"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", module_path(F.col("path")).alias("fqn"), F.lit(None).cast("string").alias("purpose"))
-    ents = parsed.select(F.col("file_path").alias("path"), F.explode("entities").alias("e")).select("path", "e.*").withColumn("module", module_path(F.col("path"))).withColumn("fqn", F.concat_ws(".", "module", "name"))
-    ents = ents.dropDuplicates(["fqn"]).withColumn("id", node_id("entity", F.col("fqn")))
+    ents = parsed.select(F.col("file_path").alias("path"), F.posexplode("entities").alias("at", "e")).select("path", "at", "e.*").withColumn("module", module_path(F.col("path"))).withColumn("fqn", F.concat_ws(".", "module", "name"))
+    # Of several entities of one name that of the least path counts, and of these the one that comes first.
+    own = [c for c in ents.columns if c != "fqn"]
+    ents = ents.groupBy("fqn").agg(F.min_by(F.struct(*own), F.struct("path", "at")).alias("e")).select("fqn", "e.*").drop("at").withColumn("id", node_id("entity", F.col("fqn")))
     nodes = nodes.unionByName(ents.select("id", F.col("kind").alias("type"), "name", "path", "fqn", "purpose"))
     contains = ents.select(node_id("file", F.col("path")).alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"), F.lit(1.0).alias("confidence"), F.lit("parsed").alias("method"))
-    imports = resolved_imports(files, parsed.select(F.col("file_path").alias("src"), F.explode("imports").alias("module")))
+    asked = parsed.select(F.col("file_path").alias("src"), F.explode("imports").alias("module"))
+    if aliases is not None:
+        typed = F.col("src").rlike(r"\.[jt]sx?$")
+        asked = aliased(asked.where(typed), aliases).union(asked.where(~typed))
+    imports = resolved_imports(files, asked)
     imported = imports.select(node_id("file", F.col("src")).alias("src"), node_id("file", F.col("dst")).alias("dst"), F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("confidence"), F.lit("path").alias("method"))
     kinds = F.array(F.struct(F.lit("CALLS").alias("type"), F.col("called_entities").alias("of")), F.struct(F.lit("EXTENDS").alias("type"), F.col("parent_classes").alias("of")), F.struct(F.lit("RETURNS").alias("type"), F.when(F.col("outputs").isNotNull() & (F.col("outputs") != ""), F.array("outputs")).otherwise(F.array().cast("array<string>")).alias("of")))
     refs = ents.select("id", "module", F.explode(kinds).alias("k")).select("id", "module", "k.type", F.explode("k.of").alias("symbol"))

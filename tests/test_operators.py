@@ -100,7 +100,7 @@ def test_discovery(spark):
     assert {tuple(r) for r in discovery.frameworks(deps).collect()} == {("frontend", "React"), ("backend", "FastAPI")}
     assert {tuple(r) for r in discovery.conventions(deps).collect()} == {("state", "Redux"), ("testing", "pytest")}
     paths = spark.createDataFrame([("src/AuthService/login.py",), ("src/authority.py",)], "path string")
-    got = discovery.evaluated(paths).first()
+    got = discovery.evaluated(paths, [("Authentication", "folder", r"\b(auth|login|session)\b", 0.6), ("Authentication", "token", r"\b(jwt|oauth|token)\b", 0.4)]).first()
     assert (got.target, got.confidence, got.evidence) == ("Authentication", 0.6, "src/AuthService/login.py")
     none = spark.createDataFrame([], "target string, confidence double")
     assert [r.name for r in discovery.architecture(spark.createDataFrame([("a", 1)], "name string, size int"), none).collect()] == ["Monolith"]
