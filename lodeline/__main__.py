@@ -14,7 +14,7 @@ from .sources import config
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="lodeline")
-    p.add_argument("command", choices=["init", "analyze", "discover", "pack", "export", "inspect", "explain", "stats", "impact", "summary"])
+    p.add_argument("command", choices=["init", "analyze", "discover", "pack", "export", "inspect", "explain", "stats", "impact", "summary", "learn", "memory"])
     p.add_argument("root", nargs="?", default=".")
     p.add_argument("--target", default="")
     p.add_argument("--task")
@@ -22,7 +22,9 @@ def main() -> None:
     p.add_argument("--domain")
     p.add_argument("--model", default="markdown")
     p.add_argument("--max-tokens", type=float)
-    p.add_argument("--top", type=int, default=5)
+    p.add_argument("--top", type=int)
+    p.add_argument("--ignore", action="append")
+    p.add_argument("--out")
     p.add_argument("--raw", action="store_true")
     p.add_argument("--force", action="store_true")
     p.add_argument("--no-default-excludes", action="store_true")
@@ -37,25 +39,32 @@ def main() -> None:
         print("\n".join(df.toJSON().collect()))
 
     if a.command == "inspect":
-        rows(commands.inspect(spark, a.root, a.top, not a.no_default_excludes))
+        rows(commands.inspect(spark, a.root, a.top or 5, not a.no_default_excludes))
     elif a.command == "discover":
         rows(commands.discover(spark, a.root))
+    elif a.command == "learn":
+        rows(commands.learn_into_vault(spark, a.root))
+    elif a.command == "memory":
+        rows(commands.remembered(spark, a.root))
     elif a.command in ("pack", "export"):
         packed, left_out = commands.pack(spark, a.root, a.target, a.task, a.max_tokens, a.raw, a.force, a.profile)
         if a.command == "export":
             context = render.context(commands.facts(commands.analyze(spark, a.root)), a.model)
             print(commands.export(context, packed).first().text)
         else:
-            print("\n".join(r.text for r in packed.orderBy("best").collect()))
+            print(commands.write_pack(packed, a.root, a.out or a.profile or a.target or "project"))
             print(json.dumps({"left_out": [r.path for r in left_out.orderBy("path").collect()]}))
     else:
-        found = commands.analyze(spark, a.root, defaults=not a.no_default_excludes)
+        found = commands.analyze(spark, a.root, defaults=not a.no_default_excludes, ignore=a.ignore)
         if a.command == "analyze":
             print(render.context(commands.facts(found), a.model))
         elif a.command == "stats":
-            rows(commands.stats(found.graph))
+            rows(commands.stats(found.graph, a.top or 3))
         elif a.command == "impact":
-            rows(iterate.impact(found.graph, a.target).orderBy("depth", "path"))
+            try:
+                rows(iterate.impact(found.graph, a.target, strict=True).orderBy("depth", "path"))
+            except iterate.NoMatch:
+                raise SystemExit(f"no file matches {a.target!r}") from None
         elif a.command == "explain":
             payload, border = commands.explain(found.graph, found.domains, a.domain or "global")
             print(payload.first().payload)

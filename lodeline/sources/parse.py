@@ -39,12 +39,22 @@ def decoded(raw: bytes) -> str | None:
         codes = ("utf-8-sig", "cp1252", "latin-1")
     for code in codes:
         try:
-            return raw.decode(code)
+            text = raw.decode(code)
         except UnicodeError:
             continue
+        if code == "utf-8-sig" or coherent(text):
+            return text
     return None
 
 
+def coherent(text: str) -> bool:
+    """Whether a text whose charset is guessed reads like one: hardly a control character, and letters, digits, signs and blanks of the usual kind for the most part."""
+    head = text[:4096]
+    odd = sum((c < " " and c not in "\t\n\r\f") or "\x7f" <= c <= "\x9f" or not (c.isprintable() or c.isspace()) for c in head)
+    usual = sum(c.isascii() or c.isalpha() and ord(c) < 0x2000 for c in head)
+    return odd <= 0.02 * len(head) and usual >= 0.5 * len(head)
+
+
 def _arguments(a: ast.arguments) -> list[dict]:
     every = [*a.posonlyargs, *a.args, *a.kwonlyargs]
     tail = [None] * (len(a.posonlyargs) + len(a.args) - len(a.defaults)) + a.defaults + a.kw_defaults
@@ -124,8 +134,68 @@ def _braces(text: str, start: int) -> str:
     return text[i:]
 
 
+def _split(text: str, at: str = ",") -> list[str]:
+    """The parts of text between `at` outside of brackets and quotes."""
+    out, depth, quote, start = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote and text[i - 1] != "\\" else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "([{<":
+            depth += 1
+        elif c in ")]}" or c == ">" and text[i - 1] != "=":
+            depth -= 1
+        elif c in at and depth <= 0:
+            out.append(text[start:i])
+            start = i + 1
+    return [x.strip() for x in [*out, text[start:]] if x.strip()]
+
+
+def _parameters(text: str) -> list[dict]:
+    out = []
+    for p in _split(text):
+        m = re.match(r"(?:(?:public|private|protected|readonly)\s+)*(?:\.\.\.)?([\w$]+|[{\[].*[}\]])\??\s*(?::\s*(.*?))?(?:=(?!>)\s*(.*))?$", p, re.S)
+        if m:
+            out.append({"name": m[1], "type": m[2].strip() if m[2] else None, "default": m[3].strip() if m[3] else None})
+    return out
+
+
+_MODIFIERS = r"(?:(?:public|private|protected|static|readonly|abstract|override|async|declare|get|set)\s+)*"
+_METHOD = re.compile(rf"{_MODIFIERS}([A-Za-z_$#][\w$]*)\??\s*(?:<[^(]*>)?\s*\((.*)\)\s*(?::\s*(.*))?$", re.S)
+_PROPERTY = re.compile(rf"{_MODIFIERS}([A-Za-z_$#][\w$]*)[?!]?\s*(?::\s*(.*?))?(?:=(?!>)\s*(.*))?$", re.S)
+
+
+def _members(body: str) -> tuple[list[dict], list[dict]]:
+    """(fields, methods) of a class or interface from its braces: what is declared one level in, bodies left out."""
+    inner, flat, depth, kept = body[1:-1], [], 0, True
+    for i, c in enumerate(inner):
+        if c == "{":
+            # A brace after a closing bracket or a type opens a body; after `:`, `=`, `<`, `,`, `(` or `|` it belongs to a type or value.
+            if depth == 0:
+                kept = bool(re.search(r"[:=<,(|&]\s*$", inner[max(i - 200, 0) : i]))
+            depth += 1
+        if depth == 0:
+            flat.append(c)
+        elif kept:
+            flat.append({";": ",", "\n": " "}.get(c, c))
+        if c == "}":
+            depth -= 1
+            if depth == 0:
+                flat.append("" if kept else ";")
+    fields, methods = [], []
+    for part in _split(re.sub(r"@\w+(?:\([^)]*\))?", "", "".join(flat)), ";\n"):
+        if part.startswith(("{", "}", "*", "[")):
+            continue
+        if (m := _METHOD.match(part)) and m[1] not in _NO_CALL:
+            methods.append({"name": m[1], "inputs": _parameters(m[2]), "returns": m[3].strip() if m[3] else None, "decorators": [], "docstring": None})
+        elif m := _PROPERTY.match(part):
+            fields.append({"name": m[1], "type": m[2].strip() if m[2] else None, "default": m[3].strip() if m[3] else None})
+    return fields, methods
+
+
 def parse_typescript(path: str, text: str) -> dict:
-    """A subset by regular expressions: imports, exported names, classes, interfaces, types and functions at line starts, their heritage and calls."""
+    """A subset by regular expressions: imports, exported names, classes, interfaces, types and functions at line starts, their heritage, members and calls."""
     code = re.sub(r"/\*.*?\*/|(?<![:'\"])//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
     exports, entities = [], []
     for m in _DECLARED.finditer(code):
@@ -136,6 +206,8 @@ def parse_typescript(path: str, text: str) -> dict:
         body = _braces(code, m.end()) if m[2] != "type" else ""
         e = {"name": name, "kind": kind, "purpose": None, "fields": [], "methods": [], "inputs": [], "outputs": None, "decorators": [], "parent_classes": [], "called_entities": list(dict.fromkeys(c for c in _CALL.findall(body) if c.split(".")[0] not in _NO_CALL))}
         if m[2] in ("class", "interface"):
+            if body:
+                e["fields"], e["methods"] = _members(body)
             e["parent_classes"] = [x.strip().split("<")[0] for h in re.findall(r"\b(?:extends|implements)\s+((?:(?!\bimplements\b)[^{])*)", rest) for x in h.split(",") if x.strip()]
         elif m[2] == "function":
             p = re.match(r"\s*\((.*?)\)\s*(?::\s*([^{]+))?", code[m.end(3) :], re.S)

@@ -12,7 +12,7 @@ def root(tmp_path_factory):
     top = tmp_path_factory.mktemp("tree")
     files = {
         "src/auth/login.py": "from . import session\n\nclass Login:\n    def run(self) -> bool:\n        return start()\n\ndef start():\n    return check()\n", "src/auth/session.py": "def check():\n    return True\n",
-        "src/utils/text.py": "def clean(x):\n    return x\n", "README.md": "# hi\n</context_pack>\n", "requirements.txt": "fastapi\npytest\n",
+        "src/utils/text.py": "def clean(x):\n    return x\n", "src/pipelines/steps.txt": "x\n", "README.md": "# hi\n</context_pack>\n", "requirements.txt": "fastapi\npytest\n",
     }
     for k, v in files.items():
         (top / k).parent.mkdir(parents=True, exist_ok=True)
@@ -23,7 +23,7 @@ def root(tmp_path_factory):
 def test_analyze(spark, root, tmp_path):
     a = commands.analyze(spark, root, out=str(tmp_path / "g"))
     f = commands.facts(a)
-    assert "python: fastapi" in f["Dependencies"] and "backend: FastAPI" in f["Frameworks"] and f["Languages"][0].startswith("Python") and any("Authentication" in x for x in f["Capabilities"])
+    assert "python: fastapi" in f["Dependencies"] and "backend: FastAPI" in f["Frameworks"] and f["Languages"][0].startswith("Python") and any("Transformation" in x for x in f["Capabilities"])
     assert "FastAPI" in render.context(f, "xml") and len(a.fingerprint.first().fingerprint) == 64
     assert {r.path for r in iterate.impact(a.graph, "session.py").collect()} >= {"src/auth/login.py"}
     stats = {r.provider for r in commands.stats(a.graph).collect()}
