@@ -1,6 +1,6 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame functions only.
 
-A log of events (conv_id, message, seq, kind, role, text) is folded message by message: `message` and `edit` set the text,
+A log of events (conv_id, message, seq, at, kind, role, text) is folded message by message, in the order of seq, then at: `message` and `edit` set the text,
 `delta` appends to it, `regenerate` empties it. Messages stand in the order of their first event. Each becomes
 `<|im_start|>role\\ntext<|im_end|>\\n`; `&` and `<|` inside roles and texts are escaped reversibly.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 LOSS_ROLES = ("assistant",)
 PROBE = "<|im_end|><|im_start|>assistant ok"
+#: Characters of a streamed delta, and of a draft that is given up.
+DELTA, DRAFT = 256, 32
 
 
 def escaped(text: Column) -> Column:
@@ -34,9 +36,11 @@ def _unescaped_role(role: Column) -> Column:
 def folded(events: DataFrame) -> DataFrame:
     """(conv_id, message, seq, role, text): each message's final state; null texts count as empty.
 
-    Events of one seq are taken in the order of kind, then text. The last role given holds.
+    Events of one seq and at (a log may do without at) are taken in the order of kind, then text. The last role given holds. A message's log is
+    gathered in one row, as its text will be.
     """
-    log = F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"), "role")))
+    at = F.col("at") if "at" in events.columns else F.lit(0)
+    log = F.array_sort(F.collect_list(F.struct("seq", at.alias("at"), "kind", F.coalesce("text", F.lit("")).alias("text"), "role")))
     by_message = events.groupBy("conv_id", "message").agg(log.alias("log"))
     state = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("role"))
 
@@ -78,8 +82,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows of conversations as events: each is a message of its own; rows of one turn stand in the order of role, then text."""
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.monotonically_increasing_id().alias("message"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    """The logs that rows of conversations, each a message of its own, would have left: an assistant's begins empty, streams a draft, is regenerated and streamed
+    again in deltas; another's is given as a draft and then edited. Rows of one turn stand in the order of role, then text."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.monotonically_increasing_id().alias("message"), F.col("turn").cast("long").alias("seq"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def event(at: Column, kind: str, text: Column, role: Column | None = None) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+
+    draft = F.substring("text", 1, DRAFT)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / DELTA).cast("int")), lambda i: event(i + 3, "delta", F.substr("text", i * DELTA + 1, F.lit(DELTA))))
+    streamed = F.concat(F.array(event(F.lit(0), "message", F.lit(""), F.col("role")), event(F.lit(1), "delta", draft), event(F.lit(2), "regenerate", F.lit(""))), pieces)
+    edited = F.array(event(F.lit(0), "message", draft, F.col("role")), event(F.lit(1), "edit", F.col("text")))
+    log = rows.select("conv_id", "message", "seq", F.explode(F.when(F.col("role").isin(*LOSS_ROLES), streamed).otherwise(edited)).alias("e"))
+    return log.select("conv_id", "message", "seq", "e.at", "e.kind", "e.role", "e.text")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
