@@ -9,44 +9,54 @@ from .common import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest doc_id that its links reach."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes that a smaller doc_id has too, counted, and a digest of the rest."""
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base rules and whether its distribution is near its language's."""
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's formatted text, read back."""
     return chat.digest(spark, table(spark, sf_dir, "conversations"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of every document and benchmark item that reaches the similarity."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that a smaller doc_id has too, counted, and a digest of the rest."""
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from four folds in five."""
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's likelihood under the hidden Markov model, and under unigrams."""
     return lm.likelihoods(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity and its offending sentences, learnt from two folds in three."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, with their text, in the bins they are packed into."""
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_quality, op4_chat, op5_substring, op6_langid, op7_decontamination, op8_hmm, op9_toxicity, op10_packing)}
-ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op4_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_suffix_array": suffix.ORACLE, "op3_quality": quality.ORACLE, "op4_chat": chat.ORACLE, "op5_substring": substring.ORACLE}

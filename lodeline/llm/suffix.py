@@ -253,3 +253,17 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 def digest(docs: DataFrame) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for digest() over documents: bytes as pairs of hex digits.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM win JOIN (SELECT s, min(doc_id) AS least FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)) USING (s) WHERE doc_id > least),
+new AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+span AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM new) GROUP BY doc_id, k),
+told AS (SELECT doc_id, sum(e - b) AS n, count(*) AS k, string_agg(piece, '' ORDER BY b) AS pieces, max(e) AS last
+    FROM (SELECT doc_id, b, e, substr(x, 2 * before + 1, 2 * (b - before)) AS piece FROM (SELECT span.*, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM span) JOIN d USING (doc_id)) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(concat(pieces, substr(x, 2 * coalesce(last, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN told USING (doc_id)
+"""

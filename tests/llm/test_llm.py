@@ -105,17 +105,32 @@ def test_near_copies(spark, docs, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == table(spark, "documents").columns
 
 
-def test_near_copies_by_dice(spark, docs, monkeypatch):
-    """Plain words, blocks in chunks, all pairs by brute force; the bands may miss a pair once in thousands."""
-    monkeypatch.setattr(simhash, "COPY_CHUNK", 3)
+def plain_near_copies(docs):
+    """{document: smallest document of its group}, all pairs of sets of five plain words, by Dice."""
     plain = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) or t.lower().split()
     sets = {}
     for d, t in docs:
         w = plain(t or "")
         sets[d] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
-    want = groups(sets, lambda a, b: 2 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b])))
-    assert {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, "documents"), measure="dice", plain=True).collect()} == want
-    assert len(set(want.values())) < len(set(groups(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])).values()))
+    return groups(sets, lambda a, b: 2 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b])))
+
+
+def test_components_of_a_long_chain(spark):
+    from lodeline.llm.components import components
+
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 1999), (None, 5)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), 1999: 1999, 2000: 1999}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_copies_by_dice(spark, monkeypatch, sf):
+    """Blocks in chunks, against all pairs; the bands may miss a pair once in thousands."""
+    monkeypatch.setattr(simhash, "COPY_CHUNK", 3)
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '/root/testdata/{sf}/documents.parquet'").fetchall()
+    want = plain_near_copies(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), measure="dice", plain=True).collect()} == want
+    assert len(set(want.values())) < len(rows)
 
 
 def test_near_copies_of_a_group_that_changes_word_by_word(spark, monkeypatch):
@@ -247,7 +262,7 @@ def test_windows_of_the_greatest_id(spark):
 # --- quality, chat
 
 
-@pytest.mark.parametrize("name", ["op3_quality", "op4_chat"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
@@ -315,12 +330,10 @@ def test_chat_round_trip_of_odd_texts(spark):
 # --- decontamination
 
 
-def test_decontamination(spark, docs):
-    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+def plain_leaks(docs, items):
+    """{(document, item): similarity} by every window of every document."""
     words = lambda x: [w for w in re.split(r"[\W_]+", x.lower()) if w]
     grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    # Also near forms: two words changed, a word put in.
-    docs = [*docs, *((10_000 + i, "some words before " + " ".join(words(t)[:-2] + ["x", "y"]) + " and after it all") for i, t in items), *((20_000 + i, " ".join(w := words(t)) + " " + " ".join(w[:1])) for i, t in items)]
     sets = {i: grams(words(t)) for i, t in items}
     df = Counter(h for s in sets.values() for h in set(s))
     want = {}
@@ -337,6 +350,25 @@ def test_decontamination(spark, docs):
                 best = max(best, sum(weigh(h) * min(cw[h], ci[h]) for h in ci) / sum(weigh(h) * max(cw[h], ci[h]) for h in {*cw, *ci}))
             if round(best, 12) >= 0.8:
                 want[d, i] = round(best, 9)
+    return want
+
+
+def test_decontamination_recall(spark):
+    """All of sf0.01 against every window."""
+    sf = "/root/testdata/sf0.01"
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    want = plain_leaks(docs, duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall())
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in queries.op7_decontamination(spark, sf).collect()}
+    assert len(want) > 10 and len(got.keys() & want.keys()) >= 0.9 * len(want) and got.items() <= want.items()
+
+
+def test_decontamination(spark, docs):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    words = lambda x: [w for w in re.split(r"[\W_]+", x.lower()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    # Also near forms: two words changed, a word put in.
+    docs = [*docs, *((10_000 + i, "some words before " + " ".join(words(t)[:-2] + ["x", "y"]) + " and after it all") for i, t in items), *((20_000 + i, " ".join(w := words(t)) + " " + " ".join(w[:1])) for i, t in items)]
+    want = plain_leaks(docs, items)
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), table(spark, "benchmark"))
     assert len(want) > 60 and {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got.collect()} == want
 
@@ -443,6 +475,36 @@ def test_noisy_or_by_hand():
     assert m.score("good. a bad day!\n bad bad", m.scorer()) == pytest.approx(1 / (1 + math.exp(-(math.log(joint / (1 - joint)) + 0.3))))
 
 
+def test_toxicity_fit_against_a_plain_loop():
+    """Projected Adagrad on the noisy-or, weight by weight in dictionaries."""
+    rng = random.Random(8)
+    texts = [". ".join(" ".join(rng.choices("alpha beta gamma delta worse".split(), k=rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(30)] + [""]
+    y = np.array([int("worse" in t) for t in texts])
+    w, bias = toxicity._descended(toxicity._bags(texts), y, 2, 0.3)
+    v, g2, b, b2 = Counter(), {}, -4.0, 1.0
+    weigh = {k: len(y) / (2 * (y == k).sum()) for k in (0, 1)}
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(len(texts)):
+            bags = [[f for x in s.split() for f in toxicity.features(x)] for s in texts[i].split(".") if s.split()]
+            if not bags:
+                continue
+            p = [1 / (1 + math.exp(-(b + sum(v[f] for f in bag)))) for bag in bags]
+            clean = math.prod(1 - q for q in p)
+            d = [weigh[y[i]] * (q if not y[i] else -q * clean / (1 - clean)) for q in p]
+            grad = Counter()
+            for bag, x in zip(bags, d, strict=True):
+                for f in bag:
+                    grad[f] += x
+            for f, x in grad.items():
+                x += 1e-6 * v[f]
+                g2[f] = g2.get(f, 1e-2) + x * x
+                v[f] = max(v[f] - 0.3 * x / math.sqrt(g2[f]), 0)
+            b2 += sum(d) ** 2
+            b -= 0.3 * sum(d) / math.sqrt(b2)
+    assert bias == pytest.approx(b) and np.allclose([v[f] for f in range(1 << toxicity.BITS)], w) and w.any()
+
+
 def test_toxicity_held_out(spark):
     """Labels are noisy: some texts with none of the words that the others have are labelled toxic."""
     sf = "/root/testdata/sf0.1"
@@ -666,6 +728,45 @@ def test_labels_of_one_kind(spark):
     assert {r.score for r in toxicity.toxicity(frame(spark), one).collect()} == {0.0}
 
 
+def test_pipeline_against_plain_python(spark, docs):
+    """Every stage by brute force, but for the weights of the toxicity model."""
+    import corpus_pipeline as p
+
+    labels = table(spark, "labels").where(p.common.crc_fold("doc_id", 3) != 1)
+    m = toxicity.train(table(spark, "documents"), labels)
+
+    def toxic(text):
+        clean = math.prod(1 - q for _, q in m.sentences(text))
+        odds = math.log((1 - clean) / clean) if 0 < clean < 1 else math.inf if clean <= 0 else -math.inf
+        return 1 / (1 + math.exp(-min(max(odds + m.shift, -700), 700))) >= 0.7
+
+    left = [(d, t) for d, t in docs if not toxic(t or "")]
+    near = plain_near_copies(left)
+    left = [(d, t) for d, t in left if near[d] == d]
+    gone = brute({d: (t or "").split() for d, t in left})
+    left = [(d, " ".join(w for w, g in zip(t.split(), gone[d], strict=True) if not g) if any(gone[d]) else t) for d, t in left]
+    leaks = {d for d, _ in plain_leaks(left, duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall())}
+    want = {d: t for d, t in left if d not in leaks}
+    assert len(docs) > len(near) > len(left) > len(want) > 50 and any(any(x) for x in gone.values())
+    got: dict = {}
+    for r in sorted(p.run(spark, SF).collect(), key=lambda r: r.piece):
+        got[r.doc_id] = got.get(r.doc_id, "") + r.text
+    assert got == want
+
+
+def test_pipeline_keeps_columns_and_takes_odd_rows(spark):
+    import corpus_pipeline as p
+
+    d = frame(spark, [*ODD, (None, None, None)])
+    for _, stage in p.STAGES[:-1]:
+        e = stage(spark, d, SF)
+        assert e.columns == d.columns and stage(spark, d.where("false"), SF).count() == 0
+    assert p.STAGES[-1][1](spark, d.where("false"), SF).count() == 0
+    for columns in (("doc_id", "text"), ("text", "other", "doc_id")):
+        few = d.withColumn("other", F.lit(1)).select(*columns)
+        assert all(stage(spark, few, SF).columns == list(columns) for _, stage in p.STAGES[:-1])
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
