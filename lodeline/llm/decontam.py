@@ -44,20 +44,24 @@ def _shingles(hashes: str) -> Column:
     return F.when(n >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def _simhash(shingles: str, lane: int) -> Column:
-    """A bit is 1 if set in over half of the shingles, repeats included. Counts are added up in lanes of `lane` bits: 64 / lane of them at once."""
-    n = F.size(shingles)
+def _sums(shingles: str, lane: int) -> Column:
+    """How many of the shingles, repeats included, have each bit: numbers of `lane` bits side by side, 64 / lane in a long."""
     mask = sum(1 << (lane * j) for j in range(64 // lane))
 
     def sums(k: int) -> Column:
         return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask)))
 
-    counts = [sums(k) for k in range(lane)]
+    return F.array(*map(sums, range(lane)))
+
+
+def _printed(df: DataFrame, shingles: str, lane: int, name: str) -> DataFrame:
+    """df with the SimHash of its shingles: a bit is 1 if set in over half of them. The sums are a column first, so that they are added up once."""
+    df = df.withColumn("__sums", _sums(shingles, lane))
     fp = F.lit(0).cast("long")
     for bit in range(64):
-        ones = F.shiftrightunsigned(counts[bit % lane], lane * (bit // lane)).bitwiseAND(F.lit((1 << lane) - 1))
-        fp = fp.bitwiseOR(F.when(ones * 2 > n, F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
-    return fp
+        ones = F.shiftrightunsigned(F.col("__sums")[bit % lane], lane * (bit // lane)).bitwiseAND(F.lit((1 << lane) - 1))
+        fp = fp.bitwiseOR(F.when(ones * 2 > F.size(shingles), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
+    return df.withColumn(name, fp).drop("__sums")
 
 
 def _block(fp: Column, b: int) -> Column:
@@ -99,10 +103,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     by_shingle = items.select("iid", F.explode("ish").alias("h")).groupBy("iid", "h").agg(F.count(F.lit(1)).cast("int").alias("c"))
     weighed = cut(by_shingle.join(by_shingle.groupBy("h").agg(F.log1p(n_items / F.count(F.lit(1))).alias("weight")), "h"))
     about = weighed.groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("h", "c", "weight"))).alias("parts"), (F.sum(F.col("c") * F.col("weight")) * (similarity - 1e-9)).alias("wanted"))
-    marks = cut(items.join(about, "iid").select("iid", "item_id", F.size("ish").alias("m"), _simhash("ish", lane).alias("ifp"), "parts", "wanted"))
+    marks = cut(_printed(items.join(about, "iid"), "ish", lane, "ifp").select("iid", "item_id", F.size("ish").alias("m"), "ifp", "parts", "wanted"))
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("tid", F.xxhash64("doc_id", "text"))
-    grams = base.select("tid", _hashed(F.col("text")).alias("wh")).select("tid", _shingles("wh").alias("sh")).select("tid", F.size("sh").alias("k"), F.posexplode("sh").alias("p", "h"))
+    # The generator takes an expression, not a column: of a column Spark would infer a filter, and work out the words' hashes inside it for each shingle.
+    grams = base.select("tid", _hashed(F.col("text")).alias("wh")).select("tid", F.greatest(F.size("wh") - SHINGLE + 1, F.lit(0)).alias("k"), F.posexplode(_shingles("wh")).alias("p", "h"))
     hits = grams.join(bounded(weighed.select("iid", "h", "weight"), 24), "h").groupBy("tid", "iid").agg(F.first("k").alias("k"), F.sum("weight").alias("got"), F.collect_list(F.struct("p", "weight")).alias("at"))
     hits = hits.join(bounded(marks.select("iid", "m", "wanted"), 24), "iid").where("got >= wanted")
     # What an item's shingles in the window from s on weigh is the most that both can share.
@@ -116,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     near = near.select("doc_id", "tid", "starts", _hashed(F.col("text")).alias("wh")).select("doc_id", "tid", _shingles("wh").alias("sh"), "starts")
     near = near.select("doc_id", "tid", "sh", F.explode("starts").alias("x")).select("doc_id", "tid", "sh", "x.iid", "x.s").join(bounded(marks.select("iid", "m"), 16), "iid")
     windows = near.select("doc_id", "tid", "iid", "s", F.slice("sh", F.col("s") + 1, F.col("m")).alias("wsh"))
-    printed = windows.select("doc_id", "tid", "iid", "s", "wsh", _simhash("wsh", lane).alias("fp"))
+    printed = _printed(windows, "wsh", lane, "fp")
 
     # The index: every block of a window's fingerprint meets the item's blocks within `most` bits.
     flips = [0, *(sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(width), k))]
