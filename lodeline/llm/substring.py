@@ -88,14 +88,14 @@ def _apply(texts: list[bytes], spans: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
 
 
-def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' `keep` columns with n_words, n_removed and kept_text (kept words joined by one space).
+def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """docs' `keep` columns with n_words, n_removed and kept_text (kept words joined by one space), whose names begin with `prefix`.
 
     A word goes if a window of 50 words that covers it also starts in a document with a smaller doc_id, judged
     on the input. Null text has no words; a null doc_id counts as larger than any other; rows
     with one doc_id don't take from each other, and each keeps its own row. No rows give no rows.
     """
-    return repeated(docs, WORDS, _apply, list(keep), "n_words long, n_removed long, kept_text string")
+    return repeated(docs, WORDS, _apply, list(keep), f"{prefix}n_words long, {prefix}n_removed long, {prefix}kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
