@@ -29,8 +29,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a document with a smaller doc_id has too go, the others stand joined by blanks; texts without such words stay as they are. n_chars, if there, follows."""
-    r = substring.without_repeats(docs, keep=tuple(docs.columns))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    r = substring.without_repeats(docs, keep=tuple(docs.columns), prefix="__")
+    text = F.when(F.col("__n_removed") > 0, F.col("__kept_text")).otherwise(F.col("text"))
     new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
     return r.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
