@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import blobs, cut
+from .common import blobs, bounded, cut
 from .components import components
 
 SEED = 42
@@ -214,7 +214,7 @@ SHORT = 40
 #: Bands of two minima each: texts of a Jaccard similarity of 0.8 share one of 8 with a probability of 0.9997, texts of a Dice similarity of 0.8 one of 14.
 BANDS, ROWS_PER_BAND = {"jaccard": 8, "dice": 14}, 2
 #: Bands up to which each phase compares; from the second on only blocks whose members the phases before have not brought together.
-PHASES = (2, 6)
+PHASES = (4,)
 #: Members, and shingles of all members, of a block that is compared as one.
 COPY_CHUNK, COPY_SHINGLES = 1024, 1 << 21
 _MULTIPLY = np.random.default_rng(5).integers(1, 2**63, max(BANDS.values()) * ROWS_PER_BAND, dtype=np.uint64) | np.uint64(1)
@@ -369,7 +369,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         m = F.ceil(F.greatest(F.col("members") / COPY_CHUNK, F.col("shingles") / COPY_SHINGLES)).cast("int")
         met = cut(banded.join(sizes, ["band", "key"]).select("sid", "rep", "fp", "bands", "grp", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
         wanted = met.select(F.col("rep").alias("doc_id")).distinct()
-        known = base.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
+        known = base.join(bounded(wanted, 16), "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
         return _linked(met, known, radius, similarity, dice)
 
     found = None
