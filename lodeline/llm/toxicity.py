@@ -165,7 +165,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
     """
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), -20.0)
+        return Model(np.zeros(1 << BITS, np.float32), -math.inf)
     bags, fold = _bags(texts), np.arange(len(y)) % FOLDS
     cut = math.log(THRESHOLD / (1 - THRESHOLD))
     if min((y[fold == k] == v).sum() for k in range(FOLDS) for v in (0, 1)) >= 5:
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.bias]), pa.array([m.shift])], ["weights", "bias", "shift"])
 
     rows = rows.select(F.xxhash64("doc_id").alias("order"), "doc_id", "text", "toxic")
-    w, bias, shift = rows.coalesce(1).mapInArrow(run, "weights binary, bias double, shift double").first() or (np.zeros(1 << BITS, np.float32).tobytes(), -20.0, 0.0)
+    w, bias, shift = rows.coalesce(1).mapInArrow(run, "weights binary, bias double, shift double").first() or (np.zeros(1 << BITS, np.float32).tobytes(), -math.inf, 0.0)
     return Model(np.frombuffer(w, np.float32), bias, shift)
 
 
