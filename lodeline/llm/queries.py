@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, chat, decontam, langid, lines, lm, packing, quality, simhash, substring, suffix, toxicity
+from . import align, audit, chat, decontam, langid, lines, lm, packing, quality, simhash, substring, suffix, toxicity
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, grouped and linked, digested."""
+    return align.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand in ten documents or more, digested."""
     return lines.digest(table(spark, sf_dir, "documents"))
@@ -68,5 +73,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_quality, op4_chat, op5_substring, op6_langid, op7_decontamination, op8_hmm, op9_toxicity, op10_packing, op12_line_dedup, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_quality, op4_chat, op5_substring, op6_langid, op7_decontamination, op8_hmm, op9_toxicity, op10_packing, op11_alignment, op12_line_dedup, op13_filter_audit)}
 ORACLES: dict[str, str] = {"op2_suffix_array": suffix.ORACLE, "op3_quality": quality.ORACLE, "op4_chat": chat.ORACLE, "op5_substring": substring.ORACLE, "op12_line_dedup": lines.ORACLE, "op13_filter_audit": audit.ORACLE}
