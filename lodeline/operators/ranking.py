@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -55,56 +58,96 @@ def guidance(ranks: DataFrame) -> DataFrame:
     return ranks.crossJoin(F.broadcast(n)).select("path", "rank", advice.alias("advice"))  # n is one row
 
 
-def within_budget(items: DataFrame, cap: float, *by: Column, size: str = "size", spent: float = 0.0) -> DataFrame:
+#: Items that still fit, up to which one task takes the rest of a budget.
+FEW = 1 << 16
+_RANGE = 33  # the bits of a position within its range
+
+
+def within_budget(items: DataFrame, cap: float, *by: Column, size: str = "size", spent: float = 0) -> DataFrame:
     """The items (all columns) kept greedily in the order of `by`: one that would exceed the cap is skipped, later smaller ones still fit.
 
-    Items over the cap go before the sort, whose ranges are kept. Of each range the sum and the least size come to the driver: a range that fits
-    whole is taken, one whose least item no longer fits is passed over, and only ranges in between are folded one after the other to learn
-    what is spent when the next begins. Then all ranges are folded at once. Items without a size are left out.
+    Integer sizes are added as integers, so that what fits exactly is kept. Items without a size, or with a negative one, are left out. The order is sorted once, by ranges. Each round then settles a stretch of
+    it: of what is left, items up to a half are small. They are all taken until they exceed the half together, or until a larger item meets as much
+    room as it needs; either way over half of what was left is spent by then. So there are at most as many rounds as what is left has bits, of two jobs each, however
+    many ranges there are; once no more than FEW items are left that could fit, one task takes the rest. A round brings a row for each range to the driver.
     """
     from ..plans.lineage import cut
 
-    schema = items.schema
-    rows = cut(items.where(F.col(size) <= cap - spent).orderBy(*by).withColumn("__range", F.spark_partition_id()))
-
-    def fold(starts: dict[int, float], ends: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                total = starts[b.column("__range")[0].as_py()] if total is None else total
-                keep = []
-                for s in b.column(size).to_pylist():
-                    fits = total + s <= cap
-                    total += s if fits else 0
-                    keep.append(fits)
-                if not ends:
-                    yield b.filter(pa.array(keep, pa.bool_())).select(schema.names)
-            if ends and total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([float(total)])], ["total"])
-
-        return run
-
-    total, starts = spent, {}
-    for r in rows.groupBy("__range").agg(F.sum(size).alias("all"), F.min(size).alias("least")).orderBy("__range").collect():  # a row for each range
-        if total + r["least"] > cap:
-            continue
-        starts[r["__range"]] = total
-        if total + r["all"] <= cap - 1e-6 * abs(cap):
-            total += r["all"]
-        else:
-            total = rows.where(F.col("__range") == r["__range"]).mapInArrow(fold(starts, True), "total double").first().total
-    return rows.where(F.col("__range").isin(*starts) if starts else F.lit(False)).mapInArrow(fold(starts, False), schema)
-
-
-def packed_by_domain(blocks: DataFrame, max_tokens: float, header: str = "# {}\n", footer: str = "") -> DataFrame:
-    """Second pass over rendered blocks (domain, rank, chars): domains in the order of their best rank, each charged its header and footer; blocks that don't fit are skipped."""
+    whole = items.schema[size].dataType.typeName() in ("byte", "short", "integer", "long")
+    cap, spent = (math.floor(cap), math.ceil(spent)) if whole else (cap, spent)
+    name, n = "__pos", F.col(size)
+    rows = cut(items.where((n <= cap - spent) & (n >= 0)).orderBy(*by).withColumn(name, F.monotonically_increasing_id()))
+    left, after, kept, rest = cap - spent, -1, [], None
+    while True:
+        live = rows.where((F.col(name) > after) & (n <= left))
+        half = left // 2 if whole else left / 2
+        sums = live.groupBy(F.shiftright(name, _RANGE).alias("r")).agg(F.coalesce(F.sum(F.when(n <= half, n)), F.lit(0)).alias("small"), F.count(F.lit(1)).alias("n")).orderBy("r").collect()
+        if sum(r.n for r in sums) <= FEW:
+            rest = live
+            break
+        starts, total = {}, 0
+        for r in sums:
+            if total > half:
+                break
+            starts[r.r] = total
+            total += r.small
+        first = live.where(F.shiftright(name, _RANGE) <= max(starts)).select(name, size).mapInArrow(_spends_half(size, starts, left, half), f"pos long, total {'long' if whole else 'double'}").orderBy("pos").first()
+        if first is None:
+            kept.append((F.col(name) > after) & (n <= half))
+            break
+        kept.append((F.col(name) > after) & (F.col(name) <= first.pos) & ((n <= half) | (F.col(name) == first.pos)))
+        left, after = left - first.total, first.pos
+    out = rows.where(reduce(or_, kept)) if kept else rows.limit(0)
+    return (out if rest is None else out.unionByName(rest.repartition(1).sortWithinPartitions(name).mapInArrow(_taken(size, left), rows.schema))).drop(name)
+
+
+def _spends_half(size: str, starts: dict[int, float], left: float, half: float):
+    """Of each range its first item by which over half of what is left is spent, with the sum spent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = 0, None
+        for b in batches:
+            for pos, s in zip(b.column("__pos").to_pylist(), b.column(size).to_pylist(), strict=True):
+                if pos >> _RANGE != at:
+                    at = pos >> _RANGE
+                    total = starts[at]
+                if s <= half:
+                    total += s
+                    found = total if total > half else None
+                else:
+                    found = total + s if total + s <= left else None
+                if found is not None:
+                    yield pa.RecordBatch.from_pydict({"pos": [pos], "total": [found]})
+                    return
+
+    return run
+
+
+def _taken(size: str, left: float):
+    """The rows taken one after the other while they fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = left
+        for b in batches:
+            keep = []
+            for s in b.column(size).to_pylist():
+                keep.append(s <= room)
+                room -= s if keep[-1] else 0
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def packed_by_domain(blocks: DataFrame, max_tokens: float, header: str = "# {}\n", footer: str = "", spent: int = 0) -> DataFrame:
+    """Second pass over rendered blocks (domain, rank, chars): domains in the order of their best rank, each charged its header and footer; blocks that don't fit are skipped.
+
+    Characters are counted, against what max_tokens are in characters; spent: characters that are taken already.
+    """
     best = blocks.groupBy("domain").agg(F.min("rank").alias("best"))
     d = blocks.join(best, "domain")
     heads = best.agg(F.sum(F.length(F.format_string(header.replace("{}", "%s"), F.col("domain"))) + len(footer)).alias("h")).first().h or 0
     d = d.withColumn("tokens", F.col("chars") / CHARS_PER_TOKEN)
-    return within_budget(d, max_tokens, F.col("best"), F.col("rank"), size="tokens", spent=heads / CHARS_PER_TOKEN).drop("best")
+    return within_budget(d, max_tokens * CHARS_PER_TOKEN, F.col("best"), F.col("rank"), size="chars", spent=heads + spent).drop("best")
 
 
 def token_total(files: DataFrame, chars: str = "n_chars") -> DataFrame:

@@ -216,14 +216,14 @@ def pack(spark: SparkSession, root: str, target: str = "", task: str | None = No
     ranks = ranking.ranked(scored).join(files.select("path", F.col("length").alias("size")), "path")
     name = os.path.basename(os.path.abspath(root))
     if max_tokens is not None:
-        ranks = ranking.within_budget(ranks, max_tokens * scalar.CHARS_PER_TOKEN, F.col("rank"), spent=float(len(render.pack_header(name))))
+        ranks = ranking.within_budget(ranks, max_tokens * scalar.CHARS_PER_TOKEN, F.col("rank"), spent=len(render.pack_header(name)))
     entities = parse.parsed(files).select(F.col("file_path").alias("path"), "entities")
     body = F.concat(F.lit("## "), "path", F.lit("\n"), "text", F.lit("\n")) if raw else render.file_block(F.col("path"), F.col("text"), F.coalesce("entities", F.array()))
     # Binaries have no text and stay out.
     blocks = ranks.join(texts(files).where("text IS NOT NULL"), "path").join(entities, "path", "left").select("path", "rank", scalar.pack_domain(F.col("path")).alias("domain"), body.alias("block"))
     blocks = blocks.withColumn("chars", F.length("block"))
     if max_tokens is not None:
-        blocks = ranking.packed_by_domain(blocks, max_tokens - len(render.pack_header(name)) / scalar.CHARS_PER_TOKEN, render.DOMAIN_HEADER.replace("{title}", name), render.DOMAIN_FOOTER)
+        blocks = ranking.packed_by_domain(blocks, max_tokens, render.DOMAIN_HEADER.replace("{title}", name), render.DOMAIN_FOOTER, len(render.pack_header(name)))
     left_out = files.select("path").join(blocks.select("path"), "path", "left_anti")
     return render.packed_text(blocks, name), left_out
 
