@@ -23,8 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row of the smallest doc_id stays: texts whose five-word shingles have a Dice similarity of 0.8 or more,
-    A-Z in lower case and without ASCII punctuation. Empty and null texts are one group. Rows of one doc_id are one document; one row of it stays."""
-    return simhash.first_of_each(docs, measure="dice", plain=True)
+    A-Z in lower case and without ASCII punctuation. Empty and null texts are one group. Rows of one doc_id with texts of their own are each judged; of rows with one doc_id and text one stays."""
+    return simhash.first_texts(docs, measure="dice", plain=True)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,14 +42,13 @@ def folded(events: DataFrame) -> DataFrame:
     at = F.col("at") if "at" in events.columns else F.lit(0)
     log = F.array_sort(F.collect_list(F.struct("seq", at.alias("at"), "kind", F.coalesce("text", F.lit("")).alias("text"), "role")))
     by_message = events.groupBy("conv_id", "message").agg(log.alias("log"))
-    state = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("role"))
-
-    def step(s: Column, e: Column) -> Column:
-        text = F.when(e.kind == "delta", F.concat(s.text, e.text)).when(e.kind == "regenerate", F.lit("")).otherwise(e.text)
-        return F.struct(text.alias("text"), F.coalesce(e.role, s.role).alias("role"))
-
-    last = by_message.select("conv_id", "message", F.col("log")[0].seq.alias("seq"), F.aggregate("log", state, step).alias("s"))
-    return last.select("conv_id", "message", "seq", F.coalesce("s.role", F.lit("")).alias("role"), F.col("s.text").alias("text"))
+    # What holds is the last event that sets or empties the text, and the deltas after it, joined once.
+    last = F.coalesce(F.array_max(F.transform("log", lambda e, i: F.when(e.kind != "delta", i))), F.lit(-1))
+    by_message = by_message.withColumn("last", last)
+    base = F.when((F.col("last") >= 0) & (F.get("log", F.col("last")).kind != "regenerate"), F.get("log", F.col("last")).text).otherwise("")
+    deltas = F.transform(F.slice("log", F.col("last") + 2, F.size("log")), lambda e: e.text)
+    role = F.get(F.reverse(F.filter(F.transform("log", lambda e: e.role), lambda r: r.isNotNull())), F.lit(0))
+    return by_message.select("conv_id", "message", F.col("log")[0].seq.alias("seq"), F.coalesce(role, F.lit("")).alias("role"), F.concat(base, F.array_join(deltas, "")).alias("text"))
 
 
 def rendered(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
@@ -90,7 +89,9 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
         return F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
 
     draft = F.substring("text", 1, DRAFT)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / DELTA).cast("int")), lambda i: event(i + 3, "delta", F.substr("text", i * DELTA + 1, F.lit(DELTA))))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    closed = F.when(F.length("text") % DELTA == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))  # a stream ends with a delta that isn't full
+    pieces = F.transform(F.concat(cut, closed), lambda x, i: event(i + 3, "delta", x))
     streamed = F.concat(F.array(event(F.lit(0), "message", F.lit(""), F.col("role")), event(F.lit(1), "delta", draft), event(F.lit(2), "regenerate", F.lit(""))), pieces)
     edited = F.array(event(F.lit(0), "message", draft, F.col("role")), event(F.lit(1), "edit", F.col("text")))
     log = rows.select("conv_id", "message", "seq", F.explode(F.when(F.col("role").isin(*LOSS_ROLES), streamed).otherwise(edited)).alias("e"))

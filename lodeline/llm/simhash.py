@@ -306,9 +306,9 @@ def _verified(fps: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, band:
 
 
 def _linked(met: DataFrame, known: DataFrame, radius: int, similarity: float, dice: bool) -> DataFrame:
-    """Edges (a, b) from members (sid, rep, fp, bands, grp, band, key, m, c) of blocks and their sets (sid, grams)."""
+    """Edges (a, b) from members (sid, fp, bands, grp, band, key, m, c) of blocks and their sets (sid, grams)."""
     pairs = met.join(known, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pairs = pairs.select("band", "key", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"), "c", "bands", "fp", "rep", "grp", "grams")
+    pairs = pairs.select("band", "key", F.least("c", "other").alias("x"), F.greatest("c", "other").alias("y"), "c", "bands", "fp", F.col("sid").alias("rep"), "grp", "grams")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -341,8 +341,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     they share; there fingerprints are compared bit-sliced, and pairs within the radius are decided by their sets (32 bits of each hash: two
     sets of 1,000 share one by chance once in 4,000 pairs). The first bands settle most groups; in later phases only blocks that still hold several
     groups are looked at, and sets travel for these alone. A block over COPY_CHUNK members or COPY_SHINGLES shingles is compared chunk
-    against chunk. Rows of one doc_id count as one document here; null and empty texts are copies of one another.
+    against chunk. Rows of one doc_id are each judged by their text; null and empty texts are copies of one another. component_id is the group's
+    smallest doc_id; a row without a doc_id has none unless another with one has its set of shingles.
     """
+    rows, groups = _groups(docs, similarity, shingle, radius, measure, plain)
+    return rows.select("doc_id", "sid").join(groups.select("sid", "component_id"), "sid", "left").select("doc_id", "component_id")
+
+
+def _groups(docs: DataFrame, similarity: float, shingle: int, radius: int | None, measure: str, plain: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (doc_id, tid, sid), tid a hash of the text and sid of its shingles, and (sid, comp, component_id) of the sets that have a doc_id."""
     dice, bands = MEASURES.index(measure) == 1, BANDS[measure]
     radius = COPY_RADIUS[measure] if radius is None else radius
 
@@ -350,8 +357,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         for b in batches:
             hs = [grams(x, shingle, plain) for x in blobs(b, "text")]
             rows = [_sketch(h, bands) for h in hs]
-            cols = [b.column("doc_id"), pa.array([_set_id(h) for h in hs], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(h) for h in hs], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sid", "fp", "n", "bands"])
+            cols = [b.column("doc_id"), b.column("tid"), pa.array([_set_id(h) for h in hs], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(h) for h in hs], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tid", "sid", "fp", "n", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,33 +366,56 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in hs], pa.int64()), pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hs], pa.binary())], ["sid", "grams"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(base.mapInArrow(sketch, "doc_id long, sid long, fp long, n long, bands array<long>"))
-    reps = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = cut(base.withColumn("tid", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, tid long, sid long, fp long, n long, bands array<long>"))
+    reps = rows.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
 
     def edges(which: Column, grouped: DataFrame) -> DataFrame:
         """Of the bands that `which` chooses, from grouped: reps with their group so far."""
-        banded = grouped.select("sid", "rep", "fp", "n", "bands", "grp", F.posexplode("bands").alias("band", "key")).where(which)
+        banded = grouped.select("sid", "doc", "fp", "n", "bands", "grp", F.posexplode("bands").alias("band", "key")).where(which)
         sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
         m = F.ceil(F.greatest(F.col("members") / COPY_CHUNK, F.col("shingles") / COPY_SHINGLES)).cast("int")
-        met = cut(banded.join(sizes, ["band", "key"]).select("sid", "rep", "fp", "bands", "grp", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
-        wanted = met.select(F.col("rep").alias("doc_id")).distinct()
+        met = cut(banded.join(sizes, ["band", "key"]).select("sid", "doc", "fp", "bands", "grp", "band", "key", m.alias("m"), F.pmod(F.xxhash64("sid"), m).cast("int").alias("c")))
+        wanted = met.select(F.col("doc").alias("doc_id")).distinct()
         known = base.join(bounded(wanted, 16), "doc_id", "left_semi").mapInArrow(sets, "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams"))
         return _linked(met, known, radius, similarity, dice)
 
     found = None
     for lo, hi in pairwise([0, *(p for p in PHASES if p < bands), bands]):
-        grouped = reps.withColumn("grp", F.col("rep")) if found is None else reps.join(found, F.col("rep") == found.node, "left").select(*reps.columns, F.coalesce("component", "rep").alias("grp"))
+        grouped = reps.withColumn("grp", F.col("sid")) if found is None else reps.join(found, F.col("sid") == found.node, "left").select(*reps.columns, F.coalesce("component", "sid").alias("grp"))
         new = edges((F.col("band") >= lo) & (F.col("band") < hi), grouped)
         found = cut(components(new if found is None else new.union(found.select("node", "component"))))
-    groups = reps.select("sid", "rep").join(found, F.col("rep") == found.node, "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", "sid").join(groups, "sid", "left").select("doc_id", "component_id")
+    grouped = reps.select("sid", "doc").join(found, F.col("sid") == found.node, "left").select("sid", "doc", F.coalesce("component", "sid").alias("comp"))
+    least = grouped.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    return rows.select("doc_id", "tid", "sid"), grouped.select("sid", "comp").join(least, "comp").select("sid", "comp", "component_id")
+
+
+def first_texts(docs: DataFrame, similarity: float = SIMILARITY, measure: str = "jaccard", plain: bool = False) -> DataFrame:
+    """One row of each group of near copies, all columns, of any type: that of the smallest doc_id, of its texts in the group the one of the least hash. Rows without a doc_id stay.
+
+    Rows of one doc_id whose texts aren't near copies each stay. Of rows with one doc_id and text the one of the least hash of all columns stays.
+    Texts aren't shuffled for this but for such rows.
+    """
+    rows, groups = _groups(docs, similarity, COPY_SHINGLE, None, measure, plain)
+    known = rows.where("doc_id IS NOT NULL")
+    by_set = known.groupBy("sid").agg(F.min(F.struct("doc_id", "tid")).alias("first"))
+    firsts = by_set.join(groups, "sid").groupBy("comp").agg(F.min("first").alias("first")).select("first.doc_id", "first.tid")
+    times = known.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(firsts.join(times, ["doc_id", "tid"]).select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), (F.col("n") > 1).alias("__several")))
+    own = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__tid"))
+    if kept.where("__several").isEmpty():
+        out = docs.join(kept, own, "left_semi")
+    else:
+        out = docs.join(kept.where("NOT __several"), own, "left_semi")
+        again = docs.join(kept.where("__several"), own)
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = again.groupBy("__doc", "__tid").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("__row"))
+        out = out.unionByName(one.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns)))
+    return out.unionByName(docs.where("doc_id IS NULL"))
 
 
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY, measure: str = "jaccard", plain: bool = False) -> DataFrame:
-    """One row of each group of near copies, all columns: one of the smallest doc_id, of several texts of that doc_id the least. Rows without a doc_id stay."""
-    groups = near_copies(docs, similarity, measure=measure, plain=plain).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"))
-    firsts = groups.where("c = doc_id").select(F.col("doc_id").alias("__first"))
-    kept = docs.join(firsts, F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
+    """first_texts(), with one row of each doc_id: of several texts of it the least, whose columns can be ordered."""
+    kept = first_texts(docs, similarity, measure, plain)
     whole = F.struct(*(F.col(f"`{c}`") for c in ["text", *(c for c in docs.columns if c not in ("text", "doc_id"))]))
-    one = kept.groupBy("doc_id").agg(F.min(whole).alias("__row")).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(whole).alias("__row")).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    return one.unionByName(kept.where("doc_id IS NULL"))
