@@ -25,6 +25,7 @@ def main() -> None:
     p.add_argument("--top", type=int)
     p.add_argument("--ignore", action="append")
     p.add_argument("--out")
+    p.add_argument("--parts", action="store_true", help="pack: a folder with a file or more for each domain, at --out")
     p.add_argument("--raw", action="store_true")
     p.add_argument("--force", action="store_true")
     p.add_argument("--no-default-excludes", action="store_true")
@@ -46,8 +47,14 @@ def main() -> None:
         rows(commands.learn_into_vault(spark, a.root))
     elif a.command == "memory":
         rows(commands.remembered(spark, a.root))
+    elif a.command == "pack" and a.parts:
+        if not a.out:
+            p.error("--parts needs --out, a folder that isn't there yet")
+        blocks, left_out = commands.pack_blocks(spark, a.root, a.target, a.task, a.max_tokens, a.raw, a.force, a.profile, not a.no_default_excludes)
+        commands.save_pack(blocks, a.root, a.out)
+        print(json.dumps({"left_out": [r.path for r in left_out.orderBy("path").collect()]}))
     elif a.command in ("pack", "export"):
-        packed, left_out = commands.pack(spark, a.root, a.target, a.task, a.max_tokens, a.raw, a.force, a.profile)
+        packed, left_out = commands.pack(spark, a.root, a.target, a.task, a.max_tokens, a.raw, a.force, a.profile, not a.no_default_excludes)
         if a.command == "export":
             context = render.context(commands.facts(commands.analyze(spark, a.root)), a.model)
             print(commands.export(context, packed).first().text)

@@ -52,9 +52,14 @@ def spaced(path: Column) -> Column:
     return F.translate(F.regexp_replace(path, "([a-z])([A-Z])", "$1 $2"), "_-", "  ")
 
 
+def term_list(text: Column) -> Column:
+    """Lower-case words of three ASCII letters or more, `_` and `-` dividing words, repeats included."""
+    return F.regexp_extract_all(F.translate(F.lower(text), "_-", "  "), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
+
+
 def terms(text: Column) -> Column:
-    """Distinct lower-case words of three ASCII letters or more, `_` and `-` dividing words."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(F.lower(text), "_-", "  "), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))
+    """The distinct ones of term_list()."""
+    return F.array_distinct(term_list(text))
 
 
 def line_count(text: Column) -> Column:

@@ -20,22 +20,51 @@ class NoMatch(ValueError):
     """No node has the target's path."""
 
 
-def impact(g: Graph, target: str, hops: int = 5, strict: bool = False) -> DataFrame:
-    """Nodes that reach the target's over edges of any type: id, depth, risk (1 HIGH, 2 MEDIUM, further LOW). Start nodes and external symbols don't come back.
-    strict: a target that no node has is an error."""
-    back = g.edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct()
-    seen = cut(g.nodes.where(target_match(F.col("path"), target)).select("id", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    if strict and seen.isEmpty():
+#: Rows up to which a frontier is broadcast to the links, once counted.
+FRONTIER = 1 << 20
+#: Nodes from which on an impact says that it was cut short. A fixed value.
+MOST_NODES = 2000
+
+
+def _next_hop(frontier: DataFrame, rows: int, links: DataFrame) -> DataFrame:
+    """frontier (id, ...) joined to links (id, next), which stay where they are while the frontier is small."""
+    return links.join(F.broadcast(frontier) if rows <= FRONTIER else frontier, "id")
+
+
+def impact_paths(g: Graph, target: str, hops: int = 5, most: int | None = MOST_NODES, strict: bool = False) -> DataFrame:
+    """Nodes that reach the target's over edges of any type: id, type, path, depth, via, risk, truncated.
+
+    via: the least id among the nodes one hop nearer that the node points to, so that following it gives one shortest path to the target. No round begins once more
+    than `most` nodes are known; truncated says of all rows that another would have. The links are stored once, partitioned by where they lead.
+    """
+    spark = g.edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = cut(g.nodes.where(target_match(F.col("path"), target)).select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct())
+    n = seen.count()
+    if strict and not n:
         raise NoMatch(target)
+    back = cut(g.edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct().repartition(parts, "id"))
+    frontier, known, truncated = seen, n, False
     for d in range(1, hops + 1):
-        new = frontier.join(back, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = cut(new.select("id", F.lit(d).alias("depth")))
-        if frontier.isEmpty():
+        if not n:
+            break
+        if most is not None and known > most:
+            truncated = not _next_hop(frontier.select("id"), n, back).select(F.col("next").alias("id")).join(seen, "id", "left_anti").isEmpty()
             break
+        new = _next_hop(frontier.select("id"), n, back).groupBy(F.col("next").alias("id")).agg(F.min("id").alias("via")).join(seen, "id", "left_anti")
+        frontier = cut(new.select("id", F.lit(d).alias("depth"), "via"))
+        n = frontier.count()
+        known += n
         seen = seen.union(frontier)
     risk = F.when(F.col("depth") == 1, "HIGH").when(F.col("depth") == 2, "MEDIUM").otherwise("LOW")
-    return seen.where("depth > 0").join(g.nodes.where(F.col("type") != EXTERNAL).select("id", "type", "path"), "id").select("id", "type", "path", "depth", risk.alias("risk"))
+    found = seen.where("depth > 0").join(g.nodes.where(F.col("type") != EXTERNAL).select("id", "type", "path"), "id")
+    return found.select("id", "type", "path", "depth", "via", risk.alias("risk"), F.lit(truncated).alias("truncated"))
+
+
+def impact(g: Graph, target: str, hops: int = 5, strict: bool = False) -> DataFrame:
+    """Nodes that reach the target's over edges of any type: id, depth, risk (1 HIGH, 2 MEDIUM, further LOW). Start nodes and external symbols don't come back.
+    strict: a target that no node has is an error."""
+    return impact_paths(g, target, hops, None, strict).select("id", "type", "path", "depth", "risk")
 
 
 def impact_summary(found: DataFrame, domain: Column) -> DataFrame:
@@ -84,7 +113,12 @@ def domains(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, shared: str =
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves, self-loops included.
+    """Nodes that reach themselves, self-loops included."""
+    return strong_components(edges).select("id")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes that reach themselves: the least id that they reach and that reaches them. A node with a loop alone is a component of its own.
 
     The acyclic fringe is trimmed first. Then the greatest id that reaches a node colours it, and what leads back to the colour's own node within the
     colour is its strong component; the rest goes on without it. No transitive closure is built.
@@ -120,11 +154,68 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
             frontier = cut(within.join(frontier.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"))
             seen = seen.union(frontier)
         part = seen.join(colour, "id")
-        strong = part.join(part.groupBy("colour").count().where("count > 1"), "colour", "left_semi").select("id")
+        strong = part.join(part.groupBy("colour").count().where("count > 1"), "colour", "left_semi").select("id", "colour")
         found = strong if found is None else found.union(strong)
         e = cut(e.join(seen.withColumnRenamed("id", "src"), "src", "left_anti").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
         n = e.count()
-    return (loops if found is None else loops.union(found)).distinct()
+    alone = loops.withColumn("colour", F.col("id"))
+    if found is None:
+        return alone.select("id", F.col("colour").alias("component"))
+    # A loop inside a larger component is no component of its own.
+    every = found.union(alone.join(found, "id", "left_anti"))
+    return every.join(every.groupBy("colour").agg(F.min("id").alias("component")), "colour").select("id", "component")
+
+
+def shortest_cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(component, size, length, cycle) of each strong component: its nodes, and the shortest cycle through its least node, as an array that begins with that node.
+
+    All components are searched at once, breadth first, each node keeping the least id that it was first reached from; a component leaves when its least node is reached
+    again. The cycles are then read backwards, a step of all of them a round. Of equally long ones the way back of least ids holds.
+    """
+    comps = cut(strong_components(edges) if components is None else components)
+    e = edges.select("src", "dst").distinct().join(comps.select(F.col("id").alias("src"), "component"), "src").join(comps.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst")
+    e = cut(e.where("component = other").select(F.col("src").alias("id"), F.col("dst").alias("next"), "component"))
+    none = F.lit(None).cast("string")
+    seen = cut(comps.select(F.col("component").alias("id"), F.lit(0).alias("depth"), none.alias("via")).distinct())
+    frontier, closed, d, n = seen, None, 0, seen.count()
+    while n:
+        d += 1
+        sent = cut(_next_hop(frontier.select("id"), n, e).groupBy(F.col("next").alias("id"), "component").agg(F.min("id").alias("via")))
+        back = sent.where("id = component").select("component", F.lit(d).alias("length"), F.col("via").alias("at"))
+        closed = back if closed is None else closed.union(back)
+        new = sent.join(closed.select("component"), "component", "left_anti").join(seen, "id", "left_anti")
+        frontier = cut(new.select("id", F.lit(d).alias("depth"), "via"))
+        n = frontier.count()
+        seen = seen.union(frontier)
+    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    if closed is None:
+        return sizes.select("component", "size", F.lit(0).alias("length"), F.array().cast("array<string>").alias("cycle"))
+    seen = cut(seen)
+    walks = cut(closed.select("component", "length", "at", F.array("at").alias("cycle")))
+    open_, done = walks.where("at <> component"), walks.where("at = component")
+    while not open_.isEmpty():
+        step = open_.join(seen.select(F.col("id").alias("at"), "via"), "at").select("component", "length", F.col("via").alias("at"), F.concat(F.array("via"), "cycle").alias("cycle"))
+        step = cut(step)
+        done = done.union(step.where("at = component"))
+        open_ = step.where("at <> component")
+    return done.join(sizes, "component").select("component", "size", "length", "cycle")
+
+
+#: The severity of a cycle by the type of its edges.
+CYCLE_SEVERITY = {"CALLS": "WARNING", "IMPORTS": "INFO"}
+
+
+def cycles(g: Graph, severity: dict[str, str] | None = None) -> DataFrame:
+    """(type, severity, component, size, length, cycle): the cycles of each type of edges. All types are searched at once, a node being one of its own for each."""
+    levels = severity or CYCLE_SEVERITY
+    typed = g.of_type(tuple(levels)).select(*(F.concat("type", F.lit(":"), c).alias(c) for c in ("src", "dst")))
+    found = shortest_cycles(typed).withColumn("type", F.substring_index("component", ":", 1))
+    level = F.coalesce(*(F.when(F.col("type") == kind, F.lit(level)) for kind, level in levels.items()))
+
+    def bare(c: Column) -> Column:
+        return F.substr(c, F.length("type") + 2)
+
+    return found.select("type", level.alias("severity"), bare(F.col("component")).alias("component"), "size", "length", F.transform("cycle", bare).alias("cycle"))
 
 
 def closure(links: DataFrame, starts: DataFrame) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import discovery, graph, iterate, lexical, memory, ranking, render, resolve
+from ..operators import discovery, graph, iterate, lexical, lexindex, memory, ranking, render, resolve
+from ..sources import packsink, tree
 from . import fixtures as fx
+from . import lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -483,3 +488,102 @@ def parse_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     files = spark.read.format("repo_tree").option("path", root).load()
     return parse.parsed(files).select("file_path", "error", F.explode_outer("entities.name").alias("entity"))
+
+
+RINGS = f"WITH RECURSIVE nodes AS ({fx.RING_FILES}), edges AS ({fx.RING_TYPED}), "
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    fx.views(spark, sf_dir, "part")
+    return graph.Graph(spark.sql(fx.RING_FILES), spark.sql(fx.RING_TYPED))
+
+
+@query(
+    "impact_evidence",
+    RINGS + """walk AS (SELECT id, 0 AS depth FROM nodes WHERE ends_with(path, '/25') UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < 5),
+d AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id), v AS (SELECT d.id, min(p.id) AS via FROM d JOIN edges e ON e.src = d.id JOIN d p ON p.id = e.dst AND p.depth = d.depth - 1 GROUP BY d.id)
+SELECT d.id, n.type, n.path, d.depth, v.via, CASE WHEN d.depth = 1 THEN 'HIGH' WHEN d.depth = 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk, false AS truncated FROM d JOIN nodes n USING (id) JOIN v USING (id) WHERE d.depth > 0""",
+)
+def impact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whatever reaches a node of a path that ends with /25, one of each block, with the next node on a shortest way there."""
+    return iterate.impact_paths(_rings(spark, sf_dir), "25", most=None)
+
+
+_CYCLES = """reach AS (SELECT type, src AS o, dst AS id FROM edges UNION SELECT r.type, r.o, e.dst FROM reach r JOIN edges e ON e.src = r.id AND e.type = r.type),
+comp AS (SELECT a.type, a.o AS id, min(a.id) AS component FROM reach a JOIN reach b ON b.type = a.type AND b.o = a.id AND b.id = a.o GROUP BY ALL),
+inner_ AS (SELECT DISTINCT e.type, e.src, e.dst, a.component FROM edges e JOIN comp a ON a.type = e.type AND a.id = e.src JOIN comp b ON b.type = e.type AND b.id = e.dst AND b.component = a.component),
+bfs AS (SELECT DISTINCT type, component, component AS id, 0 AS depth FROM comp UNION SELECT b.type, b.component, i.dst, b.depth + 1 FROM bfs b JOIN inner_ i ON i.type = b.type AND i.component = b.component AND i.src = b.id WHERE i.dst <> b.component AND b.depth < 60),
+d AS (SELECT type, component, id, min(depth) AS depth FROM bfs GROUP BY ALL),
+v AS (SELECT d.type, d.component, d.id, d.depth, min(p.id) AS via FROM d JOIN inner_ i ON i.type = d.type AND i.component = d.component AND i.dst = d.id JOIN d p ON p.type = d.type AND p.component = d.component AND p.id = i.src AND p.depth = d.depth - 1 GROUP BY ALL),
+closing AS (SELECT i.type, i.component, min({'depth': d.depth, 'id': d.id}) AS c FROM inner_ i JOIN d ON d.type = i.type AND d.component = i.component AND d.id = i.src WHERE i.dst = i.component GROUP BY ALL),
+back AS (SELECT type, component, c.id AS id, c.depth AS depth FROM closing UNION SELECT b.type, b.component, v.via, b.depth - 1 FROM back b JOIN v ON v.type = b.type AND v.component = b.component AND v.id = b.id WHERE b.depth > 0),
+found AS (SELECT b.type, CASE b.type WHEN 'CALLS' THEN 'WARNING' ELSE 'INFO' END AS severity, b.component, (SELECT count(*) FROM comp c WHERE c.type = b.type AND c.component = b.component) AS size, CAST(count(*) AS INTEGER) AS length, string_agg(b.id, '>' ORDER BY b.depth) AS cycle FROM back b GROUP BY b.type, b.component) """
+
+
+@query("shortest_cycles", RINGS + _CYCLES + "SELECT * FROM found")
+def shortest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each strong component of calls and of imports, its severity, and the shortest cycle through its least node."""
+    return iterate.cycles(_rings(spark, sf_dir)).withColumn("cycle", F.array_join("cycle", ">"))
+
+
+@query(
+    "health_of_rings",
+    RINGS + _CYCLES + """, c AS (SELECT (SELECT count(*) FROM nodes) AS internal, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE type = 'CALLS' UNION SELECT dst FROM edges WHERE type = 'CALLS')) AS orphans, CAST(0 AS BIGINT) AS unresolved, (SELECT count(*) FROM found WHERE severity = 'WARNING') AS warnings),
+s AS (SELECT *, round(greatest(100 - 2.0::DOUBLE * warnings - least(15.0::DOUBLE, 100.0::DOUBLE * orphans / internal), 0.0::DOUBLE), 1) AS score FROM c)
+SELECT internal, orphans, unresolved, warnings, score, CASE WHEN score < 60 THEN 'CRITICAL' WHEN score < 80 THEN 'WARNING' ELSE 'INFO' END AS severity FROM s""",
+)
+def health_of_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health of a graph with cycles: each strong component of calls is a warning."""
+    g = _rings(spark, sf_dir)
+    return graph.health(g, lineage.cut(iterate.cycles(g)).where("severity = 'WARNING'"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> lexindex.Index:
+    return lexindex.build(_docs(spark, sf_dir), f"{lineage.shared_folder(spark.sparkContext)}/index-{uuid.uuid4().hex}")
+
+
+@query("indexed_top50", ORACLES["lexical_top50"])
+def indexed_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lexical_top50, from an index."""
+    return lexindex.top(_index(spark, sf_dir), spark, QUERY)
+
+
+@query("indexed_bm25", ORACLES["bm25"] + " WHERE coalesce(score, 0) > 0 ORDER BY 2 DESC, 1 LIMIT 50")
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexindex.top(_index(spark, sf_dir), spark, QUERY, ranked_by="bm25")
+
+
+_PAGE_FILES = "SELECT concat('d', page_id % 7, '/', page_id % 31, '/page', page_id, '.html') AS path, html FROM pages"
+
+
+def _written_tree(files: DataFrame, root: str) -> None:
+    """Writes files (path, html) below root, by the tasks that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, html in zip(b.column("path").to_pylist(), b.column("html").to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(os.path.join(root, path)), exist_ok=True)
+                with open(os.path.join(root, path), "wb") as f:
+                    f.write((html or "").encode())
+            yield b.select(["path"]).slice(0, 0)
+
+    files.mapInArrow(run, "path string").count()
+
+
+@query("tree_scan", f"SELECT path, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length FROM ({_PAGE_FILES}) AS f WHERE starts_with(path, 'd3/') AND strlen(coalesce(html, '')) >= 500")
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a tree, written from all pages, below a folder and of a least size."""
+    root = lineage.shared_path(spark, "tree")
+    _written_tree(fx.sql(spark, sf_dir, _PAGE_FILES, "pages"), root)
+    tree.register(spark)
+    files = spark.read.format("repo_tree").option("path", root).option("content", "false").option("defaults", "false").option("pushdown", "true").load()
+    return files.where("path LIKE 'd3/%' AND length >= 500").select("path", "length")
+
+
+@query("pack_folder", "SELECT domain, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM (SELECT coalesce(source, '') AS domain, coalesce(text, '') AS text FROM documents) AS d GROUP BY domain")
+def pack_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a pack, a domain for each source, and what its index says."""
+    path = lineage.shared_path(spark, "pack")
+    blocks = _table("documents")(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("domain"), F.col("doc_id").alias("rank"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("block"))
+    packsink.save(blocks, path, render.DOMAIN_HEADER.replace("{title}", "documents"), render.DOMAIN_FOOTER)
+    return packsink.index(spark, path).groupBy("domain").agg(F.sum("blocks").alias("blocks"), F.sum("chars").alias("chars"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import discovery, graph, iterate, lexical, memory, ranking, render, resolve
-from ..sources import config, manifests, parse, tree, vault
+from ..sources import config, manifests, packsink, parse, tree, vault
 
 
 def scan(spark: SparkSession, root: str, content: bool = True, defaults: bool = True, depth: int | None = None, max_bytes: int | None = None, ignore: list[str] | None = None) -> DataFrame:
@@ -190,15 +190,30 @@ def summary(g: graph.Graph, top: int = 10) -> dict[str, DataFrame]:
     return {"scale": graph.scale(g), "domains": domains, "entry_points": graph.entry_points(g).orderBy(F.desc("n_out"), "id").limit(top), "hubs": graph.file_hubs(g, top)}
 
 
-def pack(spark: SparkSession, root: str, target: str = "", task: str | None = None, max_tokens: float | None = None, raw: bool = False, force: bool = False, profile: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(domain, best, text) of the most useful files below target, and the paths left out.
+def pack(spark: SparkSession, root: str, target: str = "", task: str | None = None, max_tokens: float | None = None, raw: bool = False, force: bool = False, profile: str | None = None, defaults: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(domain, best, text) of the most useful files below target, and the paths left out; see pack_blocks()."""
+    blocks, left_out = pack_blocks(spark, root, target, task, max_tokens, raw, force, profile, defaults)
+    return render.packed_text(blocks, _title(root)), left_out
+
+
+def _title(root: str) -> str:
+    return os.path.basename(os.path.abspath(root))
+
+
+def save_pack(blocks: DataFrame, root: str, path: str) -> None:
+    """The blocks of a pack as a folder of files, a domain or more each, written by the tasks that have them."""
+    packsink.save(blocks, path, render.DOMAIN_HEADER.replace("{title}", _title(root)), render.DOMAIN_FOOTER)
+
+
+def pack_blocks(spark: SparkSession, root: str, target: str = "", task: str | None = None, max_tokens: float | None = None, raw: bool = False, force: bool = False, profile: str | None = None, defaults: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(path, rank, domain, block, chars) of the most useful files below target, and the paths left out.
 
     Files are ranked by the task's relevance, or by what they are. Two passes keep the budget: by size, then by rendered blocks with their
     headers. Without a limit a pack over the guard of 100,000 tokens is refused unless forced. max_tokens None is no limit, 0 lets nothing in.
     """
     own = config.load(root)
     wanted = [p.strip("/") for p in (own.profiles.get(profile, []) if profile else [target]) if p.strip("/")]
-    files = scan(spark, root, max_bytes=own.max_bytes).where("error IS NULL")
+    files = scan(spark, root, defaults=defaults, max_bytes=own.max_bytes).where("error IS NULL")
     below = F.lit(not wanted)
     for w in wanted:
         below = below | (F.col("path") == w) | F.col("path").startswith(f"{w}/")
@@ -214,7 +229,7 @@ def pack(spark: SparkSession, root: str, target: str = "", task: str | None = No
     else:
         scored = files.select("path", ranking.heuristic(F.col("path")).cast("double").alias("score"))
     ranks = ranking.ranked(scored).join(files.select("path", F.col("length").alias("size")), "path")
-    name = os.path.basename(os.path.abspath(root))
+    name = _title(root)
     if max_tokens is not None:
         ranks = ranking.within_budget(ranks, max_tokens * scalar.CHARS_PER_TOKEN, F.col("rank"), spent=len(render.pack_header(name)))
     entities = parse.parsed(files).select(F.col("file_path").alias("path"), "entities")
@@ -225,7 +240,7 @@ def pack(spark: SparkSession, root: str, target: str = "", task: str | None = No
     if max_tokens is not None:
         blocks = ranking.packed_by_domain(blocks, max_tokens, render.DOMAIN_HEADER.replace("{title}", name), render.DOMAIN_FOOTER, len(render.pack_header(name)))
     left_out = files.select("path").join(blocks.select("path"), "path", "left_anti")
-    return render.packed_text(blocks, name), left_out
+    return blocks, left_out
 
 
 def write_pack(packed: DataFrame, root: str, name: str) -> str:

@@ -36,6 +36,9 @@ SELECT concat('p', k) AS src, concat('p', b * 50 + CAST(floor((3 * i + 1 + b % 7
 UNION SELECT concat('p', k), concat('p', k + 1) FROM ({_RING}) AS x WHERE (i % 4 = 1 AND i < 49) OR (i = 49 AND b % 8 <> 7)
 """
 SEEDS = "SELECT concat('p', p_partkey) AS id, concat('R', CAST(floor(p_partkey / 60) AS BIGINT) % 5) AS label FROM part WHERE p_partkey % 60 = 0"
+#: The same digraph with types by block, and its nodes with a path.
+RING_TYPED = f"SELECT src, dst, CASE WHEN CAST(floor(CAST(substr(src, 2) AS BIGINT) / 50) AS BIGINT) % 2 = 0 THEN 'CALLS' ELSE 'IMPORTS' END AS type FROM ({RING}) AS r"
+RING_FILES = "SELECT concat('p', p_partkey) AS id, 'FUNCTION' AS type, p_name AS name, concat('b', CAST(floor(p_partkey / 50) AS BIGINT), '/', p_partkey % 50) AS path, concat('p', p_partkey) AS fqn FROM part"
 RING_NODES = "SELECT concat('p', p_partkey) AS id FROM part"
 #: Paths of page URLs, without host and query.
 PATHS = "SELECT DISTINCT path FROM (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') AS path FROM pages) AS p WHERE path <> ''"

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(sc: SparkContext) -> str:
@@ -40,3 +40,11 @@ def forget(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the shared one, for what isn't written by Spark's own writers; only where that is a mounted file system."""
+    folder = shared_folder(spark.sparkContext)
+    if ":" in folder and not folder.startswith("file:"):
+        raise ValueError(f"{folder} is no folder of a mounted file system")
+    return f"{'/' + folder.removeprefix('file:').lstrip('/')}/{name}-{uuid.uuid4().hex}"
