@@ -1,8 +1,8 @@
 """Benchmark decontamination in DataFrame functions only.
 
-A document's windows as long as a benchmark item get a SimHash; multi-index Hamming blocks find all
-whose fingerprint lies within the radius of the item's, and an exact weighted-shingle similarity decides. Only windows whose
-shingles, as far as the item has them, weigh as much as the similarity asks of the item come so far: others can't reach it, so nothing is lost.
+A document's windows as long as a benchmark item get a SimHash; multi-index Hamming blocks find the items of that size
+whose fingerprint lies within the radius, and an exact weighted-shingle similarity decides. Only windows whose
+shingles, as far as items of the size have them, weigh as much as the similarity asks of one of these come so far: others can't reach it, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -108,27 +108,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("tid", F.xxhash64("doc_id", "text"))
     # The generator takes an expression, not a column: of a column Spark would infer a filter, and work out the words' hashes inside it for each shingle.
     grams = base.select("tid", _hashed(F.col("text")).alias("wh")).select("tid", F.greatest(F.size("wh") - SHINGLE + 1, F.lit(0)).alias("k"), F.posexplode(_shingles("wh")).alias("p", "h"))
-    hits = grams.join(bounded(weighed.select("iid", "h", "weight"), 24), "h").groupBy("tid", "iid").agg(F.first("k").alias("k"), F.sum("weight").alias("got"), F.collect_list(F.struct("p", "weight")).alias("at"))
-    hits = hits.join(bounded(marks.select("iid", "m", "wanted"), 24), "iid").where("got >= wanted")
-    # What an item's shingles in the window from s on weigh is the most that both can share.
+    # Windows worth a fingerprint, by size alone: an item's shingles in a window weigh as much as the window can share with it at most, so none that reaches the
+    # similarity of some item of its size is left out. A shingle that many items have counts once for each size.
+    by_size = weighed.join(bounded(marks.select("iid", "m"), 16), "iid").select("m", "h", "weight").distinct()
+    sizes = bounded(marks.groupBy("m").agg(F.min("wanted").alias("wanted")), 16)
+    hits = grams.join(bounded(by_size, 24), "h").groupBy("tid", "m").agg(F.first("k").alias("k"), F.sum("weight").alias("got"), F.collect_list(F.struct("p", "weight")).alias("at"))
+    hits = hits.join(sizes, "m").where("got >= wanted")
     last = F.greatest(F.col("k") - F.col("m"), F.lit(0))
-    each = hits.select("tid", "iid", "m", "wanted", last.alias("last"), F.explode("at").alias("x"))
-    each = each.select("tid", "iid", "wanted", "x.weight", F.explode(F.sequence(F.least(F.greatest(F.col("x.p") - F.col("m") + 1, F.lit(0)), F.col("last")), F.least(F.col("x.p"), F.col("last")))).alias("s"))
-    starts = each.groupBy("tid", "iid", "s").agg(F.sum("weight").alias("got"), F.first("wanted").alias("wanted")).where("got >= wanted")
-    found = cut(starts.groupBy("tid").agg(F.collect_set(F.struct("iid", "s")).alias("starts")))
+    each = hits.select("tid", "m", "wanted", last.alias("last"), F.explode("at").alias("x"))
+    each = each.select("tid", "m", "wanted", "x.weight", F.explode(F.sequence(F.least(F.greatest(F.col("x.p") - F.col("m") + 1, F.lit(0)), F.col("last")), F.least(F.col("x.p"), F.col("last")))).alias("s"))
+    starts = each.groupBy("tid", "m", "s").agg(F.sum("weight").alias("got"), F.first("wanted").alias("wanted")).where("got >= wanted")
+    found = cut(starts.groupBy("tid").agg(F.collect_set(F.struct("m", "s")).alias("starts")))
     size = found.agg(F.coalesce(F.sum(32 + 16 * F.size("starts")), F.lit(0))).first()[0]
     near = base.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "tid").groupBy("doc_id", "tid").agg(F.first("text").alias("text"), F.first("starts").alias("starts"))
     near = near.select("doc_id", "tid", "starts", _hashed(F.col("text")).alias("wh")).select("doc_id", "tid", _shingles("wh").alias("sh"), "starts")
-    near = near.select("doc_id", "tid", "sh", F.explode("starts").alias("x")).select("doc_id", "tid", "sh", "x.iid", "x.s").join(bounded(marks.select("iid", "m"), 16), "iid")
-    windows = near.select("doc_id", "tid", "iid", "s", F.slice("sh", F.col("s") + 1, F.col("m")).alias("wsh"))
+    near = near.select("doc_id", "tid", "sh", F.explode("starts").alias("x")).select("doc_id", "tid", "sh", "x.m", "x.s")
+    windows = near.select("doc_id", "tid", "m", "s", F.slice("sh", F.col("s") + 1, F.col("m")).alias("wsh"))
     printed = _printed(windows, "wsh", lane, "fp")
 
-    # The index: every block of a window's fingerprint meets the item's blocks within `most` bits.
+    # The index finds the items: every block of a window's fingerprint meets the same block of items of its size within `most` bits.
     flips = [0, *(sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(width), k))]
-    probes = marks.select("iid", "ifp", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("ifp"), b).alias("own")) for b in range(BLOCKS)))).alias("x"))
-    probes = probes.select("iid", "ifp", "x.block", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: f.bitwiseXOR(F.col("x.own")))).alias("key"))
+    probes = marks.select("m", "iid", "ifp", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("ifp"), b).alias("own")) for b in range(BLOCKS)))).alias("x"))
+    probes = probes.select("m", "iid", "ifp", "x.block", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: f.bitwiseXOR(F.col("x.own")))).alias("key"))
     keyed = printed.select("*", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)))).alias("x")).select("*", "x.block", "x.key").drop("x")
-    met = keyed.join(bounded(probes, 32), ["iid", "block", "key"])
+    met = keyed.join(bounded(probes, 40), ["m", "block", "key"])
     first = F.coalesce(*(F.when(F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("ifp"), b))) <= most, F.lit(b)) for b in range(BLOCKS)))
     met = met.where((F.col("block") == first) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius))  # once, not once a block
     met = met.join(bounded(marks.select("iid", "parts"), 32 + 24 * longest), "iid")
