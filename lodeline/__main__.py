@@ -69,7 +69,7 @@ def main() -> None:
             rows(commands.stats(found.graph, a.top or 3))
         elif a.command == "impact":
             try:
-                rows(iterate.impact(found.graph, a.target, strict=True).orderBy("depth", "path"))
+                rows(commands.impacted(found.graph, a.target, a.top or 50))
             except iterate.NoMatch:
                 raise SystemExit(f"no file matches {a.target!r}") from None
         elif a.command == "explain":

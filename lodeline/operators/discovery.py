@@ -45,19 +45,42 @@ def ancestors(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/"))).alias("path")).distinct()
 
 
-def evaluated(paths: DataFrame, rules: list[tuple] | None = None, evidence: int = 5) -> DataFrame:
+#: Patterns that are words, or a choice of words, between word bounds: what they can match is known by equality.
+_WORDS = r"^\\b\(?([a-z0-9_|]+)\)?\\b$"
+
+
+def matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(target, rule, weight, path) of paths (path) that the pattern of a rule (target, rule, pattern, weight) matches, in one pass over the paths.
+
+    A rule whose pattern is a choice of words meets the words of the paths by equality, and its pattern is tried on these paths only, so that rules may be many; the
+    others, which should be few, are tried on every path in one projection. Paths are matched in lower case, camel case cut into words.
+    """
+    table = rules.select("target", "rule", "pattern", F.col("weight").cast("double").alias("weight"), F.regexp_extract("pattern", _WORDS, 1).alias("words"))
+    tokens = table.where("words <> ''").select("target", "rule", "pattern", "weight", F.explode(F.array_distinct(F.split("words", r"\|"))).alias("word")).where("word <> ''")
+    text = paths.select("path", F.lower(spaced(F.col("path"))).alias("text"))
+    own = text.select("path", "text", F.explode(F.array_distinct(F.split("text", "[^a-z0-9_]+"))).alias("word"))
+    met = own.join(tokens, "word").where(F.rlike("text", F.col("pattern"))).select("target", "rule", "weight", "path").distinct()
+    rest = table.where("words = ''").collect()  # patterns that aren't words
+    if not rest:
+        return met
+    tried = F.array(*(F.when(F.col("text").rlike(r.pattern), F.struct(F.lit(r.target).alias("target"), F.lit(r.rule).alias("rule"), F.lit(r.weight).alias("weight"))) for r in rest))
+    return met.union(text.select("path", F.explode(F.array_compact(tried)).alias("x")).select("x.*", "path"))
+
+
+def evaluated(paths: DataFrame, rules: list[tuple] | DataFrame | None = None, evidence: int = 5) -> DataFrame:
     """(target, confidence, evidence): each rule that any path matches counts its weight once; the sum stops at 1.
 
-    Each path is tried against all rules in one projection, and the few matches are summed; evidence is the `evidence` smallest paths over all.
+    rules: (target, rule, pattern, weight), as a list or a table. The matches are stored, so that patterns are tried once; evidence is the `evidence` smallest paths over all.
     """
-    rules = RULES if rules is None else rules
-    text = F.lower(spaced(F.col("path")))
-    tried = F.array(*(F.when(text.rlike(pattern), F.struct(F.lit(t).alias("target"), F.lit(r).alias("rule"), F.lit(float(w)).alias("weight"))) for t, r, pattern, w in rules))
-    hits = paths.select("path", F.explode(F.array_compact(tried)).alias("x")).select("x.*", "path")
-    sums = hits.groupBy("target", "rule").agg(F.max("weight").alias("weight")).groupBy("target").agg(F.round(F.least(F.sum("weight"), F.lit(1.0)), 6).alias("confidence"))
-    # The smallest paths by target and rule first, so that a target's list never holds more than a few.
     from pyspark.sql import Window
 
+    from ..plans.lineage import cut
+
+    rules = RULES if rules is None else rules
+    table = rules if isinstance(rules, DataFrame) else rule_table(paths.sparkSession, [(t, r, p, float(w)) for t, r, p, w in rules], "target string, rule string, pattern string, weight double")
+    hits = cut(matches(paths, table))
+    sums = hits.groupBy("target", "rule").agg(F.max("weight").alias("weight")).groupBy("target").agg(F.round(F.least(F.sum("weight"), F.lit(1.0)), 6).alias("confidence"))
+    # The smallest paths by target first, so that a target's list never holds more than a few.
     first = hits.select("target", "path").distinct().withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("path"))).where(F.col("k") <= evidence)
     lists = first.groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("evidence"))
     return sums.where("confidence > 0").join(lists, "target").select("target", "confidence", "evidence")

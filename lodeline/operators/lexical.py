@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import terms
+from ..functions.scalar import term_list, terms
+from ..plans.lineage import cut
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -29,7 +30,7 @@ def lexical_scores(docs: DataFrame, query: str, id_column: str = "id", text: str
     if not words:
         return docs.select(id_column, F.lit(1.0).alias("score"))
     own = docs.select(id_column, terms(F.col(text)).alias("t"))
-    flags = own.select(id_column, *(F.array_contains("t", w).cast("int").alias(f"f{i}") for i, w in enumerate(words)))
+    flags = cut(own.select(id_column, *(F.array_contains("t", w).cast("byte").alias(f"f{i}") for i, w in enumerate(words))))  # a few bytes a row, so that the text is read once
     sums = flags.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"f{i}").alias(f"df{i}") for i in range(len(words))))
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -40,8 +41,8 @@ def lexical_scores(docs: DataFrame, query: str, id_column: str = "id", text: str
 def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, id_column: str = "id", text: str = "text") -> DataFrame:
     """(id, score) with term frequencies and length normalisation."""
     words = docs.sparkSession.range(1).select(terms(F.lit(query)).alias("t")).first().t
-    all_words = F.regexp_extract_all(F.translate(F.lower(text), "_-", "  "), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
-    own = docs.select(id_column, all_words.alias("w")).select(id_column, F.size("w").alias("len"), *((F.size("w") - F.size(F.array_remove("w", x))).alias(f"f{i}") for i, x in enumerate(words)))
+    own = docs.select(id_column, term_list(F.col(text)).alias("w")).select(id_column, F.size("w").alias("len"), *((F.size("w") - F.size(F.array_remove("w", x))).alias(f"f{i}") for i, x in enumerate(words)))
+    own = cut(own)  # a few counts a row, so that the text is read once
     sums = own.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     score = F.lit(0.0)
     for i in range(len(words)):

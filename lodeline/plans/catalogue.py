@@ -587,3 +587,19 @@ def pack_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _table("documents")(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("domain"), F.col("doc_id").alias("rank"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("block"))
     packsink.save(blocks, path, render.DOMAIN_HEADER.replace("{title}", "documents"), render.DOMAIN_FOOTER)
     return packsink.index(spark, path).groupBy("domain").agg(F.sum("blocks").alias("blocks"), F.sum("chars").alias("chars"))
+
+
+#: A rule for each part, of words: its own path or that of the order of the same number; the nodes of G1 as paths.
+_PART_PATTERNS = "SELECT concat('T', p_partkey % 40) AS target, concat('part', p_partkey) AS rule, concat('{b}(p', p_partkey, '|o', p_partkey, ')', '{b}') AS pattern, CAST((1 + p_partkey % 3) / 64.0 AS DOUBLE) AS weight FROM part"
+
+
+@query(
+    "many_rules",
+    G1 + f""", rules AS ({_PART_PATTERNS.format(b=chr(92) + 'b')}), words AS (SELECT path, unnest(list_distinct(regexp_split_to_array({_TEXT}, '[^a-z0-9_]+'))) AS word FROM nodes),
+hits AS (SELECT DISTINCT target, rule, weight, path FROM (SELECT target, rule, weight, unnest(string_split(substr(pattern, 4, length(pattern) - 6), '|')) AS word FROM rules) AS r JOIN words USING (word)),
+w AS (SELECT target, rule, max(weight) AS weight FROM hits GROUP BY ALL), e AS (SELECT target, path FROM (SELECT DISTINCT target, path FROM hits) AS x QUALIFY row_number() OVER (PARTITION BY target ORDER BY path) <= 5)
+SELECT target, round(CAST(least(sum(weight), 1.0) AS DOUBLE), 6) AS confidence, (SELECT string_agg(path, ',' ORDER BY path) FROM e WHERE e.target = w.target) AS evidence FROM w GROUP BY target""",
+)
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each part over the paths of G1."""
+    return discovery.evaluated(fx.graph(spark, sf_dir).nodes.select("path"), spark.sql(_PART_PATTERNS.format(b=chr(92) * 2 + "b")))

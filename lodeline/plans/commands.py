@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import discovery, graph, iterate, lexical, memory, ranking, render, resolve
 from ..sources import config, manifests, packsink, parse, tree, vault
+from .lineage import cut
 
 
 def scan(spark: SparkSession, root: str, content: bool = True, defaults: bool = True, depth: int | None = None, max_bytes: int | None = None, ignore: list[str] | None = None) -> DataFrame:
@@ -170,10 +171,11 @@ def explain(g: graph.Graph, domains: DataFrame, name: str) -> tuple[DataFrame, D
 
 
 def stats(g: graph.Graph, top: int = 3) -> DataFrame:
-    """(provider, value_json) of all metric providers, hotspots cut to `top`; the health and the counts of a validation, with call cycles, among them, and what the run took."""
+    """(provider, value_json) of all metric providers, hotspots cut to `top`; the health and the counts of a validation, each strong component of calls a warning, the cycles of calls and imports by severity, and what the run took."""
     began = time.monotonic()
-    cycles = iterate.cyclic_nodes(g.of_type(("CALLS",)))
-    own = {"hubs": lambda g: graph.hubs(g, top), "fat_modules": lambda g: graph.fat_modules(g, top), "health": lambda g: graph.health(g, cycles), "validation": lambda g: graph.validation(g, cycles)}
+    cycles = cut(iterate.cycles(g))
+    warnings = cycles.where("severity = 'WARNING'")
+    own = {"hubs": lambda g: graph.hubs(g, top), "fat_modules": lambda g: graph.fat_modules(g, top), "health": lambda g: graph.health(g, warnings), "validation": lambda g: graph.validation(g, warnings), "cycles": lambda g: cycles}
     return graph.report(g, graph.PROVIDERS | own | {"run": lambda g: run_metrics(g, began)})
 
 
@@ -185,9 +187,22 @@ def run_metrics(g: graph.Graph, began: float) -> DataFrame:
     return g.nodes.sparkSession.createDataFrame([(round(time.monotonic() - began, 3), n, round(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, 1))], "seconds double, rows long, peak_mb double")
 
 
+def with_more(rows: DataFrame, top: int, *order) -> DataFrame:
+    """The first `top` rows, with how many more there are."""
+    more = rows.agg(F.greatest(F.count(F.lit(1)) - top, F.lit(0)).alias("more"))
+    return rows.orderBy(*order).limit(top).crossJoin(F.broadcast(more))  # more is one row
+
+
 def summary(g: graph.Graph, top: int = 10) -> dict[str, DataFrame]:
-    domains = g.nodes.where("type = 'FILE'").groupBy(scalar.pack_domain(F.col("path")).alias("domain")).agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "domain").limit(15)
-    return {"scale": graph.scale(g), "domains": domains, "entry_points": graph.entry_points(g).orderBy(F.desc("n_out"), "id").limit(top), "hubs": graph.file_hubs(g, top)}
+    """The scale, and of domains, entry points and hubs the first with how many more there are."""
+    domains = g.nodes.where("type = 'FILE'").groupBy(scalar.pack_domain(F.col("path")).alias("domain")).agg(F.count(F.lit(1)).alias("files"))
+    files = graph.degrees(g).where("type = 'FILE' AND n_in > 0").select("id", "path", "n_in")
+    return {"scale": graph.scale(g), "domains": with_more(domains, 15, F.desc("files"), "domain"), "entry_points": with_more(graph.entry_points(g), top, F.desc("n_out"), "id"), "hubs": with_more(files, top, F.desc("n_in"), "id")}
+
+
+def impacted(g: graph.Graph, target: str, top: int = 50) -> DataFrame:
+    """What a change of the target reaches, nearest first, each with the next node on a shortest way to it, whether the search was cut short, and how many more there are."""
+    return with_more(cut(iterate.impact_paths(g, target, strict=True)), top, "depth", "path", "id")
 
 
 def pack(spark: SparkSession, root: str, target: str = "", task: str | None = None, max_tokens: float | None = None, raw: bool = False, force: bool = False, profile: str | None = None, defaults: bool = True) -> tuple[DataFrame, DataFrame]:

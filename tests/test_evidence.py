@@ -178,3 +178,28 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)none|argument|python"):
         packsink.save(bad.coalesce(1), str(tmp_path / "pack"))
     assert os.listdir(tmp_path) == []
+
+
+def test_and_n_more(spark):
+    from lodeline.plans import commands
+
+    g = _graph(spark, [(f"n{i:02}", "t") for i in range(12)])
+    found = commands.impacted(g, "src/t", 5).collect()
+    assert [(r.id, r.via, r.more) for r in found] == [(f"n{i:02}", "t", 7) for i in range(5)]
+    assert {r.more for r in commands.impacted(g, "src/t").collect()} == {0}
+    files = graph.Graph(g.nodes.withColumn("type", F.lit("FILE")), g.edges)
+    parts = commands.summary(files, 3)
+    assert [(r.id, r.more) for r in parts["entry_points"].collect()] == [("n00", 9), ("n01", 9), ("n02", 9)]
+    assert [(r.id, r.n_in, r.more) for r in parts["hubs"].collect()] == [("t", 12, 0)] and [(r.domain, r.files, r.more) for r in parts["domains"].collect()] == [("src", 13, 0)]
+
+
+def test_many_rules_in_one_pass(spark):
+    from lodeline.operators import discovery
+
+    paths = [("src/auth_login/a.py",), ("lib/paymentGateway/x.ts",), ("lib/authx/y.ts",), ("docs/été_auth.md",), ("r3/core",)]
+    rules = [("T", f"w{i}", rf"\b(w{i}|v{i})\b", 0.001) for i in range(10_000)] + [("Auth", "word", r"\b(auth|login)\b", 0.5), ("Auth", "one", r"\bauth\b", 0.25), ("Pay", "word", r"\bgateway\b", 0.75), ("Odd", "free", r"auth.", 0.5), ("Odd", "free", r"r\d", 0.25)]
+    df = spark.createDataFrame(paths, "path string")
+    found = {r.target: (r.confidence, r.evidence) for r in discovery.evaluated(df, rules).collect()}
+    assert found == {"Auth": (0.75, "docs/été_auth.md,src/auth_login/a.py"), "Pay": (0.75, "lib/paymentGateway/x.ts"), "Odd": (0.5, "docs/été_auth.md,lib/authx/y.ts,r3/core,src/auth_login/a.py")}
+    scans = discovery.matches(df.repartition(2), discovery.rule_table(spark, rules[:10_002], "target string, rule string, pattern string, weight double"))._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("RepartitionByExpression") + scans.count("Repartition ") == 1
