@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import discovery, graph, iterate, lexical, lexindex, memory, ranking, render, resolve
+from ..operators import discovery, graph, hashtree, iterate, lexical, lexindex, memory, ranking, render, resolve
 from ..sources import packsink, tree
 from . import fixtures as fx
 from . import lineage
@@ -603,3 +603,21 @@ SELECT target, round(CAST(least(sum(weight), 1.0) AS DOUBLE), 6) AS confidence,
 def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule for each part over the paths of G1."""
     return discovery.evaluated(fx.graph(spark, sf_dir).nodes.select("path"), spark.sql(_PART_PATTERNS.format(b=chr(92) * 2 + "b")))
+
+
+_BEFORE = "SELECT CAST(doc_id AS {string}) AS path, n_chars AS size, source AS mtime FROM documents"
+_AFTER = """SELECT CAST(doc_id AS {string}) AS path, CASE WHEN doc_id % 89 = 0 THEN n_chars + 1 ELSE n_chars END AS size, source AS mtime FROM documents WHERE doc_id % 97 <> 0
+UNION ALL SELECT concat('new', doc_id), n_chars, source FROM documents WHERE doc_id % 101 = 0"""
+
+
+@query(
+    "changed_files",
+    f"WITH a AS ({_BEFORE.format(string='VARCHAR')}), b AS ({_AFTER.format(string='VARCHAR')}) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.size IS DISTINCT FROM b.size OR a.mtime IS DISTINCT FROM b.mtime",
+)
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes between documents and documents with some added, removed and grown, from two stored trees of hashes."""
+    fx.views(spark, sf_dir, "documents")
+    folder = f"{lineage.shared_folder(spark.sparkContext)}/trees-{uuid.uuid4().hex}"
+    hashtree.save(spark.sql(_BEFORE.format(string="STRING")), f"{folder}/before")
+    hashtree.save(spark.sql(_AFTER.format(string="STRING")), f"{folder}/after", like=f"{folder}/before")
+    return hashtree.changed(spark, f"{folder}/before", f"{folder}/after")

@@ -203,3 +203,22 @@ def test_many_rules_in_one_pass(spark):
     assert found == {"Auth": (0.75, "docs/été_auth.md,src/auth_login/a.py"), "Pay": (0.75, "lib/paymentGateway/x.ts"), "Odd": (0.5, "docs/été_auth.md,lib/authx/y.ts,r3/core,src/auth_login/a.py")}
     scans = discovery.matches(df.repartition(2), discovery.rule_table(spark, rules[:10_002], "target string, rule string, pattern string, weight double"))._jdf.queryExecution().optimizedPlan().toString()
     assert scans.count("RepartitionByExpression") + scans.count("Repartition ") == 1
+
+
+@pytest.mark.parametrize("depth,named", [(2, 1000), (1, 0), (0, 1000)])
+def test_changes_between_stored_trees(spark, tmp_path, monkeypatch, depth, named):
+    from lodeline.operators import discovery, hashtree
+
+    monkeypatch.setattr(hashtree, "NAMED", named)
+    old = [(f"d{i % 9}/f{i}", i, "m") for i in range(300)] + [("twice", 1, "a"), ("twice", 1, "a"), (None, 1, None), ("gone", None, None)]
+    new = [(p, s + (p == "d3/f3"), m) for p, s, m in old[:300] if p != "d4/f4"] + [("twice", 1, "a"), (None, 2, None), ("", 0, ""), ("-", 0, "")]
+    schema = "path string, size long, mtime string"
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    root = hashtree.save(spark.createDataFrame(old, schema), a, depth)
+    assert root == discovery.fingerprint(spark.createDataFrame(old[::-1], schema), depth=depth).first().fingerprint
+    hashtree.save(spark.createDataFrame(new, schema), b, like=a)
+    want = {("d3/f3", "changed"), ("d4/f4", "removed"), ("twice", "changed"), (None, "changed"), ("gone", "removed"), ("", "added"), ("-", "added")}
+    assert {(r.path, r.change) for r in hashtree.changed(spark, a, b).collect()} == want
+    assert hashtree.differing_leaves(spark, a, b)[1] <= len(want) and hashtree.changed(spark, a, a).count() == 0
+    hashtree.save(spark.createDataFrame([], schema), str(tmp_path / "none"), like=a)
+    assert hashtree.changed(spark, str(tmp_path / "none"), a).count() == len({p for p, *_ in old})
