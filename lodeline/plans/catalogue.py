@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import discovery, graph, hashtree, iterate, lexical, lexindex, memory, ranking, render, resolve
+from ..operators import discovery, graph, graphstore, hashtree, iterate, lexical, lexindex, memory, ranking, render, resolve
 from ..sources import packsink, tree
 from . import fixtures as fx
 from . import lineage
@@ -621,3 +621,18 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashtree.save(spark.sql(_BEFORE.format(string="STRING")), f"{folder}/before")
     hashtree.save(spark.sql(_AFTER.format(string="STRING")), f"{folder}/after", like=f"{folder}/before")
     return hashtree.changed(spark, f"{folder}/before", f"{folder}/after")
+
+
+def _stored(name: str, oracle: str, f: Callable[[graphstore.Store], DataFrame]) -> None:
+    """A query over G1 as stored tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = uuid.uuid4().hex
+        return f(graphstore.save(fx.graph(spark, sf_dir), f"graph_{own}", f"{lineage.shared_folder(spark.sparkContext)}/graph-{own}"))
+
+    query(name, oracle)(run)
+
+
+_stored("stored_degrees", ORACLES["degrees"], graphstore.degrees)
+_stored("stored_hub_scores", ORACLES["hub_scores"], graphstore.hub_scores)
+_stored("stored_cross_types", G1 + f"SELECT a.type AS src_type, e.type, b.type AS dst_type, count(*) AS n FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE e.type IN {LOGICAL} GROUP BY ALL", graphstore.cross_types)

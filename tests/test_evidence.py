@@ -222,3 +222,22 @@ def test_changes_between_stored_trees(spark, tmp_path, monkeypatch, depth, named
     assert hashtree.differing_leaves(spark, a, b)[1] <= len(want) and hashtree.changed(spark, a, a).count() == 0
     hashtree.save(spark.createDataFrame([], schema), str(tmp_path / "none"), like=a)
     assert hashtree.changed(spark, str(tmp_path / "none"), a).count() == len({p for p, *_ in old})
+
+
+def test_a_stored_graph_is_joined_without_a_shuffle(spark, tmp_path):
+    from lodeline.operators import graphstore
+
+    rng = random.Random(6)
+    g = _graph(spark, sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.choice(["CALLS", "USES", "IMPORTS"])) for _ in range(200)}))
+    s = graphstore.save(g, "graph_of_a_test", str(tmp_path), buckets=3)
+    try:
+        for stored, plain in ((graphstore.degrees(s), graph.degrees(g)), (graphstore.hub_scores(s), graph.hub_scores(g))):
+            assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+            plan = stored._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan.replace("BroadcastExchange", "") and "Bucketed: true" in plan
+        ends = g.edges.where("type <> 'IMPORTS'").groupBy("type").count().collect()
+        assert sorted(map(tuple, graphstore.cross_types(s).collect())) == sorted(("FUNCTION", r.type, "FUNCTION", r["count"]) for r in ends)
+        assert {os.path.basename(os.path.dirname(f)) for f in s.by_src(("CALLS",)).inputFiles()} >= {"type=CALLS"} and {r.d for r in s.by_src(("CALLS",)).select(F.regexp_extract(F.input_file_name(), "type=[A-Z]+", 0).alias("d")).distinct().collect()} == {"type=CALLS"}
+        assert sorted(map(tuple, s.graph().edges.collect())) == sorted(map(tuple, g.edges.collect()))
+    finally:
+        s.drop()
