@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import discovery, graph, graphstore, hashtree, iterate, lexical, lexindex, memory, ranking, render, resolve
+from ..operators import discovery, graph, graphstore, hashtree, iterate, lexical, lexindex, memory, ranking, render, resolve, vaultlog
 from ..sources import packsink, tree
 from . import fixtures as fx
 from . import lineage
@@ -636,3 +636,22 @@ def _stored(name: str, oracle: str, f: Callable[[graphstore.Store], DataFrame])
 _stored("stored_degrees", ORACLES["degrees"], graphstore.degrees)
 _stored("stored_hub_scores", ORACLES["hub_scores"], graphstore.hub_scores)
 _stored("stored_cross_types", G1 + f"SELECT a.type AS src_type, e.type, b.type AS dst_type, count(*) AS n FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE e.type IN {LOGICAL} GROUP BY ALL", graphstore.cross_types)
+
+
+_FIRST_RULES = f"SELECT name, category, CASE WHEN substr(name, 2) LIKE '%3' THEN rule ELSE concat('first ', rule) END AS rule, CAST(0.75 AS DOUBLE) AS confidence, 'user' AS source, '2024-01-01' AS created_at FROM ({fx.PART_RULES}) AS r WHERE name NOT LIKE '%7'"
+
+
+@query(
+    "vault_log",
+    f"""WITH v AS (SELECT concat('rule_', substr(sha256(concat(category, '|', name, '|', rule)), 1, 12)) AS id, * FROM ({_FIRST_RULES}) AS f), u AS ({fx.PART_RULES}),
+named AS (SELECT v.id, v.name, v.category, coalesce(u.rule, v.rule) AS rule, CASE WHEN u.rule <> v.rule THEN u.confidence ELSE v.confidence END AS confidence, CASE WHEN u.rule <> v.rule THEN u.source ELSE v.source END AS source, v.created_at FROM v LEFT JOIN u USING (category, name))
+SELECT * FROM named UNION ALL SELECT concat('rule_', substr(sha256(concat(category, '|', name, '|', rule)), 1, 12)), * FROM u WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.category = u.category AND v.name = u.name)""",
+)
+def vault_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the parts, appended as two batches with a compaction between them, merged."""
+    fx.views(spark, sf_dir, "part")
+    path = f"{lineage.shared_folder(spark.sparkContext)}/vault-{uuid.uuid4().hex}"
+    vaultlog.append(path, spark.sql(_FIRST_RULES))
+    vaultlog.compact(spark, path)
+    vaultlog.append(path, spark.sql(fx.PART_RULES))
+    return vaultlog.current(spark, path)[0]

@@ -241,3 +241,33 @@ def test_a_stored_graph_is_joined_without_a_shuffle(spark, tmp_path):
         assert sorted(map(tuple, s.graph().edges.collect())) == sorted(map(tuple, g.edges.collect()))
     finally:
         s.drop()
+
+
+def test_no_writer_of_the_vault_is_lost(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lodeline.operators import vaultlog
+
+    path = str(tmp_path / "vault")
+
+    def rules(*names, text="use {}", confidence=0.5):
+        return spark.createDataFrame([(n, "c", text.format(n), confidence, "auto", "now") for n in names], vaultlog.NEW)
+
+    def names():
+        return {r.name: r.rule for r in vaultlog.current(spark, path)[0].collect()}
+
+    assert names() == {}
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: vaultlog.append(path, rules(f"a{i}", "both")), range(4)))
+    assert {*names()} == {"a0", "a1", "a2", "a3", "both"}
+    vaultlog.compact(spark, path)
+    assert vaultlog.current(spark, path)[1] == []
+    late = vaultlog.append(path, rules("late", "a1", text="avoid {}"))
+    assert vaultlog.current(spark, path)[1] == [late] and names()["a1"] == "avoid a1" and names()["late"] == "avoid late"
+    held, before = vaultlog._base(spark, path), names()
+    with ThreadPoolExecutor(3) as pool:  # two compactions and a writer at once
+        done = [pool.submit(vaultlog.compact, spark, path), pool.submit(vaultlog.compact, spark, path), pool.submit(vaultlog.append, path, rules("meanwhile"))]
+        [f.result() for f in done]
+    assert names() == before | {"meanwhile": "use meanwhile"} and held[1].count() == 4
+    vaultlog.compact(spark, path)
+    assert vaultlog.current(spark, path)[1] == [] and names() == before | {"meanwhile": "use meanwhile"}
