@@ -52,3 +52,26 @@ def test_repeated_rows_leave_the_same_one(spark):
     rows = [(1, A, {"k": n}) for n in range(20)]
     got = {simhash.first_texts(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").repartition(k), measure="dice").first().m["k"] for k in (1, 3, 7)}
     assert len(got) == 1
+
+
+def test_items_that_share_an_instruction_and_edited_passages(spark):
+    """Every item begins alike, most are of one size, and documents hold passages with words changed, as well as the instruction alone."""
+    import random
+
+    from lodeline.llm import decontam
+    from tests.llm.test_llm import plain_leaks
+
+    rng = random.Random(11)
+    lead = "answer the question below and give your reasons in a short paragraph"
+    items = [(i, f"{lead} " + " ".join(f"t{rng.randrange(900)}" for _ in range(60 if i % 4 else 45 + i))) for i in range(40)]
+    docs = [(i, f"{lead} " + " ".join(f"d{rng.randrange(900)}" for _ in range(80))) for i in range(30)]
+    for i, text in items:
+        words = text.split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(len(words))] = "changed"
+        docs.append((100 + i, " ".join(f"x{rng.randrange(900)}" for _ in range(rng.randrange(40))) + " " + " ".join(words) + " and on"))
+    want = plain_leaks(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.contaminated(d, b).collect()}
+    assert len(want) >= 25 and len(got.keys() & want.keys()) >= 0.9 * len(want) and got.keys() <= want.keys()
+    assert all(k[0] >= 100 for k in got)
