@@ -36,17 +36,44 @@ def decoded(raw: bytes) -> str | None:
     elif b"\0" in raw[:1024]:
         codes = ("utf-16-le", "utf-16-be")
     else:
-        codes = ("utf-8-sig", "cp1252", "latin-1")
+        codes = ("utf-8-sig", *_likely(raw), "cp1252", "latin-1")
     for code in codes:
         try:
             text = raw.decode(code)
         except UnicodeError:
             continue
-        if code == "utf-8-sig" or coherent(text):
+        if code == "utf-8-sig" or code not in ("cp1252", "latin-1", "utf-16", "utf-16-le", "utf-16-be") or coherent(text):
             return text
     return None
 
 
+#: Charsets that are guessed, besides Western ones: the range of their own letters, the share of other letters than ASCII that must lie in it, and, for Chinese ones, the range of first
+#: bytes that common characters have.
+_CHARSETS = [("shift_jis", ("぀", "ヿ"), 0.25, None), ("euc_jp", ("぀", "ヿ"), 0.25, None), ("cp949", ("가", "힣"), 0.9, None), ("gb18030", ("一", "鿿"), 0.9, (0xB0, 0xD7)), ("big5", ("一", "鿿"), 0.9, (0xA4, 0xC6)), ("cp1251", ("Ѐ", "ӿ"), 0.9, None), ("koi8_r", ("Ѐ", "ӿ"), 0.9, None)]
+
+
+def _likely(raw: bytes) -> list[str]:
+    """Charsets in which a text that isn't UTF-8 reads as what they are for, the likeliest first."""
+    found = []
+    for code, (low, high), least, common in _CHARSETS:
+        try:
+            letters = [c for c in raw.decode(code) if not c.isascii() and c.isalpha()]
+        except UnicodeError:
+            continue
+        if not letters or len(letters) < 0.1 * sum(b > 127 for b in raw):
+            continue
+        share = sum(low <= c <= high for c in letters) / len(letters)
+        if common:  # the pairs' first bytes
+            firsts = [c.encode(code)[0] for c in letters if low <= c <= high]
+            share *= sum(common[0] <= b <= common[1] for b in firsts) / max(len(firsts), 1)
+        elif code in ("cp1251", "koi8_r"):  # each reads the other's small letters as capitals; words begin with a capital at most, and most letters follow one another
+            share *= sum(c.islower() for c in letters) / len(letters) * (sum(b > 127 for b in raw) >= 0.4 * sum(chr(b).isalpha() or b > 127 for b in raw))
+        least = 0.7 if common or code in ("cp1251", "koi8_r") else least
+        if share >= least:
+            found.append((least == 0.7, -share, code))  # kana and Hangul are hardly met by chance
+    return [code for *_, code in sorted(found)]
+
+
 def coherent(text: str) -> bool:
     """Whether a text whose charset is guessed reads like one: hardly a control character, and letters, digits, signs and blanks of the usual kind for the most part."""
     head = text[:4096]
@@ -194,9 +221,71 @@ def _members(body: str) -> tuple[list[dict], list[dict]]:
     return fields, methods
 
 
+#: Signs that mean something outside of strings only; inside they are moved by HIDDEN while a text is looked at.
+_SIGNS, HIDDEN = "{}()[]<>;,=:@|&\n\"'`", 0xE000
+_NEXT, _STRING, _REGEX = re.compile(r"[/'\"`{}]"), re.compile(r"""'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*\"""", re.S), re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/")
+_SHOWN = {HIDDEN + ord(c): c for c in _SIGNS}
+
+
+def _hidden(text: str) -> str:
+    """The text, as long as it is, without comments, and with the signs inside strings, templates and regular expressions moved; what stands in a template's `${}` is code."""
+    out, depths, i = list(text), [], 0
+
+    def hide(a: int, b: int) -> None:
+        for j in range(a, min(b, len(out))):
+            if out[j] in _SIGNS:
+                out[j] = chr(HIDDEN + ord(out[j]))
+
+    def template(a: int) -> int:
+        """Past a template's text from a on: behind its end, or inside an expression."""
+        j = a
+        while j < len(text) and text[j] != "`" and not text.startswith("${", j):
+            j += 2 if text[j] == "\\" else 1
+        if text.startswith("${", j):
+            hide(a, j + 2)
+            depths.append(0)
+            return j + 2
+        hide(a, j)
+        return j + 1
+
+    while m := _NEXT.search(text, i):
+        i, c = m.start(), m[0]
+        end = i + 1
+        if c == "/" and text[i + 1 : i + 2] in ("/", "*"):
+            stop = text.find("\n" if text[i + 1] == "/" else "*/", i + 2)
+            end = len(text) if stop < 0 else stop if text[i + 1] == "/" else stop + 2
+            out[i:end] = [x if x == "\n" else " " for x in text[i:end]]
+        elif c == "/":
+            before = text[max(i - 20, 0) : i].rstrip()
+            if (not before or before[-1] in "(,=:[!&|?{};+" or re.search(r"\b(?:return|typeof|case)$", before)) and (r := _REGEX.match(text, i)):
+                hide(i, end := r.end())
+        elif c in "'\"":
+            if r := _STRING.match(text, i):
+                hide(i + 1, r.end() - 1)
+                end = r.end()
+        elif c == "`":
+            end = template(i + 1)
+        elif depths and c == "{":
+            depths[-1] += 1
+        elif depths and depths[-1]:
+            depths[-1] -= 1
+        elif depths:
+            depths.pop()
+            hide(i, i + 1)
+            end = template(i + 1)
+        i = end
+    return "".join(out)
+
+
+def _shown(x):
+    """A value with the signs of its strings back in their place."""
+    return x.translate(_SHOWN) if isinstance(x, str) else [_shown(y) for y in x] if isinstance(x, list) else {k: _shown(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
 def parse_typescript(path: str, text: str) -> dict:
-    """A subset by regular expressions: imports, exported names, classes, interfaces, types and functions at line starts, their heritage, members and calls."""
-    code = re.sub(r"/\*.*?\*/|(?<![:'\"])//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    """A subset by regular expressions: imports, exported names, classes, interfaces, types and functions at line starts, their heritage, members and calls. Strings, templates,
+    regular expressions and comments are known for what they are."""
+    code = _hidden(text)
     exports, entities = [], []
     for m in _DECLARED.finditer(code):
         name, rest = m[3], m[4]
@@ -217,7 +306,7 @@ def parse_typescript(path: str, text: str) -> dict:
         entities.append(e)
     for m in _EXPORTED.finditer(code):
         exports += [m[1]] if m[1] else [x.split(" as ")[-1].strip() for x in m[2].split(",") if x.strip()]
-    return {"exports": list(dict.fromkeys(exports)), "imports": list(dict.fromkeys(_IMPORT.findall(text))), "entities": entities}
+    return _shown({"exports": list(dict.fromkeys(exports)), "imports": list(dict.fromkeys(_IMPORT.findall(code))), "entities": entities})
 
 
 #: Parsers by suffix; register more here.
