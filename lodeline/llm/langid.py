@@ -21,9 +21,13 @@ BITS = 16
 ORDERS = (1, 2, 3)
 #: Different rows of each language that the weights are fitted on, about, by a hash of doc_id and text; longer texts aren't fitted on.
 SAMPLE = 1000
-#: Languages that a model can tell apart; its weights take 256 KB for each.
-MOST_LANGUAGES = 512
 SAMPLE_BYTES = 1 << 17
+#: Bytes of text that the weights are fitted on, about; each language has an equal part of them.
+FIT_BYTES = 1 << 28
+#: Weights of a model: beyond 512 languages the buckets of n-grams are halved until that many suffice.
+WEIGHTS = 1 << 25
+#: Languages that a model learns, the most frequent ones, ties by name.
+MOST_LANGUAGES = 4096
 EPOCHS = 3
 UNKNOWN = "und"
 
@@ -59,6 +63,21 @@ def _tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return idx, x / norm if norm else x
 
 
+def _folded(idx: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features in 2**bits buckets: those of buckets that become one are summed."""
+    if bits == BITS:
+        return idx, x
+    at, own = np.unique(idx >> (BITS - bits), return_inverse=True)
+    return at, np.bincount(own, x, minlength=len(at))
+
+
+def _bits(languages: int) -> int:
+    bits = BITS
+    while bits > 1 and languages << bits > WEIGHTS:
+        bits -= 1
+    return bits
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -73,7 +92,7 @@ class Model:
     temperature: float
 
     def logits(self, text: str) -> np.ndarray:
-        idx, x = _tfidf(text, self.idf)
+        idx, x = _folded(*_tfidf(text, self.idf), int(self.weights.shape[0]).bit_length() - 1)
         return x @ self.weights[idx] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -87,10 +106,12 @@ class Model:
 def fit(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
     """FTRL-proximal; every fifth row is kept apart for the temperature."""
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs], np.int64)
-    rows = [_tfidf(t, idf) for t in texts]
+    number = {x: i for i, x in enumerate(names)}
+    y = np.array([number[x] for x in langs], np.int64)
     k = len(names)
-    z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
+    bits = _bits(k)
+    rows = [_folded(*_tfidf(t, idf), bits) for t in texts]
+    z, n = np.zeros((1 << bits, k)), np.zeros((1 << bits, k))
     bias = np.zeros(k)
     learn = [i for i in range(len(rows)) if i % 5 or len(rows) < 10]
 
@@ -110,9 +131,9 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPOCH
             z[idx] += grad - sigma * w
             n[idx] += grad**2
             bias -= 0.02 * g
-    w = np.zeros((1 << BITS, k))
-    for lo in range(0, 1 << BITS, 8192):
-        w[lo : lo + 8192] = weights(np.arange(lo, lo + 8192))
+    w = np.zeros((1 << bits, k), np.float32)
+    for lo in range(0, 1 << bits, 8192):
+        w[lo : lo + 8192] = weights(np.arange(lo, min(lo + 8192, 1 << bits)))
     apart = [i for i in range(len(rows)) if not i % 5]
     temperature = 1.0
     if apart:
@@ -120,7 +141,7 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPOCH
         grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
         loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(apart)), y[apart]], 1e-12)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
-    return Model(names, idf, w.astype(np.float32), bias, temperature)
+    return Model(names, idf, w, bias, temperature)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -150,18 +171,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of docs (doc_id, text, lang); rows without text or lang aren't learnt from.
 
     Rows that come several times count in the document frequencies as often, and once in the fit. Rows are drawn by a hash, so that
-    neither their order nor their files matter. More than MOST_LANGUAGES values of lang are an error.
+    neither their order nor their files matter. A language has SAMPLE rows or its part of FIT_BYTES, whichever is less. Of more than MOST_LANGUAGES values of lang the most frequent are
+    learnt, rows of the others count in the document frequencies only.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = {lang: c for lang, c in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    short = F.octet_length("text") <= SAMPLE_BYTES
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(short, F.octet_length("text")).otherwise(0)).alias("size")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
-    share = F.create_map(*(F.lit(x) for lang, c in sorted(sizes.items()) for x in (lang, min(1.0, sample / c))))[F.col("lang")]
-    drawn = docs.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    own = FIT_BYTES / len(sizes)
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, sample / r.n, own / max(r.size, 1))) for r in sizes], "lang string, share double")
+    drawn = docs.where(short).join(F.broadcast(shares), "lang").withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     drawn = drawn.groupBy("h", "lang").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +194,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     got = drawn.coalesce(1).mapInArrow(run, "langs array<string>, weights binary, bias binary, temperature double").first()
     if not got or not got.langs:
         return Model([], idf, np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
-    return Model(list(got.langs), idf, np.frombuffer(got.weights, np.float32).reshape(1 << BITS, -1), np.frombuffer(got.bias), got.temperature)
+    return Model(list(got.langs), idf, np.frombuffer(got.weights, np.float32).reshape(-1, len(got.langs)), np.frombuffer(got.bias), got.temperature)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
