@@ -7,14 +7,14 @@ import json
 
 from pyspark.sql import SparkSession
 
-from .operators import iterate, render
+from .operators import diagnostics, iterate, render
 from .plans import commands
 from .sources import config
 
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="lodeline")
-    p.add_argument("command", choices=["init", "analyze", "discover", "pack", "export", "inspect", "explain", "stats", "impact", "summary", "learn", "memory"])
+    p.add_argument("command", choices=["init", "analyze", "discover", "pack", "export", "inspect", "explain", "stats", "impact", "summary", "learn", "memory", "diagnose"])
     p.add_argument("root", nargs="?", default=".")
     p.add_argument("--target", default="")
     p.add_argument("--task")
@@ -29,6 +29,7 @@ def main() -> None:
     p.add_argument("--raw", action="store_true")
     p.add_argument("--force", action="store_true")
     p.add_argument("--no-default-excludes", action="store_true")
+    p.add_argument("--verbose", action="store_true", help="diagnose: warnings and remarks too")
     a = p.parse_args()
     if a.command == "init":
         print("done" if config.initialise(a.root) else "there already")
@@ -43,6 +44,13 @@ def main() -> None:
         rows(commands.inspect(spark, a.root, a.top or 5, not a.no_default_excludes))
     elif a.command == "discover":
         rows(commands.discover(spark, a.root))
+    elif a.command == "diagnose":
+        found = commands.diagnosed(spark, a.root, not a.no_default_excludes, a.ignore)
+        for r in diagnostics.report(found, a.verbose).toLocalIterator():
+            print(r.line)
+        rows(diagnostics.tally(found))
+        if found.failed:
+            raise SystemExit(1)
     elif a.command == "learn":
         rows(commands.learn_into_vault(spark, a.root))
     elif a.command == "memory":

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import discovery, graph, graphstore, hashtree, iterate, lexical, lexindex, memory, ranking, render, resolve, vaultlog
+from ..operators import diagnostics, discovery, graph, graphstore, hashtree, iterate, lexical, lexindex, memory, ranking, render, resolve, vaultlog
 from ..sources import packsink, tree
 from . import fixtures as fx
 from . import lineage
@@ -655,3 +655,34 @@ def vault_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     vaultlog.compact(spark, path)
     vaultlog.append(path, spark.sql(fx.PART_RULES))
     return vaultlog.current(spark, path)[0]
+
+
+_FINDINGS = f"""WITH nodes AS ({fx.NODES} UNION ALL SELECT id, type, name, path, fqn FROM ({fx.EXTERNALS}) AS x), edges AS ({fx.INJECTED}),
+dead AS (SELECT src, dst, type, concat_ws(',', CASE WHEN src NOT IN (SELECT id FROM nodes) THEN 'src' END, CASE WHEN dst NOT IN (SELECT id FROM nodes) THEN 'dst' END) AS missing FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)),
+live AS (SELECT unnest([src, dst]) AS id FROM edges e WHERE type IN {LOGICAL} AND NOT EXISTS (SELECT 1 FROM dead d WHERE d.src = e.src AND d.dst = e.dst)),
+findings AS (SELECT 'dead_edge' AS code, 'WARNING' AS severity, concat(src, ' > ', dst, ' (', type, ')') AS subject, '' AS path, count(*) AS n, concat('no node for ', min(missing)) AS message FROM dead GROUP BY src, dst, type
+UNION ALL SELECT 'repeated_name', 'WARNING', fqn, '', count(*), concat(count(*), ' nodes have this name') FROM nodes GROUP BY fqn HAVING count(*) > 1
+UNION ALL SELECT 'orphan', 'INFO', id, path, 1, concat('no logical edge: ', name) FROM nodes WHERE type IN ('CLASS', 'FUNCTION', 'INTERFACE') AND id NOT IN (SELECT id FROM live)
+UNION ALL SELECT 'unresolved', 'INFO', id, path, 1, concat('unknown symbol: ', name) FROM nodes WHERE type = 'UNRESOLVED_EXTERNAL' AND name NOT IN ('len', 'Promise'))"""
+
+
+def _diagnosed(spark: SparkSession, sf_dir: str) -> diagnostics.Diagnostics:
+    """G1 with dead edges and an external symbol for each part."""
+    g = fx.graph(spark, sf_dir, True)
+    return diagnostics.collected(graph.Graph(g.nodes.unionByName(spark.sql(fx.EXTERNALS)), g.edges))
+
+
+@query("diagnostics", f"{_FINDINGS} SELECT * FROM findings")
+def diagnostics_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diagnosed(spark, sf_dir).findings
+
+
+@query(
+    "diagnostic_counts",
+    f"""{_FINDINGS}, c AS (SELECT code AS name, count(*) AS n FROM findings GROUP BY code UNION ALL SELECT severity, count(*) FROM findings GROUP BY severity UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges
+UNION ALL SELECT 'dead', count(*) FROM dead UNION ALL SELECT 'internal', count(*) FROM nodes WHERE type IN ('CLASS', 'FUNCTION', 'INTERFACE'))
+SELECT name, CAST(coalesce(max(n), 0) AS BIGINT) AS n FROM (SELECT * FROM c UNION ALL SELECT unnest(['ERROR', 'INFO', 'WARNING', 'cycle_ERROR', 'cycle_INFO', 'cycle_WARNING', 'dead', 'dead_edge', 'edges', 'internal', 'nodes', 'orphan', 'repeated_name', 'unparsed', 'unread', 'unresolved']), 0) AS x GROUP BY name""",
+)
+def diagnostic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of diagnostics, observed while its table was written."""
+    return diagnostics.tally(_diagnosed(spark, sf_dir))

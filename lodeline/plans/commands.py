@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import discovery, graph, iterate, lexical, memory, ranking, render, resolve
+from ..operators import diagnostics, discovery, graph, iterate, lexical, memory, ranking, render, resolve
 from ..sources import config, manifests, packsink, parse, tree, vault
 from .lineage import cut
 
@@ -174,17 +174,42 @@ def stats(g: graph.Graph, top: int = 3) -> DataFrame:
     """(provider, value_json) of all metric providers, hotspots cut to `top`; the health and the counts of a validation, each strong component of calls a warning, the cycles of calls and imports by severity, and what the run took."""
     began = time.monotonic()
     cycles = cut(iterate.cycles(g))
-    warnings = cycles.where("severity = 'WARNING'")
-    own = {"hubs": lambda g: graph.hubs(g, top), "fat_modules": lambda g: graph.fat_modules(g, top), "health": lambda g: graph.health(g, warnings), "validation": lambda g: graph.validation(g, warnings), "cycles": lambda g: cycles}
-    return graph.report(g, graph.PROVIDERS | own | {"run": lambda g: run_metrics(g, began)})
+    n = diagnostics.collected(g, cycles).counts
+    spark, validated = g.nodes.sparkSession, {"dead": n["dead"], "repeated": n["repeated_name"], "orphans": n["orphan"], "unresolved": n["unresolved"], "warnings": n["cycle_WARNING"]}
+    one = spark.createDataFrame([(n["internal"], n["orphan"], n["unresolved"], n["cycle_WARNING"], 0)], "internal long, orphans long, unresolved long, warnings long, criticals long")
+    validation = spark.createDataFrame([tuple(validated.values())], ", ".join(f"{k} long" for k in validated))
+    own = {"hubs": lambda g: graph.hubs(g, top), "fat_modules": lambda g: graph.fat_modules(g, top), "health": lambda g: graph.scored(one), "validation": lambda g: validation, "cycles": lambda g: cycles}
+    return graph.report(g, graph.PROVIDERS | own | {"run": lambda g: run_metrics(g, began, n["nodes"] + n["edges"])})
 
 
-def run_metrics(g: graph.Graph, began: float) -> DataFrame:
-    """One row: seconds that it took to count the graph since `began`, the rows, and the driver's peak memory in MB."""
+def diagnosed(spark: SparkSession, root: str, defaults: bool = True, ignore: list[str] | None = None) -> diagnostics.Diagnostics:
+    """All that is wrong with a repository: files that can't be read or parsed, dead edges, repeated names, orphans, unknown symbols, cycles."""
+    own = config.load(root)
+    files = scan(spark, root, defaults=defaults, depth=own.depth, max_bytes=own.max_bytes, ignore=ignore)
+    parsed = cut(parse.parsed(files))
+    g = resolve.assembled(parsed, aliases(files))
+    return diagnostics.collected(g, cut(iterate.cycles(graph.valid(g))), files, parsed)
+
+
+def run_metrics(g: graph.Graph, began: float, rows: int) -> DataFrame:
+    """One row: seconds since `began`, the rows that were counted meanwhile, and the peak of memory in MB, of the driver's Python and of Java's heap, there and on executors."""
     import resource
 
-    n = g.nodes.count() + g.edges.count()
-    return g.nodes.sparkSession.createDataFrame([(round(time.monotonic() - began, 3), n, round(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, 1))], "seconds double, rows long, peak_mb double")
+    own = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    return g.nodes.sparkSession.createDataFrame([(round(time.monotonic() - began, 3), rows, round(own, 1), heap_mb(g.nodes.sparkSession))], "seconds double, rows long, peak_mb double, heap_mb double")
+
+
+def heap_mb(spark: SparkSession) -> float:
+    """The largest heap that Spark's metrics have of the driver or an executor, in MB; what the driver holds now if they have none yet."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    most = runtime.totalMemory() - runtime.freeMemory()
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    for i in range(executors.size()):
+        peak = executors.apply(i).peakMemoryMetrics()
+        if peak.isDefined():
+            most = max(most, peak.get().getMetricValue("JVMHeapMemory"))
+    return round(most / 2**20, 1)
 
 
 def with_more(rows: DataFrame, top: int, *order) -> DataFrame:
