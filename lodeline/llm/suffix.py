@@ -1,8 +1,8 @@
 """Suffix-array dedup on UTF-8 bytes.
 
 Stretches of text that may recur across documents are found by minimiser (windows.py). Each task sorts those of its own texts by a suffix array,
-settles what they have in common, and sends the rest as sorted strings to shards, which hold all strings around the same minimisers. A shard merges
-the tasks' sorted strings, gives each 2 MB of distinct ones a suffix array, and merges the arrays by binary search over their sorted distinct windows. Larsson-Sadakane refinement sorts
+settles what they have in common, and sends the rest as sorted strings to buckets, which hold all strings around the same minimisers. There the strings
+of each few tasks, SHARD bytes or more, are a shard with a suffix array of its own, and the arrays are merged by binary search over their sorted distinct windows. Larsson-Sadakane refinement sorts
 positions by ever longer prefixes, up to 50 bytes, and touches only groups that are still tied; Kasai's common prefixes, taken
 over all strings in step, tell which neighbours share 50 bytes.
 """
@@ -23,6 +23,8 @@ GRAM = 24
 #: Bits of a position in one suffix array: rank, next rank and position share a 64-bit sort key.
 POSITION = 21
 MOST = (1 << POSITION) - 2
+#: Bytes of strings from which on a suffix array ends with the strings of the task that sent them.
+SHARD = 1 << 16
 #: Positions that follow one another in a lane of the common prefixes.
 LANE = 256
 
@@ -198,8 +200,8 @@ def merge(words: np.ndarray, shards: list[tuple[int, Shard]]) -> None:
         x.least = best[mine]
 
 
-def solve(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of the windows that a string of a smaller document has too, in order."""
+def solve(strings: list[bytes], docs: np.ndarray, source: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of the windows that a string of a smaller document has too, in order. source, in order: the task that sent each string; without it all came from one."""
     step = MOST // 2  # a string longer than this is cut, the pieces overlapping by what makes every window whole in one of them
     string, offset, pieces = np.arange(len(strings)), np.zeros(len(strings), np.int64), strings
     if max(map(len, strings), default=0) > step:
@@ -207,10 +209,14 @@ def solve(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         string, offset, pieces = np.array([p[0] for p in cut]), np.array([p[1] for p in cut]), [p[2] for p in cut]
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begin = np.r_[0, np.cumsum(size)]
+    sent = None if source is None else source[string]
     text = np.frombuffer(b"".join(pieces), np.uint8)
     shards, lo = [], 0
     while lo < len(pieces):
         hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + MOST, "right")) - 1)
+        if source is not None:
+            enough = min(int(np.searchsorted(begin, begin[lo] + SHARD)), len(pieces)) - 1
+            hi = min(hi, int(np.searchsorted(sent, sent[enough], "right")))
         shards.append((int(begin[lo]), shard(text[begin[lo] : begin[hi]], size[lo:hi], docs[string[lo:hi]])))
         lo = hi
     if len(shards) > 1:

@@ -78,8 +78,8 @@ class Kind:
     gram: int
     #: How many units a string has.
     units: Callable[[bytes], int]
-    #: (strings, document of each) -> (string, offset) of the windows that a smaller document has, in order.
-    solve: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
+    #: (strings, document of each; where strings are kept in order also the task that sent each) -> (string, offset) of the windows that a smaller document has, in order.
+    solve: Callable[..., tuple[np.ndarray, np.ndarray]]
     #: Whether strings are kept in order: tasks then settle what their texts share by the solver, and merge sorted runs of strings; else equal strings meet in a table.
     ordered: bool = False
 
@@ -482,13 +482,14 @@ def _windows(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
 
 def _bucket(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
     """(did, tid, spans) of one bucket. Equal strings are decided once: only the smallest document's is looked into."""
-    ids, docs, starts, strings, base = [], [], [], [], 0
-    for p in packs:
+    ids, docs, starts, strings, sent, base = [], [], [], [], [], 0
+    for k, p in enumerate(packs):
         own, doc, start, size, content = _unpacked(p, np.int64, np.uint32, np.int64, np.int32, None)
         ids.append(own.reshape(-1, 2))
         docs.append(doc.astype(np.int64) + base)
         base += len(ids[-1])
         starts.append(start)
+        sent.append(np.full(len(start), k))
         stop = np.cumsum(size).tolist()
         strings += [content[e - n : e] for n, e in zip(size.tolist(), stop, strict=True)]
     table, doc, start = np.concatenate(ids), np.concatenate(docs), np.concatenate(starts)
@@ -507,7 +508,12 @@ def _bucket(kind: Kind, packs: list[bytes]) -> list[tuple[int, int, bytes]]:
     lead = np.flatnonzero(did == least[same])  # several rows or places of the smallest document may have a string
     lead = lead[np.argsort(same[lead], kind="stable")]
     first = np.flatnonzero(np.diff(same[lead], prepend=-1))
-    string, offset = kind.solve([strings[i] for i in lead[first].tolist()], did[lead[first]])
+    if kind.ordered:  # each task's strings lie together
+        by = np.argsort(np.concatenate(sent)[lead[first]], kind="stable")
+        string, offset = kind.solve([strings[i] for i in lead[first[by]].tolist()], did[lead[first[by]]], np.concatenate(sent)[lead[first[by]]])
+        string = by[string]
+    else:
+        string, offset = kind.solve([strings[i] for i in lead[first].tolist()], did[lead[first]])
     # Every row of a string has its hits.
     size = np.diff(np.r_[first, len(lead)])[string]
     row = lead[np.repeat(first[string], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
