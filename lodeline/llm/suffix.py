@@ -24,7 +24,7 @@ GRAM = 24
 POSITION = 21
 MOST = (1 << POSITION) - 2
 #: Bytes of strings from which on a suffix array ends with the strings of the task that sent them.
-SHARD = 1 << 16
+SHARD = 1 << 18
 #: Positions that follow one another in a lane of the common prefixes.
 LANE = 256
 
@@ -153,10 +153,10 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(words: np.ndarray, sorted_at: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of the windows at `at` among those at sorted_at: where each belongs, and whether it stands there. Eight bytes at a time."""
+def search(words: np.ndarray, sorted_at: np.ndarray, at: np.ndarray, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of the windows at `at` among those at sorted_at: where each belongs, and whether it stands there. Eight bytes at a time; head: the first eight at sorted_at, where they are known."""
     whole, rest = divmod(WINDOW, 8)
-    head, own = words[sorted_at], words[at]
+    head, own = words[sorted_at] if head is None else head, words[at]
     lo, hi = np.searchsorted(head, own, "left"), np.searchsorted(head, own, "right")
     live = np.flatnonzero(lo < hi)
     for c in range(1, whole + (rest > 0)):
@@ -185,16 +185,17 @@ def search(words: np.ndarray, sorted_at: np.ndarray, at: np.ndarray) -> tuple[np
 
 def merge(words: np.ndarray, shards: list[tuple[int, Shard]]) -> None:
     """Gives each group of the shards (offset in the text, shard) the least document that any of them has for its window."""
-    places, entry, best, own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    places, entry, best, head, own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), []
     for base, x in shards:
         at = base + x.order[x.heads]
-        where, met = search(words, places, at) if len(places) else (np.zeros(len(at), np.int64), np.zeros(len(at), bool))
+        where, met = search(words, places, at, head) if len(places) else (np.zeros(len(at), np.int64), np.zeros(len(at), bool))
         mine = np.empty(len(at), np.int64)
         mine[met] = entry[where[met]]
         best[mine[met]] = np.minimum(best[mine[met]], x.least[met])
         mine[~met] = len(best) + np.arange((~met).sum())
         best = np.r_[best, x.least[~met]]
-        places, entry = np.insert(places, where[~met], at[~met]), np.insert(entry, where[~met], mine[~met])
+        more = where[~met]
+        places, entry, head = np.insert(places, more, at[~met]), np.insert(entry, more, mine[~met]), np.insert(head, more, words[at[~met]])
         own.append(mine)
     for (_, x), mine in zip(shards, own, strict=True):
         x.least = best[mine]

@@ -22,7 +22,7 @@ def plain(strings, docs):
     return [(k, i) for k, (s, d) in enumerate(zip(strings, docs, strict=True)) for i in range(len(s) - suffix.WINDOW + 1) if first[s[i : i + suffix.WINDOW]] < d]
 
 
-@pytest.mark.parametrize("size", [1, 300, 2000, 1 << 16])
+@pytest.mark.parametrize("size", [1, 300, 2000, suffix.SHARD])
 def test_shards_of_any_size(monkeypatch, size):
     monkeypatch.setattr(suffix, "SHARD", size)
     rng = random.Random(size)
