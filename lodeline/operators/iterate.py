@@ -20,15 +20,20 @@ class NoMatch(ValueError):
     """No node has the target's path."""
 
 
-#: Rows up to which a frontier is broadcast to the links, once counted.
-FRONTIER = 1 << 20
+#: Rows up to which a frontier is broadcast to the links, once counted. What is broadcast passes through the driver, in every round.
+FRONTIER = 1 << 16
 #: Nodes from which on an impact says that it was cut short. A fixed value.
 MOST_NODES = 2000
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df, whose joins shuffle it however small it seems: in a loop, what Spark chose to broadcast would pass through the driver round after round."""
+    return df.hint("merge")
+
+
 def _next_hop(frontier: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """frontier (id, ...) joined to links (id, next), which stay where they are while the frontier is small."""
-    return links.join(F.broadcast(frontier) if rows <= FRONTIER else frontier, "id")
+    return links.join(F.broadcast(frontier) if rows <= FRONTIER else _apart(frontier), "id")
 
 
 def impact_paths(g: Graph, target: str, hops: int = 5, most: int | None = MOST_NODES, strict: bool = False) -> DataFrame:
@@ -49,9 +54,9 @@ def impact_paths(g: Graph, target: str, hops: int = 5, most: int | None = MOST_N
         if not n:
             break
         if most is not None and known > most:
-            truncated = not _next_hop(frontier.select("id"), n, back).select(F.col("next").alias("id")).join(seen, "id", "left_anti").isEmpty()
+            truncated = not _next_hop(frontier.select("id"), n, back).select(F.col("next").alias("id")).join(_apart(seen), "id", "left_anti").isEmpty()
             break
-        new = _next_hop(frontier.select("id"), n, back).groupBy(F.col("next").alias("id")).agg(F.min("id").alias("via")).join(seen, "id", "left_anti")
+        new = _next_hop(frontier.select("id"), n, back).groupBy(F.col("next").alias("id")).agg(F.min("id").alias("via")).join(_apart(seen), "id", "left_anti")
         frontier = cut(new.select("id", F.lit(d).alias("depth"), "via"))
         n = frontier.count()
         known += n
@@ -96,12 +101,12 @@ def domains(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, shared: str =
     frontier = seeds.select("id", F.col("label").alias("lo"), F.col("label").alias("hi"))
     known = None  # (id, lo, hi): least and greatest label so far
     while True:
-        sent = frontier.join(plain, "id").groupBy(F.col("next").alias("id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        sent = _apart(frontier).join(plain, "id").groupBy(F.col("next").alias("id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         if known is None:
             merged = sent.withColumn("new", F.lit(True))
         else:
             old = known.select("id", F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
-            merged = old.join(sent, "id", "full").select("id", F.least("lo", "lo0").alias("lo"), F.greatest("hi", "hi0").alias("hi"), (F.least("lo", "lo0").eqNullSafe(F.col("lo0")) & F.greatest("hi", "hi0").eqNullSafe(F.col("hi0"))).alias("same")).select("id", "lo", "hi", (~F.col("same")).alias("new"))
+            merged = _apart(old).join(sent, "id", "full").select("id", F.least("lo", "lo0").alias("lo"), F.greatest("hi", "hi0").alias("hi"), (F.least("lo", "lo0").eqNullSafe(F.col("lo0")) & F.greatest("hi", "hi0").eqNullSafe(F.col("hi0"))).alias("same")).select("id", "lo", "hi", (~F.col("same")).alias("new"))
         known = cut(merged)
         frontier = known.where("new").select("id", "lo", "hi")
         if frontier.isEmpty():
@@ -130,8 +135,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         while n:  # trim, twice a round: what only leads out of or into cycles goes
             before = n
             for _ in range(2):
-                inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
-                e = e.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+                inner = e.select(F.col("src").alias("id")).distinct().join(_apart(e.select(F.col("dst").alias("id")).distinct()), "id", "left_semi")
+                e = e.join(_apart(inner.withColumnRenamed("id", "src")), "src", "left_semi").join(_apart(inner.withColumnRenamed("id", "dst")), "dst", "left_semi").select("src", "dst")
             e = cut(e)
             n = e.count()
             if n == before:
@@ -140,30 +145,30 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         colour = cut(e.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
         while True:
-            sent = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("c"))
-            nxt = cut(colour.join(sent, "id", "left").select("id", F.greatest("colour", "c").alias("colour"), (F.coalesce(F.col("c"), F.col("colour")) > F.col("colour")).alias("new")))
+            sent = e.join(_apart(colour.withColumnRenamed("id", "src")), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("c"))
+            nxt = cut(colour.join(_apart(sent), "id", "left").select("id", F.greatest("colour", "c").alias("colour"), (F.coalesce(F.col("c"), F.col("colour")) > F.col("colour")).alias("new")))
             done = nxt.where("new").isEmpty()
             colour = nxt.select("id", "colour")
             if done:
                 break
-        within = e.join(colour.withColumnsRenamed({"id": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"id": "dst", "colour": "b"}), "dst").where("a = b").select("src", "dst")
+        within = e.join(_apart(colour.withColumnsRenamed({"id": "src", "colour": "a"})), "src").join(_apart(colour.withColumnsRenamed({"id": "dst", "colour": "b"})), "dst").where("a = b").select("src", "dst")
         within = cut(within)
         seen = cut(colour.where("id = colour").select("id"))
         frontier = seen
         while not frontier.isEmpty():
-            frontier = cut(within.join(frontier.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"))
+            frontier = cut(within.join(_apart(frontier.withColumnRenamed("id", "dst")), "dst").select(F.col("src").alias("id")).distinct().join(_apart(seen), "id", "left_anti"))
             seen = seen.union(frontier)
-        part = seen.join(colour, "id")
-        strong = part.join(part.groupBy("colour").count().where("count > 1"), "colour", "left_semi").select("id", "colour")
+        part = seen.join(_apart(colour), "id")
+        strong = part.join(_apart(part.groupBy("colour").count().where("count > 1")), "colour", "left_semi").select("id", "colour")
         found = strong if found is None else found.union(strong)
-        e = cut(e.join(seen.withColumnRenamed("id", "src"), "src", "left_anti").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        e = cut(e.join(_apart(seen.withColumnRenamed("id", "src")), "src", "left_anti").join(_apart(seen.withColumnRenamed("id", "dst")), "dst", "left_anti").select("src", "dst"))
         n = e.count()
     alone = loops.withColumn("colour", F.col("id"))
     if found is None:
         return alone.select("id", F.col("colour").alias("component"))
     # A loop inside a larger component is no component of its own.
-    every = found.union(alone.join(found, "id", "left_anti"))
-    return every.join(every.groupBy("colour").agg(F.min("id").alias("component")), "colour").select("id", "component")
+    every = cut(found.union(alone.join(_apart(found), "id", "left_anti")))
+    return every.join(_apart(every.groupBy("colour").agg(F.min("id").alias("component"))), "colour").select("id", "component")
 
 
 def shortest_cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
@@ -173,7 +178,7 @@ def shortest_cycles(edges: DataFrame, components: DataFrame | None = None) -> Da
     again. The cycles are then read backwards, a step of all of them a round. Of equally long ones the way back of least ids holds.
     """
     comps = cut(strong_components(edges) if components is None else components)
-    e = edges.select("src", "dst").distinct().join(comps.select(F.col("id").alias("src"), "component"), "src").join(comps.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst")
+    e = edges.select("src", "dst").distinct().join(_apart(comps.select(F.col("id").alias("src"), "component")), "src").join(_apart(comps.select(F.col("id").alias("dst"), F.col("component").alias("other"))), "dst")
     e = cut(e.where("component = other").select(F.col("src").alias("id"), F.col("dst").alias("next"), "component"))
     none = F.lit(None).cast("string")
     seen = cut(comps.select(F.col("component").alias("id"), F.lit(0).alias("depth"), none.alias("via")).distinct())
@@ -183,7 +188,7 @@ def shortest_cycles(edges: DataFrame, components: DataFrame | None = None) -> Da
         sent = cut(_next_hop(frontier.select("id"), n, e).groupBy(F.col("next").alias("id"), "component").agg(F.min("id").alias("via")))
         back = sent.where("id = component").select("component", F.lit(d).alias("length"), F.col("via").alias("at"))
         closed = back if closed is None else closed.union(back)
-        new = sent.join(closed.select("component"), "component", "left_anti").join(seen, "id", "left_anti")
+        new = sent.join(_apart(closed.select("component")), "component", "left_anti").join(_apart(seen), "id", "left_anti")
         frontier = cut(new.select("id", F.lit(d).alias("depth"), "via"))
         n = frontier.count()
         seen = seen.union(frontier)
@@ -194,11 +199,11 @@ def shortest_cycles(edges: DataFrame, components: DataFrame | None = None) -> Da
     walks = cut(closed.select("component", "length", "at", F.array("at").alias("cycle")))
     open_, done = walks.where("at <> component"), walks.where("at = component")
     while not open_.isEmpty():
-        step = open_.join(seen.select(F.col("id").alias("at"), "via"), "at").select("component", "length", F.col("via").alias("at"), F.concat(F.array("via"), "cycle").alias("cycle"))
+        step = _apart(open_).join(seen.select(F.col("id").alias("at"), "via"), "at").select("component", "length", F.col("via").alias("at"), F.concat(F.array("via"), "cycle").alias("cycle"))
         step = cut(step)
         done = done.union(step.where("at = component"))
         open_ = step.where("at <> component")
-    return done.join(sizes, "component").select("component", "size", "length", "cycle")
+    return _apart(done).join(sizes, "component").select("component", "size", "length", "cycle")
 
 
 #: The severity of a cycle by the type of its edges.
@@ -220,9 +225,11 @@ def cycles(g: Graph, severity: dict[str, str] | None = None) -> DataFrame:
 
 def closure(links: DataFrame, starts: DataFrame) -> DataFrame:
     """All ids reachable from starts (id) over links (src, dst), starts included; each is visited once."""
+    links = links.select(F.col("src").alias("id"), F.col("dst").alias("next"))
     seen = cut(starts.select("id").distinct())
-    frontier = seen
-    while not frontier.isEmpty():
-        frontier = cut(links.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+    frontier, n = seen, seen.count()
+    while n:
+        frontier = cut(_next_hop(frontier, n, links).select(F.col("next").alias("id")).distinct().join(_apart(seen), "id", "left_anti"))
+        n = frontier.count()
         seen = seen.union(frontier)
     return seen
