@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .graph import EXTERNAL, Graph
+from .graph import EXTERNAL, Graph, dealt
 
 
 def target_match(path: Column, target: str) -> Column:
@@ -78,17 +78,19 @@ def impact_summary(found: DataFrame, domain: Column) -> DataFrame:
     return found.agg(F.count_distinct(F.when(F.col("type") == "FILE", F.col("path"))).alias("files"), F.count_if(F.col("type") != "FILE").alias("entities"), F.coalesce(F.min_by("risk", rank), F.lit("NONE")).alias("risk"), F.array_join(F.array_sort(F.collect_set(domain)), ",").alias("domains"))
 
 
-def diffusion(edges: DataFrame, seeds: DataFrame, top: int = 50, hops: int = 3, decay: float = 0.5, floor: float = 5.0) -> DataFrame:
+def diffusion(edges: DataFrame, seeds: DataFrame, top: int = 50, hops: int = 3, decay: float = 0.5, floor: float = 5.0, size: int | None = None) -> DataFrame:
     """Relevance from the `top` seeds (id, score), the best scaled to 100, over undirected edges: each hop keeps `decay` of the best neighbour that a node
-    is first reached from; below `floor` nothing is passed on."""
+    is first reached from; below `floor` nothing is passed on. size: rows of edges, if known; they are then dealt by it, and only a frontier moves in a hop."""
     best = seeds.where("score > 0").orderBy(F.desc("score"), "id").limit(top).collect()  # at most `top` rows
     most = max((r.score for r in best), default=1.0)
     start = edges.sparkSession.createDataFrame([(r.id, 100.0 * r.score / most) for r in best], "id string, score double")
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("id", "next").distinct())
+    both = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("next")), F.struct(F.col("dst").alias("id"), F.col("src").alias("next")))).alias("x")).select("x.*")
+    both = cut(dealt(both, size and 2 * size, "id", "next").distinct())
     seen, frontier = start, start
     for _ in range(hops):
-        passed = frontier.where(F.col("score") * decay >= floor).join(both, "id").groupBy(F.col("next").alias("id")).agg((F.max("score") * decay).alias("score"))
-        frontier = cut(passed.join(seen, "id", "left_anti").select("id", "score"))
+        sent = cut(frontier.where(F.col("score") * decay >= floor))
+        passed = _next_hop(sent, sent.count(), both).groupBy(F.col("next").alias("id")).agg((F.max("score") * decay).alias("score"))
+        frontier = cut(passed.join(_apart(seen), "id", "left_anti").select("id", "score"))
         seen = seen.union(frontier)
     return seen
 

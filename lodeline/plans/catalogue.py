@@ -100,7 +100,7 @@ _graph(
     "relevance_diffusion",
     G1 + f", {FAN}, both_ AS (SELECT src AS id, dst AS next FROM edges UNION SELECT dst, src FROM edges), top AS (SELECT id, 2 * fan_in + fan_out AS score FROM fan ORDER BY score DESC, id LIMIT 50), h0 AS (SELECT id, 100.0 * CAST(score AS DOUBLE) / (SELECT max(score) FROM top) AS score FROM top), "
     + ", ".join(_HOP.format(k=k + 1, f=f"h{k}", seen=_SEEN[k]) for k in range(3)) + " SELECT id, round(score, 6) AS score FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) AS x",
-    lambda g: iterate.diffusion(g.edges, graph.hub_scores(g).select("id", F.col("score").cast("double").alias("score"))).select("id", F.round("score", 6).alias("score")),
+    lambda g: iterate.diffusion(g.edges, graph.hub_scores(g).select("id", F.col("score").cast("double").alias("score")), size=g.size).select("id", F.round("score", 6).alias("score")),
 )
 
 RING = f"WITH RECURSIVE edges AS ({fx.RING}), seeds AS ({fx.SEEDS}), "

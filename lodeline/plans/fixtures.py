@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.graph import Graph
+from ..operators.graph import Graph, dealt
 
 NODES = """
 SELECT concat('r', r_regionkey) AS id, 'FILE' AS type, r_name AS name, concat('core/r', r_regionkey) AS path, r_name AS fqn FROM region
@@ -83,4 +83,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
 def graph(spark: SparkSession, sf_dir: str, injected: bool = False) -> Graph:
     """G1; injected: with dead edges."""
     views(spark, sf_dir, "region", "nation", "supplier", "customer", "orders", "part", "lineitem")
-    return Graph(spark.sql(NODES), spark.sql(INJECTED if injected else EDGES))
+    size = sum(spark.table(t).count() for t in ("supplier", "customer", "orders", "part", "lineitem"))  # of the files' footers
+    calls = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    dealt(calls, size, "l_orderkey", "l_partkey").createOrReplaceTempView("lineitem")  # DISTINCT then needs no shuffle of a fixed number of tasks
+    return Graph(spark.sql(NODES), spark.sql(INJECTED if injected else EDGES), size)

@@ -1,6 +1,6 @@
 """What must not grow with the tables: what the driver gets, what one task holds, what is shuffled."""
 
-from lodeline.operators import iterate
+from lodeline.operators import graph, iterate
 
 
 def test_loops_send_little_to_the_driver(spark):
@@ -24,3 +24,15 @@ def test_loops_send_little_to_the_driver(spark):
     finally:
         iterate.cut, iterate.FRONTIER = own, frontier
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_large_graphs_are_dealt_by_their_size(spark, monkeypatch):
+    """Where a graph's size is known, a task gets about TASK_ROWS of its rows, however few partitions shuffles have; results stay the same."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    edges = spark.range(2000).selectExpr("concat('a', id % 300) AS src", "concat('b', id % 7) AS dst")
+    found, want = graph.fans(edges, 2000), graph.fans(edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" in plan and ", 20)" in plan and ", 40)" in plan
+    assert sorted(found.collect()) == sorted(want.collect())
+    seeds = spark.sql("SELECT 'a1' AS id, 1.0D AS score")
+    assert sorted(iterate.diffusion(edges, seeds, size=2000).collect()) == sorted(iterate.diffusion(edges, seeds).collect())
