@@ -49,8 +49,17 @@ def ancestors(paths: DataFrame) -> DataFrame:
 _WORDS = r"^\\b\(?([a-z0-9_|]+)\)?\\b$"
 
 
+#: Words of rules up to which they are broadcast to the paths, once counted; and rows that a task is dealt of more matches.
+FEW_WORDS, TASK_ROWS = 1 << 16, 1 << 19
+
+
 def matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """(target, rule, weight, path) of paths (path) that the pattern of a rule (target, rule, pattern, weight) matches, in one pass over the paths.
+    """(target, rule, weight, path) of paths (path) that the pattern of a rule (target, rule, pattern, weight) matches, in one pass over the paths."""
+    return _matches(paths, rules).distinct()
+
+
+def _matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """matches(), a row for each of a path's words that a rule names.
 
     A rule whose pattern is a choice of words meets the words of the paths by equality, and its pattern is tried on these paths only, so that rules may be many; the
     others, which should be few, are tried on every path in one projection. Paths are matched in lower case, camel case cut into words.
@@ -58,8 +67,10 @@ def matches(paths: DataFrame, rules: DataFrame) -> DataFrame:
     table = rules.select("target", "rule", "pattern", F.col("weight").cast("double").alias("weight"), F.regexp_extract("pattern", _WORDS, 1).alias("words"))
     tokens = table.where("words <> ''").select("target", "rule", "pattern", "weight", F.explode(F.array_distinct(F.split("words", r"\|"))).alias("word")).where("word <> ''")
     text = paths.select("path", F.lower(spaced(F.col("path"))).alias("text"))
-    own = text.select("path", "text", F.explode(F.array_distinct(F.split("text", "[^a-z0-9_]+"))).alias("word"))
-    met = own.join(tokens, "word").where(F.rlike("text", F.col("pattern"))).select("target", "rule", "weight", "path").distinct()
+    own = text.select("path", F.explode(F.array_distinct(F.split("text", "[^a-z0-9_]+"))).alias("word"))
+    few = tokens.limit(FEW_WORDS + 1).count() <= FEW_WORDS
+    # A path's text is made again after the join, so that a shuffle has the path alone.
+    met = own.join(F.broadcast(tokens) if few else tokens, "word").where(F.rlike(F.lower(spaced(F.col("path"))), F.col("pattern"))).select("target", "rule", "weight", "path")
     rest = table.where("words = ''").collect()  # patterns that aren't words
     if not rest:
         return met
@@ -78,10 +89,12 @@ def evaluated(paths: DataFrame, rules: list[tuple] | DataFrame | None = None, ev
 
     rules = RULES if rules is None else rules
     table = rules if isinstance(rules, DataFrame) else rule_table(paths.sparkSession, [(t, r, p, float(w)) for t, r, p, w in rules], "target string, rule string, pattern string, weight double")
-    hits = cut(matches(paths, table))
+    hits = cut(_matches(paths, table))  # repeated ones change nothing below
+    n = -(-hits.count() // TASK_ROWS)
     sums = hits.groupBy("target", "rule").agg(F.max("weight").alias("weight")).groupBy("target").agg(F.round(F.least(F.sum("weight"), F.lit(1.0)), 6).alias("confidence"))
     # The smallest paths by target first, so that a target's list never holds more than a few.
-    first = hits.select("target", "path").distinct().withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("path"))).where(F.col("k") <= evidence)
+    pairs = hits.select("target", "path")
+    first = (pairs.repartition(n, "target", "path") if n > 1 else pairs).distinct().withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("path"))).where(F.col("k") <= evidence)
     lists = first.groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("evidence"))
     return sums.where("confidence > 0").join(lists, "target").select("target", "confidence", "evidence")
 

@@ -1,6 +1,6 @@
 """What must not grow with the tables: what the driver gets, what one task holds, what is shuffled."""
 
-from lodeline.operators import graph, iterate
+from lodeline.operators import discovery, graph, iterate
 
 
 def test_loops_send_little_to_the_driver(spark):
@@ -36,3 +36,20 @@ def test_large_graphs_are_dealt_by_their_size(spark, monkeypatch):
     assert sorted(found.collect()) == sorted(want.collect())
     seeds = spark.sql("SELECT 'a1' AS id, 1.0D AS score")
     assert sorted(iterate.diffusion(edges, seeds, size=2000).collect()) == sorted(iterate.diffusion(edges, seeds).collect())
+
+
+def test_few_rules_are_not_shuffled_to_and_matches_are_dealt(spark, monkeypatch):
+    """A few rules' words are broadcast; matches are dealt by their number, and repeated paths or words change nothing."""
+    monkeypatch.setattr(discovery, "TASK_ROWS", 50)
+    paths = spark.range(400).selectExpr("concat('core/r', id % 9, '/n', id) AS path")
+    paths = paths.union(paths)
+    rules = [("A", "one", r"\b(r1|n7)\b", 0.5), ("A", "two", r"\bn9\b", 0.25), ("B", "three", r"core/r[23]\b", 0.75)]
+    want = [("A", 0.75, "core/r0/n9,core/r1/n1,core/r1/n10,core/r1/n100,core/r1/n109"), ("B", 0.75, "core/r2/n101,core/r2/n11,core/r2/n110,core/r2/n119,core/r2/n128")]
+    table = discovery.rule_table(spark, rules, "target string, rule string, pattern string, weight double")
+    for few in (discovery.FEW_WORDS, 0):
+        monkeypatch.setattr(discovery, "FEW_WORDS", few)
+        found = discovery.evaluated(paths, rules)
+        assert sorted(map(tuple, found.collect())) == want
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        plan = discovery.matches(paths, table)._jdf.queryExecution().executedPlan().toString()
+        assert not few or "BroadcastHashJoin" in plan
