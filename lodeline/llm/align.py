@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffle_partitions, stored
 
 #: Files of the two vocabularies, and the folder they are in; None: that of the package public_tokenizers.
 BYTE_BPE, PIECE_BPE, FOLDER = "byte_bpe_50k.json", "piece_bpe_32k.model", None
 #: Distinct stretches of text, and characters of one, whose tokens a worker remembers.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 100_000, 64
+#: Bytes of text whose tokens a task is dealt, about.
+TASK_BYTES = 4 << 20
 #: Id pairs that may be broadcast with their counts: those of one link in HOT or more, of which there are HOT at most.
 HOT = 1 << 17
 #: What may stand before a blank without a token's end between them: all that some regular expression takes for white space.
@@ -135,11 +137,12 @@ def aligned(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_B
     Texts null, empty or not the same after a tokenizer have no tokens, '' and an empty array. Repeated rows are documents of their own; a null doc_id is kept; other columns are not
     read; an empty table gives none. A document's tokens are one task's, and its groups one row's, as its text is.
 
-    Ids are shuffled once, by document; all windows and groupings that follow keep that partitioning. The meeting by document and end is a grouping by both, which is their full equi-join, as an end is one
+    Ids are shuffled once, by document, over so many tasks that each has the tokens of about TASK_BYTES of text, however long the table; all windows and groupings that follow keep that partitioning. The meeting by document and end is a grouping by both, which is their full equi-join, as an end is one
     token's on either side. Read from the last end to the first, the running count of cuts is the group and the last token seen is the one that an end lies in.
     """
     pair = Pair(byte_bpe, piece_bpe, folder)
-    toks = tokens(docs, folder, byte_bpe, piece_bpe).repartition("rid")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    toks = tokens(docs, folder, byte_bpe, piece_bpe).repartition(max(shuffle_partitions(docs.sparkSession), -(-size // TASK_BYTES)), "rid")
     each = toks.select("rid", "doc_id", "n", F.posexplode_outer("ids").alias("pos", "id"))
     side = F.col("pos") >= F.col("n")
     each = each.select("rid", "doc_id", "pos", "id", side.alias("side"), F.when(side, F.get(_lengths(pair.b_bytes), F.col("id"))).otherwise(F.get(_lengths(pair.a_bytes), F.col("id"))).alias("size"))
