@@ -30,8 +30,8 @@ SHARE, LEAST = 2.0**-20, 32
 ENDINGS, ENDING = 4096, 3
 #: Rounds over all texts end when a token gains less (log10) than GAIN, or after MOST_ROUNDS.
 GAIN, MOST_ROUNDS = 0.01, 4
-#: Texts that the first guess of the states is made from, about, and their tokens at most each; and its rounds. All texts count in the rounds after it.
-FIRST_TEXTS, FIRST_TOKENS, FIRST_ROUNDS = 1500, 1 << 14, 15
+#: Rounds, over all texts too, of the mixture that the states start from, at most; shares of a text that are left out there.
+FIRST_ROUNDS, FAINT = 6, 1e-3
 #: Tokens of the corpus' mean distribution that are added to what a state has emitted.
 PRIOR = 200.0
 #: The end token; no word has a blank.
@@ -225,23 +225,33 @@ def _normal(prior: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.nda
     return Model((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True), np.ascontiguousarray(emit / emit.sum(axis=1, keepdims=True)))
 
 
-def first_guess(seqs: list[np.ndarray], prior: np.ndarray, states: int = STATES, rounds: int = FIRST_ROUNDS) -> Model:
-    """States that differ: each begins as one text, the one that those before explain worst, and Baum-Welch over the sample parts them."""
-    bags = [np.bincount(s, minlength=len(prior)) for s in seqs[:400]]
-    size = np.array([b.sum() for b in bags])
-    best = np.full(len(bags), -np.inf)
-    chosen = [prior * 0] * states
-    for s in range(states if bags else 0):
-        pick = int(np.where(size >= min(50, size.max()), best, np.inf).argmin())
-        chosen[s] = bags[pick].astype(float)
-        own = chosen[s] + PRIOR * prior
-        log = np.log(own / own.sum())
-        best = np.maximum(best, np.array([b @ log for b in bags]) / size)
-    m = _normal(prior, np.ones(states), np.eye(states) * 200, np.array(chosen))
-    for _ in range(rounds if seqs else 0):
-        start, move, emit, _ = expected(m.at(np.float32), seqs)
-        m = _normal(prior, start, move, emit)
-    return m
+def first_guess(classes: int, states: int) -> np.ndarray:
+    """What tells the states apart before any text has been read: each makes a half of the classes, by a hash of state and class, three times as likely as the other half."""
+    return np.array([np.fromiter((crc32(b"%d %d" % (s, c)) & 1 for c in range(classes)), np.float64, classes) for s in range(states)]) + 0.5
+
+
+def shared_out(log: np.ndarray, seqs: list[np.ndarray]) -> tuple[np.ndarray, float, int]:
+    """A round of a mixture of `states` bags of words, whose log emissions are (states, classes): each text's tokens, dealt to the states by how likely
+    each makes the whole text (shares under FAINT to none), as (states, classes); the natural log likelihood and the tokens. BLOCK tokens at a time."""
+    states, classes = log.shape
+    sizes = [len(s) for s in seqs]
+    ids, who = np.concatenate(seqs), np.repeat(np.arange(len(seqs), dtype=np.int32), sizes)
+    steps = [slice(lo, lo + BLOCK) for lo in range(0, len(ids), BLOCK)]
+    like, out = np.zeros((states, len(seqs))), np.zeros((states, classes))
+    for x in steps:
+        first, last = who[x][0], who[x][-1] + 1
+        for s in range(states):
+            like[s, first:last] += np.bincount(who[x] - first, weights=np.take(log[s], ids[x]), minlength=last - first)
+    top = like.max(axis=0)
+    share = np.exp(like - top)
+    total = float((top + np.log(share.mean(axis=0))).sum())
+    share /= share.sum(axis=0)
+    share[share < FAINT] = 0
+    share /= share.sum(axis=0)
+    for x in steps:
+        for s in np.flatnonzero(share[:, who[x][0] : who[x][-1] + 1].any(axis=1)):
+            out[s] += np.bincount(ids[x], weights=np.take(share[s], who[x]), minlength=classes)
+    return out, total, len(ids)
 
 
 def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -256,50 +266,74 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, hi - lo)
 
 
-def _guessed(coded: DataFrame, prior: np.ndarray, states: int) -> Model:
-    """first_guess of about FIRST_TEXTS texts, drawn by a hash of id and tokens; copies of a row count once. One task, its input bounded."""
-    n = coded.count()
-    drawn = coded.where(F.length("ids") <= 4 * FIRST_TOKENS).select(F.xxhash64("doc_id", "ids").alias("h"), "ids").where(F.pmod("h", F.lit(1 << 30)) < F.lit(min(1.0, FIRST_TEXTS / max(n, 1)) * (1 << 30)))
-    drawn = drawn.groupBy("h").agg(F.first("ids").alias("ids"))
+def _summed(coded: DataFrame, states: int, kind: str, run) -> dict[int, tuple]:
+    """The sums, by row, of what run gives for batches of ids: (row, s0, s1 ...). They come to the driver: a row for each class and few more."""
+    cols = [f"s{s}" for s in range(states)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = run(_sequences(b) for b in _sliced(batches))
+        at = np.flatnonzero(x.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at, s], pa.float32() if kind == "float" else pa.float64()) for s in range(states))], ["row", *cols])
+
+    found = coded.select("ids").mapInArrow(rows, "row long, " + ", ".join(f"{c} {kind}" for c in cols)).groupBy("row").agg(*(F.sum(c).alias(c) for c in cols)).collect()
+    return {r[0]: r[1:] for r in found}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(x for b in batches for x in zip(b.column("h").to_pylist(), b.column("ids").to_pylist(), strict=True))
-        m = first_guess([np.frombuffer(x, np.int32) for _, x in rows], prior, states)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in (m.start, m.move, m.emit)], ["start", "move", "emit"])
 
-    got = drawn.coalesce(1).mapInArrow(run, "start binary, move binary, emit binary").first()
-    if not got:
-        return first_guess([], prior, states)
-    start, move, emit = (np.frombuffer(x) for x in got)
-    return Model(start, move.reshape(states, states), emit.reshape(states, -1))
+def started(coded: DataFrame, prior: np.ndarray, states: int, rounds: int = FIRST_ROUNDS) -> tuple[Model, list[float]]:
+    """A model whose states are kinds of texts: a mixture of bags of words, fitted to all of coded (doc_id, ids) until a round gains less than GAIN a token;
+    and the mean log10 likelihood of a token in each round. Each state stays where it is with a probability of nearly 1 at first."""
+    spark, classes = coded.sparkSession, len(prior)
+    emit, likes = first_guess(classes, states) * prior, []
+    for _ in range(rounds):
+        told = spark.sparkContext.broadcast(np.log(emit / emit.sum(axis=1, keepdims=True)).astype(np.float32))
+
+        def run(parts: Iterator[list[np.ndarray]], told=told) -> np.ndarray:
+            own = np.zeros((classes + 2, states))
+            for seqs in parts:
+                if seqs:
+                    out, like, n = shared_out(told.value, seqs)
+                    own[:classes] += out.T
+                    own[-2, 0] += n
+                    own[-1, 0] += like
+            return own
+
+        found = _summed(coded, states, "float", run)
+        told.destroy()
+        if classes not in found:
+            break
+        emit = np.zeros((classes, states))
+        for r in found.keys() - {classes, classes + 1}:
+            emit[r] = found[r]
+        emit = emit.T + PRIOR * prior
+        likes.append(found[classes + 1][0] / found[classes][0] / math.log(10))
+        if len(likes) > 1 and likes[-1] - likes[-2] < GAIN:
+            break
+    return _normal(prior, np.ones(states), np.eye(states) * 200, emit - PRIOR * prior if likes else np.zeros((states, classes))), likes
 
 
 def train(coded: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = MOST_ROUNDS) -> tuple[Model, list[float]]:
-    """Baum-Welch over all of coded (doc_id, ids), and the mean log10 likelihood of a token in each round.
+    """Baum-Welch over all of coded (doc_id, ids), from a start that is fitted to all of it too, and the mean log10 likelihood of a token in each round.
 
     The summed counts, a row for each class, come to the driver: at most 1 / SHARE + ENDINGS + states + 3 rows.
     """
     spark, classes = coded.sparkSession, len(prior)
-    m, likes = _guessed(coded, prior, states), []
+    (m, _), likes = started(coded, prior, states), []
     for _ in range(rounds):
         told = spark.sparkContext.broadcast((m.start.astype(np.float32), m.move.astype(np.float32), m.emit.astype(np.float32)))
 
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+        def run(parts: Iterator[list[np.ndarray]], told=told) -> np.ndarray:
             m = Model(*told.value)
             start, move, emit, like, n = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes)), 0.0, 0
-            for b in _sliced(batches):
-                seqs = _sequences(b)
+            for seqs in parts:
                 s, v, e, x = expected(m, seqs)
                 start, move, emit, like, n = start + s, move + v, emit + e, like + x, n + sum(map(len, seqs))
-            rows = np.r_[emit.T, move, start[None], np.array([[like, n] + [0.0] * (states - 2)])]
-            at = np.flatnonzero(rows.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(rows[at, s]) for s in range(states))], ["row", *(f"s{s}" for s in range(states))])
+            return np.r_[emit.T, move, start[None], np.array([[like, n] + [0.0] * (states - 2)])]
 
-        found = coded.select("ids").mapInArrow(run, "row long, " + ", ".join(f"s{s} double" for s in range(states))).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).collect()
+        found = _summed(coded, states, "double", run)
         told.destroy()
         rows = np.zeros((classes + 2 + states, states))
-        for r in found:
-            rows[r[0]] = r[1:]
+        for r, x in found.items():
+            rows[r] = x
         if not rows[-1, 1]:
             break
         m = _normal(prior, rows[-2], rows[classes : classes + states], rows[:classes].T)
