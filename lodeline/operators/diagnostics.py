@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.lineage import stored
-from .graph import BUILTINS, ENTITY, EXTERNAL, LOGICAL, Graph
+from .graph import BUILTINS, ENTITY, EXTERNAL, LOGICAL, Graph, dealt
 
 #: Severities, worst first.
 SEVERITIES = ("ERROR", "WARNING", "INFO")
@@ -34,33 +34,44 @@ class Diagnostics:
         return self.findings.where(F.col("severity").isin(*severities)).orderBy(rank, "code", "subject")
 
 
-def _entry(space: str, key: Column, node: Column | None = None, live: Column | None = None, missing: Column | None = None) -> Column:
-    """What a row says about a key: an id, a qualified name, a dead edge or a type of edges."""
-    none = F.lit(None)
-    node = none.cast("struct<type:string,name:string,path:string>") if node is None else node
-    return F.struct(F.lit(space).alias("space"), key.alias("key"), node.alias("node"), (F.lit(False) if live is None else live).alias("live"), (none.cast("string") if missing is None else missing).alias("missing"))
+def _entry(space: str, key: Column, missing: Column | None = None) -> Column:
+    """What an edge says about a key: an id that is live, or a dead edge, and which ends it misses as a number."""
+    return F.struct(F.lit(space).alias("space"), key.alias("key"), F.lit(space == "id").alias("live"), (F.lit(None) if missing is None else missing).cast("int").alias("missing"))
+
+
+#: What a dead edge misses, in the order of the words.
+MISSING = ("dst", "src", "src,dst")
 
 
 def entries(g: Graph) -> DataFrame:
     """(space, key, nodes, n, node, live, missing): everything that is said of an id, a name, a dead edge or a type of edges, as one row.
 
-    Edges meet the ids of their ends, as they do wherever a graph is validated; a live logical edge speaks for both its ends. All that is said is summed
-    before it is shuffled, so that neither a hub nor a type of edges is one task's rows. An id that several nodes have is one of the least type, name and path; null ids, names and
-    ends are keys of their own: a null end is missing.
+    Edges meet the ids of their ends, as they do wherever a graph is validated; a live logical edge speaks for both its ends. An id that several nodes have is one of the least type, name
+    and path; null ids, names and ends are keys of their own: a null end is missing. Where the graph's size is known, every shuffle is dealt by it, so that no task holds more as the graph
+    grows; else what is said is summed before it is shuffled. Only flags and counts are summed by key, in a hash table of the keys, so that a hub costs a task no memory; types are few and summed apart.
     """
-    ids = g.nodes.select("id").where("id IS NOT NULL").distinct()
+    ids = dealt(g.nodes.select("id").where("id IS NOT NULL"), g.size, "id").distinct()
     s, d = ids.select(F.col("id").alias("src"), F.lit(True).alias("has_src")), ids.select(F.col("id").alias("dst"), F.lit(True).alias("has_dst"))
-    edges = g.edges.select("src", "dst", "type").join(s, "src", "left").join(d, "dst", "left")
-    missing = F.concat_ws(",", F.when(F.col("has_src").isNull(), "src"), F.when(F.col("has_dst").isNull(), "dst"))
-    logical = F.coalesce(F.col("type").isin(*LOGICAL), F.lit(False))
-    kind = _entry("type", F.col("type"))
-    ends = F.array(kind, _entry("id", F.col("src"), live=F.lit(True)), _entry("id", F.col("dst"), live=F.lit(True)))
+    edges = dealt(dealt(g.edges.select("src", "dst", "type"), g.size, "src").join(s, "src", "left"), g.size, "dst").join(d, "dst", "left")
+    missing = F.when(F.col("has_src").isNull() & F.col("has_dst").isNull(), 2).when(F.col("has_src").isNull(), 1).when(F.col("has_dst").isNull(), 0)
+    ends = F.array(_entry("id", F.col("src")), _entry("id", F.col("dst")))
     shown = F.concat(F.coalesce("src", F.lit("")), F.lit(" > "), F.coalesce("dst", F.lit("")), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"))
-    said = F.when(missing != "", F.array(kind, _entry("edge", shown, missing=missing))).when(logical, ends).otherwise(F.array(kind))
-    node = F.struct("type", "name", "path")
-    own = F.array(_entry("id", F.col("id"), node), _entry("name", F.col("fqn"), node))
-    every = g.nodes.select(F.explode(own).alias("x")).unionByName(edges.select(F.explode(said).alias("x"))).select("x.*")
-    return every.groupBy("space", "key").agg(F.count("node").alias("nodes"), F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.max("live").alias("live"), F.min("missing").alias("missing"))
+    said = F.when(missing.isNotNull(), F.array(_entry("edge", shown, missing))).when(F.coalesce(F.col("type").isin(*LOGICAL), F.lit(False)), ends)
+    size = g.size and 2 * g.size
+    said = dealt(edges.select(F.explode(said).alias("x")).select("x.*"), size, "space", "key").groupBy("space", "key").agg(F.count(F.lit(1)).alias("said"), F.max("live").alias("live"), F.min("missing").alias("missing"))
+    own = dealt(g.nodes.select(F.lit("id").alias("space"), F.col("id").alias("key"), F.struct("type", "name", "path").alias("node")), size, "space", "key")
+    own = own.groupBy("space", "key").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"))
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    nodes = F.coalesce("nodes", zero)
+    word = F.get(F.array(*map(F.lit, MISSING)), F.col("missing"))
+    met = own.join(said, ["space", "key"], "full").select("space", "key", nodes.alias("nodes"), (nodes + F.coalesce("said", zero)).alias("n"), "node", F.coalesce("live", F.lit(False)).alias("live"), word.alias("missing"))
+
+    def counted(df: DataFrame, space: str, key: str, nodes: Column) -> DataFrame:
+        out = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        return out.select(F.lit(space).alias("space"), F.col(key).alias("key"), nodes.alias("nodes"), "n", none.cast(own.schema["node"].dataType).alias("node"), F.lit(False).alias("live"), none.cast("string").alias("missing"))
+
+    names = counted(dealt(g.nodes.select("fqn"), g.size, "fqn"), "name", "fqn", F.col("n"))
+    return met.unionByName(names).unionByName(counted(g.edges.select("type"), "type", "type", zero))
 
 
 def _judged(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """What must not grow with the tables: what the driver gets, what one task holds, what is shuffled."""
 
-from lodeline.operators import discovery, graph, iterate
+from lodeline.operators import diagnostics, discovery, graph, iterate
 
 
 def test_loops_send_little_to_the_driver(spark):
@@ -53,3 +53,14 @@ def test_few_rules_are_not_shuffled_to_and_matches_are_dealt(spark, monkeypatch)
         assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
         plan = discovery.matches(paths, table)._jdf.queryExecution().executedPlan().toString()
         assert not few or "BroadcastHashJoin" in plan
+
+
+def test_diagnostics_are_dealt_by_the_graphs_size(spark, monkeypatch):
+    """Joins and groupings of diagnostics get about TASK_ROWS rows a task where the size is known; a hub, repeated ids and null ends change nothing."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    nodes = spark.range(700).selectExpr("concat('a', id % 600) AS id", "if(id % 3 = 0, 'FUNCTION', 'FILE') AS type", "concat('n', id) AS name", "concat('p/', id) AS path", "concat('f', id % 500) AS fqn")
+    edges = spark.range(2000).selectExpr("concat('a', id % 650) AS src", "if(id % 2 = 0, 'a3', if(id % 11 = 0, NULL, concat('a', id % 640))) AS dst", "if(id % 5 = 0, 'CONTAINS', 'CALLS') AS type", "1.0D AS confidence", "'path' AS method")
+    found, want = (diagnostics.entries(graph.Graph(nodes, edges, size)) for size in (2000, None))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(f"hashpartitioning({k}" in plan for k in ("src", "dst", "space", "fqn")) and ", 20), REPARTITION_BY_NUM" in plan and ", 40), REPARTITION_BY_NUM" in plan
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
