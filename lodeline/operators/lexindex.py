@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import term_list, terms
@@ -18,6 +18,8 @@ from .lexical import idf
 
 #: Buckets of terms, and documents of a block.
 BUCKETS, BLOCK = 64, 4096
+#: Blocks of a bucket whose postings one task is dealt.
+TASK_BLOCKS = 32
 
 
 @dataclass(frozen=True)
@@ -39,24 +41,35 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _counted(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, len, terms) of docs, terms an array of (term, tf): sorted, a document's equal terms lie together, so that they are counted in its own row."""
+    own = docs.select(F.col(id_column).cast("long").alias("id"), F.sort_array(term_list(F.col(text))).alias("w"))
+    at = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))
+    own = own.select("id", "w", F.greatest(F.size("w"), F.lit(0)).alias("n"), F.filter(at, lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))).alias("starts"))
+    each = F.transform("starts", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("n")) - i).alias("tf")))
+    return own.select("id", F.size("w").alias("len"), F.when(F.col("n") > 0, each).alias("terms"))
+
+
 def build(docs: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLOCK, id_column: str = "id", text: str = "text") -> Index:
-    """Indexes docs (id, text), whose ids are distinct longs, below path, in one pass over the text.
+    """Indexes docs (id, text), whose ids are distinct longs, below path, in one pass over the text and one shuffle, of the postings.
 
-    A block is a set of about `block` documents by the hash of their id, so that no posting list of a term is gathered whole; a null text has no terms.
+    A block is a set of about `block` documents by the hash of their id, so that no posting list of a term is gathered whole; a null text has no terms. A task has one bucket of
+    TASK_BLOCKS blocks, about. The lengths are observed in the stage that shuffles.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_column).cast("long").alias("id"), term_list(F.col(text)).alias("w")).select("id", F.size("w").alias("len"), F.explode_outer("w").alias("term"))
-    counted = own.groupBy("id", "len", "term").agg(F.count("term").cast("int").alias("tf"))
-    counted.write.mode("overwrite").parquet(f"{path}/counted")
-    counted = spark.read.parquet(f"{path}/counted")
-    sums = counted.groupBy("id").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
-    blocks = max(1, -(-sums.n // block))
+    spark, seen = docs.sparkSession, Observation()
+    n = docs.count()
+    blocks = max(1, -(-n // block))
+    parts = -(-blocks // TASK_BLOCKS)
+    counted = _counted(docs, id_column, text).observe(seen, F.avg("len").alias("avg"))
+    each = counted.select("id", "len", F.explode_outer("terms").alias("x")).where("x IS NOT NULL").select("id", "len", "x.term", "x.tf")
+    number = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    each = each.select("*", _bucket(F.col("term"), buckets).alias("bucket"), F.pmod(number, F.lit(parts)).alias("part")).repartition(buckets * parts, "bucket", "part")
     held = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
-    rows = counted.where("term IS NOT NULL").groupBy(_bucket(F.col("term"), buckets).alias("bucket"), "term", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    rows = each.groupBy("bucket", "part", "term", number.alias("block"))
     rows = rows.agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), held.alias("p"))
     rows = rows.select("bucket", "term", "block", "n", "max_tf", "min_len", *(F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "len")))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    found = {"n": sums.n, "avg_len": float(sums.avg or 0.0), "buckets": buckets}
+    rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    found = {"n": n, "avg_len": float(seen.get["avg"] or 0.0), "buckets": buckets}
     spark.createDataFrame([(json.dumps(found),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
     return Index(path, **found)
 
