@@ -8,18 +8,23 @@ themselves run in Python.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import shuffle_partitions, sliced, stored
 
 #: Files of the two vocabularies, and the folder they are in; None: that of the package public_tokenizers.
 BYTE_BPE, PIECE_BPE, FOLDER = "byte_bpe_50k.json", "piece_bpe_32k.model", None
 #: Distinct stretches of text, and characters of one, whose tokens a worker remembers.
 MEMO, MEMO_CHARS = 100_000, 64
+#: Bytes of text worked on at once, and new stretches that go to the tokenizers together.
+STEP, NEW = 1 << 20, 4096
 #: Bytes of text whose tokens a task is dealt, about.
 TASK_BYTES = 4 << 20
 #: Id pairs that may be broadcast with their counts: those of one link in HOT or more, of which there are HOT at most.
@@ -60,7 +65,9 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.memo: dict[str, tuple] = {}
+        # Of a stretch the ids of A and of B, 4 bytes each; and the joined bytes where these aren't the blank and the stretch.
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.odd: dict[str, tuple[bytes, bytes]] = {}
 
     def stretches(self, text: str) -> list[str]:
         """The text cut at each blank after something that isn't white space, without these blanks."""
@@ -77,36 +84,58 @@ class Pair:
             out.append(f"{out.pop()} {held[:-1]}" if out else held[:-1])
         return out
 
-    def _learn(self, new: list[str], into: dict[str, tuple]) -> None:
-        own = self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False)
-        for x, a, b in zip(new, own, self.b.encode(new, num_threads=1), strict=True):
-            want, a = (" " + x).encode(), a.ids
-            joined = b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
-            into[x] = (a, b, None if joined == (want, want) else joined)
-
-    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Of each text the ids of A and B; none where a text is empty or the joined bytes of either aren't the blank and the text."""
+    def _learn(self, new: list[str]) -> None:
+        for lo in range(0, len(new), NEW):
+            part = new[lo : lo + NEW]
+            own = self.a.encode_batch_fast([" " + x for x in part], add_special_tokens=False)
+            for x, a, b in zip(part, own, self.b.encode(part, num_threads=1), strict=True):
+                want, a = (" " + x).encode(), a.ids
+                joined = b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
+                self.memo[x] = array("i", a).tobytes(), array("i", b).tobytes()
+                if joined != (want, want):
+                    self.odd[x] = joined
+
+    def _forget(self, stretches: list[str]) -> None:
+        for x in stretches:
+            del self.memo[x]
+            self.odd.pop(x, None)
+
+    def packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each text the ids of A and B, 4 bytes each; none where a text is empty or the joined bytes of either aren't the blank and the text."""
         each = [self.stretches(t) if t else [] for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = dict.fromkeys(x for own in each for x in own if x not in self.memo)
-        now: dict[str, tuple] = {}
-        self._learn([*new], now)
-        self.memo.update((x, v) for x, v in now.items() if len(x) <= MEMO_CHARS)
-        found = now if len(new) == len(now) and not self.memo else {**self.memo, **now} if any(len(x) > MEMO_CHARS for x in now) else self.memo
+            self.odd.clear()
+        new = list(dict.fromkeys(x for own in each for x in own if x not in self.memo))
+        self._learn(new)
         out = []
         for t, own in zip(texts, each, strict=True):
-            parts = [found[x] for x in own]
-            odd = any(p[2] for p in parts)
-            if odd and not self._same(t, own, parts):
-                out.append(([], []))
+            if self.odd and not self.odd.keys().isdisjoint(own) and not self._same(t, own):
+                out.append((b"", b""))
             else:
-                out.append(([i for p in parts for i in p[0]], [i for p in parts for i in p[1]]))
+                parts = [self.memo[x] for x in own]
+                out.append((b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])))
+        self._forget([x for x in new if len(x) > MEMO_CHARS])
         return out
 
-    def _same(self, text: str, own: list[str], parts: list[tuple]) -> bool:
+    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """packed() as lists of ids."""
+        return [(array("i", a).tolist(), array("i", b).tolist()) for a, b in self.packed(texts)]
+
+    def _same(self, text: str, own: list[str]) -> bool:
         want = (" " + text).encode()
-        return all(b"".join(p[2][k] if p[2] else (" " + x).encode() for x, p in zip(own, parts, strict=True)) == want for k in (0, 1))
+        return all(b"".join(self.odd[x][k] if x in self.odd else (" " + x).encode() for x in own) == want for k in (0, 1))
+
+
+def batch_ids(pair: Pair, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(rid, doc_id, n, ids) of a batch (rid, doc_id, text), STEP bytes of text at a time; a longer text stands alone."""
+    sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+    for lo, hi in sliced([range(n) for n in sizes], STEP):
+        b = batch.slice(lo, hi - lo)
+        found = pair.packed(b.column("text").to_pylist())
+        ends = np.cumsum([0] + [(len(x) + len(y)) // 4 for x, y in found], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([z for x in found for z in x]), np.int32)))
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([len(x) // 4 for x, _ in found], pa.int32()), ids], ["rid", "doc_id", "n", "ids"])
 
 
 def tokens(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
@@ -114,13 +143,10 @@ def tokens(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_BP
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core; threads would each hold memory of their own
         pair = Pair(byte_bpe, piece_bpe, folder)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                found = pair.encoded(b.column("text").to_pylist())
-                ids = pa.array([x + y for x, y in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([len(x) for x, _ in found], pa.int32()), ids], ["rid", "doc_id", "n", "ids"])
+            yield from batch_ids(pair, batch)
 
     return base.mapInArrow(run, "rid long, doc_id long, n int, ids array<int>")
 
