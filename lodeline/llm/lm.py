@@ -38,6 +38,8 @@ PRIOR = 200.0
 END = " "
 #: Tokens of a block of texts that run in step; of a longer text, steps whose states are kept at once.
 BLOCK = 1 << 18
+#: Tokens of a block whose emissions are looked up at once.
+GATHER = 1 << 15
 #: Distinct words that a task counts before it passes the counts on.
 WORDS = 1 << 17
 #: Bytes of text, and of ids, worked on at once; the more texts are sorted by length together, the more run in step.
@@ -151,6 +153,31 @@ def _live(sizes: np.ndarray, longest: int) -> list[int]:
     return np.searchsorted(-sizes, -np.arange(longest + 1), "left").tolist()
 
 
+def _gathered(emit: np.ndarray, x: np.ndarray, live: list[int], lo: int, hi: int) -> np.ndarray:
+    """Emissions of the steps lo to hi of x, as (states, steps, those live at lo)."""
+    return np.take(emit, x[lo:hi, : live[lo]], axis=1)
+
+
+def _runs(live: list[int], steps: int) -> list[tuple[int, int]]:
+    """Ranges of steps whose emissions are looked up together: GATHER of them for a state, about."""
+    out, lo = [], 0
+    while lo < steps:
+        hi = min(steps, lo + max(1, GATHER // max(1, live[lo])))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _even(live: list[int], steps: int) -> list[tuple[int, int]]:
+    """Ranges of steps of which each has four fifths or more of its first step's sequences."""
+    out, lo = [], 0
+    for t in range(steps):
+        if live[t] * 5 < live[lo] * 4:
+            out.append((lo, t))
+            lo = t
+    return [*out, (lo, steps)]
+
+
 def _ahead(m: Model, x: np.ndarray, live: list[int], before: np.ndarray | None, keep: bool):
     """The scaled forward recursion over the steps of x. before: the states' shares at the step before, none at a text's start.
     Scales, the shares after the last step, and with keep those of all steps, as (steps, states, count)."""
@@ -159,14 +186,14 @@ def _ahead(m: Model, x: np.ndarray, live: list[int], before: np.ndarray | None,
     scales = np.ones((steps, n), m.emit.dtype)
     every = np.zeros((steps, k, n), m.emit.dtype) if keep else None
     a, turn = before, np.ascontiguousarray(m.move.T)
-    for t in range(steps):
-        n_live = live[t]
-        a = (m.start[:, None] if a is None else turn @ a[:, :n_live]) * np.take(m.emit, x[t, :n_live], axis=1)
-        c = a.sum(axis=0)
-        a /= c
-        scales[t, :n_live] = c
-        if keep:
-            every[t, :, :n_live] = a
+    for lo, hi in _runs(live, steps):
+        e = _gathered(m.emit, x, live, lo, hi)
+        for t in range(lo, hi):
+            n_live = live[t]
+            now = e[:, t - lo, :n_live]
+            now = m.start[:, None] * now if a is None else (turn @ a[:, :n_live]) * now
+            c = np.add.reduce(now, 0, out=scales[t, :n_live])
+            a = np.divide(now, c, out=every[t, :, :n_live] if keep else now)
     return scales, a, every
 
 
@@ -198,23 +225,25 @@ def expected(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
             part = x[lo : lo + BLOCK]
             scales, _, shares = _ahead(m, part, live[lo:], before, True)
             like += float(np.log(scales, dtype=np.float64).sum())
-            for t in range(len(part) - 1, -1, -1):
-                n_live, more = live[lo + t], live[lo + t + 1]
-                a = shares[t, :, :n_live]
-                if more:
-                    move += a[:, :more] @ later.T
-                    back = np.ones((k, n_live), a.dtype)
-                    back[:, :more] = m.move @ later
-                    now = back * a
-                else:
-                    back, now = None, a
-                e = np.take(m.emit, part[t, :n_live], axis=1)
-                later = (e if back is None else e * back) / scales[t, :n_live]
-                shares[t, :, :n_live] = now
-            here = (np.arange(lo, lo + len(part))[:, None] < sizes[None]).ravel()
-            seen = part.ravel()[here]
+            own = live[lo:]
+            for first, last in reversed(_runs(own, len(part))):
+                e = _gathered(m.emit, part, own, first, last)
+                e /= scales[first:last, : own[first]]
+                for t in range(last - 1, first - 1, -1):
+                    n_live, more = own[t], own[t + 1]
+                    now = e[:, t - first, :n_live]
+                    if more:
+                        a = shares[t, :, :more]
+                        move += a @ later.T
+                        back = m.move @ later
+                        a *= back
+                        now[:, :more] *= back
+                    later = now
+            # Where a sequence has ended its shares are 0.
+            even = _even(own, len(part))
+            seen = np.concatenate([part[i:j, : own[i]].ravel() for i, j in even])
             for s in range(k):
-                emit[s] += np.bincount(seen, weights=shares[:, s, :].ravel()[here], minlength=emit.shape[1])
+                emit[s] += np.bincount(seen, weights=np.concatenate([shares[i:j, s, : own[i]].ravel() for i, j in even]), minlength=emit.shape[1])
         start += shares[0].sum(axis=1)
     return start, move * m.move, emit, like
 
@@ -235,22 +264,30 @@ def shared_out(log: np.ndarray, seqs: list[np.ndarray]) -> tuple[np.ndarray, flo
     each makes the whole text (shares under FAINT to none), as (states, classes); the natural log likelihood and the tokens. BLOCK tokens at a time."""
     states, classes = log.shape
     sizes = [len(s) for s in seqs]
-    ids, who = np.concatenate(seqs), np.repeat(np.arange(len(seqs), dtype=np.int32), sizes)
-    steps = [slice(lo, lo + BLOCK) for lo in range(0, len(ids), BLOCK)]
+    ids, first = np.concatenate(seqs), np.cumsum([0, *sizes])
     like, out = np.zeros((states, len(seqs))), np.zeros((states, classes))
-    for x in steps:
-        first, last = who[x][0], who[x][-1] + 1
+    for lo in range(0, len(ids), BLOCK):
+        x = ids[lo : lo + BLOCK]
+        a, b = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, lo + len(x), "left")
+        starts = np.maximum(first[a:b] - lo, 0)
         for s in range(states):
-            like[s, first:last] += np.bincount(who[x] - first, weights=np.take(log[s], ids[x]), minlength=last - first)
+            like[s, a:b] += np.add.reduceat(np.take(log[s], x), starts, dtype=np.float64)
     top = like.max(axis=0)
     share = np.exp(like - top)
     total = float((top + np.log(share.mean(axis=0))).sum())
     share /= share.sum(axis=0)
     share[share < FAINT] = 0
     share /= share.sum(axis=0)
-    for x in steps:
-        for s in np.flatnonzero(share[:, who[x][0] : who[x][-1] + 1].any(axis=1)):
-            out[s] += np.bincount(ids[x], weights=np.take(share[s], who[x]), minlength=classes)
+    for s in range(states):
+        # Most texts are nearly whole one state's, so only the tokens of those it has a share of are counted.
+        own = np.flatnonzero(share[s])
+        for lo, hi in sliced([range(sizes[i]) for i in own], BLOCK):
+            some = own[lo:hi]
+            if len(some) == 1:
+                for at in range(first[some[0]], first[some[0] + 1], BLOCK):
+                    out[s] += share[s, some[0]] * np.bincount(ids[at : min(at + BLOCK, first[some[0] + 1])], minlength=classes)
+            else:
+                out[s] += np.bincount(np.concatenate([seqs[i] for i in some]), weights=np.repeat(share[s, some], [sizes[i] for i in some]), minlength=classes)
     return out, total, len(ids)
 
 
