@@ -25,8 +25,10 @@ BYTE_BPE, PIECE_BPE, FOLDER = "byte_bpe_50k.json", "piece_bpe_32k.model", None
 MEMO, MEMO_CHARS = 100_000, 64
 #: Bytes of text worked on at once, and new stretches that go to the tokenizers together.
 STEP, NEW = 1 << 20, 4096
-#: Bytes of text whose tokens a task is dealt, about.
-TASK_BYTES = 4 << 20
+#: Bytes of text whose tokens a task is dealt, about; it sorts and groups them in memory.
+TASK_BYTES = 1 << 20
+#: Where no vocabulary has more ids than numbers of 2 bytes, ids are shuffled as these, less NARROW.
+NARROW = 1 << 15
 #: Id pairs that may be broadcast with their counts: those of one link in HOT or more, of which there are HOT at most.
 HOT = 1 << 17
 #: What may stand before a blank without a token's end between them: all that some regular expression takes for white space.
@@ -64,6 +66,7 @@ class Pair:
         self.a_bytes = [added[i] if i in added else bytes(alphabet[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.narrow = max(len(self.a_bytes), len(self.b_bytes)) <= 2 * NARROW
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
         # Of a stretch the ids of A and of B, 4 bytes each; and the joined bytes where these aren't the blank and the stretch.
         self.memo: dict[str, tuple[bytes, bytes]] = {}
@@ -128,18 +131,19 @@ class Pair:
 
 
 def batch_ids(pair: Pair, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, n, ids) of a batch (rid, doc_id, text), STEP bytes of text at a time; a longer text stands alone."""
+    """(rid, doc_id, n, ids) of a batch (rid, doc_id, text), ids as tokens() has them, STEP bytes of text at a time; a longer text stands alone."""
     sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
     for lo, hi in sliced([range(n) for n in sizes], STEP):
         b = batch.slice(lo, hi - lo)
         found = pair.packed(b.column("text").to_pylist())
         ends = np.cumsum([0] + [(len(x) + len(y)) // 4 for x, y in found], dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([z for x in found for z in x]), np.int32)))
+        ids = np.frombuffer(b"".join([z for x in found for z in x]), np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array((ids - NARROW).astype(np.int16) if pair.narrow else ids))
         yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([len(x) // 4 for x, _ in found], pa.int32()), ids], ["rid", "doc_id", "n", "ids"])
 
 
-def tokens(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
-    """(rid, doc_id, n, ids) of each row of docs (doc_id, text): the ids of A, n of them, then those of B. rid numbers the rows."""
+def tokens(docs: DataFrame, narrow: bool, folder: str | None = FOLDER, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
+    """(rid, doc_id, n, ids) of each row of docs (doc_id, text): the ids of A, n of them, then those of B; less NARROW, in 2 bytes, where the pair is narrow. rid numbers the rows."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +152,7 @@ def tokens(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_BP
         for batch in batches:
             yield from batch_ids(pair, batch)
 
-    return base.mapInArrow(run, "rid long, doc_id long, n int, ids array<int>")
+    return base.mapInArrow(run, f"rid long, doc_id long, n int, ids array<{'short' if narrow else 'int'}>")
 
 
 def _lengths(of: list[bytes]) -> Column:
@@ -156,10 +160,16 @@ def _lengths(of: list[bytes]) -> Column:
     return F.split(F.lit(",".join(str(len(x)) for x in of)), ",").cast("array<int>")
 
 
+def link(a: str, b: str) -> Column:
+    """A pair of ids as one number: an array of these is a quarter of one of structs, and its distinct ones are found by hashing."""
+    return F.shiftleft(F.col(a).cast("long"), 32) + F.col(b)
+
+
 def aligned(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
     """(rid, doc_id, n_a, n_b, n_groups, groups, links) of each row of docs (doc_id, text).
 
-    groups: `a1,a2|b1;a3|b2,b3`, the ids of A and B of each group in order. links: an array of (a, b, n), n the times that the ids overlap in bytes.
+    groups: `a1,a2|b1;a3|b2,b3`, the ids of A and B of each group in order. links: an array with a pair of ids for each time that they overlap in bytes, as one
+    number each (`link`).
     Texts null, empty or not the same after a tokenizer have no tokens, '' and an empty array. Repeated rows are documents of their own; a null doc_id is kept; other columns are not
     read; an empty table gives none. A document's tokens are one task's, and its groups one row's, as its text is.
 
@@ -168,8 +178,10 @@ def aligned(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_B
     """
     pair = Pair(byte_bpe, piece_bpe, folder)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    toks = tokens(docs, folder, byte_bpe, piece_bpe).repartition(max(shuffle_partitions(docs.sparkSession), -(-size // TASK_BYTES)), "rid")
+    toks = tokens(docs, pair.narrow, folder, byte_bpe, piece_bpe).repartition(max(shuffle_partitions(docs.sparkSession), -(-size // TASK_BYTES)), "rid")
     each = toks.select("rid", "doc_id", "n", F.posexplode_outer("ids").alias("pos", "id"))
+    if pair.narrow:
+        each = each.withColumn("id", F.col("id").cast("int") + NARROW)
     side = F.col("pos") >= F.col("n")
     each = each.select("rid", "doc_id", "pos", "id", side.alias("side"), F.when(side, F.get(_lengths(pair.b_bytes), F.col("id"))).otherwise(F.get(_lengths(pair.a_bytes), F.col("id"))).alias("size"))
     ends = each.withColumn("end", F.sum("size").over(Window.partitionBy("rid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
@@ -182,36 +194,40 @@ def aligned(docs: DataFrame, folder: str | None = FOLDER, byte_bpe: str = BYTE_B
     def ids(c: str) -> Column:
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x.id.cast("string")), ",")
 
-    links = F.collect_list(F.struct(F.col("la").alias("a"), F.col("lb").alias("b")))
+    links = F.collect_list(link("la", "lb"))
     groups = pieces.groupBy("rid", "group").agg(F.first("doc_id").alias("doc_id"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), ids("a").alias("a"), ids("b").alias("b"), links.alias("links"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("group")).alias("g"), F.concat("a", F.lit("|"), "b").alias("s")))), lambda x: x.s), ";")
     docs_ = groups.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum((F.col("n_a") > 0).cast("long")).alias("n_groups"), text.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
-    return docs_.select("rid", "doc_id", "n_a", "n_b", "n_groups", F.when(F.col("n_a") > 0, F.col("groups")).otherwise("").alias("groups"), F.when(F.col("n_a") > 0, F.col("links")).otherwise(F.array().cast("array<struct<a:int,b:int>>")).alias("links"))
+    return docs_.select("rid", "doc_id", "n_a", "n_b", "n_groups", F.when(F.col("n_a") > 0, F.col("groups")).otherwise("").alias("groups"), F.when(F.col("n_a") > 0, F.col("links")).otherwise(F.array().cast("array<long>")).alias("links"))
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """(a, b, documents, total, best) from (rid, a, b, n): how many documents have ids a and b linked, how many links these are, and whether no other b has more documents for a."""
-    counts = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("total"))
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(link, documents, best) from rows (links): how many rows have the pair of ids linked, and whether no other b has more rows for a. Pairs are counted before the shuffle."""
+    counts = rows.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("documents"))
+    counts = counts.withColumn("a", F.shiftright("link", 32))
     highest = counts.groupBy("a").agg(F.max("documents").alias("highest"))
-    return counts.join(highest, "a").select("a", "b", "documents", "total", (F.col("documents") == F.col("highest")).alias("best"))
+    return counts.join(highest, "a").select("link", "documents", (F.col("documents") == F.col("highest")).alias("best"))
 
 
 def digest(docs: DataFrame, folder: str | None = FOLDER) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of documents.
 
-    Frequent id pairs, at most HOT, are broadcast with their counts; links of the others are shuffled to them, none more than one in HOT of all.
+    Frequent id pairs, at most HOT, are broadcast with their counts; links of the others are shuffled to them, a row for a document's pair, of none more than one in HOT of all such rows.
     """
     found = aligned(docs, folder)
     rows = stored(found.select("rid", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "links"))
-    links = rows.select("rid", F.explode("links").alias("l")).groupBy("rid", "l.a", "l.b").agg(F.count(F.lit(1)).alias("n"))
-    links = stored(links)
-    counts = stored(pair_counts(links))
-    total = counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    often = F.col("total") * HOT > total
-    hot, rest = counts.where(often).select("a", "b", F.col("documents").alias("hd"), F.col("best").alias("hb")), counts.where(~often).select("a", "b", "documents", "best")
-    near = links.join(F.broadcast(hot), ["a", "b"], "left")
-    known = near.where("hd IS NOT NULL").select("rid", "n", F.col("hd").alias("documents"), F.col("hb").alias("best"))
-    sums = known.unionByName(near.where("hd IS NULL").select("rid", "n", "a", "b").join(rest, ["a", "b"]).select("rid", "n", "documents", "best"))
-    sums = sums.groupBy("rid").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("documents")).alias("count_sum"))
+    counts = stored(pair_counts(rows))
+    total = counts.agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]
+    often = F.col("documents") * HOT > total
+    hot, rest = counts.where(often).select("link", F.col("documents").alias("hd"), F.col("best").alias("hb")), counts.where(~often)
+    near = rows.select("rid", F.explode("links").alias("link")).join(F.broadcast(hot), "link", "left")
+
+    def sums(df: DataFrame) -> DataFrame:
+        return df.groupBy("rid").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("documents")).alias("count_sum"))
+
+    one = F.lit(1).cast("long").alias("n")
+    known = sums(near.where("hd IS NOT NULL").select("rid", one, F.col("hd").alias("documents"), F.col("hb").alias("best")))
+    others = sums(near.where("hd IS NULL").groupBy("rid", "link").agg(F.count(F.lit(1)).alias("n")).join(rest, "link"))
+    each = known.unionByName(others).groupBy("rid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = F.lit(0).cast("long")
-    return rows.drop("links").join(sums, "rid", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
+    return rows.drop("links").join(each, "rid", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")

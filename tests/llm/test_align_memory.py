@@ -43,5 +43,25 @@ def test_rows_are_worked_on_by_their_bytes(pair):
     got = pa.Table.from_batches(parts).to_pylist()
     assert [r["rid"] for r in got] == list(range(100))
     for r, (a, b) in zip(got, align.Pair().encoded(texts), strict=True):
-        assert r["ids"] == a + b and r["n"] == len(a)
+        assert [i + align.NARROW for i in r["ids"]] == a + b and r["n"] == len(a)
+    assert pair.narrow and parts[0].schema.field("ids").type == pa.list_(pa.int16())
     assert np.mean([r["n"] for r in got]) > 6000
+
+
+@pytest.mark.parametrize("narrow", [True, False])
+def test_pairs_are_counted_by_rows(spark, monkeypatch, narrow):
+    """A row's pair counts once, however often it is linked; ids of 2 and of 4 bytes give the same."""
+    made = align.Pair.__init__
+
+    def init(self, *a):
+        made(self, *a)
+        self.narrow = narrow
+
+    monkeypatch.setattr(align.Pair, "__init__", init)
+    d = spark.createDataFrame([(i, "the cat sat on the mat, unbelievably " * 50) for i in range(40)], "doc_id long, text string")
+    out = align.digest(d)
+    rows = out.collect()
+    assert len({tuple(r)[1:] for r in rows}) == 1 and len(rows) == 40
+    assert rows[0].n_links > 400 and rows[0].count_sum == 40 * rows[0].n_links
+    pairs = align.pair_counts(spark.createDataFrame([([1 << 32 | 7, 1 << 32 | 7, 1 << 32 | 8],), ([1 << 32 | 7],), ([50_000 << 32 | 31_999],)], "links array<long>"))
+    assert sorted(map(tuple, pairs.collect())) == [(1 << 32 | 7, 2, True), (1 << 32 | 8, 1, False), (50_000 << 32 | 31_999, 1, True)]
