@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, forget, stored  # noqa: F401
+from ..plans.lineage import bucketed, cut, forget, stored  # noqa: F401
 
 #: A null doc_id sorts after every other id.
 NULL_ID = 2**63 - 1

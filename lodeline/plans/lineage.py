@@ -35,8 +35,20 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """stored() in as many buckets of the key as there are shuffle partitions, so that what is grouped by it is read without a shuffle. Only while it is written is it a named table."""
+    spark = df.sparkSession
+    name = f"stored_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark.sparkContext)}/{name}"
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.stored_path = path
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return out
+
+
 def forget(df: DataFrame) -> None:
-    """Deletes what stored() has written for df; nothing that reads it may run afterwards."""
+    """Deletes what stored() or bucketed() has written for df; nothing that reads it may run afterwards."""
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
